@@ -63,12 +63,11 @@ def html_tables(df: DataFrame, col: str, keys: list[str]) -> DataFrame:
     def run(batches):
         for pdf in batches:
             rows = []
-            for rec in pdf.itertuples(index=False):
-                rec = rec._asdict() if hasattr(rec, "_asdict") else dict(zip(pdf.columns, rec))
-                h = rec[col]
+            key_cols = [pdf[k].tolist() for k in keys]
+            for i, h in enumerate(pdf[col].tolist()):
                 if not isinstance(h, str):
                     continue
-                base = [rec[k] for k in keys]
+                base = [kc[i] for kc in key_cols]
                 for t_no, r_no, c_no, header, value in H.tables(h):
                     rows.append(base + [t_no, r_no, c_no, header, value])
             yield pd.DataFrame(rows, columns=[f.name for f in schema.fields])

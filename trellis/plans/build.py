@@ -20,6 +20,7 @@ from trellis.operators import enrich, graph, inference, mapping
 from trellis.operators.closure import transitive_closure
 from trellis.operators.index import TextIndex, build_index
 from trellis.plans import fixtures
+from trellis.session import cut_lineage
 
 
 @dataclass
@@ -77,17 +78,20 @@ def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto") -> K
     links = enrich.link_mentions(
         enrich.artifacts_from_graph(knowledge), enrich.terms_from_graph(content), strategy=mention_strategy)
     reference = enrich.mention_triples(links)
-    quads = graph.assemble_graphs({
+    # the store: written once, read by every later step (reliable checkpoints, so a
+    # lost executor never re-runs mapping or mention linking)
+    quads = cut_lineage(graph.assemble_graphs({
         V.GRAPH_KNOWLEDGE: knowledge, V.GRAPH_ONTOLOGY: ontology,
         V.GRAPH_CONTENT: content, V.GRAPH_REFERENCE: reference,
-    })
-    g = graph.union_graph(quads)
+    }))
+    g = cut_lineage(graph.union_graph(quads))
     closure = transitive_closure(ancestor_edges(g))
     direct = g.where(F.col("p") == V.RDF_TYPE).select("s", F.col("o").alias("cls"))
-    types = inference.infer_types(direct, inference.class_closure(onto["class_edges"]))
-    entities = entity_view(g, closure, types)
+    types = cut_lineage(inference.infer_types(direct, inference.class_closure(onto["class_edges"])))
+    entities = cut_lineage(entity_view(g, closure, types))
     refs = g.where(F.col("p") == V.REFERENCE).select("s", "o")
     index = build_index(g)
+    index.postings = cut_lineage(index.postings)
     return KnowledgeBuild(quads, closure, types, entities, refs, index)
 
 
