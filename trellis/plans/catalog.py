@@ -143,6 +143,36 @@ def html_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("page_id", F.length("text").cast("bigint").alias("n_chars"), snippet(F.col("text")).alias("snippet"))
 
 
+# ---------------------------------------------------------------- raw JSON side
+
+def raw_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed responses -> complete chains -> items -> normalised -> unified (scalars)."""
+    from trellis.operators.unify import scalars
+    from trellis.plans import raw, raw_fixtures
+    frames, _status = raw.unified(raw_fixtures.landed(spark, sf_dir))
+    out = None
+    for df in frames.values():
+        s = scalars(df)
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NRM12: retrieval counts per label after normalisation."""
+    from trellis.operators.normalize import retrieval_counts
+    from trellis.plans import raw, raw_fixtures
+    return retrieval_counts(raw.normalized(raw_fixtures.landed(spark, sf_dir)))
+
+
+def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UNI1-UNI3 on the JSON text column of ``events``."""
+    from trellis.operators.unify import detect_paths, scalars, unify
+    ev = fixtures.load(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("doc"))
+    rules = {"k": ["k", "k.missing", "props.k"]}
+    present = detect_paths(ev, rules, order_by=["event_id"])
+    return scalars(unify(ev, rules, present, keep=["event_id"]), names=("k",))
+
+
 # ---------------------------------------------------------------- registry
 
 def queries() -> dict:
@@ -162,6 +192,9 @@ def queries() -> dict:
         "index_stats": index_stats,
         "html_table_rows": html_table_rows,
         "html_page_text": html_page_text,
+        "raw_unified": raw_unified,
+        "snapshot_counts": snapshot_counts,
+        "event_props": event_props,
     }
 
 
@@ -221,6 +254,9 @@ def oracle_sql() -> dict:
             "SELECT d.field, d.term, d.df, c.cf FROM term_df d JOIN "
             "(SELECT field, term, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY field, term) c USING (field, term)")),
         "index_stats": O.with_ctes(G, I, body="SELECT field, n_docs, round(avg_dl, 6) AS avg_dl FROM stats"),
+        "raw_unified": O.RAW_UNIFIED_SQL,
+        "snapshot_counts": O.SNAPSHOT_COUNTS_SQL,
+        "event_props": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
         "html_table_rows": (
             "SELECT 'customer_' || CAST(c_custkey AS VARCHAR) AS page, 0 AS table_no, 1 AS row_no, col_no, header, value "
             "FROM customer, (SELECT unnest([0, 1, 2, 3]) AS col_no) k "

@@ -232,3 +232,57 @@ results AS (
 
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH RECURSIVE " + ",".join(c.strip().rstrip(",") for c in ctes) + "\n" + body
+
+
+WIKI = "https://wiki.example.org/wiki"
+_N = "NULL::VARCHAR"
+
+
+def _row(label, _id=_N, type=_N, name=_N, email=_N, title=_N, link=_N, content=_N, author=_N,
+         creationTime=_N, lastUpdateTime=_N, ancestor=_N, src=""):
+    cols = [_id, type, name, email, title, link, content, author, creationTime, lastUpdateTime, ancestor]
+    sel = ", ".join(f"({c})::VARCHAR AS \"{n}\"" for c, n in zip(cols, FIELDS))
+    return f"SELECT {q(label)} AS label, {sel} FROM {src}"
+
+
+_first_post_titled = (
+    "(SELECT turn = 0 AND " + first_sentence("text") + " IS NOT NULL FROM conversations WHERE length(text) > 0 "
+    "ORDER BY 'posts:conv' || CAST(conv_id AS VARCHAR), floor(turn / 100), turn LIMIT 1)")
+
+RAW_UNIFIED_SQL = " UNION ALL ".join([
+    _row("spaces", _id="'home' || CAST(n_nationkey AS VARCHAR)", name="n_name",
+         link=f"{q(WIKI + '/spaces/N')} || CAST(n_nationkey AS VARCHAR)", src="nation"),
+    _row("pages", _id="'c' || CAST(c_custkey AS VARCHAR)", type="'page'", title="c_name",
+         link=f"{q(WIKI + '/pages/c')} || CAST(c_custkey AS VARCHAR)", content="'<p>' || c_mktsegment || '</p>'",
+         author="c_name", ancestor="'home' || CAST(c_nationkey AS VARCHAR)",
+         src="customer JOIN nation ON c_nationkey = n_nationkey"),
+    _row("comments", _id="'o' || CAST(o_orderkey AS VARCHAR)", type="'comment'",
+         title="'Re: Order ' || CAST(o_orderkey AS VARCHAR)",
+         link=f"{q(WIKI + '/comments/o')} || CAST(o_orderkey AS VARCHAR)", content="'<p>' || o_orderpriority || '</p>'",
+         author="c_name", creationTime="strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')",
+         ancestor="'c' || CAST(o_custkey AS VARCHAR)",
+         src="orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"),
+    _row("users", name="s_name", email="lower(replace(s_name, '#', '.')) || '@example.org'",
+         link=f"{q(WIKI + '/~s')} || CAST(s_suppkey AS VARCHAR)", src="supplier WHERE s_acctbal >= 0"),
+    _row("teams", _id="'t' || CAST(r_regionkey AS VARCHAR)", name="r_name", content="'Team ' || r_name",
+         link="'https://teams.example.org/t' || CAST(r_regionkey AS VARCHAR)", src="region"),
+    _row("channels", _id="'ch' || CAST(n_nationkey AS VARCHAR)", name="n_name",
+         email="lower(n_name) || '@example.org'", content="'Channel ' || n_name",
+         link="'https://teams.example.org/ch' || CAST(n_nationkey AS VARCHAR)",
+         ancestor="'t' || CAST(n_regionkey AS VARCHAR)", src="nation JOIN region ON n_regionkey = r_regionkey"),
+    _row("posts", _id="'m' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR)", type="'message'",
+         title=f"CASE WHEN {_first_post_titled} AND turn = 0 THEN {first_sentence('text')} END",
+         link="'https://teams.example.org/m' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR)",
+         content="text", author="role", ancestor="'conv' || CAST(conv_id AS VARCHAR)",
+         src="conversations WHERE length(text) > 0"),
+])
+
+SNAPSHOT_COUNTS_SQL = """
+SELECT 'spaces' AS label, count(*) AS n FROM nation
+UNION ALL SELECT 'pages', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'comments', count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'users', count(*) FROM supplier WHERE s_acctbal >= 0
+UNION ALL SELECT 'teams', count(*) FROM region
+UNION ALL SELECT 'channels', count(*) FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'posts', count(*) FROM conversations WHERE length(text) > 0
+"""
