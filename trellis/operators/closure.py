@@ -1,13 +1,15 @@
-"""GRF7 / INF1: one-or-more property path as a semi-naive fixpoint of joins.
+"""GRF7 / INF1: one-or-more property path as a fixpoint of joins.
 
 ``edges(child, parent)`` -> ``closure(desc, anc, depth)``, set semantics, safe on
 cycles (a node on a cycle reaches itself, as ``+`` demands), ``depth`` = the
-shortest path length. Each round is an equi-join of the new frontier with the edge
-table, an anti-join against everything seen, and a reliable checkpoint, so lineage
-stays one round deep and a lost executor recomputes at most one round.
+shortest path length.
 
-``doubling=True`` joins the closure with itself (log2 of the longest chain rounds)
-for deep chains.
+Semi-naive rounds first: the new frontier joins the edge table, an anti-join drops
+pairs already seen, and a reliable checkpoint keeps lineage one round deep (a lost
+executor recomputes at most one round). Page/comment trees are shallow, so this
+usually ends in a few rounds. A chain still growing after ``plain_rounds`` switches
+to path doubling (closure joined with itself, minimum depth kept): log2 of the
+remaining length in rounds.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 from trellis.session import cut_lineage
 
+PLAIN_ROUNDS = 8
+
 
 def _edges(edges: DataFrame, child: str, parent: str) -> DataFrame:
     return (
@@ -26,16 +30,26 @@ def _edges(edges: DataFrame, child: str, parent: str) -> DataFrame:
     )
 
 
-def transitive_closure(edges: DataFrame, child: str = "child", parent: str = "parent", doubling: bool = False) -> DataFrame:
-    if doubling:
-        return _closure_doubling(edges, child, parent)
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def transitive_closure(edges: DataFrame, child: str = "child", parent: str = "parent", doubling: bool = False,
+                       plain_rounds: int = PLAIN_ROUNDS) -> DataFrame:
     base = _edges(edges, child, parent)
+    if doubling:
+        return _doubling(cut_lineage(base.withColumn("depth", F.lit(1))))
     step = base.select(F.col("desc").alias("_mid"), F.col("anc").alias("_next"))
     frontier = cut_lineage(base.withColumn("depth", F.lit(1)))
     rounds = [frontier]
     seen = frontier
     depth = 1
     while True:
+        if depth >= plain_rounds:
+            return _doubling(cut_lineage(_union(rounds)))
         depth += 1
         new = (
             frontier.join(step, frontier["anc"] == step["_mid"], "inner")
@@ -46,30 +60,22 @@ def transitive_closure(edges: DataFrame, child: str = "child", parent: str = "pa
         )
         new = cut_lineage(new)
         if new.isEmpty():
-            break
+            return _union(rounds)
         rounds.append(new)
         seen = seen.unionByName(new)
         frontier = new
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
 
 
-def _closure_doubling(edges: DataFrame, child: str, parent: str) -> DataFrame:
-    """Path doubling: C_{k+1} = C_k U (C_k o C_k), keeping the minimum depth."""
-    clo = cut_lineage(_edges(edges, child, parent).withColumn("depth", F.lit(1)))
+def _doubling(clo: DataFrame) -> DataFrame:
+    """C <- min-depth(C U C o C) until no pair is added. Pairs whose shortest path is
+    at most twice the longest settled one get their exact depth each round."""
     n = clo.count()
     while True:
         a = clo.select(F.col("desc"), F.col("anc").alias("_mid"), F.col("depth").alias("d1"))
         b = clo.select(F.col("desc").alias("_mid"), F.col("anc"), F.col("depth").alias("d2"))
         pairs = a.join(b, "_mid").select("desc", "anc", (F.col("d1") + F.col("d2")).alias("depth"))
-        clo_next = cut_lineage(
-            clo.unionByName(pairs).groupBy("desc", "anc").agg(F.min("depth").alias("depth"))
-        )
-        m = clo_next.count()
+        nxt = cut_lineage(clo.unionByName(pairs).groupBy("desc", "anc").agg(F.min("depth").alias("depth")))
+        m = nxt.count()
         if m == n:
-            # no new pair; depths of old pairs can only shrink via shorter paths that
-            # exist already, so the minimum is settled once no pair is added
-            return clo_next
-        clo, n = clo_next, m
+            return nxt
+        clo, n = nxt, m
