@@ -18,7 +18,8 @@ def tokens(col: Column) -> Column:
 
 
 def collapse_ws(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, r"\s+", " "))
+    """Runs of HTML whitespace (space, tab, LF, CR, FF) to one blank, trimmed."""
+    return F.trim(F.regexp_replace(col, r"[ \t\n\r\f]+", " "))
 
 
 def first_sentence(col: Column) -> Column:

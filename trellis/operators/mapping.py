@@ -167,3 +167,16 @@ def map_entities(frames: dict[str, DataFrame], rules: dict[str, EntityRules] = E
     if out is None:
         raise ValueError("no entity frame to map")
     return out
+
+
+def map_table_rows(rows: DataFrame, subject_header: str, title_header: str, prefix: str = "row_",
+                   ns: str = V.NS) -> DataFrame:
+    """MAP9: extracted table rows (``row`` = MAP<header, value>, one per body row) to
+    content-graph triples: subject from one column's value, title from another;
+    rows lacking either give no triple."""
+    subj = iri_template(F.concat(F.lit(prefix), F.col("row")[subject_header]), ns)
+    return (rows.select(subj.alias("s"), F.col("row")[title_header].alias("o"))
+            .where(F.col("s").isNotNull() & F.col("o").isNotNull())
+            .select("s", F.lit(V.TITLE).alias("p"), "o", F.lit("literal").alias("o_kind"),
+                    F.lit(None).cast("string").alias("o_lang"))
+            .distinct())

@@ -71,7 +71,8 @@ def knowledge_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto") -> KnowledgeBuild:
-    knowledge = knowledge_triples(spark, sf_dir)
+    # mapped once: both mention linking and the store read it
+    knowledge = cut_lineage(knowledge_triples(spark, sf_dir))
     onto = inference.ontology_frames(spark)
     ontology = inference.ontology_triples(onto)
     content = fixtures.term_triples(fixtures.term_frame(spark, sf_dir))

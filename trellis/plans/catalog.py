@@ -56,6 +56,29 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(ent, ["entry_id", "s"]).select("query_id", "s", "field", "value", _round("score"))
 
 
+def search_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRH + PRS1-PRS8: display columns of every result."""
+    from trellis.operators.present import present
+    b = B.build(spark, sf_dir)
+    res = search.search(b.index, b.entities, b.references, b.closure, fixtures.searches_frame(spark, sf_dir))
+    p = present(res)
+    return p.select("query_id", "link", "displayTitle", "source", "snippet", "dateLine", "breadcrumbText",
+                    _round("totalScore"))
+
+
+def content_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF10 + EXT2-EXT6 + MAP9: a user SELECT over the union graph picks nodes with
+    HTML content; their tables become numbered results, rows, and content-graph terms."""
+    from trellis.operators.mapping import map_table_rows
+    knowledge = B.knowledge_triples(spark, sf_dir)
+    sel = graph.run_selects(spark, graph.as_quads(knowledge, V.GRAPH_KNOWLEDGE), {"pages": (
+        f"SELECT s, o AS content FROM quads WHERE p = '{V.CONTENT}' AND o LIKE '%<table%'")})["pages"]
+    numbered = extract.number_results(sel.withColumn("query", F.lit("pages")), "query", ["s"])
+    cells = extract.html_tables(numbered, "content", ["query", "result_no"])
+    rows = extract.table_rows(cells, ["query", "result_no"])
+    return map_table_rows(rows, "custkey", "name", prefix="cust_row_")
+
+
 # ---------------------------------------------------------------- graph build pieces
 
 def entity_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +215,8 @@ def queries() -> dict:
         "index_stats": index_stats,
         "html_table_rows": html_table_rows,
         "html_page_text": html_page_text,
+        "search_present": search_present,
+        "content_terms": content_terms,
         "raw_unified": raw_unified,
         "snapshot_counts": snapshot_counts,
         "event_props": event_props,
@@ -254,6 +279,10 @@ def oracle_sql() -> dict:
             "SELECT d.field, d.term, d.df, c.cf FROM term_df d JOIN "
             "(SELECT field, term, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY field, term) c USING (field, term)")),
         "index_stats": O.with_ctes(G, I, body="SELECT field, n_docs, round(avg_dl, 6) AS avg_dl FROM stats"),
+        "search_present": O.with_ctes(G, I, S, body=O.PRESENT_BODY),
+        "content_terms": (
+            f"SELECT DISTINCT {O.q(V.NS + 'cust_row_')} || CAST(c_custkey AS VARCHAR) AS s, {O.q(V.TITLE)} AS p, "
+            "c_name AS o, 'literal' AS o_kind, NULL::VARCHAR AS o_lang FROM customer"),
         "raw_unified": O.RAW_UNIFIED_SQL,
         "snapshot_counts": O.SNAPSHOT_COUNTS_SQL,
         "event_props": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",

@@ -286,3 +286,30 @@ UNION ALL SELECT 'teams', count(*) FROM region
 UNION ALL SELECT 'channels', count(*) FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT 'posts', count(*) FROM conversations WHERE length(text) > 0
 """
+
+
+def _long_date(expr: str) -> str:
+    return f"strftime(strptime({expr}, '%Y-%m-%dT%H:%M:%SZ'), '%-d %B %Y')"
+
+
+PRESENT_BODY = f"""
+SELECT query_id, link,
+       CASE WHEN title IS NOT NULL THEN title WHEN contains(types, 'Post') THEN {q(V.UNTITLED_POST)} END AS displayTitle,
+       source,
+       CASE WHEN length(raw) < {V.SNIPPET_CHARS} THEN raw ELSE substring(raw, 1, {V.SNIPPET_CHARS}) || '...' END AS snippet,
+       CASE WHEN lastUpdateTime IS NOT NULL THEN 'Updated ' || {_long_date('lastUpdateTime')}
+            WHEN creationTime IS NOT NULL THEN 'Created ' || {_long_date('creationTime')} END AS dateLine,
+       CASE WHEN len(string_split(ancestorTitles, '///')) = len(string_split(ancestorLinks, '///'))
+            THEN array_to_string(list_reverse(string_split(ancestorTitles, '///')), {q(V.BREADCRUMB_SEPARATOR)}) END
+         AS breadcrumbText,
+       round(totalScore, 6) AS totalScore
+FROM (
+  SELECT *,
+         CASE WHEN source = 'Confluence' THEN
+              CASE WHEN content LIKE '<h1>%'
+                   THEN regexp_extract(content, '<h1>(.*?)</h1>', 1) || {q(V.BLOCK_SEPARATOR)} || regexp_extract(content, '<p>(.*?)</p>', 1)
+                   ELSE '' END
+              ELSE trim(regexp_replace(coalesce(content, ''), '[ \t\n\r\f]+', ' ', 'g')) END AS raw
+  FROM (SELECT *, CASE WHEN contains(types, 'Confluence') THEN 'Confluence' WHEN contains(types, 'Teams') THEN 'Teams'
+                       ELSE '' END AS source FROM results))
+"""
