@@ -45,7 +45,8 @@ def values_of(quads: DataFrame, predicate: str, name: str = "o") -> DataFrame:
 
 def match(quads: DataFrame, patterns: list[tuple[str, str, str]], optional: list[tuple[str, str, str]] = ()) -> DataFrame:
     """GRF4/GRF5: basic graph pattern. A pattern is ``(?s, predicate IRI, ?o)`` where
-    variables start with ``?``; patterns join on shared variable names, OPTIONAL ones
+    variables start with ``?``; patterns join on shared variable names (each pattern
+    must share one with those before it: no cartesian products), OPTIONAL ones
     left-outer."""
 
     def one(pat):
@@ -69,7 +70,9 @@ def match(quads: DataFrame, patterns: list[tuple[str, str, str]], optional: list
             out = d
         else:
             keys = [c for c in d.columns if c in out.columns]
-            out = out.join(d, keys, "inner") if keys else out.crossJoin(d)
+            if not keys:
+                raise ValueError(f"pattern {pat} shares no variable with the earlier ones")
+            out = out.join(d, keys, "inner")
     for pat in optional:
         d = one(pat)
         keys = [c for c in d.columns if c in out.columns]
