@@ -25,7 +25,8 @@ def _member_path(key: str) -> str:
 
 
 def is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    # a cast to an empty struct succeeds only on objects and extracts no member
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()
 
 
 def is_array(v: Column) -> Column:
