@@ -96,6 +96,28 @@ def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto") -> K
     return KnowledgeBuild(quads, closure, types, entities, refs, index)
 
 
+_BUILDS: dict = {}
+
+
+def _input_stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """(name, size, mtime) of every input file, through Hadoop's FileSystem (any store)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((st.getPath().getName(), st.getLen(), st.getModificationTime()) for st in fs.listStatus(path)))
+
+
+def build_cached(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto") -> KnowledgeBuild:
+    """The store is built once and searched many times: reuse a build of the same
+    application over unchanged inputs (its tables live in the checkpoint folder)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), mention_strategy, _input_stamp(spark, sf_dir))
+    b = _BUILDS.get(key)
+    if b is None:
+        b = build(spark, sf_dir, mention_strategy)
+        _BUILDS[key] = b
+    return b
+
+
 def persist_build(b: KnowledgeBuild, path: str) -> KnowledgeBuild:
     """Write every build output once and return a build that reads them back."""
     from trellis.operators.index import read_index, write_index

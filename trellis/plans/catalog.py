@@ -26,59 +26,32 @@ def _round(col: str, n: int = 6):
 # ---------------------------------------------------------------- search (flagship)
 
 def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.build(spark, sf_dir)
+    b = B.build_cached(spark, sf_dir)
     res = search.search(b.index, b.entities, b.references, b.closure, fixtures.searches_frame(spark, sf_dir))
     return res.select(*[c for c in search.RESULT_COLUMNS if c != "totalScore"], _round("totalScore"))
 
 
 def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.build(spark, sf_dir)
+    b = B.build_cached(spark, sf_dir)
     res = search.search(b.index, b.entities, b.references, b.closure, fixtures.searches_frame(spark, sf_dir))
     res = res.withColumn("totalScore", F.round("totalScore", 6))
     return search.page(res, n=2, pages_through=True).select("query_id", "rank", "page", "link", "totalScore")
 
 
 def result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.build(spark, sf_dir)
+    b = B.build_cached(spark, sf_dir)
     res = search.search(b.index, b.entities, b.references, b.closure, fixtures.searches_frame(spark, sf_dir))
     return search.result_counts(res)
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    knowledge = B.knowledge_triples(spark, sf_dir)
-    onto = inference.ontology_triples(inference.ontology_frames(spark))
-    content = fixtures.term_triples(fixtures.term_frame(spark, sf_dir))
-    g = graph.union_graph(graph.assemble_graphs({V.GRAPH_KNOWLEDGE: knowledge, V.GRAPH_ONTOLOGY: onto,
-                                                 V.GRAPH_CONTENT: content}))
-    idx = build_index(g)
+    """SRH1/SRH2 alone: per (search, entry) BM25 score over the store's index."""
+    idx = B.build_cached(spark, sf_dir).index
     m = search.text_match(idx, fixtures.searches_frame(spark, sf_dir))
     ent = idx.entries.select("entry_id", "s", "value")
     return m.join(ent, ["entry_id", "s"]).select("query_id", "s", "field", "value", _round("score"))
 
 
-def search_present(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRH + PRS1-PRS8: display columns of every result."""
-    from trellis.operators.present import present
-    b = B.build(spark, sf_dir)
-    res = search.search(b.index, b.entities, b.references, b.closure, fixtures.searches_frame(spark, sf_dir))
-    p = present(res)
-    return p.select("query_id", "link", "displayTitle", "source", "snippet", "dateLine", "breadcrumbText",
-                    _round("totalScore"))
-
-
-def content_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """GRF10 + EXT2-EXT6 + MAP9: a user SELECT over the union graph picks nodes with
-    HTML content; their tables become numbered results, rows, and content-graph terms."""
-    from trellis.operators.mapping import map_table_rows
-    knowledge = B.knowledge_triples(spark, sf_dir)
-    sel = graph.run_selects(spark, graph.as_quads(knowledge, V.GRAPH_KNOWLEDGE), {"pages": (
-        f"SELECT s, o AS content FROM quads WHERE p = '{V.CONTENT}' AND o LIKE '%<table%'")})["pages"]
-    numbered = extract.number_results(sel.withColumn("query", F.lit("pages")), "query", ["s"])
-    cells = extract.html_tables(numbered, "content", ["query", "result_no"])
-    rows = extract.table_rows(cells, ["query", "result_no"])
-    return map_table_rows(rows, "custkey", "name", prefix="cust_row_")
-
-
 # ---------------------------------------------------------------- graph build pieces
 
 def entity_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +59,7 @@ def entity_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def union_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.build(spark, sf_dir)
+    b = B.build_cached(spark, sf_dir)
     u = graph.union_graph(b.quads)
     per_g = b.quads.groupBy("p").agg(F.count(F.lit(1)).alias("n_quads"))
     return (u.groupBy("p").agg(F.count(F.lit(1)).alias("n_triples"), F.countDistinct("s").alias("n_subjects"))
@@ -94,12 +67,12 @@ def union_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.build(spark, sf_dir)
+    b = B.build_cached(spark, sf_dir)
     return graph.graph_sizes(b.quads)
 
 
 def entity_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.build(spark, sf_dir)
+    b = B.build_cached(spark, sf_dir)
     e = b.entities
     return e.select("s", "link", "title", "content", "email", "creationTime", "lastUpdateTime",
                     F.array_join(F.array_sort("types_arr"), V.TYPES_SEPARATOR).alias("types"),
@@ -139,13 +112,13 @@ def mention_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.build(spark, sf_dir)
+    b = B.build_cached(spark, sf_dir)
     cf = b.index.postings.groupBy("field", "term").agg(F.sum("tf").cast("bigint").alias("cf"))
     return b.index.term_df.join(cf, ["field", "term"]).select("field", "term", F.col("df").cast("bigint").alias("df"), "cf")
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.build(spark, sf_dir)
+    b = B.build_cached(spark, sf_dir)
     return b.index.index_stats.select("field", F.col("n_docs").cast("bigint").alias("n_docs"), _round("avg_dl"))
 
 
