@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from trellis import vocab as V
 from trellis.functions.iri import local_name
-from trellis.operators import enrich, extract, graph, inference, mapping, search
+from trellis.operators import enrich, extract, graph, inference, search
 from trellis.operators.closure import transitive_closure
-from trellis.operators.index import build_index
 from trellis.plans import build as B
 from trellis.plans import fixtures
 from trellis.plans import oracle as O
