@@ -30,8 +30,9 @@ def source_system(types: Column) -> Column:
 
 
 def long_date(iso: Column) -> Column:
-    """PRS3: ``5 March 2024``."""
-    return F.date_format(F.try_to_timestamp(iso), "d MMMM yyyy")
+    """PRS3: ``5 March 2024``, the UTC date of the instant, whatever the session zone."""
+    wall_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(iso).cast("timestamp_ntz"))
+    return F.date_format(wall_utc, "d MMMM yyyy")
 
 
 def breadcrumb(titles: Column, links: Column, sep: str = V.ANCESTOR_SEPARATOR) -> Column:

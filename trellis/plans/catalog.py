@@ -34,7 +34,8 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = B.build_cached(spark, sf_dir)
     res = search.search(b.index, b.entities, b.references, b.closure, fixtures.searches_frame(spark, sf_dir))
     res = res.withColumn("totalScore", F.round("totalScore", 6))
-    return search.page(res, n=2, pages_through=True).select("query_id", "rank", "page", "link", "totalScore")
+    return search.page(res, n=2, pages_through=True).select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "page", "link", "totalScore")
 
 
 def result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
