@@ -112,3 +112,17 @@ def test_graph_ops(spark):
     assert star.count() == 2  # two titles multiply rows, as OPTIONAL does
     m = graph.match(graph.union_graph(q), [("?s", V.LINK, "?l")], optional=[("?s", V.TITLE, "?t")])
     assert m.count() == 2
+
+
+def test_store_views_and_delta(spark):
+    t1 = spark.createDataFrame([("a", V.TITLE, "A", "literal", None), ("b", V.TITLE, "B", "literal", None)],
+                               "s string, p string, o string, o_kind string, o_lang string")
+    t2 = spark.createDataFrame([("a", V.TITLE, "A", "literal", None)], "s string, p string, o string, o_kind string, o_lang string")
+    store = graph.assemble_store({"knowledge": t1, "content": t2})
+    assert graph.store_union(store).count() == 2
+    quads = graph.store_quads(store)
+    assert {(r["g"], r["s"]) for r in quads.collect()} == {("knowledge", "a"), ("knowledge", "b"), ("content", "a")}
+    after = quads.where("s = 'a'").unionByName(spark.createDataFrame(
+        [("content", "c", V.TITLE, "C", "literal", None)], "g string, s string, p string, o string, o_kind string, o_lang string"))
+    d = {r["g"]: (r["n_triples"], r["removed"], r["added"]) for r in graph.graph_delta(quads, after).collect()}
+    assert d == {"knowledge": (1, 1, 0), "content": (2, 0, 1)}

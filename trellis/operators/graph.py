@@ -23,6 +23,31 @@ def assemble_graphs(named: dict[str, DataFrame]) -> DataFrame:
     return out.distinct()
 
 
+def assemble_store(named: dict[str, DataFrame]) -> DataFrame:
+    """Both views of the store from one shuffle: one row per distinct triple with a
+    bit mask of the named graphs holding it (``g_mask``, bit i = i-th name of
+    ``named``). Use :func:`store_union` and :func:`store_quads` to read it."""
+    names = list(named)
+    out = None
+    for i, (g, triples) in enumerate(named.items()):
+        t = triples.select("s", "p", "o", "o_kind", "o_lang", F.lit(1 << i).alias("_bit"))
+        out = t if out is None else out.unionByName(t)
+    agg = out.groupBy("s", "p", "o", "o_kind", "o_lang").agg(F.bit_or("_bit").alias("g_mask"))
+    return agg.withMetadata("g_mask", {"graphs": names})
+
+
+def store_union(store: DataFrame) -> DataFrame:
+    """GRF1 on the store: every triple once."""
+    return store.select("s", "p", "o", "o_kind", "o_lang")
+
+
+def store_quads(store: DataFrame) -> DataFrame:
+    """The store as quads ``(g, s, p, o, o_kind, o_lang)``."""
+    names = store.schema["g_mask"].metadata["graphs"]
+    member = F.array(*[F.when(F.col("g_mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)])
+    return store.select(F.explode(F.filter(member, lambda x: x.isNotNull())).alias("g"), "s", "p", "o", "o_kind", "o_lang")
+
+
 def named_graph(quads: DataFrame, g: str) -> DataFrame:
     """GRF2: a partition filter when quads are stored ``partitionBy("g")``."""
     return quads.where(F.col("g") == g).select("s", "p", "o", "o_kind", "o_lang")
@@ -96,6 +121,24 @@ def graph_sizes(quads: DataFrame) -> DataFrame:
     return quads.groupBy("g").agg(F.count(F.lit(1)).alias("n_triples"))
 
 
+def graph_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """GRF9: per named graph, triples removed and added between two states of the store."""
+    keys = ["g", "s", "p", "o", "o_kind", "o_lang"]
+    b = before.select(*keys)
+    a = after.select(*keys)
+
+    def minus(x, y):  # null-safe on every key (o_lang is usually null)
+        yk = y.select(*[F.col(k).alias("_" + k) for k in keys])
+        cond = [x[k].eqNullSafe(yk["_" + k]) for k in keys]
+        return x.join(yk, cond, "left_anti")
+
+    removed = minus(b, a).groupBy("g").agg(F.count(F.lit(1)).alias("removed"))
+    added = minus(a, b).groupBy("g").agg(F.count(F.lit(1)).alias("added"))
+    sizes = a.groupBy("g").agg(F.count(F.lit(1)).alias("n_triples"))
+    return (sizes.join(removed, "g", "full").join(added, "g", "full")
+            .select("g", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_triples", "removed", "added")]))
+
+
 def run_selects(spark: SparkSession, quads: DataFrame, selects: dict[str, str], views: dict[str, DataFrame] = None) -> dict[str, DataFrame]:
     """GRF10: user SELECTs (Spark SQL) over the union graph and extra views."""
     union_graph(quads).createOrReplaceTempView("quads")

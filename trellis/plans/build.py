@@ -70,7 +70,17 @@ def knowledge_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.map_entities(fixtures.entity_frames(spark, sf_dir))
 
 
-def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto") -> KnowledgeBuild:
+def _rdfs_can_add(axioms: DataFrame) -> bool:
+    """Whether the ontology's property axioms can add triples at all: sub-property and
+    domain rules always can; range rules only with a class (not a datatype) range.
+    The axiom table is ontology-sized."""
+    useful = axioms.where(F.col("kind").isin("subPropertyOf", "domain")
+                          | ((F.col("kind") == "range") & ~F.col("arg").startswith("http://www.w3.org/2001/XMLSchema#")))
+    return not useful.isEmpty()
+
+
+def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto",
+          index_fields: dict[str, str] | None = None) -> KnowledgeBuild:
     # mapped once: both mention linking and the store read it
     knowledge = cut_lineage(knowledge_triples(spark, sf_dir))
     onto = inference.ontology_frames(spark)
@@ -81,17 +91,22 @@ def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto") -> K
     reference = enrich.mention_triples(links)
     # the store: written once, read by every later step (reliable checkpoints, so a
     # lost executor never re-runs mapping or mention linking)
-    quads = cut_lineage(graph.assemble_graphs({
+    store = cut_lineage(graph.assemble_store({
         V.GRAPH_KNOWLEDGE: knowledge, V.GRAPH_ONTOLOGY: ontology,
         V.GRAPH_CONTENT: content, V.GRAPH_REFERENCE: reference,
     }))
-    g = cut_lineage(graph.union_graph(quads))
+    quads = graph.store_quads(store)
+    g = graph.store_union(store)
+    if _rdfs_can_add(onto["prop_axioms"]):
+        # INF3 materialised once; the default ontology's ranges are datatypes, so this
+        # only runs for ontologies whose rules can add triples
+        g = cut_lineage(inference.rdfs_rules(g, onto["prop_axioms"]))
     closure = transitive_closure(ancestor_edges(g))
     direct = g.where(F.col("p") == V.RDF_TYPE).select("s", F.col("o").alias("cls"))
     types = cut_lineage(inference.infer_types(direct, inference.class_closure(onto["class_edges"])))
     entities = cut_lineage(entity_view(g, closure, types))
     refs = g.where(F.col("p") == V.REFERENCE).select("s", "o")
-    index = build_index(g)
+    index = build_index(g, index_fields)
     index.postings = cut_lineage(index.postings)
     return KnowledgeBuild(quads, closure, types, entities, refs, index)
 
