@@ -42,7 +42,8 @@ def transitive_closure(edges: DataFrame, child: str = "child", parent: str = "pa
     base = _edges(edges, child, parent)
     if doubling:
         return _doubling(cut_lineage(base.withColumn("depth", F.lit(1))))
-    step = base.select(F.col("desc").alias("_mid"), F.col("anc").alias("_next"))
+    # hash-partitioned by the join key once; each round then shuffles only its frontier
+    step = cut_lineage(base.select(F.col("desc").alias("_mid"), F.col("anc").alias("_next")).repartition("_mid"))
     frontier = cut_lineage(base.withColumn("depth", F.lit(1)))
     rounds = [frontier]
     seen = frontier
