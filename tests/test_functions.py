@@ -91,3 +91,15 @@ def test_visible_text_rules():
 def test_text_blocks():
     html = "<body><div><p>one</p><p>  </p><h2>two x</h2><div><p>three <p>four</div></div></body>"
     assert H.text_blocks(html) == ["one", "two x", "three", "four"]
+
+
+def test_iri_encode_paths_agree(spark):
+    vals = ["a b#c%d", "x\ty", "Ünïcode «q» !$&'()*+,/:;=?@[]", "100%", "tab\tand space", "ctl\x01z"]
+    df = spark.createDataFrame([(v,) for v in vals], "x string")
+    got = [r["r"] for r in df.select(iri_encode(F.col("x")).alias("r")).collect()]
+
+    def ref(v):  # keep unreserved ASCII and everything from U+00A0; escape the rest by UTF-8 byte
+        keep = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
+        return "".join(ch if ch in keep or ord(ch) >= 0xA0 else "".join(f"%{b:02X}" for b in ch.encode()) for ch in v)
+
+    assert got == [ref(v) for v in vals]

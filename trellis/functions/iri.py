@@ -2,8 +2,9 @@
 
 Kept raw: ASCII letters and digits, ``- . _ ~`` and every character from U+00A0 up
 (IRI ``ucschar``). Everything else becomes ``%XX`` per UTF-8 byte, so a blank is
-``%20`` (never ``+``) and ``#`` is ``%23``. Pure JVM expressions; the per-character
-path only runs for values that hold an unsafe character.
+``%20`` (never ``+``) and ``#`` is ``%23``. Pure JVM expressions: safe values pass
+through, values with printable ASCII to escape get literal replacements, and only
+values holding control characters take the per-character path.
 """
 
 from __future__ import annotations
@@ -15,6 +16,16 @@ from trellis.vocab import NS
 
 _SAFE_RUN = r"^[A-Za-z0-9._~\-\x{00A0}-\x{10FFFF}]*$"
 _SAFE_CHAR = r"^[A-Za-z0-9._~\-\x{00A0}-\x{10FFFF}]$"
+_PRINTABLE_RUN = r"^[\x{0020}-\x{007E}\x{00A0}-\x{10FFFF}]*$"
+_UNRESERVED = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
+# printable ASCII that must be escaped, derived from the rule; "%" goes first
+_ASCII_ESCAPES = ["%"] + [chr(c) for c in range(0x20, 0x7F) if chr(c) not in _UNRESERVED and chr(c) != "%"]
+
+
+def _replace_chain(col: Column) -> Column:
+    for ch in _ASCII_ESCAPES:
+        col = F.replace(col, F.lit(ch), F.lit("%{:02X}".format(ord(ch))))
+    return col
 
 
 def iri_encode(col: Column) -> Column:
@@ -28,7 +39,9 @@ def iri_encode(col: Column) -> Column:
         ),
         "",
     )
-    return F.when(col.rlike(_SAFE_RUN), col).otherwise(encoded)
+    return (F.when(col.rlike(_SAFE_RUN), col)
+            .when(col.rlike(_PRINTABLE_RUN), _replace_chain(col))   # common case: JVM string replaces
+            .otherwise(encoded))                                       # control characters: per character
 
 
 def iri_template(col: Column, ns: str = NS) -> Column:

@@ -133,21 +133,31 @@ def _literal_fn(pred: str):
 
 
 def map_to_triples(df: DataFrame, rules: EntityRules, ns: str = V.NS) -> DataFrame:
-    """Apply all rules of one entity in one projection (MAP7); duplicates are removed
-    once, when graphs are assembled (set semantics)."""
-    arrays = [F.array(_struct(V.RDF_TYPE, F.lit(ns + rules.cls), "iri"))]
+    """Apply all rules of one entity in one projection (MAP7): scalar fields become one
+    struct each in a single array (code-generated); array fields (MAP6) add one struct
+    per element. Duplicates are removed once, when graphs are assembled (set semantics)."""
+    scalars = [_struct(V.RDF_TYPE, F.lit(ns + rules.cls), "iri")]
+    arrays = []
     for pred, kind, field in rules.objects:
-        values = _as_array(df, field)
-        if kind == "iri":
-            arrays.append(F.transform(values, _iri_fn(pred, ns)))
-        elif kind == "literal":
-            arrays.append(F.transform(values, _literal_fn(pred)))
-        elif kind == "constant_iri":
-            arrays.append(F.array(_struct(pred, F.lit(field), "iri")))
-        else:
+        if kind == "constant_iri":
+            scalars.append(_struct(pred, F.lit(field), "iri"))
+            continue
+        if kind not in ("iri", "literal"):
             raise ValueError(f"unknown object kind {kind!r}")
+        if field not in df.columns:
+            continue
+        is_array = isinstance(df.schema[field].dataType, T.ArrayType)
+        if is_array:
+            values = _as_array(df, field)
+            arrays.append(F.transform(values, _iri_fn(pred, ns) if kind == "iri" else _literal_fn(pred)))
+        else:
+            col = F.col(field).cast("string")
+            scalars.append(_struct(pred, iri_template(col, ns) if kind == "iri" else col, kind))
+    triples = F.array(*scalars)
+    if arrays:
+        triples = F.concat(triples, *arrays)
     return (
-        df.select(_subject(df, rules.subject).alias("s"), F.concat(*arrays).alias("_t"))
+        df.select(_subject(df, rules.subject).alias("s"), triples.alias("_t"))
         .where(F.col("s").isNotNull())
         .select("s", F.inline("_t"))
         .where(F.col("o").isNotNull())
