@@ -31,13 +31,22 @@ class KnowledgeBuild:
     entities: DataFrame
     references: DataFrame
     index: TextIndex
+    contents: DataFrame = None  # (content_id, content): the entity view carries only ids
 
 
 def ancestor_edges(g: DataFrame) -> DataFrame:
     return g.where(F.col("p") == V.ANCESTOR).select(F.col("s").alias("child"), F.col("o").alias("parent"))
 
 
-def entity_view(g: DataFrame, closure: DataFrame, types: DataFrame) -> DataFrame:
+def content_dictionary(g: DataFrame) -> DataFrame:
+    """Every distinct content value once with an id (fixed by the checkpoint that
+    follows). Searches group and shuffle 8-byte ids instead of long texts and join the
+    text back once per output row; equal ids mean equal texts, so grouping is exact."""
+    return (g.where(F.col("p") == V.CONTENT).select(F.col("o").alias("content")).distinct()
+            .withColumn("content_id", F.monotonically_increasing_id()))
+
+
+def entity_view(g: DataFrame, closure: DataFrame, types: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """Per node: link (required), optional single-valued properties (multi-valued
     ones multiply rows, as OPTIONAL does), type local names (required, inferred
     included), and the titles/links of transitive ancestors having both."""
@@ -58,10 +67,13 @@ def entity_view(g: DataFrame, closure: DataFrame, types: DataFrame) -> DataFrame
         .agg(F.collect_set("a_title").alias("anc_titles"), F.collect_set("a_link").alias("anc_links"))
     )
     empty = F.array().cast("array<string>")
+    if contents is not None:
+        props = props.join(contents, "content", "left").drop("content")
+    content_col = "content_id" if contents is not None else "content"
     return (
         props.join(tnames, "s")
         .join(anc, "s", "left")
-        .select("s", "link", "title", "content", "email", "creationTime", "lastUpdateTime", "types_arr",
+        .select("s", "link", "title", content_col, "email", "creationTime", "lastUpdateTime", "types_arr",
                 F.coalesce("anc_titles", empty).alias("anc_titles"), F.coalesce("anc_links", empty).alias("anc_links"))
     )
 
@@ -104,11 +116,12 @@ def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto",
     closure = transitive_closure(ancestor_edges(g))
     direct = g.where(F.col("p") == V.RDF_TYPE).select("s", F.col("o").alias("cls"))
     types = cut_lineage(inference.infer_types(direct, inference.class_closure(onto["class_edges"])))
-    entities = cut_lineage(entity_view(g, closure, types))
+    contents = cut_lineage(content_dictionary(g))
+    entities = cut_lineage(entity_view(g, closure, types, contents))
     refs = g.where(F.col("p") == V.REFERENCE).select("s", "o")
     index = build_index(g, index_fields)
     index.postings = cut_lineage(index.postings)
-    return KnowledgeBuild(quads, closure, types, entities, refs, index)
+    return KnowledgeBuild(quads, closure, types, entities, refs, index, contents)
 
 
 _BUILDS: dict = {}
@@ -143,7 +156,10 @@ def persist_build(b: KnowledgeBuild, path: str) -> KnowledgeBuild:
     b.entities.write.mode("overwrite").parquet(f"{path}/entities")
     b.references.write.mode("overwrite").parquet(f"{path}/references")
     write_index(b.index, f"{path}/index")
+    if b.contents is not None:
+        b.contents.write.mode("overwrite").parquet(f"{path}/contents")
     r = spark.read
     return KnowledgeBuild(r.parquet(f"{path}/quads"), r.parquet(f"{path}/closure"), r.parquet(f"{path}/types"),
                           r.parquet(f"{path}/entities"), r.parquet(f"{path}/references"),
-                          read_index(spark, f"{path}/index", b.index.k1, b.index.b))
+                          read_index(spark, f"{path}/index", b.index.k1, b.index.b),
+                          r.parquet(f"{path}/contents") if b.contents is not None else None)

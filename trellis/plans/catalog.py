@@ -26,13 +26,13 @@ def _round(col: str, n: int = 6):
 
 def graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = B.build_cached(spark, sf_dir)
-    res = search.search(b.index, b.entities, b.references, b.closure, fixtures.searches_frame(spark, sf_dir))
+    res = search.search_build(b, fixtures.searches_frame(spark, sf_dir))
     return res.select(*[c for c in search.RESULT_COLUMNS if c != "totalScore"], _round("totalScore"))
 
 
 def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = B.build_cached(spark, sf_dir)
-    res = search.search(b.index, b.entities, b.references, b.closure, fixtures.searches_frame(spark, sf_dir))
+    res = search.search_build(b, fixtures.searches_frame(spark, sf_dir))
     res = res.withColumn("totalScore", F.round("totalScore", 6))
     return search.page(res, n=2, pages_through=True).select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "page", "link", "totalScore")
@@ -40,7 +40,7 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = B.build_cached(spark, sf_dir)
-    res = search.search(b.index, b.entities, b.references, b.closure, fixtures.searches_frame(spark, sf_dir))
+    res = search.search_build(b, fixtures.searches_frame(spark, sf_dir))
     return search.result_counts(res)
 
 
@@ -56,7 +56,7 @@ def search_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRH + PRS1-PRS8: display columns of every result."""
     from trellis.operators.present import present
     b = B.build_cached(spark, sf_dir)
-    res = search.search(b.index, b.entities, b.references, b.closure, fixtures.searches_frame(spark, sf_dir))
+    res = search.search_build(b, fixtures.searches_frame(spark, sf_dir))
     p = present(res)
     return p.select("query_id", "link", "displayTitle", "source", "snippet", "dateLine", "breadcrumbText",
                     _round("totalScore"))
@@ -96,7 +96,7 @@ def graph_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = B.build_cached(spark, sf_dir)
-    e = b.entities
+    e = b.entities.join(b.contents, "content_id", "left")
     return e.select("s", "link", "title", "content", "email", "creationTime", "lastUpdateTime",
                     F.array_join(F.array_sort("types_arr"), V.TYPES_SEPARATOR).alias("types"),
                     F.array_join(F.array_sort("anc_titles"), V.ANCESTOR_SEPARATOR).alias("ancestorTitles"))
