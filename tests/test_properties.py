@@ -53,3 +53,13 @@ def test_mention_strategies_agree_on_documents(spark, sf):
         results[strategy] = {(r["artifact"], r["term"]) for r in enrich.link_mentions(docs, terms, strategy).collect()}
     assert results["broadcast"] == results["automaton"] == results["blocking"]
     assert len(results["broadcast"]) > 0
+
+
+def test_reference_expansion_in_build(spark, sf):
+    plain = B.build_cached(spark, sf)
+    expanded = B.build(spark, sf, expand_references=True)
+    base = {(r["s"], r["o"]) for r in plain.references.collect()}
+    more = {(r["s"], r["o"]) for r in expanded.references.collect()}
+    # terms carry no type in these fixtures, so nothing is added; only classes ever could be
+    assert base <= more
+    assert {o for _, o in more - base} <= {V.NS + c for c in V.CLASSES}

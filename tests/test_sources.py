@@ -77,8 +77,9 @@ def test_normalize_users_posts_channels(spark):
     teams = _items(spark, "teams", [(None, '{"id":"t1"}')])
     ch = N.normalize_channels(_items(spark, "channels", [("t1", '{"id":"c1"}'), ("t9", '{"id":"c9"}')]), teams)
     assert [dict(r["ext"]) for r in ch.collect()] == [{"teamId": "t1"}]
-    counts = {r["label"]: r["n"] for r in N.retrieval_counts({"users": users, "none": users.where("false")}).collect()}
-    assert counts == {"users": 1, "none": 0}
+    cdf = N.retrieval_counts({"users": users, "none": users.where("false")})
+    assert {r["label"]: r["n"] for r in cdf.collect()} == {"users": 1, "none": 0}
+    assert N.warn_zero_counts(cdf) == ["none"]
 
 
 def test_triples_ontology_and_sinks(spark):

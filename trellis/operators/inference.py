@@ -105,7 +105,9 @@ def expand_references(references: DataFrame, types: DataFrame, class_clo: DataFr
 
     ``references(s, o)`` -> ``references(s, o)`` plus class nodes.
     """
-    inst = types.join(broadcast_if_small(class_clo), types["cls"] == class_clo["sub"]).select("s", F.col("sup").alias("cls"))
-    inst = types.select("s", "cls").unionByName(inst)
-    via = references.join(inst, references["o"] == inst["s"]).select(references["s"], F.col("cls").alias("o"))
+    t = types.select(F.col("s").alias("_inst"), F.col("cls").alias("_cls"))
+    clo = broadcast_if_small(class_clo.select(F.col("sub").alias("_cls"), F.col("sup").alias("_sup")))
+    inst = t.unionByName(t.join(clo, "_cls").select("_inst", F.col("_sup").alias("_cls")))
+    refs = references.select(F.col("s").alias("_src"), F.col("o").alias("_inst"))
+    via = refs.join(inst, "_inst").select(F.col("_src").alias("s"), F.col("_cls").alias("o"))
     return references.select("s", "o").unionByName(via).distinct()

@@ -10,6 +10,7 @@ fields give one triple per element (MAP6).
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from trellis import vocab as V
 from trellis.functions.iri import iri_template
 
 TRIPLE_COLUMNS = ("s", "p", "o", "o_kind", "o_lang")
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -171,6 +173,7 @@ def map_entities(frames: dict[str, DataFrame], rules: dict[str, EntityRules] = E
     for label, rule in rules.items():
         df = frames.get(label)
         if df is None:
+            log.warning("no %s to map; skipped", label)
             continue
         t = map_to_triples(df, rule)
         out = t if out is None else out.unionByName(t)

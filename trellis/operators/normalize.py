@@ -9,9 +9,13 @@ Input rows come from :func:`trellis.sources.landed.flatten_responses`:
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
+
 _EMPTY_EXT = "map<string,string>"
 
 
@@ -99,3 +103,11 @@ def retrieval_counts(tables: dict[str, DataFrame]) -> DataFrame:
         c = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("label"), "n")
         out = c if out is None else out.unionByName(c)
     return out
+
+
+def warn_zero_counts(counts: DataFrame) -> list[str]:
+    """NRM12: log a warning per label that retrieved nothing (one row per label)."""
+    empty = [r["label"] for r in counts.where(F.col("n") == 0).collect()]
+    for label in empty:
+        log.warning("no %s were retrieved", label)
+    return empty

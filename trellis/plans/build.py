@@ -92,7 +92,9 @@ def _rdfs_can_add(axioms: DataFrame) -> bool:
 
 
 def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto",
-          index_fields: dict[str, str] | None = None) -> KnowledgeBuild:
+          index_fields: dict[str, str] | None = None, expand_references: bool = False) -> KnowledgeBuild:
+    """``expand_references`` (INF5, opt-in): an artifact referencing an instance of a
+    class also references that class and its superclasses, so class labels score it."""
     # mapped once: both mention linking and the store read it
     knowledge = cut_lineage(knowledge_triples(spark, sf_dir))
     onto = inference.ontology_frames(spark)
@@ -115,10 +117,13 @@ def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto",
         g = cut_lineage(inference.rdfs_rules(g, onto["prop_axioms"]))
     closure = transitive_closure(ancestor_edges(g))
     direct = g.where(F.col("p") == V.RDF_TYPE).select("s", F.col("o").alias("cls"))
-    types = cut_lineage(inference.infer_types(direct, inference.class_closure(onto["class_edges"])))
+    class_clo = inference.class_closure(onto["class_edges"])
+    types = cut_lineage(inference.infer_types(direct, class_clo))
     contents = cut_lineage(content_dictionary(g))
     entities = cut_lineage(entity_view(g, closure, types, contents))
     refs = g.where(F.col("p") == V.REFERENCE).select("s", "o")
+    if expand_references:
+        refs = cut_lineage(inference.expand_references(refs, direct, class_clo))
     index = build_index(g, index_fields)
     index.postings = cut_lineage(index.postings)
     return KnowledgeBuild(quads, closure, types, entities, refs, index, contents)
