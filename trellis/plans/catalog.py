@@ -52,6 +52,14 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(ent, ["entry_id", "s"]).select("query_id", "s", "field", "value", _round("score"))
 
 
+def clause_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRH1-SRH3: BM25 matches under must / must-not / prefix / phrase clauses."""
+    idx = B.build_cached(spark, sf_dir).index
+    m = search.text_match(idx, fixtures.clause_searches_frame(spark, sf_dir))
+    ent = idx.entries.select("entry_id", "s", "value")
+    return m.join(ent, ["entry_id", "s"]).select("query_id", "s", "field", "value", _round("score"))
+
+
 def search_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRH + PRS1-PRS8: display columns of every result."""
     from trellis.operators.present import present
@@ -211,6 +219,7 @@ def queries() -> dict:
         "index_stats": index_stats,
         "html_table_rows": html_table_rows,
         "html_page_text": html_page_text,
+        "clause_search": clause_search,
         "search_present": search_present,
         "content_terms": content_terms,
         "raw_unified": raw_unified,
@@ -276,6 +285,8 @@ def oracle_sql() -> dict:
             "(SELECT field, term, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY field, term) c USING (field, term)")),
         "index_stats": O.with_ctes(G, I, body="SELECT field, n_docs, round(avg_dl, 6) AS avg_dl FROM stats"),
         "search_present": O.with_ctes(G, I, S, body=O.PRESENT_BODY),
+        "clause_search": O.with_ctes(G, I, O.CLAUSE_CTES, body=(
+            "SELECT query_id, s, field, value, round(score, 6) AS score FROM clause_matched")),
         "content_terms": (
             f"SELECT DISTINCT {O.q(V.NS + 'cust_row_')} || CAST(c_custkey AS VARCHAR) AS s, {O.q(V.TITLE)} AS p, "
             "c_name AS o, 'literal' AS o_kind, NULL::VARCHAR AS o_lang FROM customer"),

@@ -134,3 +134,19 @@ def searches_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("query_id"),
         F.concat_ws(" ", "n_name", "r_name").alias("text"))
     return b.unionByName(n)
+
+
+def clause_searches_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches with structured clauses (SRH3), one per region: its name as text, the
+    word prefix ``cust``, ``must`` = customer for one-word names, ``must_not`` = the
+    customer number token equal to the region key, the name as a phrase for two-word names."""
+    r = load(spark, sf_dir, "region")
+    key9 = F.lpad(F.col("r_regionkey").cast("string"), 9, "0")
+    return r.select(
+        F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("query_id"),
+        F.col("r_name").alias("text"),
+        F.array(F.lit("cust")).alias("prefix"),
+        F.when(~F.col("r_name").contains(" "), F.array(F.lit("customer"))).otherwise(F.array().cast("array<string>")).alias("must"),
+        F.array(key9).alias("must_not"),
+        F.when(F.col("r_name").contains(" "), F.col("r_name")).alias("phrase"),
+    )

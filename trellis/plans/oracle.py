@@ -313,3 +313,39 @@ FROM (
   FROM (SELECT *, CASE WHEN contains(types, 'Confluence') THEN 'Confluence' WHEN contains(types, 'Teams') THEN 'Teams'
                        ELSE '' END AS source FROM results))
 """
+
+
+CLAUSE_CTES = f"""
+csearch AS (
+    SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS query_id, r_name AS text, ['cust'] AS prefix,
+           CASE WHEN NOT contains(r_name, ' ') THEN ['customer'] ELSE []::VARCHAR[] END AS must,
+           [lpad(CAST(r_regionkey AS VARCHAR), 9, '0')] AS must_not,
+           CASE WHEN contains(r_name, ' ') THEN r_name END AS phrase
+    FROM region),
+cq AS (
+    SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens('text')}) AS term FROM csearch) GROUP BY ALL
+    UNION ALL
+    SELECT DISTINCT c.query_id, v.term, 1 AS qtf
+    FROM (SELECT query_id, lower(unnest(prefix)) AS pfx FROM csearch) c
+    JOIN (SELECT DISTINCT term FROM term_df) v ON starts_with(v.term, c.pfx)),
+cm AS (SELECT query_id, p.s, p.field, p.value, p.lang, sum(qtf * w) AS score FROM cq JOIN postings p USING (term) GROUP BY ALL),
+must_terms AS (SELECT DISTINCT query_id, lower(unnest(must)) AS term FROM csearch),
+must_need AS (SELECT query_id, count(*) AS need FROM must_terms GROUP BY query_id),
+must_ok AS (
+    SELECT h.query_id, h.s, h.field, h.value, h.lang FROM (
+        SELECT m.query_id, p.s, p.field, p.value, p.lang, count(*) AS have
+        FROM must_terms m JOIN (SELECT DISTINCT s, field, value, lang, term FROM postings) p USING (term)
+        GROUP BY m.query_id, p.s, p.field, p.value, p.lang) h
+    JOIN must_need n ON n.query_id = h.query_id AND h.have = n.need),
+banned AS (
+    SELECT DISTINCT b.query_id, p.s, p.field, p.value, p.lang
+    FROM (SELECT query_id, lower(unnest(must_not)) AS term FROM csearch) b JOIN postings p USING (term)),
+clause_matched AS (
+    SELECT cm.* FROM cm JOIN csearch c USING (query_id)
+    WHERE (len(c.must) = 0 OR EXISTS (SELECT 1 FROM must_ok o WHERE o.query_id = cm.query_id AND o.s = cm.s
+                AND o.field = cm.field AND o.value = cm.value AND o.lang IS NOT DISTINCT FROM cm.lang))
+      AND NOT EXISTS (SELECT 1 FROM banned b WHERE b.query_id = cm.query_id AND b.s = cm.s AND b.field = cm.field
+                AND b.value = cm.value AND b.lang IS NOT DISTINCT FROM cm.lang)
+      AND (c.phrase IS NULL OR contains(' ' || array_to_string({tokens('cm.value')}, ' ') || ' ',
+                                        ' ' || array_to_string({tokens('c.phrase')}, ' ') || ' ')))
+"""
