@@ -63,3 +63,23 @@ def test_reference_expansion_in_build(spark, sf):
     # terms carry no type in these fixtures, so nothing is added; only classes ever could be
     assert base <= more
     assert {o for _, o in more - base} <= {V.NS + c for c in V.CLASSES}
+
+
+def test_build_with_a_custom_ontology(spark, sf, tmp_path):
+    from trellis.sources.ontology import read_ontology
+    owl = tmp_path / "o.owl"
+    ns = V.NS
+    owl.write_text(
+        '<?xml version="1.0"?>\n<rdf:RDF xmlns:owl="http://www.w3.org/2002/07/owl#" '
+        'xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#">\n'
+        f'<owl:Class rdf:about="{ns}Page"><rdfs:subClassOf rdf:resource="{ns}Document"/>'
+        '<rdfs:label xml:lang="en">Page</rdfs:label></owl:Class>\n'
+        f'<owl:Class rdf:about="{ns}Document"><rdfs:label xml:lang="en">Document</rdfs:label></owl:Class>\n'
+        f'<owl:ObjectProperty rdf:about="{ns}ancestor"><owl:inverseOf rdf:resource="{ns}child"/></owl:ObjectProperty>\n'
+        '</rdf:RDF>\n')
+    b = B.build(spark, sf, ontology=read_ontology(spark, str(owl)))
+    pages = b.types.where(F.col("cls") == ns + "Document").count()
+    assert pages == b.types.where(F.col("cls") == ns + "Page").count() > 0       # INF1/INF2 from the file
+    g = b.graph.where(F.col("p") == ns + "child")                                # inferred view, not stored quads
+    assert g.count() == b.graph.where(F.col("p") == V.ANCESTOR).select("s", "o").distinct().count() > 0  # INF4
+    assert b.index.entries.where(F.col("value") == "Document").count() == 1     # labels indexed

@@ -32,6 +32,7 @@ class KnowledgeBuild:
     references: DataFrame
     index: TextIndex
     contents: DataFrame = None  # (content_id, content): the entity view carries only ids
+    graph: DataFrame = None     # the union graph with inferred triples (what searches see)
 
 
 def ancestor_edges(g: DataFrame) -> DataFrame:
@@ -91,13 +92,22 @@ def _rdfs_can_add(axioms: DataFrame) -> bool:
     return not useful.isEmpty()
 
 
+def _owl_can_add(axioms: DataFrame) -> bool:
+    """Whether the ontology declares inverse, symmetric, transitive or equivalence axioms."""
+    kinds = ("inverseOf", "symmetric", "transitive", "equivalentProperty", "equivalentClass")
+    return not axioms.where(F.col("kind").isin(*kinds)).isEmpty()
+
+
 def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto",
-          index_fields: dict[str, str] | None = None, expand_references: bool = False) -> KnowledgeBuild:
-    """``expand_references`` (INF5, opt-in): an artifact referencing an instance of a
+          index_fields: dict[str, str] | None = None, expand_references: bool = False,
+          ontology: dict[str, DataFrame] | None = None) -> KnowledgeBuild:
+    """``ontology``: frames from :func:`trellis.sources.ontology.read_ontology` (class
+    edges, labels, property axioms); the built-in ontology when omitted.
+    ``expand_references`` (INF5, opt-in): an artifact referencing an instance of a
     class also references that class and its superclasses, so class labels score it."""
     # mapped once: both mention linking and the store read it
     knowledge = cut_lineage(knowledge_triples(spark, sf_dir))
-    onto = inference.ontology_frames(spark)
+    onto = ontology or inference.ontology_frames(spark)
     ontology = inference.ontology_triples(onto)
     content = fixtures.term_triples(fixtures.term_frame(spark, sf_dir))
     links = enrich.link_mentions(
@@ -115,6 +125,9 @@ def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto",
         # INF3 materialised once; the default ontology's ranges are datatypes, so this
         # only runs for ontologies whose rules can add triples
         g = cut_lineage(inference.rdfs_rules(g, onto["prop_axioms"]))
+    if _owl_can_add(onto["prop_axioms"]):
+        # INF4 for custom ontologies (the built-in one declares none of these axioms)
+        g = cut_lineage(inference.property_axioms(g, onto["prop_axioms"]))
     closure = transitive_closure(ancestor_edges(g))
     direct = g.where(F.col("p") == V.RDF_TYPE).select("s", F.col("o").alias("cls"))
     class_clo = inference.class_closure(onto["class_edges"])
@@ -126,7 +139,7 @@ def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto",
         refs = cut_lineage(inference.expand_references(refs, direct, class_clo))
     index = build_index(g, index_fields)
     index.postings = cut_lineage(index.postings)
-    return KnowledgeBuild(quads, closure, types, entities, refs, index, contents)
+    return KnowledgeBuild(quads, closure, types, entities, refs, index, contents, g)
 
 
 _BUILDS: dict = {}
