@@ -108,12 +108,15 @@ def match(quads: DataFrame, patterns: list[tuple[str, str, str]], optional: list
 def entity_table(quads: DataFrame, predicates: dict[str, str], required: tuple[str, ...] = ()) -> DataFrame:
     """GRF6: one wide row per subject; multi-valued predicates multiply rows as
     OPTIONAL patterns do. ``predicates`` maps output column -> predicate IRI."""
-    subjects = quads.select("s").distinct()
-    out = subjects
+    req = [n for n in predicates if n in required]
+    # start from a required predicate's rows: no shuffle of every subject in the graph
+    out = values_of(quads, predicates[req[0]], req[0]) if req else quads.select("s").distinct()
+    for name in req[1:]:
+        out = out.join(values_of(quads, predicates[name], name), "s", "inner")
     for name, pred in predicates.items():
-        vals = values_of(quads, pred, name)
-        out = out.join(vals, "s", "inner" if name in required else "left")
-    return out
+        if name not in required:
+            out = out.join(values_of(quads, pred, name), "s", "left")
+    return out.select("s", *predicates)
 
 
 def graph_sizes(quads: DataFrame) -> DataFrame:
