@@ -126,3 +126,11 @@ def test_store_views_and_delta(spark):
         [("content", "c", V.TITLE, "C", "literal", None)], "g string, s string, p string, o string, o_kind string, o_lang string"))
     d = {r["g"]: (r["n_triples"], r["removed"], r["added"]) for r in graph.graph_delta(quads, after).collect()}
     assert d == {"knowledge": (1, 1, 0), "content": (2, 0, 1)}
+
+
+def test_closure_functional_graph_ending_in_a_cycle(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "c"), ("x", "a")], "child string, parent string")
+    got = _pairs(transitive_closure(e))
+    want = {("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("b", "c", 1), ("b", "d", 2), ("c", "d", 1), ("d", "c", 1),
+            ("c", "c", 2), ("d", "d", 2), ("x", "a", 1), ("x", "b", 2), ("x", "c", 3), ("x", "d", 4)}
+    assert got == want

@@ -6,7 +6,9 @@ shortest path length.
 
 Semi-naive rounds first: the new frontier joins the edge table, an anti-join drops
 pairs already seen, and a reliable checkpoint keeps lineage one round deep (a lost
-executor recomputes at most one round). Page/comment trees are shallow, so this
+executor recomputes at most one round). When every node has at most one parent, a
+pair can only repeat after some node has reached itself (a cycle), so until such a
+pair appears the rounds skip the distinct and the anti-join entirely. Page/comment trees are shallow, so this
 usually ends in a few rounds. A chain still growing after ``plain_rounds`` switches
 to path doubling (closure joined with itself, minimum depth kept): log2 of the
 remaining length in rounds.
@@ -45,6 +47,10 @@ def transitive_closure(edges: DataFrame, child: str = "child", parent: str = "pa
     # hash-partitioned by the join key once; each round then shuffles only its frontier
     step = cut_lineage(base.select(F.col("desc").alias("_mid"), F.col("anc").alias("_next")).repartition("_mid"))
     frontier = cut_lineage(base.withColumn("depth", F.lit(1)))
+    # at most one parent per node (trees, chains): paths are unique, so a pair can only
+    # repeat after some node has reached itself; until then no distinct, no anti-join
+    functional = base.groupBy("desc").count().where(F.col("count") > 1).isEmpty()
+    looped = functional and not frontier.where(F.col("desc") == F.col("anc")).isEmpty()
     rounds = [frontier]
     seen = frontier
     depth = 1
@@ -52,16 +58,14 @@ def transitive_closure(edges: DataFrame, child: str = "child", parent: str = "pa
         if depth >= plain_rounds:
             return _doubling(cut_lineage(_union(rounds)))
         depth += 1
-        new = (
-            frontier.join(step, frontier["anc"] == step["_mid"], "inner")
-            .select("desc", F.col("_next").alias("anc"))
-            .distinct()
-            .join(seen.select("desc", "anc"), ["desc", "anc"], "left_anti")
-            .withColumn("depth", F.lit(depth))
-        )
-        new = cut_lineage(new)
+        new = frontier.join(step, frontier["anc"] == step["_mid"], "inner").select("desc", F.col("_next").alias("anc"))
+        if not functional or looped:
+            new = new.distinct().join(seen.select("desc", "anc"), ["desc", "anc"], "left_anti")
+        new = cut_lineage(new.withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             return _union(rounds)
+        if functional and not looped:
+            looped = not new.where(F.col("desc") == F.col("anc")).isEmpty()
         rounds.append(new)
         seen = seen.unionByName(new)
         frontier = new
