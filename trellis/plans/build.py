@@ -176,8 +176,11 @@ def persist_build(b: KnowledgeBuild, path: str) -> KnowledgeBuild:
     write_index(b.index, f"{path}/index")
     if b.contents is not None:
         b.contents.write.mode("overwrite").parquet(f"{path}/contents")
+    if b.graph is not None:
+        b.graph.write.mode("overwrite").parquet(f"{path}/graph")
     r = spark.read
     return KnowledgeBuild(r.parquet(f"{path}/quads"), r.parquet(f"{path}/closure"), r.parquet(f"{path}/types"),
                           r.parquet(f"{path}/entities"), r.parquet(f"{path}/references"),
                           read_index(spark, f"{path}/index", b.index.k1, b.index.b),
-                          r.parquet(f"{path}/contents") if b.contents is not None else None)
+                          r.parquet(f"{path}/contents") if b.contents is not None else None,
+                          r.parquet(f"{path}/graph") if b.graph is not None else None)

@@ -28,6 +28,8 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "trel
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TRELLIS_DRIVER_MEMORY", "16g"))
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        # reliable checkpoints of dropped DataFrames are removed by the context cleaner
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
