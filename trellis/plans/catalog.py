@@ -200,6 +200,37 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scalars(unify(ev, rules, present, keep=["event_id"]), names=("k",))
 
 
+def _exchange_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint folder."""
+    import uuid
+
+    from trellis.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/exchange/{name}-{uuid.uuid4().hex}"
+
+
+def landed_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC1-SRC3 + NRM1/NRM2 from files: landed responses derived from the tables are
+    written as JSON lines, read back, chain-checked, flattened and cleaned."""
+    from trellis.operators.normalize import clean_items
+    from trellis.plans import raw_fixtures
+    from trellis.sources import landed
+    path = _exchange_dir(spark, "landed")
+    raw_fixtures.landed(spark, sf_dir).drop("doc").write.mode("overwrite").json(path)
+    items = clean_items(landed.landed_items(spark, path))
+    return items.groupBy("label").agg(F.count(F.lit(1)).alias("n_items"))
+
+
+def ntriples_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5 + N-Triples sink: mapped triples written as N-Triples lines and read back;
+    counts and literal lengths per predicate prove the escaping exact."""
+    from trellis.sources import sinks, triples
+    path = _exchange_dir(spark, "ntriples")
+    sinks.write_ntriples(B.knowledge_triples(spark, sf_dir).distinct(), path)
+    t = triples.read_ntriples(spark, path)
+    return t.groupBy("p", "o_kind").agg(F.count(F.lit(1)).alias("n"),
+                                        F.sum(F.length("o")).cast("bigint").alias("chars"))
+
+
 # ---------------------------------------------------------------- registry
 
 def queries() -> dict:
@@ -223,6 +254,8 @@ def queries() -> dict:
         "search_present": search_present,
         "content_terms": content_terms,
         "raw_unified": raw_unified,
+        "landed_roundtrip": landed_roundtrip,
+        "ntriples_roundtrip": ntriples_roundtrip,
         "snapshot_counts": snapshot_counts,
         "event_props": event_props,
     }
@@ -292,6 +325,9 @@ def oracle_sql() -> dict:
             "c_name AS o, 'literal' AS o_kind, NULL::VARCHAR AS o_lang FROM customer"),
         "raw_unified": O.RAW_UNIFIED_SQL,
         "snapshot_counts": O.SNAPSHOT_COUNTS_SQL,
+        "landed_roundtrip": O.LANDED_ITEMS_SQL,
+        "ntriples_roundtrip": O.with_ctes(f"ent AS ({O.ENTITIES_SQL})", f"kg AS ({O.KNOWLEDGE_SQL})", body=(
+            "SELECT p, o_kind, count(*) AS n, CAST(sum(length(o)) AS BIGINT) AS chars FROM kg GROUP BY p, o_kind")),
         "event_props": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
         "html_table_rows": (
             "SELECT 'customer_' || CAST(c_custkey AS VARCHAR) AS page, 0 AS table_no, 1 AS row_no, col_no, header, value "

@@ -349,3 +349,14 @@ clause_matched AS (
       AND (c.phrase IS NULL OR contains(' ' || array_to_string({tokens('cm.value')}, ' ') || ' ',
                                         ' ' || array_to_string({tokens('c.phrase')}, ' ') || ' ')))
 """
+
+
+LANDED_ITEMS_SQL = """
+SELECT 'spaces' AS label, count(*) AS n_items FROM nation
+UNION ALL SELECT 'pages', (SELECT count(*) FROM customer) + (SELECT count(*) FROM nation)
+UNION ALL SELECT 'comments', count(*) FROM orders
+UNION ALL SELECT 'users', 2 * count(*) FROM supplier
+UNION ALL SELECT 'teams', count(*) FROM region
+UNION ALL SELECT 'channels', count(*) FROM nation
+UNION ALL SELECT 'posts', count(*) FROM conversations
+"""

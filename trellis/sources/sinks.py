@@ -54,3 +54,18 @@ def write_extraction(cells: DataFrame, path: str) -> None:
     out.select(F.to_json(F.struct("query")).alias("q"), F.to_json("r").alias("r")).select(
         F.concat(F.expr("substring(q, 1, length(q) - 1)"), F.lit(","), F.expr("substring(r, 2)")).alias("value")
     ).write.mode("overwrite").text(path)
+
+
+def _nt_escape(c):
+    for pat, rep in ((r"\\", r"\\\\"), (r'"', r'\\"'), (r"\n", r"\\n"), (r"\r", r"\\r")):
+        c = F.regexp_replace(c, pat, rep)
+    return c
+
+
+def write_ntriples(triples: DataFrame, path: str) -> None:
+    """Triples as N-Triples lines (the mapper's file output, read back by SRC5)."""
+    obj = F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), F.col("o"), F.lit(">"))).otherwise(
+        F.concat(F.lit('"'), _nt_escape(F.col("o")), F.lit('"'),
+                 F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), F.col("o_lang"))).otherwise(F.lit(""))))
+    line = F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), obj, F.lit(" ."))
+    triples.select(line.alias("value")).write.mode("overwrite").text(path)

@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _TERM = r'(?:<([^>]*)>|(_:[^\s]+))'
-_OBJ = r'(?:<([^>]*)>|(_:[^\s]+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z0-9\-]+)|\^\^<([^>]*)>)?)'
+# possessive runs: recursion depth follows escape sequences, not characters (long texts)
+_OBJ = r'(?:<([^>]*)>|(_:[^\s]+)|"((?:[^"\\]++|\\.)*+)"(?:@([A-Za-z0-9\-]+)|\^\^<([^>]*)>)?)'
 _LINE = r"^\s*" + _TERM + r"\s+<([^>]*)>\s+" + _OBJ + r"\s*\.\s*$"
 
 
 def _unescape(c):
-    for pat, rep in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r"), (r"\\\\", "\\\\")):
-        c = F.regexp_replace(c, pat, rep)
-    return c
+    """Single pass in effect: split on escaped backslashes first, unescape the other
+    sequences inside each piece, join the pieces with a plain backslash."""
+    def piece(x):
+        for pat, rep in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r")):
+            x = F.regexp_replace(x, pat, rep)
+        return x
+
+    return F.array_join(F.transform(F.split(c, r"\\\\"), piece), "\\")
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
