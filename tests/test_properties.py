@@ -83,3 +83,20 @@ def test_build_with_a_custom_ontology(spark, sf, tmp_path):
     g = b.graph.where(F.col("p") == ns + "child")                                # inferred view, not stored quads
     assert g.count() == b.graph.where(F.col("p") == V.ANCESTOR).select("s", "o").distinct().count() > 0  # INF4
     assert b.index.entries.where(F.col("value") == "Document").count() == 1     # labels indexed
+
+
+def test_open_store_and_limit(spark, sf, tmp_path):
+    from trellis import open_store, searches
+    path = str(tmp_path / "store")
+    first = open_store(spark, sf, path)
+    again = open_store(spark, sf, path)                      # read back, not rebuilt
+    assert "store" in again.quads.inputFiles()[0]
+    q = searches(spark, ["nation_3 america", "customer"])
+    full = search.search_build(first, q).withColumn("totalScore", F.round("totalScore", 6))
+    top = search.search_build(again, q, limit=3)
+    n_full = {r["query_id"]: r["c"] for r in full.groupBy("query_id").agg(F.count("*").alias("c")).collect()}
+    n_top = {r["query_id"]: r["c"] for r in top.groupBy("query_id").agg(F.count("*").alias("c")).collect()}
+    assert n_top == {k: min(3, v) for k, v in n_full.items()} and n_full["1"] > 3
+    best = {r["query_id"]: r["m"] for r in full.groupBy("query_id").agg(F.max("totalScore").alias("m")).collect()}
+    got = {r["query_id"]: round(r["totalScore"], 6) for r in top.where("rank = 1").collect()}
+    assert got == best

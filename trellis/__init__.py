@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trellis.operators.present import present
 from trellis.operators.search import page, result_counts, search, search_build
-from trellis.plans.build import build, build_cached, persist_build
+from trellis.plans.build import build, build_cached, open_store, persist_build
 
 
 def searches(spark: SparkSession, texts: list[str]) -> DataFrame:
@@ -20,5 +20,5 @@ def searches(spark: SparkSession, texts: list[str]) -> DataFrame:
     return spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "query_id string, text string")
 
 
-__all__ = ["build", "build_cached", "persist_build", "search", "search_build", "page", "result_counts",
+__all__ = ["build", "build_cached", "open_store", "persist_build", "search", "search_build", "page", "result_counts",
            "present", "searches"]

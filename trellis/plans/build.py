@@ -184,3 +184,19 @@ def persist_build(b: KnowledgeBuild, path: str) -> KnowledgeBuild:
                           read_index(spark, f"{path}/index", b.index.k1, b.index.b),
                           r.parquet(f"{path}/contents") if b.contents is not None else None,
                           r.parquet(f"{path}/graph") if b.graph is not None else None)
+
+
+def open_store(spark: SparkSession, sf_dir: str, path: str, **build_args) -> KnowledgeBuild:
+    """IDX3 "built once, skipped if present": read the persisted store at ``path`` when
+    it is complete, else build from ``sf_dir`` and persist it there first."""
+    from trellis.operators.index import read_index
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/graph/_SUCCESS")
+    if marker.getFileSystem(conf).exists(marker):
+        r = spark.read
+        return KnowledgeBuild(r.parquet(f"{path}/quads"), r.parquet(f"{path}/closure"), r.parquet(f"{path}/types"),
+                              r.parquet(f"{path}/entities"), r.parquet(f"{path}/references"),
+                              read_index(spark, f"{path}/index"), r.parquet(f"{path}/contents"),
+                              r.parquet(f"{path}/graph"))
+    return persist_build(build(spark, sf_dir, **build_args), path)
