@@ -231,6 +231,19 @@ def ntriples_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         F.sum(F.length("o")).cast("bigint").alias("chars"))
 
 
+def ontology_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC4 in the loop: the ontology written as RDF/XML to the shared folder, read back
+    with Spark's XML source, and used for type inference over the mapped entities."""
+    from trellis.sources import ontology, sinks
+    path = _exchange_dir(spark, "ontology")
+    sinks.write_ontology_xml(inference.ontology_frames(spark), path)
+    onto = ontology.read_ontology(spark, path)
+    knowledge = B.knowledge_triples(spark, sf_dir)
+    direct = knowledge.where(F.col("p") == V.RDF_TYPE).select("s", F.col("o").alias("cls"))
+    t = inference.infer_types(direct, inference.class_closure(onto["class_edges"]))
+    return t.select("s", local_name(F.col("cls")).alias("type"))
+
+
 # ---------------------------------------------------------------- registry
 
 def queries() -> dict:
@@ -255,6 +268,7 @@ def queries() -> dict:
         "content_terms": content_terms,
         "raw_unified": raw_unified,
         "landed_roundtrip": landed_roundtrip,
+        "ontology_types": ontology_types,
         "ntriples_roundtrip": ntriples_roundtrip,
         "snapshot_counts": snapshot_counts,
         "event_props": event_props,
@@ -303,12 +317,8 @@ def oracle_sql() -> dict:
             " clo AS (SELECT child AS \"desc\", parent AS anc, 1 AS depth FROM edges"
             " UNION SELECT c.\"desc\", e.parent, c.depth + 1 FROM clo c JOIN edges e ON c.anc = e.child)"
             " SELECT \"desc\", anc, CAST(min(depth) AS BIGINT) AS depth FROM clo GROUP BY \"desc\", anc"),
-        "inferred_types": O.with_ctes(
-            f"ent AS ({O.ENTITIES_SQL})", f"kg AS ({O.KNOWLEDGE_SQL})", f"class_edges AS ({O._class_edges})",
-            "class_clo AS (SELECT sub, sup FROM class_edges UNION SELECT c.sub, e.sup FROM class_clo c JOIN class_edges e ON c.sup = e.sub)",
-            f"direct_types AS (SELECT DISTINCT s, o AS cls FROM kg WHERE p = {O.q(V.RDF_TYPE)})",
-            "types AS (SELECT s, cls FROM direct_types UNION SELECT d.s, c.sup FROM direct_types d JOIN class_clo c ON d.cls = c.sub)",
-            body="SELECT s, regexp_extract(cls, '#([^#]*)$', 1) AS type FROM types"),
+        "inferred_types": O.INFERRED_TYPES_SQL,
+        "ontology_types": O.INFERRED_TYPES_SQL,  # same inference, ontology read from its file
         "mention_links": O.with_ctes(
             f"ent AS ({O.ENTITIES_SQL})", f"kg AS ({O.KNOWLEDGE_SQL})", f"cg AS ({O.CONTENT_SQL})",
             f"artifacts AS ({O.ARTIFACTS_SQL})", f"links AS ({O.LINKS_SQL})",

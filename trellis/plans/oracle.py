@@ -360,3 +360,11 @@ UNION ALL SELECT 'teams', count(*) FROM region
 UNION ALL SELECT 'channels', count(*) FROM nation
 UNION ALL SELECT 'posts', count(*) FROM conversations
 """
+
+
+INFERRED_TYPES_SQL = with_ctes(
+    f"ent AS ({ENTITIES_SQL})", f"kg AS ({KNOWLEDGE_SQL})", f"class_edges AS ({_class_edges})",
+    "class_clo AS (SELECT sub, sup FROM class_edges UNION SELECT c.sub, e.sup FROM class_clo c JOIN class_edges e ON c.sup = e.sub)",
+    f"direct_types AS (SELECT DISTINCT s, o AS cls FROM kg WHERE p = {q(V.RDF_TYPE)})",
+    "types AS (SELECT s, cls FROM direct_types UNION SELECT d.s, c.sup FROM direct_types d JOIN class_clo c ON d.cls = c.sub)",
+    body="SELECT s, regexp_extract(cls, '#([^#]*)$', 1) AS type FROM types")

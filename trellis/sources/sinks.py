@@ -69,3 +69,33 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
                  F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), F.col("o_lang"))).otherwise(F.lit(""))))
     line = F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), obj, F.lit(" ."))
     triples.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+_RDF_HEADER = ('<?xml version="1.0"?>\n<rdf:RDF xmlns:owl="http://www.w3.org/2002/07/owl#" '
+               'xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" '
+               'xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#">\n')
+
+
+def _xml_escape(c):
+    for ch, rep in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(ch), F.lit(rep))
+    return c
+
+
+def write_ontology_xml(frames: dict[str, DataFrame], path: str) -> None:
+    """The ontology as one RDF/XML document (``owl:Class`` elements with
+    ``rdfs:subClassOf`` and language-tagged ``rdfs:label``), readable by SRC4.
+    Ontology-sized: one document per ontology."""
+    edges = frames["class_edges"].select(F.col("sub").alias("iri"), F.concat(
+        F.lit('<rdfs:subClassOf rdf:resource="'), _xml_escape(F.col("sup")), F.lit('"/>')).alias("x"))
+    labels = frames["labels"].select("iri", F.concat(
+        F.lit('<rdfs:label xml:lang="'), _xml_escape(F.col("lang")), F.lit('">'), _xml_escape(F.col("text")),
+        F.lit("</rdfs:label>")).alias("x"))
+    sups = frames["class_edges"].select(F.col("sup").alias("iri"), F.lit("").alias("x"))
+    parts = edges.unionByName(labels).unionByName(sups)
+    classes = parts.groupBy("iri").agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("body")).select(
+        F.concat(F.lit('<owl:Class rdf:about="'), _xml_escape(F.col("iri")), F.lit('">'), F.col("body"),
+                 F.lit("</owl:Class>\n")).alias("c"))
+    doc = classes.agg(F.concat(F.lit(_RDF_HEADER), F.array_join(F.array_sort(F.collect_list("c")), ""),
+                               F.lit("</rdf:RDF>\n")).alias("value"))
+    doc.write.mode("overwrite").text(path)
