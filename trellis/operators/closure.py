@@ -62,10 +62,12 @@ def transitive_closure(edges: DataFrame, child: str = "child", parent: str = "pa
         if not functional or looped:
             new = new.distinct().join(seen.select("desc", "anc"), ["desc", "anc"], "left_anti")
         new = cut_lineage(new.withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
+        # one small job over the checkpoint: is the round empty, did a node reach itself
+        st = new.agg(F.count(F.lit(1)).alias("n"), F.max((F.col("desc") == F.col("anc")).cast("int")).alias("loop")).first()
+        if st["n"] == 0:
             return _union(rounds)
         if functional and not looped:
-            looped = not new.where(F.col("desc") == F.col("anc")).isEmpty()
+            looped = bool(st["loop"])
         rounds.append(new)
         seen = seen.unionByName(new)
         frontier = new
