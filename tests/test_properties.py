@@ -100,3 +100,12 @@ def test_open_store_and_limit(spark, sf, tmp_path):
     best = {r["query_id"]: r["m"] for r in full.groupBy("query_id").agg(F.max("totalScore").alias("m")).collect()}
     got = {r["query_id"]: round(r["totalScore"], 6) for r in top.where("rank = 1").collect()}
     assert got == best
+
+
+def test_index_fields_are_configurable(spark, sf):
+    fields = {"title": V.TITLE, "label": V.RDFS_LABEL, "content": V.CONTENT}
+    b = B.build(spark, sf, index_fields=fields)
+    got = {r["field"] for r in b.index.index_stats.collect()}
+    assert got == {"title", "label", "content"}
+    n_content = b.graph.where(F.col("p") == V.CONTENT).select("s", "o").distinct().count()
+    assert b.index.entries.where(F.col("field") == "content").count() == n_content
