@@ -97,12 +97,16 @@ def normalize_posts(posts: DataFrame) -> DataFrame:
 
 
 def retrieval_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """NRM12: rows retrieved per label (zero counts kept, so they can be warned on)."""
-    out = None
+    """NRM12: rows retrieved per label in one aggregation over all labels; labels that
+    retrieved nothing get a zero row, so they can be warned on."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = None
     for label, df in tables.items():
-        c = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("label"), "n")
-        out = c if out is None else out.unionByName(c)
-    return out
+        r = df.select(F.lit(label).alias("label"))
+        rows = r if rows is None else rows.unionByName(r)
+    counted = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    labels = spark.createDataFrame([(lb,) for lb in tables], "label string")
+    return labels.join(counted, "label", "left").select("label", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def warn_zero_counts(counts: DataFrame) -> list[str]:
