@@ -1,6 +1,5 @@
 """EXT1-EXT6 as Spark passes."""
 
-from pyspark.sql import functions as F
 
 from trellis.operators import extract
 

@@ -1,7 +1,6 @@
 """Property checks on the real tables."""
 
 import duckdb
-import pytest
 from pyspark.sql import functions as F
 
 from tools.check_oracle import TABLES
