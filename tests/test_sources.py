@@ -126,6 +126,13 @@ def test_triples_ontology_and_sinks(spark):
     assert spark.read.json(os.path.join(out, "pages")).count() == 1
     cells = spark.createDataFrame([("q", 1, 0, 1, "A", "1"), ("q", 1, 0, 1, "B", "")],
                                   "query string, result_no int, table_no int, row_no int, header string, value string")
+    binds = spark.createDataFrame([("q", 1, {"s": "node1"}), ("q", 2, {"s": "node2"})],
+                                  "query string, result_no int, bindings map<string,string>")
+    sinks.write_extraction(cells, os.path.join(d, "ext2"), binds)
+    lines = sorted((json.loads(x["value"]) for x in spark.read.text(os.path.join(d, "ext2")).collect()),
+                   key=lambda o: sorted(o))
+    assert lines[0] == {"query": "q", "Result_1": {"s": "node1", "Table_0": [{"A": "1", "B": ""}]}}
+    assert lines[1] == {"query": "q", "Result_2": {"s": "node2"}}
     sinks.write_extraction(cells, os.path.join(d, "ext"))
     got = spark.read.json(os.path.join(d, "ext")).first()
     assert got["query"] == "q" and "Result_1" in got.asDict()

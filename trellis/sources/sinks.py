@@ -41,19 +41,30 @@ def _by_row_no(a, b):
     return F.when(a["row_no"] < b["row_no"], -1).when(a["row_no"] > b["row_no"], 1).otherwise(0)
 
 
-def write_extraction(cells: DataFrame, path: str) -> None:
-    """SNK4: one JSON line per (query, result): ``{"query": q, "Result_n": {"Table_i": [row maps]}}``
-    plus the result's variables when present. Each line holds one result's tables."""
+def write_extraction(cells: DataFrame, path: str, bindings: DataFrame | None = None) -> None:
+    """SNK4: one JSON line per (query, result): ``{"query": q, "Result_n": {<variables>,
+    "Table_i": [row maps]}}``. ``bindings(query, result_no, bindings MAP<STRING,STRING>)``
+    (EXT6) carries the result's other variables; results without tables keep them too.
+    Each line holds one result."""
     rows = cells.groupBy("query", "result_no", "table_no", "row_no").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("header", "value")))).alias("row"))
     tables = rows.groupBy("query", "result_no", "table_no").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("row_no", "row")), _by_row_no), lambda x: x["row"]).alias("rows"))
     results = tables.groupBy("query", "result_no").agg(
         F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("Table_"), F.col("table_no").cast("string")), "rows"))).alias("tables"))
-    out = results.select("query", F.create_map(F.concat(F.lit("Result_"), F.col("result_no").cast("string")), "tables").alias("r"))
-    out.select(F.to_json(F.struct("query")).alias("q"), F.to_json("r").alias("r")).select(
-        F.concat(F.expr("substring(q, 1, length(q) - 1)"), F.lit(","), F.expr("substring(r, 2)")).alias("value")
-    ).write.mode("overwrite").text(path)
+    inner_tables = F.expr("substring(to_json(tables), 2, length(to_json(tables)) - 2)")
+    if bindings is not None:
+        results = bindings.select("query", "result_no", "bindings").join(results, ["query", "result_no"], "full")
+        inner_vars = F.expr("substring(to_json(bindings), 2, length(to_json(bindings)) - 2)")
+        body = F.concat_ws(",", F.when(F.size("bindings") > 0, inner_vars),
+                           F.when(F.col("tables").isNotNull(), inner_tables))
+    else:
+        body = inner_tables
+    obj = F.concat(F.lit("{"), F.coalesce(body, F.lit("")), F.lit("}"))
+    key = F.concat(F.lit("Result_"), F.col("result_no").cast("string"))
+    line = F.concat(F.expr("substring(to_json(named_struct('query', query)), 1, length(to_json(named_struct('query', query))) - 1)"),
+                    F.lit(',"'), key, F.lit('":'), obj, F.lit("}"))
+    results.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def _nt_escape(c):
