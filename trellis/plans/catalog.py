@@ -16,6 +16,7 @@ from trellis.operators.closure import transitive_closure
 from trellis.plans import build as B
 from trellis.plans import fixtures
 from trellis.plans import oracle as O
+from trellis.session import broadcast_if_small
 
 
 def _round(col: str, n: int = 6):
@@ -49,7 +50,8 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = B.build_cached(spark, sf_dir).index
     m = search.text_match(idx, fixtures.searches_frame(spark, sf_dir))
     ent = idx.entries.select("entry_id", "s", "value")
-    return m.join(ent, ["entry_id", "s"]).select("query_id", "s", "field", "value", _round("score"))
+    # matched rows are far fewer than entries: broadcast them (measured), scan the entries
+    return broadcast_if_small(m).join(ent, ["entry_id", "s"]).select("query_id", "s", "field", "value", _round("score"))
 
 
 def clause_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +59,8 @@ def clause_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx = B.build_cached(spark, sf_dir).index
     m = search.text_match(idx, fixtures.clause_searches_frame(spark, sf_dir))
     ent = idx.entries.select("entry_id", "s", "value")
-    return m.join(ent, ["entry_id", "s"]).select("query_id", "s", "field", "value", _round("score"))
+    # matched rows are far fewer than entries: broadcast them (measured), scan the entries
+    return broadcast_if_small(m).join(ent, ["entry_id", "s"]).select("query_id", "s", "field", "value", _round("score"))
 
 
 def search_present(spark: SparkSession, sf_dir: str) -> DataFrame:
