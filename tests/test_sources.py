@@ -90,10 +90,12 @@ def test_triples_ontology_and_sinks(spark):
         f.write('<http://e.org/a> <http://e.org/t> "Pump \\"x\\" guide"@en .\n')
         f.write('# comment\n')
         f.write('<http://e.org/a> <http://e.org/n> "5"^^<http://www.w3.org/2001/XMLSchema#int> .\n')
+        f.write('<http://e.org/a> <http://e.org/u> "caf\\u00E9 \\U0001F600 \\uD83D\\uDE00 b\\\\u0041" .\n')
     t = {(r["s"], r["p"], r["o"], r["o_kind"], r["o_lang"]) for r in triples.read_ntriples(spark, nt).collect()}
     assert ("http://e.org/a", "http://e.org/p", "http://e.org/b", "iri", None) in t
     assert ("http://e.org/a", "http://e.org/t", 'Pump "x" guide', "literal", "en") in t
     assert ("http://e.org/a", "http://e.org/n", "5", "literal", None) in t
+    assert ("http://e.org/a", "http://e.org/u", "caf\u00e9 \U0001F600 \U0001F600 b\\u0041", "literal", None) in t
 
     owl = os.path.join(d, "o.owl")
     with open(owl, "w") as f:

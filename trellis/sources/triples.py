@@ -11,13 +11,39 @@ _OBJ = r'(?:<([^>]*)>|(_:[^\s]+)|"((?:[^"\\]++|\\.)*+)"(?:@([A-Za-z0-9\-]+)|\^\^
 _LINE = r"^\s*" + _TERM + r"\s+<([^>]*)>\s+" + _OBJ + r"\s*\.\s*$"
 
 
+def _utf16_units(cp):
+    """Hex of the UTF-16 code units of a code point column (one or a surrogate pair)."""
+    hi = F.lit(0xD800) + F.shiftright(cp - F.lit(0x10000), 10)
+    lo = F.lit(0xDC00) + (cp - F.lit(0x10000)).bitwiseAND(F.lit(0x3FF))
+    h4 = lambda v: F.lpad(F.hex(v), 4, "0")
+    return F.when(cp < F.lit(0x10000), h4(cp)).otherwise(F.concat(h4(hi), h4(lo)))
+
+
+def _uchars(x):
+    """``\\uXXXX`` / ``\\UXXXXXXXX`` escapes: every part is turned into UTF-16BE bytes (escapes
+    as their code units, plain text re-encoded) and the byte string is decoded once, so
+    surrogate pairs written as two escapes come out whole."""
+    parts = F.split(x, r"(?=\\[uU])")
+
+    def to_bytes(part):
+        is_u = part.rlike(r"^\\u[0-9A-Fa-f]{4}")
+        is_big = part.rlike(r"^\\U[0-9A-Fa-f]{8}")
+        u_bytes = F.concat(F.unhex(F.substring(part, 3, 4)), F.encode(F.substring(part, 7, 1 << 30), "UTF-16BE"))
+        cp = F.conv(F.substring(part, 3, 8), 16, 10).cast("int")
+        big_bytes = F.concat(F.unhex(_utf16_units(cp)), F.encode(F.substring(part, 11, 1 << 30), "UTF-16BE"))
+        return F.when(is_u, u_bytes).when(is_big, big_bytes).otherwise(F.encode(part, "UTF-16BE"))
+
+    joined = F.aggregate(F.transform(parts, to_bytes), F.lit(b"").cast("binary"), lambda acc, b: F.concat(acc, b))
+    return F.when(x.rlike(r"\\[uU]"), F.decode(joined, "UTF-16BE")).otherwise(x)
+
+
 def _unescape(c):
     """Single pass in effect: split on escaped backslashes first, unescape the other
     sequences inside each piece, join the pieces with a plain backslash."""
     def piece(x):
         for pat, rep in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r")):
             x = F.regexp_replace(x, pat, rep)
-        return x
+        return _uchars(x)
 
     return F.array_join(F.transform(F.split(c, r"\\\\"), piece), "\\")
 
