@@ -169,6 +169,11 @@ def visible_text(html: str | None) -> str:
 def text_blocks(html: str | None, tags=("p", "h1", "h2", "h3", "h4", "h5", "h6")) -> list[str]:
     """PRS4: depth-first texts of block tags that hold non-blank text, not descending
     into a block once taken; NBSP becomes a blank."""
+    return blocks_of(parse(html), tags)
+
+
+def blocks_of(root: Node, tags=("p", "h1", "h2", "h3", "h4", "h5", "h6")) -> list[str]:
+    """:func:`text_blocks` on an already parsed document."""
     out = []
 
     def walk(node):
@@ -182,7 +187,6 @@ def text_blocks(html: str | None, tags=("p", "h1", "h2", "h3", "h4", "h5", "h6")
                     continue
             walk(c)
 
-    root = parse(html)
     body = next(root.iter("body"), None)
     walk(body if body is not None else root)
     return out

@@ -45,6 +45,30 @@ def html_blocks(df: DataFrame, col: str, out: str = "blocks") -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def html_text_and_blocks(df: DataFrame, col: str, text_out: str = "text", blocks_out: str = "blocks") -> DataFrame:
+    """EXT1 + PRS4 in one parse per row: visible text and block texts."""
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(text_out, T.StringType()),
+                                                    T.StructField(blocks_out, T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        for pdf in batches:
+            texts, blocks = [], []
+            for h in pdf[col]:
+                if isinstance(h, str):
+                    root = H.parse(h)
+                    texts.append(root.text())
+                    blocks.append(H.blocks_of(root))
+                else:
+                    texts.append(None)
+                    blocks.append(None)
+            pdf[text_out] = texts
+            pdf[blocks_out] = blocks
+            yield pdf
+
+    ship_package(df.sparkSession)
+    return df.mapInPandas(run, schema)
+
+
 CELL_FIELDS = [
     T.StructField("table_no", T.IntegerType()),
     T.StructField("row_no", T.IntegerType()),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis import vocab as V
-from trellis.operators.extract import html_blocks, html_text
+from trellis.operators.extract import html_text_and_blocks
 
 
 def snippet(col: Column, chars: int = V.SNIPPET_CHARS) -> Column:
@@ -54,8 +54,7 @@ def present(results: DataFrame, snippet_chars: int = V.SNIPPET_CHARS, blocks: in
     """Adds display columns to search results (keeps every input column)."""
     src = source_system(F.col("types"))
     df = results.withColumn("source", src).withColumn("_html", F.coalesce("content", F.lit("")))
-    df = html_blocks(df, "_html", "_blocks")
-    df = html_text(df, "_html", "_plain")
+    df = html_text_and_blocks(df, "_html", "_plain", "_blocks")  # one parse per result
     block_snip = F.array_join(F.slice(F.col("_blocks"), 1, blocks), V.BLOCK_SEPARATOR)
     raw = F.when(F.col("source") == "Confluence", block_snip).otherwise(F.col("_plain"))
     crumbs = breadcrumb(F.col("ancestorTitles"), F.col("ancestorLinks"))
