@@ -92,6 +92,15 @@ def _rdfs_can_add(axioms: DataFrame) -> bool:
     return not useful.isEmpty()
 
 
+def _axioms_can_add(axioms: DataFrame) -> tuple[bool, bool]:
+    """Both checks below in one small job over the (ontology-sized) axiom table."""
+    rdfs = (F.col("kind").isin("subPropertyOf", "domain")
+            | ((F.col("kind") == "range") & ~F.col("arg").startswith("http://www.w3.org/2001/XMLSchema#")))
+    owl = F.col("kind").isin("inverseOf", "symmetric", "transitive", "equivalentProperty", "equivalentClass")
+    row = axioms.agg(F.max(rdfs.cast("int")).alias("r"), F.max(owl.cast("int")).alias("o")).first()
+    return bool(row["r"]), bool(row["o"])
+
+
 def _owl_can_add(axioms: DataFrame) -> bool:
     """Whether the ontology declares inverse, symmetric, transitive or equivalence axioms."""
     kinds = ("inverseOf", "symmetric", "transitive", "equivalentProperty", "equivalentClass")
@@ -121,11 +130,12 @@ def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto",
     }))
     quads = graph.store_quads(store)
     g = graph.store_union(store)
-    if _rdfs_can_add(onto["prop_axioms"]):
+    rdfs_can_add, owl_can_add = _axioms_can_add(onto["prop_axioms"])
+    if rdfs_can_add:
         # INF3 materialised once; the default ontology's ranges are datatypes, so this
         # only runs for ontologies whose rules can add triples
         g = cut_lineage(inference.rdfs_rules(g, onto["prop_axioms"]))
-    if _owl_can_add(onto["prop_axioms"]):
+    if owl_can_add:
         # INF4 for custom ontologies (the built-in one declares none of these axioms)
         g = cut_lineage(inference.property_axioms(g, onto["prop_axioms"]))
     closure = transitive_closure(ancestor_edges(g))
