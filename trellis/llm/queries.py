@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chat, exact_dedup, quality, warc
+from trellis.llm import chat, exact_dedup, packing, quality, simhash, training_order, warc
 from trellis.llm.common import materialise
 from trellis.session import ship_package
 
@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = r"\### Assistant: </turn> ok"
@@ -24,6 +30,16 @@ def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(turns.unionByName(extra)))
 
 
+def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.id_digests(packing.pack(docs, _tokenizer("byte_bpe_50k.json")))
+
+
+def op6_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     stats = materialise(quality.text_stats(docs).drop("text"), "text-stats")
@@ -33,6 +49,11 @@ def op7_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", *quality.COUNTS, failed.alias("base_failed"), (~failed & rules.verdict()).alias("kept"))
 
 
+def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return training_order.sequence_digests(training_order.round_trip(docs, _tokenizer("byte_bpe_50k.json"), "epoch-0"))
+
+
 def op9_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +64,8 @@ def op10_warc_split_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_chat_prefix_targets, op7_quality_decision_list, op9_chunk_recipes, op10_warc_split_reader,
+        op2_chat_prefix_targets, op3_hilbert_packing, op6_simhash_anchor_cover, op7_quality_decision_list,
+        op8_feistel_shards, op9_chunk_recipes, op10_warc_split_reader,
     )}
 
 
