@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chat, exact_dedup, packing, quality, simhash, training_order, warc
+from trellis.llm import chat, exact_dedup, packing, quality, simhash, sitetree, toxicity, training_order, warc
 from trellis.llm.common import materialise
 from trellis.session import ship_package
 
@@ -35,6 +35,15 @@ def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.id_digests(packing.pack(docs, _tokenizer("byte_bpe_50k.json")))
 
 
+def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.main_text(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op5_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
 def op6_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -64,7 +73,7 @@ def op10_warc_split_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_chat_prefix_targets, op3_hilbert_packing, op6_simhash_anchor_cover, op7_quality_decision_list,
+        op2_chat_prefix_targets, op3_hilbert_packing, op4_site_style_tree, op5_string_kernel_toxicity, op6_simhash_anchor_cover, op7_quality_decision_list,
         op8_feistel_shards, op9_chunk_recipes, op10_warc_split_reader,
     )}
 
