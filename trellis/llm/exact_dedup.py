@@ -98,6 +98,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows whose text another row repeats under a larger id."""
-    dropped = exact_groups(df, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__dropped"))
-    return df.join(dropped.distinct(), F.col(id_col) == F.col("__dropped"), "left_anti")
+    """``df`` without the rows whose text another row repeats under a larger id. Rows that share an id stay
+    together if one of them stays."""
+    groups = exact_groups(df, id_col, text_col).groupBy("doc_id").agg(F.bool_or("kept").alias("any"))
+    dropped = groups.filter("not any").select(F.col("doc_id").alias("__dropped"))
+    return df.join(dropped, F.col(id_col).eqNullSafe(F.col("__dropped")), "left_anti")

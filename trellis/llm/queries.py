@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chat, exact_dedup, packing, quality, simhash, sitetree, toxicity, training_order, warc
+from trellis.llm import chat, exact_dedup, lattice, packing, quality, simhash, sitetree, toxicity, training_order, warc
 from trellis.llm.common import materialise
 from trellis.session import ship_package
 
@@ -23,6 +23,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_gumbel_topk_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.sample_segmentations(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = r"\### Assistant: </turn> ok"
@@ -73,7 +77,7 @@ def op10_warc_split_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_chat_prefix_targets, op3_hilbert_packing, op4_site_style_tree, op5_string_kernel_toxicity, op6_simhash_anchor_cover, op7_quality_decision_list,
+        op1_gumbel_topk_segmentations, op2_chat_prefix_targets, op3_hilbert_packing, op4_site_style_tree, op5_string_kernel_toxicity, op6_simhash_anchor_cover, op7_quality_decision_list,
         op8_feistel_shards, op9_chunk_recipes, op10_warc_split_reader,
     )}
 

@@ -236,6 +236,9 @@ def near_duplicates(
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``df`` with one row of each component: that of the smallest id."""
-    dropped = near_duplicates(df, id_col, text_col, **how).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return df.join(dropped.select(F.col("doc_id").alias("__dropped")).distinct(), F.col(id_col).eqNullSafe(F.col("__dropped")), "left_anti")
+    """``df`` with one document of each component: that of the smallest id. Rows that share an id stay together
+    if one of them stays."""
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    groups = near_duplicates(df, id_col, text_col, **how).groupBy("doc_id").agg(F.bool_or(stays).alias("any"))
+    dropped = groups.filter("not any").select(F.col("doc_id").alias("__dropped"))
+    return df.join(dropped, F.col(id_col).eqNullSafe(F.col("__dropped")), "left_anti")
