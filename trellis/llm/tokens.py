@@ -24,7 +24,7 @@ from trellis.llm.common import slices, texts_of
 
 _SPACE = "\t-\r\x85 \xa0  -     　"  # fixed: Unicode White_Space
 _UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-UNITS = 500_000
+UNITS = 150_000
 
 
 # The pre-tokenizer's pattern.
