@@ -24,6 +24,7 @@ from trellis.llm.common import materialise
 from trellis.llm.tokens import encoded
 
 SEQUENCE = 1024
+ROW_TOKENS = 8192  # a document's ids travel in rows of at most so many
 DIMS, BITS = 3, 16
 SEED = 0x9E3779B97F4A7C15
 
@@ -81,7 +82,8 @@ def hilbert(coords: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenized(df: DataFrame, path: str, id_col: str, text_col: str, eos: int) -> DataFrame:
-    """``doc_id, ids`` (unsigned 16-bit little-endian, end mark included), ``key`` (Hilbert)."""
+    """``doc_id, start, doc_tokens, ids, key``: the ids of each document (unsigned 16-bit little-endian, end mark
+    included) in rows of at most ``ROW_TOKENS``, with the Hilbert key of the whole document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = directions(1 << 16)
@@ -89,12 +91,19 @@ def tokenized(df: DataFrame, path: str, id_col: str, text_col: str, eos: int) ->
         for b, ids in encoded(batches, path):
             where = points([np.frombuffer(x, dtype="<u2") for x in ids], table)
             key = hilbert((where * (1 << BITS)).astype(np.int64))
+            rows = [
+                (doc, at // 2, len(x) // 2 + 1, (x + end)[at : at + 2 * ROW_TOKENS], k)
+                for doc, x, k in zip(b.column(0).to_pylist(), ids, key.tolist())
+                for at in range(0, len(x) + 2, 2 * ROW_TOKENS)
+            ]
+            cols = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x + end for x in ids], pa.binary()), pa.array(key)], names=["doc_id", "ids", "key"]
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()))],
+                names=["doc_id", "start", "doc_tokens", "ids", "key"],
             )
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, ids binary, key long"
+        run, "doc_id long, start long, doc_tokens long, ids binary, key long"
     )
 
 
@@ -132,7 +141,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
 
     Null text is an empty text (its end mark alone); repeated rows are packed each; null
     ids stay null; ties on the curve are ordered by id and ids; an empty table gives no
-    rows; other columns are ignored. A very long document streams through as one row.
+    rows; other columns are ignored. A very long document travels in many rows.
     """
     docs = materialise(tokenized(df, path, id_col, text_col, eos), "token-ids")
 
@@ -150,14 +159,14 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part, out = b.slice(i, 512), []
-                for doc, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    start, total = 0, len(ids) // 2
-                    for seq, offset, n in seqs.place(total):
+                for doc, first, total, ids in zip(*(part.column(c).to_pylist() for c in range(4))):
+                    at = 0
+                    for seq, offset, n in seqs.place(len(ids) // 2):
                         if tail and tail[0][4] != seq:
                             out += tail
                             tail = []
-                        tail.append((doc, start, n, total, seq, offset, ids[2 * start : 2 * (start + n)]))
-                        start += n
+                        tail.append((doc, first + at, n, total, seq, offset, ids[2 * at : 2 * (at + n)]))
+                        at += n
                 if out:
                     yield rows(out)
         if tail and sum(x[2] for x in tail) != size:
@@ -177,7 +186,8 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
 
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return docs.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids").select("doc_id", "ids").mapInArrow(run, PIECES)
+    ranged = docs.repartitionByRange(n, "key", "doc_id", "start").sortWithinPartitions("key", "doc_id", "start", "ids")
+    return ranged.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(run, PIECES)
 
 
 def id_digests(pieces: DataFrame) -> DataFrame:
