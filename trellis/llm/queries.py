@@ -54,7 +54,7 @@ def op6_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     stats = materialise(quality.text_stats(docs).drop("text"), "text-stats")
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
     rules = quality.learn(stats.join(labels, "doc_id"))
@@ -84,7 +84,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_PROBE = r"'\### Assistant: </turn> ok'"
+
 ORACLE: dict[str, str] = {
+    "op2_chat_prefix_targets": rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', {_PROBE} UNION ALL SELECT -7, 1, 'assistant', {_PROBE}),
+o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+  sum(length('### ') + length(role) + length(': ') + length(regexp_replace(text, '(\\*)(###|</turn>)', '\1\1\\\2', 'g')) + length('-</turn>-')) OVER w AS upto
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, max(n) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples
+FROM o GROUP BY conv_id
+""",
     "op9_chunk_recipes": f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), {_AZ}) AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

@@ -33,6 +33,7 @@ MAX_SPANS = 300_000  # distinct clean spans that reach the driver
 WITNESSES = 6  # candidate spans per toxic document
 LANDMARKS = 160
 COST, CLEAN_COST = 10_000.0, 40_000.0  # total weight of toxic and of clean spans in the machine's loss
+NO_SPAN = -10.0  # margin of a text without spans
 CACHE = 400_000
 
 _EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¡¿«»„“”‘’…–—"
@@ -139,7 +140,7 @@ def scorer(model: Model):
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             known.update(zip(part, model.margins(part).tolist()))
-        return np.array([max(map(known.__getitem__, bag), default=model.bias) for bag in bags])
+        return np.array([max(map(known.__getitem__, bag), default=NO_SPAN) for bag in bags])
 
     return score
 
@@ -223,7 +224,9 @@ def fit_spans(bags: list[list[tuple[str, float]]], clean: dict[str, int], rounds
         weight = np.array([count[s] ** 0.5 for s in positives] + list(masked.values()) + [min(clean[s], 25) ** 0.5 for s in negatives])
         for sign, total in ((1, COST), (-1, CLEAN_COST)):
             weight[y == sign] *= total / weight[y == sign].sum()
-        v, bias = svm(kernel(rows, marks) @ whiten, y, weight)
+        # one more clean row that shares nothing with any landmark: what is unknown is clean
+        x = np.vstack([kernel(rows, marks) @ whiten, np.zeros((1, whiten.shape[1]))])
+        v, bias = svm(x, np.append(y, -1.0), np.append(weight, CLEAN_COST / 4))
         model = _fold(marks, whiten @ v, bias)
         margin = model.margins(clean_spans)
         margin_of = dict(zip(clean_spans, margin)) | dict(zip(flat, model.margins(flat)))

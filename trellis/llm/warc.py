@@ -226,6 +226,7 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     response, the others revisit it. Null html is an empty payload; repeated rows of the
     smallest page_id are all responses; a null page_id revisits any other.
     """
+    pages = pages.select("page_id", "url", "html")
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     key = [F.sha1(body).alias("sha"), F.octet_length(body).alias("size"), F.xxhash64(body).alias("xx")]
     marks = materialise(pages.select("page_id", *key).distinct(), "payloads")
