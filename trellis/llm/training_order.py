@@ -1,7 +1,7 @@
 """Training-order materialisation: fixed-stride binary shards in a keyed random order.
 
-All tokens form one stream (documents by id, an end mark after each) that is cut into
-sequences of ``length`` ids. A keyed Feistel permutation with cycle-walking sends the
+All tokens form one stream (the documents as the token table holds them, an end mark
+after each) that is cut into sequences of ``length`` ids. A keyed Feistel permutation with cycle-walking sends the
 number of a sequence to its global slot, so the order is random, needs no sort key, and
 both directions can be computed anywhere. Shard s holds slots [s * per_shard,
 (s + 1) * per_shard); slot k lies at byte (k mod per_shard) * stride of its shard, so a
@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm.common import materialise, scratch_path
@@ -69,71 +69,59 @@ class Feistel:
         return self._walk(slot, True)
 
 
-def token_rows(df: DataFrame, path: str, id_col: str, text_col: str, eos: int) -> DataFrame:
-    """``doc_id, ids, n`` with the end mark."""
+def token_rows(df: DataFrame, path: str, text_col: str, eos: int) -> DataFrame:
+    """``part, inside, ids``: the tokens of each row with the end mark, the partition it was read in, and the tokens
+    before it there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = np.array([eos], dtype="<u2").tobytes()
+        end, part, inside = np.array([eos], dtype="<u2").tobytes(), TaskContext.get().partitionId(), 0
         for b, ids in encoded(batches, path):
+            n = np.array([len(x) // 2 + 1 for x in ids], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x + end for x in ids], pa.binary()), pa.array([len(x) // 2 + 1 for x in ids], pa.int64())],
-                names=["doc_id", "ids", "n"],
+                [pa.array(np.full(len(n), part, np.int32)), pa.array(inside + np.cumsum(n) - n), pa.array([x + end for x in ids], pa.binary())],
+                names=["part", "inside", "ids"],
             )
+            inside += int(n.sum())
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, ids binary, n long"
-    )
+    return df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "part int, inside long, ids binary")
 
 
-def stream_offsets(rows: DataFrame) -> tuple[DataFrame, int]:
-    """``rows`` (doc_id, ids, n) with ``at``, the tokens before it in the stream ordered by (doc_id, ids), and the total.
-
-    A distributed prefix sum: range partitions of (doc_id, crc, n) alone, a running sum in
-    each, and the totals of the partitions before it (one number per partition).
-    """
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = rows.select("doc_id", F.xxhash64("ids").alias("h"), "n", "row")
-    order = ["doc_id", "h", "row"]
-    ranged = materialise(keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "stream-keys")
-    totals = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+def stream_starts(rows: DataFrame) -> tuple[dict[int, int], int]:
+    """Tokens before each partition of ``rows`` in the stream (one number per partition), and the total."""
+    ends = rows.groupBy("part").agg(F.max(F.col("inside") + F.octet_length("ids") / 2).cast("long").alias("n")).collect()
     before, total = {}, 0
-    for p in sorted(totals):
-        before[p], total = total, total + totals[p]
-    starts = spark.createDataFrame(sorted(before.items()), "part int, before long")
-    inside = F.sum("n").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    placed = ranged.withColumn("inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(starts), "part")
-    return placed.select("row", (F.col("before") + F.col("inside")).alias("at")), total
+    for r in sorted(ends, key=lambda r: r["part"]):
+        before[r["part"]], total = total, total + r["n"]
+    return before, total
 
 
 MANIFEST = "shard long, file string, sequences long, bytes long"
 
 
 def write_shards(
-    df: DataFrame, path: str, folder: str, key: str, id_col: str = "doc_id", text_col: str = "text",
-    length: int = LENGTH, per_shard: int = PER_SHARD, eos: int = 50256,
+    df: DataFrame, path: str, folder: str, key: str, text_col: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD,
+    eos: int = 50256,
 ) -> DataFrame:
     """Write the shards of ``df`` below ``folder``; returns the manifest ``shard, file, sequences, bytes``.
 
     ``path``: a ``tokenizers`` file with ids under 65,536. The last sequence is filled up
     with ``eos``. Only files in the manifest count: names hold the task attempt, so a
-    repeated task leaves no half shard. Null text is an empty text (its end mark alone);
-    repeated rows are written each; rows with equal or null ids are ordered by content;
-    an empty table gives an empty manifest; other columns are ignored.
+    repeated task leaves no half shard. The order of documents in the stream is that of the
+    token table, which is written once; the permutation makes the sequences' order random.
+    Null text is an empty text (its end mark alone); repeated rows are written each; an
+    empty table gives an empty manifest; other columns, ids too, are ignored.
     """
-    rows = materialise(
-        token_rows(df, path, id_col, text_col, eos).withColumn("row", F.monotonically_increasing_id()), "token-rows"
-    )
-    offsets, total = stream_offsets(rows)
+    rows = materialise(token_rows(df, path, text_col, eos), "token-rows")
+    before, total = stream_starts(rows)
     n = -(-total // length)
     stride = 2 * length
     permute = Feistel(max(n, 1), key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slot_of, at_of, pieces, numbers = [], [], [], []
-            for ids, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                i, size = 0, len(ids) // 2
+            at_of, pieces, numbers = [], [], []
+            for part, inside_part, ids in zip(*(b.column(i).to_pylist() for i in range(3))):
+                i, size, at = 0, len(ids) // 2, before[part] + inside_part
                 while i < size:
                     number, inside = divmod(at + i, length)
                     take = min(size - i, length - inside)
@@ -177,7 +165,7 @@ def write_shards(
         )
 
     shards = -(-n // per_shard)
-    pieces = rows.select("row", "ids").join(offsets, "row").select("ids", "at").mapInArrow(cut, "shard long, byte long, ids binary")
+    pieces = rows.mapInArrow(cut, "shard long, byte long, ids binary")
     ranged = pieces.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard")
     return materialise(ranged.mapInArrow(write, MANIFEST), "shard-manifest")
 
