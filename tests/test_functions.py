@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions import html as H
 from trellis.functions.iri import iri_encode, iri_template, local_name
-from trellis.functions.text import first_sentence, first_words, tokens
+from trellis.functions.text import first_sentence, tokens
 
 
 def _one(spark, col, value, schema="x string"):
@@ -38,7 +38,6 @@ def test_tokens(spark):
 def test_first_sentence_and_words(spark):
     assert _one(spark, first_sentence(F.col("x")), "  Hello there. Next one") == "Hello there"
     assert _one(spark, first_sentence(F.col("x")), ". starts with a dot") is None
-    assert _one(spark, first_words(F.col("x"), 2), "one two three") == "one two"
 
 
 # ---- HTML helpers (pure per-row functions used inside Arrow tasks) -------------

@@ -46,11 +46,11 @@ def test_mention_strategies_agree_on_documents(spark, sf):
     docs = fixtures.load(spark, sf, "documents").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("artifact"), F.col("text"))
     terms = fixtures.load(spark, sf, "benchmark").select(
-        F.col("item_id").cast("string").alias("term"), fixtures.first_words(F.col("text"), 2).alias("title"))
+        F.col("item_id").cast("string").alias("term"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("title"))
     results = {}
-    for strategy in ("broadcast", "automaton", "blocking"):
+    for strategy in ("broadcast", "blocking"):
         results[strategy] = {(r["artifact"], r["term"]) for r in enrich.link_mentions(docs, terms, strategy).collect()}
-    assert results["broadcast"] == results["automaton"] == results["blocking"]
+    assert results["broadcast"] == results["blocking"]
     assert len(results["broadcast"]) > 0
 
 

@@ -8,6 +8,7 @@ close their open sibling, void elements never open, stray end tags are ignored,
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,36 +47,25 @@ class Node:
         return [c for c in self.children if isinstance(c, Node)]
 
     def text(self) -> str:
-        parts = []
-        _collect(self, parts)
+        parts, stack = [], [self]
+        while stack:
+            n = stack.pop()
+            if isinstance(n, str):
+                parts.append(n)
+                continue
+            block = n.tag in BLOCK and n is not self
+            if block:
+                parts.append(" ")
+                stack.append(" ")
+            stack.extend(reversed(n.children))
         return normalize_ws("".join(parts))
 
 
-def _collect(node, parts):
-    for c in node.children:
-        if isinstance(c, str):
-            parts.append(c)
-        else:
-            block = c.tag in BLOCK
-            if block:
-                parts.append(" ")
-            _collect(c, parts)
-            if block:
-                parts.append(" ")
+_WS_RUN = re.compile(f"[{_WS}]+")
 
 
 def normalize_ws(s: str) -> str:
-    out = []
-    space = False
-    for ch in s:
-        if ch in _WS:
-            space = True
-        else:
-            if space and out:
-                out.append(" ")
-            space = False
-            out.append(ch)
-    return "".join(out)
+    return _WS_RUN.sub(" ", s).strip(" ")
 
 
 class _Builder(HTMLParser):
@@ -85,12 +75,11 @@ class _Builder(HTMLParser):
         self.cur = self.root
         self.raw_depth = 0
 
-    def _open_tags(self):
-        n, tags = self.cur, []
-        while n is not None:
-            tags.append(n.tag)
+    def _open(self, tag):
+        n = self.cur
+        while n is not None and n.tag != tag:
             n = n.parent
-        return tags
+        return n is not None
 
     def _close_to(self, tag, stop=("table",)):
         n = self.cur
@@ -143,7 +132,7 @@ class _Builder(HTMLParser):
         if tag in VOID:
             return
         stop = ("table",) if tag not in ("table",) else ()
-        if tag == "p" and "p" not in self._open_tags():
+        if tag == "p" and not self._open("p"):
             self.cur.children.append(Node("p", self.cur))  # a stray </p> is an empty paragraph
             return
         self._close_to(tag, stop=stop)
@@ -175,20 +164,18 @@ def text_blocks(html: str | None, tags=("p", "h1", "h2", "h3", "h4", "h5", "h6")
 def blocks_of(root: Node, tags=("p", "h1", "h2", "h3", "h4", "h5", "h6")) -> list[str]:
     """:func:`text_blocks` on an already parsed document."""
     out = []
-
-    def walk(node):
-        for c in node.children:
-            if not isinstance(c, Node):
-                continue
-            if c.tag in tags:
-                t = c.text()
-                if t.strip():
-                    out.append(t.replace("\u00a0", " "))
-                    continue
-            walk(c)
-
     body = next(root.iter("body"), None)
-    walk(body if body is not None else root)
+    stack = list(reversed((body if body is not None else root).children))
+    while stack:
+        c = stack.pop()
+        if not isinstance(c, Node):
+            continue
+        if c.tag in tags:
+            t = c.text()
+            if t.strip():
+                out.append(t.replace("\u00a0", " "))
+                continue
+        stack.extend(reversed(c.children))
     return out
 
 

@@ -28,10 +28,6 @@ def first_sentence(col: Column) -> Column:
     return F.when(s == F.lit(""), F.lit(None).cast("string")).otherwise(s)
 
 
-def first_words(col: Column, n: int) -> Column:
-    return F.array_join(F.slice(F.split(col, " "), 1, n), " ")
-
-
 def iso_utc(col: Column) -> Column:
     """Timestamp as ISO-8601 text with a ``Z`` suffix (second precision)."""
     return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss'Z'")

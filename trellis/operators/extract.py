@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trellis.functions import html as H
-from trellis.session import ship_package
+from trellis.session import broadcast_if_small, cut_lineage, ship_package
 
 
 def _schema_of(df: DataFrame, cols) -> list[T.StructField]:
@@ -107,9 +107,21 @@ def table_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def number_results(df: DataFrame, query_col: str, order_cols: list[str]) -> DataFrame:
-    """EXT5: results numbered 1..n per query over an explicit order."""
-    w = Window.partitionBy(query_col).orderBy(*order_cols)
-    return df.withColumn("result_no", F.row_number().over(w))
+    """EXT5: results numbered 1..n per query over an explicit order that tells rows apart.
+
+    The keys alone are range partitioned and numbered inside their partition; the counts of
+    the partitions before it (one row per query and partition) are added, and the other
+    columns are joined back, so no task sorts a whole result set."""
+    keys = [query_col, *order_cols]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.select(*keys).repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()))
+    before = F.sum("_n").over(Window.partitionBy(query_col).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = (ranged.groupBy(query_col, "_part").agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n"))
+    inside = F.row_number().over(Window.partitionBy(query_col, "_part").orderBy(*order_cols))
+    numbered = ranged.withColumn("_inside", inside).join(broadcast_if_small(offsets), [query_col, "_part"])
+    numbered = numbered.select(*keys, (F.col("_before") + F.col("_inside")).alias("result_no"))
+    return df.join(numbered, keys)
 
 
 def bindings_map(df: DataFrame, cols: list[str]) -> DataFrame:

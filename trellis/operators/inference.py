@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trellis import vocab as V
 from trellis.operators.closure import transitive_closure
-from trellis.session import broadcast_if_small
+from trellis.session import broadcast_if_small, cut_lineage
 
 
 def ontology_frames(spark: SparkSession, ns: str = V.NS) -> dict[str, DataFrame]:
@@ -99,6 +99,19 @@ def property_axioms(triples: DataFrame, axioms: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def infer_fixpoint(triples: DataFrame, axioms: DataFrame) -> DataFrame:
+    """INF3 + INF4 until neither adds a triple. Rules only add triples over the nodes and
+    properties there are, so the rounds end; each is written to the checkpoint folder."""
+    cur = cut_lineage(triples.select("s", "p", "o", "o_kind", "o_lang").distinct())
+    n = cur.count()
+    while True:
+        cur = cut_lineage(property_axioms(cut_lineage(rdfs_rules(cur, axioms)), axioms))
+        m = cur.count()
+        if m == n:
+            return cur
+        n = m
+
+
 def expand_references(references: DataFrame, types: DataFrame, class_clo: DataFrame) -> DataFrame:
     """INF5 (opt-in): an artifact referencing an instance of class C also references
     C and every superclass of C, so a class label match scores the artifact.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trellis import vocab as V
+from trellis.functions.text import collapse_ws
 from trellis.operators.extract import html_text_and_blocks
 
 
@@ -36,7 +37,8 @@ def long_date(iso: Column) -> Column:
 
 
 def breadcrumb(titles: Column, links: Column, sep: str = V.ANCESTOR_SEPARATOR) -> Column:
-    """PRS7: ``ARRAY<STRUCT<title, link>>``, reversed; null when the lists differ in length."""
+    """PRS7: ``ARRAY<STRUCT<title, link>>`` from the root down (the lists run from the nearest
+    ancestor up); null when the lists differ in length."""
     t = F.split(titles, sep, -1)
     lk = F.split(links, sep, -1)
     z = F.reverse(F.arrays_zip(t.alias("title"), lk.alias("link")))
@@ -54,7 +56,11 @@ def present(results: DataFrame, snippet_chars: int = V.SNIPPET_CHARS, blocks: in
     """Adds display columns to search results (keeps every input column)."""
     src = source_system(F.col("types"))
     df = results.withColumn("source", src).withColumn("_html", F.coalesce("content", F.lit("")))
-    df = html_text_and_blocks(df, "_html", "_plain", "_blocks")  # one parse per result
+    # only texts with a tag or a possible character reference go through the parser (one parse per result)
+    markup = F.col("_html").rlike("<|&[#A-Za-z]")
+    parsed = html_text_and_blocks(df.where(markup), "_html", "_plain", "_blocks")
+    plain = df.where(~markup).withColumn("_plain", collapse_ws(F.col("_html"))).withColumn("_blocks", F.array().cast("array<string>"))
+    df = parsed.unionByName(plain)
     block_snip = F.array_join(F.slice(F.col("_blocks"), 1, blocks), V.BLOCK_SEPARATOR)
     raw = F.when(F.col("source") == "Confluence", block_snip).otherwise(F.col("_plain"))
     crumbs = breadcrumb(F.col("ancestorTitles"), F.col("ancestorLinks"))
@@ -66,5 +72,6 @@ def present(results: DataFrame, snippet_chars: int = V.SNIPPET_CHARS, blocks: in
         .withColumn("dateLine", date_line(F.col("creationTime"), F.col("lastUpdateTime")))
         .withColumn("breadcrumb", crumbs)
         .withColumn("breadcrumbText", F.array_join(F.transform(crumbs, lambda x: x["title"]), V.BREADCRUMB_SEPARATOR))
+        .withColumn("breadcrumbLinks", F.array_join(F.transform(crumbs, lambda x: x["link"]), V.BREADCRUMB_SEPARATOR))
         .drop("_html", "_blocks", "_plain")
     )

@@ -50,7 +50,7 @@ def content_dictionary(g: DataFrame) -> DataFrame:
 def entity_view(g: DataFrame, closure: DataFrame, types: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """Per node: link (required), optional single-valued properties (multi-valued
     ones multiply rows, as OPTIONAL does), type local names (required, inferred
-    included), and the titles/links of transitive ancestors having both."""
+    included), and (depth, title, link) of the transitive ancestors that have both."""
     props = graph.entity_table(
         g,
         {"link": V.LINK, "title": V.TITLE, "content": V.CONTENT, "email": V.EMAIL,
@@ -61,13 +61,13 @@ def entity_view(g: DataFrame, closure: DataFrame, types: DataFrame, contents: Da
     a_title = graph.values_of(g, V.TITLE, "a_title")
     a_link = graph.values_of(g, V.LINK, "a_link")
     anc = (
-        closure.select(F.col("desc").alias("s"), F.col("anc"))
+        closure.select(F.col("desc").alias("s"), "anc", "depth")
         .join(a_title.withColumnRenamed("s", "anc"), "anc")
         .join(a_link.withColumnRenamed("s", "anc"), "anc")
         .groupBy("s")
-        .agg(F.collect_set("a_title").alias("anc_titles"), F.collect_set("a_link").alias("anc_links"))
+        .agg(F.collect_set(F.struct("depth", F.col("a_title").alias("title"), F.col("a_link").alias("link"))).alias("ancestors"))
     )
-    empty = F.array().cast("array<string>")
+    empty = F.array().cast("array<struct<depth:int,title:string,link:string>>")
     if contents is not None:
         props = props.join(contents, "content", "left").drop("content")
     content_col = "content_id" if contents is not None else "content"
@@ -75,7 +75,7 @@ def entity_view(g: DataFrame, closure: DataFrame, types: DataFrame, contents: Da
         props.join(tnames, "s")
         .join(anc, "s", "left")
         .select("s", "link", "title", content_col, "email", "creationTime", "lastUpdateTime", "types_arr",
-                F.coalesce("anc_titles", empty).alias("anc_titles"), F.coalesce("anc_links", empty).alias("anc_links"))
+                F.coalesce("ancestors", empty).alias("ancestors"))
     )
 
 
@@ -83,15 +83,6 @@ def knowledge_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.map_entities(fixtures.entity_frames(spark, sf_dir))
 
 
-def _rdfs_can_add(axioms: DataFrame) -> bool:
-    """Whether the ontology's property axioms can add triples at all: sub-property and
-    domain rules always can; range rules only with a class (not a datatype) range.
-    The axiom table is ontology-sized."""
-    useful = axioms.where(F.col("kind").isin("subPropertyOf", "domain")
-                          | ((F.col("kind") == "range") & ~F.col("arg").startswith("http://www.w3.org/2001/XMLSchema#")))
-    return not useful.isEmpty()
-
-
 def _axioms_can_add(axioms: DataFrame) -> tuple[bool, bool]:
     """Both checks below in one small job over the (ontology-sized) axiom table."""
     rdfs = (F.col("kind").isin("subPropertyOf", "domain")
@@ -101,24 +92,33 @@ def _axioms_can_add(axioms: DataFrame) -> tuple[bool, bool]:
     return bool(row["r"]), bool(row["o"])
 
 
-def _owl_can_add(axioms: DataFrame) -> bool:
-    """Whether the ontology declares inverse, symmetric, transitive or equivalence axioms."""
-    kinds = ("inverseOf", "symmetric", "transitive", "equivalentProperty", "equivalentClass")
-    return not axioms.where(F.col("kind").isin(*kinds)).isEmpty()
+def materialise_index(index: TextIndex) -> TextIndex:
+    """All four index tables written once; searches tokenise nothing again."""
+    index.entries, index.postings = cut_lineage(index.entries), cut_lineage(index.postings)
+    index.term_df, index.index_stats = cut_lineage(index.term_df), cut_lineage(index.index_stats)
+    return index
+
+
+def build(spark: SparkSession, sf_dir: str, **how) -> KnowledgeBuild:
+    """:func:`build_graph` over the driver tables (entities and terms of ``plans/fixtures.py``)."""
+    return build_graph(spark, fixtures.entity_frames(spark, sf_dir), fixtures.term_frame(spark, sf_dir), **how)
+
 
+def build_graph(spark: SparkSession, entities: dict[str, DataFrame], terms: DataFrame, mention_strategy: str = "auto",
+                index_fields: dict[str, str] | None = None, expand_references: bool = False,
+                ontology: dict[str, DataFrame] | None = None) -> KnowledgeBuild:
+    """The build from any source. ``entities``: unified frames by label (as ``plans.raw.unified``
+    gives, scalars); ``terms``: ``(s, title)`` of the content graph.
 
-def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto",
-          index_fields: dict[str, str] | None = None, expand_references: bool = False,
-          ontology: dict[str, DataFrame] | None = None) -> KnowledgeBuild:
-    """``ontology``: frames from :func:`trellis.sources.ontology.read_ontology` (class
+    ``ontology``: frames from :func:`trellis.sources.ontology.read_ontology` (class
     edges, labels, property axioms); the built-in ontology when omitted.
     ``expand_references`` (INF5, opt-in): an artifact referencing an instance of a
     class also references that class and its superclasses, so class labels score it."""
     # mapped once: both mention linking and the store read it
-    knowledge = cut_lineage(knowledge_triples(spark, sf_dir))
+    knowledge = cut_lineage(mapping.map_entities(entities))
     onto = ontology or inference.ontology_frames(spark)
     ontology = inference.ontology_triples(onto)
-    content = fixtures.term_triples(fixtures.term_frame(spark, sf_dir))
+    content = fixtures.term_triples(terms)
     links = enrich.link_mentions(
         enrich.artifacts_from_graph(knowledge), enrich.terms_from_graph(content), strategy=mention_strategy)
     reference = enrich.mention_triples(links)
@@ -131,13 +131,9 @@ def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto",
     quads = graph.store_quads(store)
     g = graph.store_union(store)
     rdfs_can_add, owl_can_add = _axioms_can_add(onto["prop_axioms"])
-    if rdfs_can_add:
-        # INF3 materialised once; the default ontology's ranges are datatypes, so this
-        # only runs for ontologies whose rules can add triples
-        g = cut_lineage(inference.rdfs_rules(g, onto["prop_axioms"]))
-    if owl_can_add:
-        # INF4 for custom ontologies (the built-in one declares none of these axioms)
-        g = cut_lineage(inference.property_axioms(g, onto["prop_axioms"]))
+    if rdfs_can_add or owl_can_add:
+        # INF3 + INF4 only for ontologies whose rules can add triples (the built-in one has datatype ranges alone)
+        g = inference.infer_fixpoint(g, onto["prop_axioms"])
     closure = transitive_closure(ancestor_edges(g))
     direct = g.where(F.col("p") == V.RDF_TYPE).select("s", F.col("o").alias("cls"))
     class_clo = inference.class_closure(onto["class_edges"])
@@ -147,8 +143,7 @@ def build(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto",
     refs = g.where(F.col("p") == V.REFERENCE).select("s", "o")
     if expand_references:
         refs = cut_lineage(inference.expand_references(refs, direct, class_clo))
-    index = build_index(g, index_fields)
-    index.postings = cut_lineage(index.postings)
+    index = materialise_index(build_index(g, index_fields))
     return KnowledgeBuild(quads, closure, types, entities, refs, index, contents, g)
 
 
@@ -163,14 +158,27 @@ def _input_stamp(spark: SparkSession, sf_dir: str) -> tuple:
     return tuple(sorted((st.getPath().getName(), st.getLen(), st.getModificationTime()) for st in fs.listStatus(path)))
 
 
+FULL_FIELDS = {"title": V.TITLE, "label": V.RDFS_LABEL, "content": V.CONTENT}
+_FULL: dict = {}
+
+
+def full_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """IDX5: index of title, label and whole content over the cached build, made once."""
+    b = build_cached(spark, sf_dir)
+    if id(b) not in _FULL:
+        _FULL.clear()
+        _FULL[id(b)] = (b, materialise_index(build_index(b.graph, FULL_FIELDS)))
+    return _FULL[id(b)][1]
+
+
 def build_cached(spark: SparkSession, sf_dir: str, mention_strategy: str = "auto") -> KnowledgeBuild:
     """The store is built once and searched many times: reuse a build of the same
     application over unchanged inputs (its tables live in the checkpoint folder)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), mention_strategy, _input_stamp(spark, sf_dir))
     b = _BUILDS.get(key)
     if b is None:
-        b = build(spark, sf_dir, mention_strategy)
-        _BUILDS[key] = b
+        _BUILDS.clear()  # one build at a time
+        b = _BUILDS[key] = build(spark, sf_dir, mention_strategy=mention_strategy)
     return b
 
 
@@ -178,16 +186,16 @@ def persist_build(b: KnowledgeBuild, path: str) -> KnowledgeBuild:
     """Write every build output once and return a build that reads them back."""
     from trellis.operators.index import read_index, write_index
     spark = b.quads.sparkSession
-    b.quads.write.mode("overwrite").partitionBy("g").parquet(f"{path}/quads")
-    b.closure.write.mode("overwrite").parquet(f"{path}/closure")
-    b.types.write.mode("overwrite").parquet(f"{path}/types")
-    b.entities.write.mode("overwrite").parquet(f"{path}/entities")
-    b.references.write.mode("overwrite").parquet(f"{path}/references")
+    b.quads.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("g").parquet(f"{path}/quads")
+    b.closure.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/closure")
+    b.types.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/types")
+    b.entities.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/entities")
+    b.references.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/references")
     write_index(b.index, f"{path}/index")
     if b.contents is not None:
-        b.contents.write.mode("overwrite").parquet(f"{path}/contents")
+        b.contents.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/contents")
     if b.graph is not None:
-        b.graph.write.mode("overwrite").parquet(f"{path}/graph")
+        b.graph.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/graph")
     r = spark.read
     return KnowledgeBuild(r.parquet(f"{path}/quads"), r.parquet(f"{path}/closure"), r.parquet(f"{path}/types"),
                           r.parquet(f"{path}/entities"), r.parquet(f"{path}/references"),

@@ -46,21 +46,19 @@ def result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRH1/SRH2 alone: per (search, entry) BM25 score over the store's index."""
-    idx = B.build_cached(spark, sf_dir).index
+    """SRH1/SRH2 alone: per (search, entry) BM25 score over title, label and whole content (IDX5)."""
+    idx = B.full_index(spark, sf_dir)
     m = search.text_match(idx, fixtures.searches_frame(spark, sf_dir))
-    ent = idx.entries.select("entry_id", "s", "value")
-    # matched rows are far fewer than entries: broadcast them (measured), scan the entries
-    return broadcast_if_small(m).join(ent, ["entry_id", "s"]).select("query_id", "s", "field", "value", _round("score"))
+    ent = idx.entries.select("entry_id", "s", F.md5(F.col("value").cast("binary")).alias("value_md5"))
+    return m.join(ent, ["entry_id", "s"]).select("query_id", "s", "field", "value_md5", _round("score"))
 
 
 def clause_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRH1-SRH3: BM25 matches under must / must-not / prefix / phrase clauses."""
-    idx = B.build_cached(spark, sf_dir).index
+    idx = B.full_index(spark, sf_dir)
     m = search.text_match(idx, fixtures.clause_searches_frame(spark, sf_dir))
-    ent = idx.entries.select("entry_id", "s", "value")
-    # matched rows are far fewer than entries: broadcast them (measured), scan the entries
-    return broadcast_if_small(m).join(ent, ["entry_id", "s"]).select("query_id", "s", "field", "value", _round("score"))
+    ent = idx.entries.select("entry_id", "s", F.md5(F.col("value").cast("binary")).alias("value_md5"))
+    return m.join(ent, ["entry_id", "s"]).select("query_id", "s", "field", "value_md5", _round("score"))
 
 
 def search_present(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +68,7 @@ def search_present(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = search.search_build(b, fixtures.searches_frame(spark, sf_dir))
     p = present(res)
     return p.select("query_id", "link", "displayTitle", "source", "snippet", "dateLine", "breadcrumbText",
-                    _round("totalScore"))
+                    "breadcrumbLinks", _round("totalScore"))
 
 
 def content_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +108,7 @@ def entity_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = b.entities.join(b.contents, "content_id", "left")
     return e.select("s", "link", "title", "content", "email", "creationTime", "lastUpdateTime",
                     F.array_join(F.array_sort("types_arr"), V.TYPES_SEPARATOR).alias("types"),
-                    F.array_join(F.array_sort("anc_titles"), V.ANCESTOR_SEPARATOR).alias("ancestorTitles"))
+                    F.array_join(F.transform(F.array_sort("ancestors"), lambda x: x["title"]), V.ANCESTOR_SEPARATOR).alias("ancestorTitles"))
 
 
 def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,14 +144,13 @@ def mention_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.build_cached(spark, sf_dir)
-    cf = b.index.postings.groupBy("field", "term").agg(F.sum("tf").cast("bigint").alias("cf"))
-    return b.index.term_df.join(cf, ["field", "term"]).select("field", "term", F.col("df").cast("bigint").alias("df"), "cf")
+    idx = B.full_index(spark, sf_dir)
+    cf = idx.postings.groupBy("field", "term").agg(F.sum("tf").cast("bigint").alias("cf"))
+    return idx.term_df.join(cf, ["field", "term"]).select("field", "term", F.col("df").cast("bigint").alias("df"), "cf")
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = B.build_cached(spark, sf_dir)
-    return b.index.index_stats.select("field", F.col("n_docs").cast("bigint").alias("n_docs"), _round("avg_dl"))
+    return B.full_index(spark, sf_dir).index_stats.select("field", F.col("n_docs").cast("bigint").alias("n_docs"), _round("avg_dl"))
 
 
 # ---------------------------------------------------------------- HTML
@@ -166,11 +163,12 @@ def html_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visible text of raw web pages, cut to a 300-character snippet."""
+    """Visible text of raw web pages: its length, digest and 300-character snippet."""
     pages = fixtures.load(spark, sf_dir, "pages").select("page_id", "html")
     t = extract.html_text(pages, "html", "text").drop("html")
     from trellis.operators.present import snippet
-    return t.select("page_id", F.length("text").cast("bigint").alias("n_chars"), snippet(F.col("text")).alias("snippet"))
+    return t.select("page_id", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"),
+                    snippet(F.col("text")).alias("snippet"))
 
 
 # ---------------------------------------------------------------- raw JSON side
@@ -234,6 +232,52 @@ def ntriples_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         F.sum(F.length("o")).cast("bigint").alias("chars"))
 
 
+def landed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain from landed JSON responses: complete chains -> items -> normalised -> unified ->
+    mapped -> linked -> indexed -> searched."""
+    from trellis.operators.unify import scalars
+    from trellis.plans import raw, raw_fixtures
+    frames, _status = raw.unified(raw_fixtures.landed(spark, sf_dir))
+    b = B.build_graph(spark, {label: scalars(df) for label, df in frames.items()}, fixtures.term_frame(spark, sf_dir))
+    res = search.search_build(b, fixtures.searches_frame(spark, sf_dir))
+    return res.select(*[c for c in search.RESULT_COLUMNS if c != "totalScore"], _round("totalScore"))
+
+
+def ontology_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INF3 + INF4: customers and suppliers in nations in regions under a transitive property with an
+    equivalent, an inverse and a super-property with a domain, and two equivalent classes."""
+    k = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    iri = lambda df, s, p, o: df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"),
+                                        F.lit(None).cast("string").alias("o_lang"))
+    C, S, N = (fixtures.load(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    triples = (
+        iri(C, k("customer_", "c_custkey"), "partOf", k("nation_", "c_nationkey"))
+        .unionByName(iri(S, k("supplier_", "s_suppkey"), "within", k("nation_", "s_nationkey")))
+        .unionByName(iri(N, k("nation_", "n_nationkey"), "within", k("region_", "n_regionkey")))
+        .unionByName(iri(C, k("customer_", "c_custkey"), V.RDF_TYPE, F.lit("Customer")))
+    )
+    axioms = spark.createDataFrame(
+        [("partOf", "transitive", None), ("partOf", "equivalentProperty", "within"), ("hasPart", "inverseOf", "partOf"),
+         ("partOf", "subPropertyOf", "relatedTo"), ("relatedTo", "domain", "Part"), ("Customer", "equivalentClass", "Client")],
+        "p string, kind string, arg string")
+    return inference.infer_fixpoint(triples, axioms).select("s", "p", "o")
+
+
+def html_rendered_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXT1 on known text: every document rendered into one of three HTML shapes, extracted again."""
+    t = F.col("text")
+    for raw, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;")):
+        t = F.replace(t, F.lit(raw), F.lit(ref))
+    head = F.lit("<html><head><style>p{margin:0}</style><script>if (a<b) x('</p>')</script></head><body><!-- no -->")
+    shape = lambda a, b: F.concat(head, F.lit(a), t, F.lit(b))
+    html = (F.when(F.col("doc_id") % 3 == 0, shape("<p>", "<p></body></html>"))
+            .when(F.col("doc_id") % 3 == 1, shape("<div><ul><li><b>", "</b></ul></div>"))
+            .otherwise(shape("<table><tr><th><td>", "</table><br>")))
+    docs = fixtures.load(spark, sf_dir, "documents").select("doc_id", html.alias("html"))
+    out = extract.html_text(docs, "html", "text")
+    return out.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def ontology_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC4 in the loop: the ontology written as RDF/XML to the shared folder, read back
     with Spark's XML source, and used for type inference over the mapped entities."""
@@ -266,6 +310,9 @@ def queries() -> dict:
         "index_stats": index_stats,
         "html_table_rows": html_table_rows,
         "html_page_text": html_page_text,
+        "html_rendered_text": html_rendered_text,
+        "landed_search": landed_search,
+        "ontology_fixpoint": ontology_fixpoint,
         "clause_search": clause_search,
         "search_present": search_present,
         "content_terms": content_terms,
@@ -297,8 +344,8 @@ def oracle_sql() -> dict:
             f"class_edges AS ({O._class_edges})", f"og AS ({O.ONTOLOGY_SQL})", f"cg AS ({O.CONTENT_SQL})",
             "ug AS (SELECT DISTINCT s, p, o, o_kind, o_lang FROM (SELECT * FROM kg UNION ALL SELECT * FROM og "
             "UNION ALL SELECT * FROM cg))",
-            I, S.split("refs AS")[0].rstrip().rstrip(","),
-            body="SELECT query_id, s, field, value, round(score, 6) AS score FROM matched"),
+            O.FULL_INDEX_CTES, S.split("refs AS")[0].rstrip().rstrip(","),
+            body="SELECT query_id, s, field, md5(value) AS value_md5, round(score, 6) AS score FROM matched"),
         "entity_triples": O.with_ctes(f"ent AS ({O.ENTITIES_SQL})", body=O.KNOWLEDGE_SQL),
         "union_graph": O.with_ctes(G, body=(
             "SELECT u.p, u.n_triples, u.n_subjects, q.n_quads FROM "
@@ -308,7 +355,7 @@ def oracle_sql() -> dict:
         "entity_star": O.with_ctes(G, I, S, body=(
             "SELECT p.s, p.link, p.title, p.content, p.email, p.creationTime, p.lastUpdateTime, "
             f"array_to_string(list_sort(list_distinct(list(tn.tname))), {O.q(V.TYPES_SEPARATOR)}) AS types, "
-            f"coalesce(array_to_string(list_sort(list_distinct(list(ap.a_title))), {O.q(V.ANCESTOR_SEPARATOR)}), '') AS ancestorTitles "
+            f"{O.ancestors('t')} AS ancestorTitles "
             "FROM props p JOIN type_names tn ON tn.s = p.s LEFT JOIN anc_pairs ap ON ap.s = p.s "
             "GROUP BY p.s, p.link, p.title, p.content, p.email, p.creationTime, p.lastUpdateTime")),
         "ancestor_closure": (
@@ -326,17 +373,24 @@ def oracle_sql() -> dict:
             f"ent AS ({O.ENTITIES_SQL})", f"kg AS ({O.KNOWLEDGE_SQL})", f"cg AS ({O.CONTENT_SQL})",
             f"artifacts AS ({O.ARTIFACTS_SQL})", f"links AS ({O.LINKS_SQL})",
             body="SELECT artifact, term FROM links"),
-        "term_stats": O.with_ctes(G, I, body=(
+        "term_stats": O.with_ctes(G, O.FULL_INDEX_CTES, body=(
             "SELECT d.field, d.term, d.df, c.cf FROM term_df d JOIN "
             "(SELECT field, term, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY field, term) c USING (field, term)")),
-        "index_stats": O.with_ctes(G, I, body="SELECT field, n_docs, round(avg_dl, 6) AS avg_dl FROM stats"),
+        "index_stats": O.with_ctes(G, O.FULL_INDEX_CTES, body="SELECT field, n_docs, round(avg_dl, 6) AS avg_dl FROM stats"),
         "search_present": O.with_ctes(G, I, S, body=O.PRESENT_BODY),
-        "clause_search": O.with_ctes(G, I, O.CLAUSE_CTES, body=(
-            "SELECT query_id, s, field, value, round(score, 6) AS score FROM clause_matched")),
+        "clause_search": O.with_ctes(G, O.FULL_INDEX_CTES, O.CLAUSE_CTES, body=(
+            "SELECT query_id, s, field, md5(value) AS value_md5, round(score, 6) AS score FROM clause_matched")),
         "content_terms": (
             f"SELECT DISTINCT {O.q(V.NS + 'cust_row_')} || CAST(c_custkey AS VARCHAR) AS s, {O.q(V.TITLE)} AS p, "
             "c_name AS o, 'literal' AS o_kind, NULL::VARCHAR AS o_lang FROM customer"),
         "raw_unified": O.RAW_UNIFIED_SQL,
+        "landed_search": O.with_ctes(G.replace(f"ent AS ({O.ENTITIES_SQL})", f"ent AS ({O.RAW_UNIFIED_SQL})"), I, S, body=(
+            "SELECT query_id, link, title, content, email, creationTime, lastUpdateTime, types, ancestorTitles, "
+            "ancestorLinks, round(totalScore, 6) AS totalScore FROM results")),
+        "ontology_fixpoint": O.ONTOLOGY_FIXPOINT_SQL,
+        "html_rendered_text": (
+            "SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, "
+            "trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')) AS t FROM documents)"),
         "snapshot_counts": O.SNAPSHOT_COUNTS_SQL,
         "landed_roundtrip": O.LANDED_ITEMS_SQL,
         "ntriples_roundtrip": O.with_ctes(f"ent AS ({O.ENTITIES_SQL})", f"kg AS ({O.KNOWLEDGE_SQL})", body=(

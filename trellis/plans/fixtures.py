@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis import vocab as V
-from trellis.functions.text import first_sentence, first_words, iso_utc
+from trellis.functions.text import first_sentence, iso_utc
 
 BASE = "http://example.org/"
 
@@ -114,10 +114,12 @@ def entity_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def term_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content-graph terms: ``(s, title)``, title = first two words of a benchmark item."""
-    b = load(spark, sf_dir, "benchmark")
-    return b.select(F.concat(F.lit(V.NS + "term_"), F.col("item_id").cast("string")).alias("s"),
-                    first_words(F.col("text"), 2).alias("title"))
+    """Content-graph terms: ``(s, title)``, the whole text of every benchmark item and the market segments."""
+    b = load(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit(V.NS + "term_"), F.col("item_id").cast("string")).alias("s"), F.col("text").alias("title"))
+    seg = load(spark, sf_dir, "customer").select(
+        F.concat(F.lit(V.NS + "segment_"), F.lower("c_mktsegment")).alias("s"), F.col("c_mktsegment").alias("title")).distinct()
+    return b.unionByName(seg)
 
 
 def term_triples(terms: DataFrame) -> DataFrame:
@@ -127,9 +129,9 @@ def term_triples(terms: DataFrame) -> DataFrame:
 
 def searches_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch of keyword searches derived from the data: one per benchmark item (its
-    first two words) and one per nation (nation and region name)."""
+    whole text) and one per nation (nation and region name)."""
     b = load(spark, sf_dir, "benchmark").select(
-        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), first_words(F.col("text"), 2).alias("text"))
+        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), "text")
     n = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("query_id"),
         F.concat_ws(" ", "n_name", "r_name").alias("text"))
@@ -139,14 +141,22 @@ def searches_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clause_searches_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches with structured clauses (SRH3), one per region: its name as text, the
     word prefix ``cust``, ``must`` = customer for one-word names, ``must_not`` = the
-    customer number token equal to the region key, the name as a phrase for two-word names."""
+    customer number token equal to the region key, the name as a phrase for two-word names.
+    Two more per region have clauses alone: the words of its name as ``must``, and its name
+    as a phrase."""
     r = load(spark, sf_dir, "region")
     key9 = F.lpad(F.col("r_regionkey").cast("string"), 9, "0")
-    return r.select(
+    none = F.array().cast("array<string>")
+    only = lambda kind, must, phrase: r.select(
+        F.concat(F.lit(kind), F.col("r_regionkey").cast("string")).alias("query_id"), F.lit("").alias("text"),
+        none.alias("prefix"), must.alias("must"), none.alias("must_not"), phrase.alias("phrase"))
+    null = F.lit(None).cast("string")
+    clauses_only = only("m", F.split("r_name", " "), null).unionByName(only("p", none, F.col("r_name")))
+    return clauses_only.unionByName(r.select(
         F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("query_id"),
         F.col("r_name").alias("text"),
         F.array(F.lit("cust")).alias("prefix"),
         F.when(~F.col("r_name").contains(" "), F.array(F.lit("customer"))).otherwise(F.array().cast("array<string>")).alias("must"),
         F.array(key9).alias("must_not"),
         F.when(F.col("r_name").contains(" "), F.col("r_name")).alias("phrase"),
-    )
+    ))

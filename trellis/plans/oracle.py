@@ -34,10 +34,6 @@ def first_sentence(expr: str) -> str:
     return f"nullif(trim(regexp_extract({expr}, '^([^.!?\\n]*)', 1)), '')"
 
 
-def first_words(expr: str, n: int) -> str:
-    return f"array_to_string(string_split({expr}, ' ')[1:{n}], ' ')"
-
-
 def tokens(expr: str) -> str:
     return f"regexp_extract_all(lower({expr}), {q(TOKEN_PATTERN_RE2)})"
 
@@ -109,8 +105,9 @@ _labels = " UNION ALL ".join(
 ONTOLOGY_SQL = (f"SELECT sub AS s, {q(V.RDFS_SUBCLASS)} AS p, sup AS o, 'iri' AS o_kind, NULL::VARCHAR AS o_lang "
                 f"FROM class_edges UNION ALL {_labels}")
 
-CONTENT_SQL = (f"SELECT {q(NS + 'term_')} || {_s('item_id')} AS s, {q(V.TITLE)} AS p, {first_words('text', 2)} AS o, "
-               "'literal' AS o_kind, NULL::VARCHAR AS o_lang FROM benchmark")
+CONTENT_SQL = (f"SELECT {q(NS + 'term_')} || {_s('item_id')} AS s, {q(V.TITLE)} AS p, text AS o, "
+               "'literal' AS o_kind, NULL::VARCHAR AS o_lang FROM benchmark UNION ALL "
+               f"SELECT DISTINCT {q(NS + 'segment_')} || lower(c_mktsegment), {q(V.TITLE)}, c_mktsegment, 'literal', NULL::VARCHAR FROM customer")
 
 ARTIFACTS_SQL = f"""
 SELECT t.s AS artifact,
@@ -142,10 +139,11 @@ quads AS (SELECT DISTINCT * FROM (
     UNION ALL SELECT 'content', * FROM cg UNION ALL SELECT 'reference', * FROM rg)),
 ug AS (SELECT DISTINCT s, p, o, o_kind, o_lang FROM quads),
 edges AS (SELECT DISTINCT s AS child, o AS parent FROM ug WHERE p = {q(V.ANCESTOR)}),
-closure AS (
-    SELECT child AS "desc", parent AS anc FROM edges
+paths AS (
+    SELECT child AS "desc", parent AS anc, 1 AS depth FROM edges
     UNION
-    SELECT c."desc", e.parent FROM closure c JOIN edges e ON c.anc = e.child),
+    SELECT c."desc", e.parent, c.depth + 1 FROM paths c JOIN edges e ON c.anc = e.child),
+closure AS (SELECT "desc", anc, min(depth) AS depth FROM paths GROUP BY "desc", anc),
 class_clo AS (
     SELECT sub, sup FROM class_edges
     UNION
@@ -174,9 +172,21 @@ postings AS (
     JOIN stats st ON st.field = tf.field)
 """
 
+FULL_INDEX_CTES = INDEX_CTES.replace(
+    f"CASE p WHEN {q(V.TITLE)} THEN 'title' ELSE 'label' END",
+    f"CASE p WHEN {q(V.TITLE)} THEN 'title' WHEN {q(V.CONTENT)} THEN 'content' ELSE 'label' END",
+).replace(f"p IN ({q(V.TITLE)}, {q(V.RDFS_LABEL)})", f"p IN ({q(V.TITLE)}, {q(V.RDFS_LABEL)}, {q(V.CONTENT)})")
+
+
+def ancestors(part: str) -> str:
+    """Titles (t) or links (l) of a group's ancestors, nearest first."""
+    pairs = "list_sort(list_distinct(list({'d': ap.depth, 't': ap.a_title, 'l': ap.a_link}) FILTER (ap.s IS NOT NULL)))"
+    return f"coalesce(array_to_string(list_transform({pairs}, lambda x: x.{part}), {q(V.ANCESTOR_SEPARATOR)}), '')"
+
+
 SEARCH_CTES = f"""
 searches AS (
-    SELECT 'b' || {_s('item_id')} AS query_id, {first_words('text', 2)} AS text FROM benchmark
+    SELECT 'b' || {_s('item_id')} AS query_id, text FROM benchmark
     UNION ALL
     SELECT 'n' || {_s('n_nationkey')}, n_name || ' ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
 qterms AS (SELECT query_id, term, count(*) AS qtf
@@ -211,15 +221,15 @@ props AS (
     LEFT JOIN (SELECT s, o FROM pv WHERE p = {q(V.LAST_UPDATE_TIME)}) ut ON ut.s = l.s),
 type_names AS (SELECT DISTINCT s, CASE WHEN contains(cls, '#') THEN regexp_extract(cls, '#([^#]*)$', 1) ELSE '' END AS tname FROM types),
 anc_pairs AS (
-    SELECT k."desc" AS s, t.o AS a_title, l.o AS a_link
+    SELECT k."desc" AS s, k.depth, t.o AS a_title, l.o AS a_link
     FROM closure k
     JOIN (SELECT s, o FROM pv WHERE p = {q(V.TITLE)}) t ON t.s = k.anc
     JOIN (SELECT s, o FROM pv WHERE p = {q(V.LINK)}) l ON l.s = k.anc),
 results AS (
     SELECT x.query_id, x.link, x.title, x.content, x.email, x.creationTime, x.lastUpdateTime,
            array_to_string(list_sort(list_distinct(list(tn.tname))), {q(V.TYPES_SEPARATOR)}) AS types,
-           coalesce(array_to_string(list_sort(list_distinct(list(ap.a_title))), {q(V.ANCESTOR_SEPARATOR)}), '') AS ancestorTitles,
-           coalesce(array_to_string(list_sort(list_distinct(list(ap.a_link))), {q(V.ANCESTOR_SEPARATOR)}), '') AS ancestorLinks,
+           {ancestors('t')} AS ancestorTitles,
+           {ancestors('l')} AS ancestorLinks,
            x.totalScore
     FROM (SELECT t.query_id, t.s, t.totalScore, p.link, p.title, p.content, p.email, p.creationTime, p.lastUpdateTime
           FROM totals t JOIN props p ON p.s = t.s
@@ -302,6 +312,9 @@ SELECT query_id, link,
        CASE WHEN len(string_split(ancestorTitles, '///')) = len(string_split(ancestorLinks, '///'))
             THEN array_to_string(list_reverse(string_split(ancestorTitles, '///')), {q(V.BREADCRUMB_SEPARATOR)}) END
          AS breadcrumbText,
+       CASE WHEN len(string_split(ancestorTitles, '///')) = len(string_split(ancestorLinks, '///'))
+            THEN array_to_string(list_reverse(string_split(ancestorLinks, '///')), {q(V.BREADCRUMB_SEPARATOR)}) END
+         AS breadcrumbLinks,
        round(totalScore, 6) AS totalScore
 FROM (
   SELECT *,
@@ -321,13 +334,19 @@ csearch AS (
            CASE WHEN NOT contains(r_name, ' ') THEN ['customer'] ELSE []::VARCHAR[] END AS must,
            [lpad(CAST(r_regionkey AS VARCHAR), 9, '0')] AS must_not,
            CASE WHEN contains(r_name, ' ') THEN r_name END AS phrase
-    FROM region),
+    FROM region
+    UNION ALL SELECT 'm' || CAST(r_regionkey AS VARCHAR), '', []::VARCHAR[], string_split(r_name, ' '), []::VARCHAR[], NULL FROM region
+    UNION ALL SELECT 'p' || CAST(r_regionkey AS VARCHAR), '', []::VARCHAR[], []::VARCHAR[], []::VARCHAR[], r_name FROM region),
 cq AS (
     SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tokens('text')}) AS term FROM csearch) GROUP BY ALL
     UNION ALL
     SELECT DISTINCT c.query_id, v.term, 1 AS qtf
     FROM (SELECT query_id, lower(unnest(prefix)) AS pfx FROM csearch) c
-    JOIN (SELECT DISTINCT term FROM term_df) v ON starts_with(v.term, c.pfx)),
+    JOIN (SELECT DISTINCT term FROM term_df) v ON starts_with(v.term, c.pfx)
+    UNION ALL
+    SELECT DISTINCT query_id, term, 1 AS qtf
+    FROM (SELECT query_id, unnest(list_concat(list_transform(must, lambda x: lower(x)), coalesce({tokens('phrase')}, []::VARCHAR[]))) AS term
+          FROM csearch WHERE len({tokens('text')}) = 0 AND len(prefix) = 0)),
 cm AS (SELECT query_id, p.s, p.field, p.value, p.lang, sum(qtf * w) AS score FROM cq JOIN postings p USING (term) GROUP BY ALL),
 must_terms AS (SELECT DISTINCT query_id, lower(unnest(must)) AS term FROM csearch),
 must_need AS (SELECT query_id, count(*) AS need FROM must_terms GROUP BY query_id),
@@ -368,3 +387,16 @@ INFERRED_TYPES_SQL = with_ctes(
     f"direct_types AS (SELECT DISTINCT s, o AS cls FROM kg WHERE p = {q(V.RDF_TYPE)})",
     "types AS (SELECT s, cls FROM direct_types UNION SELECT d.s, c.sup FROM direct_types d JOIN class_clo c ON d.cls = c.sub)",
     body="SELECT s, regexp_extract(cls, '#([^#]*)$', 1) AS type FROM types")
+
+
+ONTOLOGY_FIXPOINT_SQL = f"""
+WITH RECURSIVE edges AS (
+    SELECT 'customer_' || c_custkey AS s, 'nation_' || c_nationkey AS o FROM customer
+    UNION ALL SELECT 'supplier_' || s_suppkey, 'nation_' || s_nationkey FROM supplier
+    UNION ALL SELECT 'nation_' || n_nationkey, 'region_' || n_regionkey FROM nation),
+parts AS (SELECT s, o FROM edges UNION SELECT p.s, e.o FROM parts p JOIN edges e ON p.o = e.s)
+SELECT s, p, o FROM parts, (SELECT unnest(['partOf', 'within', 'relatedTo']) AS p)
+UNION ALL SELECT o, 'hasPart', s FROM parts
+UNION ALL SELECT DISTINCT s, {q(V.RDF_TYPE)}, 'Part' FROM parts
+UNION ALL SELECT 'customer_' || c_custkey, {q(V.RDF_TYPE)}, c FROM customer, (SELECT unnest(['Customer', 'Client']) AS c)
+"""

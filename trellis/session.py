@@ -65,13 +65,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame, row_bytes_expr=None) -> int:
-    """Measured payload of a (small) side: sum of string lengths plus a fixed row overhead.
+    """Measured payload of a (small) side: sum of string bytes plus a fixed row overhead.
 
     This is an action over the candidate side only; the result decides whether the
     side may be broadcast.
     """
     if row_bytes_expr is None:
-        parts = [F.coalesce(F.length(F.col(f.name).cast("string")), F.lit(0)) for f in df.schema.fields]
+        parts = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in df.schema.fields]
         row_bytes_expr = sum(parts[1:], parts[0]) if parts else F.lit(0)
     row = df.agg(F.coalesce(F.sum(row_bytes_expr + F.lit(16)), F.lit(0)).alias("b")).first()
     return int(row["b"])

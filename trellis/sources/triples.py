@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 _TERM = r'(?:<([^>]*)>|(_:[^\s]+))'
 # possessive runs: recursion depth follows escape sequences, not characters (long texts)
 _OBJ = r'(?:<([^>]*)>|(_:[^\s]+)|"((?:[^"\\]++|\\.)*+)"(?:@([A-Za-z0-9\-]+)|\^\^<([^>]*)>)?)'
-_LINE = r"^\s*" + _TERM + r"\s+<([^>]*)>\s+" + _OBJ + r"\s*\.\s*$"
+_LINE = r"^\s*" + _TERM + r"\s*<([^>]*)>\s*" + _OBJ + r"\s*\.\s*(?:#.*)?$"
+_NO_TRIPLE = r"^\s*(?:#.*)?$"
 
 
 def _utf16_units(cp):
@@ -41,7 +42,8 @@ def _unescape(c):
     """Single pass in effect: split on escaped backslashes first, unescape the other
     sequences inside each piece, join the pieces with a plain backslash."""
     def piece(x):
-        for pat, rep in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r")):
+        for pat, rep in ((r'\\"', '"'), (r"\\n", "\n"), (r"\\t", "\t"), (r"\\r", "\r"),
+                         (r"\\b", "\b"), (r"\\f", "\f"), (r"\\'", "'")):
             x = F.regexp_replace(x, pat, rep)
         return _uchars(x)
 
@@ -49,9 +51,11 @@ def _unescape(c):
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """One triple per line; comments and blank lines skipped; typed literals keep the
-    lexical form (datatype in ``o_dtype``)."""
-    lines = spark.read.text(path).where(F.col("value").rlike(_LINE))
+    """One triple per line, a comment may follow; comment lines and blank lines are skipped, any
+    other line fails the read; typed literals keep the lexical form."""
+    lines = spark.read.text(path).where(~F.col("value").rlike(_NO_TRIPLE))
+    bad = F.raise_error(F.concat(F.lit("not a triple: "), F.substring("value", 1, 200)))
+    lines = lines.where(F.when(F.col("value").rlike(_LINE), F.lit(True)).otherwise(bad.cast("boolean")))
     g = lambda i: F.regexp_extract("value", _LINE, i)
     nz = lambda c: F.when(c == "", F.lit(None).cast("string")).otherwise(c)
     iri_o = F.concat(nz(g(4)), F.lit(""))
