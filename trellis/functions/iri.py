@@ -3,8 +3,8 @@
 Kept raw: ASCII letters and digits, ``- . _ ~`` and every character from U+00A0 up
 (IRI ``ucschar``). Everything else becomes ``%XX`` per UTF-8 byte, so a blank is
 ``%20`` (never ``+``) and ``#`` is ``%23``. Pure JVM expressions: safe values pass
-through, values with printable ASCII to escape get literal replacements, and only
-values holding control characters take the per-character path.
+through, printable ASCII goes through the form encoder, and only other values take the
+per-character path.
 """
 
 from __future__ import annotations
@@ -14,22 +14,21 @@ from pyspark.sql import functions as F
 
 from trellis.vocab import NS
 
-_SAFE_RUN = r"^[A-Za-z0-9._~\-\x{00A0}-\x{10FFFF}]*$"
-_SAFE_CHAR = r"^[A-Za-z0-9._~\-\x{00A0}-\x{10FFFF}]$"
-_PRINTABLE_RUN = r"^[\x{0020}-\x{007E}\x{00A0}-\x{10FFFF}]*$"
-_UNRESERVED = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~")
-# printable ASCII that must be escaped, derived from the rule; "%" goes first
-_ASCII_ESCAPES = ["%"] + [chr(c) for c in range(0x20, 0x7F) if chr(c) not in _UNRESERVED and chr(c) != "%"]
+_SAFE_RUN = r"^[A-Za-z0-9._~\-\x{00A0}-\x{10FFFF}]*\z"
+_SAFE_CHAR = r"^[A-Za-z0-9._~\-\x{00A0}-\x{10FFFF}]\z"
+_ASCII_RUN = r"^[\x{0020}-\x{007E}]*\z"
 
 
-def _replace_chain(col: Column) -> Column:
-    for ch in _ASCII_ESCAPES:
-        col = F.replace(col, F.lit(ch), F.lit("%{:02X}".format(ord(ch))))
-    return col
+def _encode_ascii(col: Column) -> Column:
+    """Printable ASCII by the form encoder, with its three departures put right (blank, ``*``, ``~``)."""
+    out = F.url_encode(col)
+    for ch, ref in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(ch), F.lit(ref))
+    return out
 
 
 def iri_encode(col: Column) -> Column:
-    chars = F.split(col, "(?!^)")  # one element per character
+    chars = F.regexp_extract_all(col, F.lit("(?s)."), F.lit(0))  # one element per code point
     encoded = F.array_join(
         F.transform(
             chars,
@@ -40,8 +39,8 @@ def iri_encode(col: Column) -> Column:
         "",
     )
     return (F.when(col.rlike(_SAFE_RUN), col)
-            .when(col.rlike(_PRINTABLE_RUN), _replace_chain(col))   # common case: JVM string replaces
-            .otherwise(encoded))                                       # control characters: per character
+            .when(col.rlike(_ASCII_RUN), _encode_ascii(col))  # common case
+            .otherwise(encoded))                              # control characters, or unsafe beside non-ASCII
 
 
 def iri_template(col: Column, ns: str = NS) -> Column:

@@ -41,8 +41,9 @@ def class_closure(class_edges: DataFrame) -> DataFrame:
 
 def infer_types(types: DataFrame, class_clo: DataFrame) -> DataFrame:
     """INF2: ``types(s, cls)`` plus every superclass; a set."""
-    up = types.join(broadcast_if_small(class_clo), types["cls"] == class_clo["sub"], "inner").select("s", F.col("sup").alias("cls"))
-    return types.select("s", "cls").unionByName(up).distinct()
+    supers = broadcast_if_small(class_clo.groupBy("sub").agg(F.collect_set("sup").alias("sups")).withColumnRenamed("sub", "cls"))
+    every = F.concat(F.array("cls"), F.coalesce("sups", F.array().cast("array<string>")))
+    return types.select("s", "cls").join(supers, "cls", "left").select("s", F.explode(every).alias("cls")).distinct()
 
 
 def rdfs_rules(triples: DataFrame, axioms: DataFrame) -> DataFrame:

@@ -6,17 +6,19 @@ appear only where paging is the feature.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis import vocab as V
 from trellis.functions.iri import local_name
-from trellis.operators import enrich, extract, graph, inference, search
+from trellis.operators import enrich, extract, graph, inference, mapping, search
 from trellis.operators.closure import transitive_closure
 from trellis.plans import build as B
 from trellis.plans import fixtures
 from trellis.plans import oracle as O
-from trellis.session import broadcast_if_small
+from trellis.session import cut_lineage
 
 
 def _round(col: str, n: int = 6):
@@ -129,16 +131,23 @@ def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clo.select("desc", "anc", F.col("depth").cast("bigint").alias("depth"))
 
 
+def _direct_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type triples alone: the rule sets without their other predicates."""
+    rules = {label: replace(r, objects=()) for label, r in mapping.ENTITY_RULES.items()}
+    t = mapping.map_entities(fixtures.entity_frames(spark, sf_dir), rules)
+    return t.select("s", F.col("o").alias("cls"))
+
+
 def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    knowledge = B.knowledge_triples(spark, sf_dir)
-    direct = knowledge.where(F.col("p") == V.RDF_TYPE).select("s", F.col("o").alias("cls"))
+    direct = _direct_types(spark, sf_dir)
     onto = inference.ontology_frames(spark)
     t = inference.infer_types(direct, inference.class_closure(onto["class_edges"]))
     return t.select("s", local_name(F.col("cls")).alias("type"))
 
 
 def mention_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    knowledge = B.knowledge_triples(spark, sf_dir)
+    # titles and contents are read several times: mapped once
+    knowledge = cut_lineage(B.knowledge_triples(spark, sf_dir).where(F.col("p").isin(V.TITLE, V.CONTENT)))
     content = fixtures.term_triples(fixtures.term_frame(spark, sf_dir))
     return enrich.link_mentions(enrich.artifacts_from_graph(knowledge), enrich.terms_from_graph(content))
 
@@ -285,8 +294,7 @@ def ontology_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _exchange_dir(spark, "ontology")
     sinks.write_ontology_xml(inference.ontology_frames(spark), path)
     onto = ontology.read_ontology(spark, path)
-    knowledge = B.knowledge_triples(spark, sf_dir)
-    direct = knowledge.where(F.col("p") == V.RDF_TYPE).select("s", F.col("o").alias("cls"))
+    direct = _direct_types(spark, sf_dir)
     t = inference.infer_types(direct, inference.class_closure(onto["class_edges"]))
     return t.select("s", local_name(F.col("cls")).alias("type"))
 
