@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trellis import vocab as V
 from trellis.functions import html as H
 from trellis.operators import enrich, extract, index, inference, search
-from trellis.sources import triples
+from trellis.sources import ontology, triples
 
 
 def test_links_survive_every_window_border(spark, monkeypatch):
@@ -85,3 +85,13 @@ def test_results_are_numbered_in_order_without_one_big_sort(spark):
         got = [(r.k, r.content) for r in df.filter(F.col("q") == q).orderBy("result_no").collect()]
         assert got == [(k, f"c{k}") for k in want]
         assert [r.result_no for r in df.filter(F.col("q") == q).orderBy("result_no").collect()] == list(range(1, len(want) + 1))
+
+
+def test_equivalences_are_read_from_files(spark, tmp_path):
+    f = tmp_path / "o.owl"
+    f.write_text('<rdf:RDF xmlns:rdf="r" xmlns:owl="o" xmlns:rdfs="s">'
+                 '<owl:Class rdf:about="A"><owl:equivalentClass rdf:resource="B"/></owl:Class>'
+                 '<owl:ObjectProperty rdf:about="P"><owl:equivalentProperty rdf:resource="Q"/>'
+                 '<rdf:type rdf:resource="http://www.w3.org/2002/07/owl#FunctionalProperty"/></owl:ObjectProperty></rdf:RDF>')
+    got = {tuple(r) for r in ontology.read_ontology(spark, f"file:{f}")["prop_axioms"].collect()}
+    assert got == {("A", "equivalentClass", "B"), ("P", "equivalentProperty", "Q"), ("P", "functional", None)}

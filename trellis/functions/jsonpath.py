@@ -77,11 +77,6 @@ def with_paths(df: DataFrame, doc: str, paths: dict[str, str], overrides: str |
     return cur
 
 
-def present(v: Column) -> Column:
-    """A path is present when its value is not SQL NULL (JSON null counts, C2)."""
-    return v.isNotNull()
-
-
 def variant_strings(v: Column) -> Column:
     """ARRAY<STRING> view of a value: array -> elements, JSON null/NULL -> empty,
     anything else -> one element (strings unquoted, others as JSON text)."""

@@ -148,7 +148,3 @@ def run_selects(spark: SparkSession, quads: DataFrame, selects: dict[str, str],
     for name, df in (views or {}).items():
         df.createOrReplaceTempView(name)
     return {name: spark.sql(sql) for name, sql in selects.items()}
-
-
-def subjects_of_type(quads: DataFrame, cls_iri: str) -> DataFrame:
-    return quads.where((F.col("p") == V.RDF_TYPE) & (F.col("o") == cls_iri)).select("s").distinct()

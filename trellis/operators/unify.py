@@ -64,42 +64,6 @@ def detect_paths(df: DataFrame, rules: dict[str, list[str]], doc: str = "doc", o
     return present
 
 
-def detect_paths_by_label(frames: dict[str, DataFrame], rules: dict[str, list[str]], doc: str = "doc",
-                          overrides: str | None = None, order_by: list[str] | None = None,
-                          sample: str = "first") -> dict[str, dict[str, list[str]] | None]:
-    """UNI2 for every collection in one job: per label, the flags of its first document
-    in the stated order (``min_by``) or of any document (``max``). One row per label
-    reaches the driver."""
-    cols = _path_cols(rules)
-    keep = [doc] + ([overrides] if overrides else []) + list(order_by or [])
-    union = None
-    for label, df in frames.items():
-        d = df.select(F.lit(label).alias("_label"), *keep)
-        union = d if union is None else union.unionByName(d)
-    probe = with_paths(union, doc, cols, overrides)
-    flags = F.struct(*[F.col(c).isNotNull().alias(c) for c in cols])
-    if sample == "all":
-        agg = probe.groupBy("_label").agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in cols])
-        rows = {r["_label"]: r for r in agg.collect()}
-    else:
-        order = F.struct(*[F.col(c) for c in order_by]) if order_by else F.lit(0)
-        agg = probe.groupBy("_label").agg(F.min_by(flags, order).alias("f"))
-        rows = {r["_label"]: r["f"] for r in agg.collect()}
-    out = {}
-    for label in frames:
-        row = rows.get(label)
-        if row is None:
-            out[label] = None
-            continue
-        present = {}
-        for i, (name, paths) in enumerate(rules.items()):
-            kept = [p for j, p in enumerate(paths) if row[f"_u{i}_{j}"]]
-            if kept:
-                present[name] = kept
-        out[label] = present
-    return out
-
-
 def unify(df: DataFrame, rules: dict[str, list[str]], present: dict[str, list[str]], keep: list[str] = (),
           doc: str = "doc", overrides: str | None = None, base_url: str = "") -> DataFrame:
     """UNI3-UNI5: one select of generated columns; every rule name becomes a column."""

@@ -14,6 +14,7 @@ _LBL = T.ArrayType(T.StructType([T.StructField("_VALUE", T.StringType()), T.Stru
 CLASS_SCHEMA = T.StructType([
     T.StructField("_rdf:about", T.StringType()),
     T.StructField("rdfs:subClassOf", _RES),
+    T.StructField("owl:equivalentClass", _RES),
     T.StructField("rdfs:label", _LBL),
 ])
 PROP_SCHEMA = T.StructType([
@@ -23,11 +24,15 @@ PROP_SCHEMA = T.StructType([
     T.StructField("rdfs:range", _RES),
     T.StructField("rdfs:subPropertyOf", _RES),
     T.StructField("owl:inverseOf", _RES),
+    T.StructField("owl:equivalentProperty", _RES),
     T.StructField("rdfs:label", _LBL),
 ])
 _KIND_BY_TYPE = {
     "http://www.w3.org/2002/07/owl#SymmetricProperty": "symmetric",
     "http://www.w3.org/2002/07/owl#TransitiveProperty": "transitive",
+    "http://www.w3.org/2002/07/owl#FunctionalProperty": "functional",
+    "http://www.w3.org/2002/07/owl#AsymmetricProperty": "asymmetric",
+    "http://www.w3.org/2002/07/owl#IrreflexiveProperty": "irreflexive",
 }
 
 
@@ -51,9 +56,10 @@ def read_ontology(spark: SparkSession, paths: str | list[str]) -> dict[str, Data
               .select("iri", F.col("l._VALUE").alias("text"), F.col("l.`_xml:lang`").alias("lang")))
     axioms = None
     for col, kind in (("rdfs:domain", "domain"), ("rdfs:range", "range"), ("rdfs:subPropertyOf", "subPropertyOf"),
-                      ("owl:inverseOf", "inverseOf")):
-        a = props.select(F.col("`_rdf:about`").alias("p"), F.explode(f"`{col}`").alias("x")).select(
-            "p", F.lit(kind).alias("kind"), F.col("x.`_rdf:resource`").alias("arg"))
+                      ("owl:inverseOf", "inverseOf"), ("owl:equivalentProperty", "equivalentProperty"),
+                      ("owl:equivalentClass", "equivalentClass")):
+        a = (classes if kind == "equivalentClass" else props).select(F.col("`_rdf:about`").alias("p"), F.explode(f"`{col}`").alias("x")).select(
+            "p", F.lit(kind).alias("kind"), F.col("x.`_rdf:resource`").alias("arg")).where(F.col("arg").isNotNull())
         axioms = a if axioms is None else axioms.unionByName(a)
     type_kind = F.create_map(*[x for k, v in _KIND_BY_TYPE.items() for x in (F.lit(k), F.lit(v))])
     typed = props.select(F.col("`_rdf:about`").alias("p"), F.explode("`rdf:type`").alias("x")).select(

@@ -12,15 +12,7 @@ NS = "http://example.org/kg#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 RDFS_LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
 RDFS_SUBCLASS = "http://www.w3.org/2000/01/rdf-schema#subClassOf"
-RDFS_SUBPROPERTY = "http://www.w3.org/2000/01/rdf-schema#subPropertyOf"
-RDFS_DOMAIN = "http://www.w3.org/2000/01/rdf-schema#domain"
-RDFS_RANGE = "http://www.w3.org/2000/01/rdf-schema#range"
 OWL_SAMEAS = "http://www.w3.org/2002/07/owl#sameAs"
-OWL_INVERSE = "http://www.w3.org/2002/07/owl#inverseOf"
-OWL_SYMMETRIC = "http://www.w3.org/2002/07/owl#SymmetricProperty"
-OWL_TRANSITIVE = "http://www.w3.org/2002/07/owl#TransitiveProperty"
-OWL_EQUIV_CLASS = "http://www.w3.org/2002/07/owl#equivalentClass"
-OWL_EQUIV_PROP = "http://www.w3.org/2002/07/owl#equivalentProperty"
 
 
 def p(local: str) -> str:
@@ -74,12 +66,15 @@ CLASS_LABELS = (
 )
 # property axioms (property local name, kind, argument)
 PROPERTY_AXIOMS = (
-    ("ancestor", "ObjectProperty", None),
-    ("author", "ObjectProperty", None),
-    ("reference", "ObjectProperty", None),
+    ("ancestor", "asymmetric", None),
+    ("ancestor", "irreflexive", None),
+    ("author", "functional", None),
+    ("author", "asymmetric", None),
+    ("author", "irreflexive", None),
+    ("reference", "asymmetric", None),
+    ("reference", "irreflexive", None),
     ("content", "range", "http://www.w3.org/2001/XMLSchema#string"),
     ("creationTime", "range", "http://www.w3.org/2001/XMLSchema#dateTime"),
-    ("email", "DatatypeProperty", None),
     ("lastUpdateTime", "range", "http://www.w3.org/2001/XMLSchema#dateTime"),
     ("link", "range", "http://www.w3.org/2001/XMLSchema#anyURI"),
     ("title", "range", "http://www.w3.org/2001/XMLSchema#string"),
@@ -115,4 +110,3 @@ TYPES_SEPARATOR = ", "
 ANCESTOR_SEPARATOR = "///"
 BREADCRUMB_SEPARATOR = " / "
 BLOCK_SEPARATOR = " · "
-SNIPPET_BLOCK_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6")
