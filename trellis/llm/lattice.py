@@ -34,6 +34,7 @@ from trellis.llm.common import slices, texts_of
 BLANK = "▁"
 SHIFT = 2.7
 SLICE_BYTES = 2 << 20
+NOISE = 37.0  # no Gumbel variable made from ``uniform`` exceeds its mean by so much
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -133,20 +134,20 @@ class Lattices:
         self.last[self.first + lengths] = True
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         left = np.repeat(lengths, lengths) - _runs(lengths)
-        node_of = np.arange(len(codes)) + np.repeat(np.arange(len(words)), lengths)
+        node_of = (np.arange(len(codes)) + np.repeat(np.arange(len(words)), lengths)).astype(np.int32)
         start, end, value = [], [], []
         lone = np.ones(len(codes), bool)  # characters that are no piece
         for at, size, ids in model.matches(codes, left):
             start.append(node_of[at])
             end.append(node_of[at] + size)
-            value.append(ids)
+            value.append(ids.astype(np.int32))
             if size == 1:
                 lone[at] = False
         lone = np.flatnonzero(lone)
         self.spelled = [[model.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in codes[lone].tolist()]
         start.append(node_of[lone])
         end.append(node_of[lone] + 1)
-        value.append(-1 - np.arange(len(lone)))
+        value.append(-1 - np.arange(len(lone), dtype=np.int32))
         start, end, value = map(np.concatenate, (start, end, value))
         order = np.argsort(start, kind="stable")
         self.start, self.end, self.value = start[order], end[order], value[order]
@@ -203,7 +204,8 @@ class _Paths:
 
 def _descend(lat: Lattices, node: np.ndarray, word: np.ndarray, seed: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
     """Random ways from each node to its word's end: edges in order, and the index into ``node`` of each."""
-    alive = np.flatnonzero(~lat.last[node])
+    order = np.argsort(node, kind="stable")  # neighbours in the lattice lie together in memory
+    alive = order[~lat.last[node[order]]]
     at = node[alive]
     edges, owner, depth, step = [], [], [], 0
     while len(alive):
@@ -294,33 +296,46 @@ def top_k(texts: list[str], keys: list[int], model: Pieces, k: int, seed: int =
         # regions beside the new sample, from the step where it left the old one
         doc = np.repeat(np.arange(n), size)
         step = _runs(size)
-        kept = step >= from_step[doc]
+        before = np.concatenate(([0.0], running[:-1])) if len(running) else running
+        before[step == 0] = 0.0
+        # a Gumbel variable made from ``uniform`` stays within [-3.6, NOISE] of its location, so a region that lies
+        # further behind k + 1 regions of the first steps can't come out on top: leaving it out changes nothing
+        reach = np.full(n, -np.inf)
+        for d in np.flatnonzero(size - from_step > k + 1).tolist():
+            a = paths.bounds[d] + from_step[d]
+            b = min(a + 64, paths.bounds[d + 1])
+            with np.errstate(divide="ignore"):
+                first = before[a:b] + np.log1p(-np.minimum(lat.p[paths.edges[a:b]], 1.0))
+            first = np.sort(first[1:])[-(k + 1)]
+            reach[d] = first - np.logaddexp(first - value[d], 3.7) - NOISE if first > -np.inf else -np.inf
+        kept = np.flatnonzero((step >= from_step[doc]) & (before >= reach[doc]))
+        doc, step, edge = doc[kept], step[kept], paths.edges[kept]
+        heads = np.searchsorted(doc, np.arange(n + 1))
         with np.errstate(divide="ignore"):
-            rest = np.log1p(-np.minimum(lat.p[paths.edges], 1.0)) if lat else np.empty(0)
+            rest = np.log1p(-np.minimum(lat.p[edge], 1.0)) if lat else np.empty(0)
         for d in [d for d in live.tolist() if left_out[d]]:
-            a = paths.bounds[d] + from_step[d]
-            out = lat.p[list(left_out[d])].sum() + lat.p[paths.edges[a]]
-            v = lat.start[paths.edges[a]]
+            a = heads[d]  # the step where the sample left its forerunner
+            out = lat.p[list(left_out[d])].sum() + lat.p[edge[a]]
+            v = lat.start[edge[a]]
             rest[a] = np.log(1 - out) if out < 1 and len(left_out[d]) + 1 < lat.head[v + 1] - lat.head[v] else -np.inf
-        mass = np.where(step > 0, np.concatenate(([0.0], running[:-1])), 0.0) + rest if len(running) else running
+        mass = before[kept] + rest
         u = uniform(row_seed[doc], 300 + rank, step)
         with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
             # the maximum of the region's Gumbel variables, given that it stays below the value just drawn
-            ahead = mass - value[doc]
-            best = mass - np.logaddexp(ahead, np.log(-np.log(u)))
-        best[~kept | np.isneginf(mass)] = -np.inf
+            best = mass - np.logaddexp(mass - value[doc], np.log(-np.log(u)))
+        best[np.isneginf(mass)] = -np.inf
         for _ in range(k - rank):
-            heads = paths.bounds[:-1][size > 0]
-            if not len(heads):
+            full = np.diff(heads) > 0
+            if not full.any():
                 break
             most = np.full(n, -np.inf)
-            most[size > 0] = np.maximum.reduceat(best, heads)
+            most[full] = np.maximum.reduceat(best, heads[:-1][full])
             hits = np.flatnonzero((best == most[doc]) & ~np.isneginf(best))
             hits = hits[np.concatenate(([True], doc[hits][1:] != doc[hits][:-1]))] if len(hits) else hits
             for i in hits.tolist():
                 d = int(doc[i])
                 t = int(step[i])
-                out = (*(left_out[d] if t == from_step[d] else ()), int(paths.edges[i]))
+                out = (*(left_out[d] if t == from_step[d] else ()), int(edge[i]))
                 regions[d].append((float(best[i]), rank, t, float(mass[i]), out))
             best[hits] = -np.inf
     yield np.array([max((r[0] for r in rs), default=-np.inf) for rs in regions])
