@@ -7,8 +7,9 @@ gets an importance between 0 and 1: layout that all pages of a site share and te
 repeats have low entropy and are noise, what differs from page to page is content. Nodes
 that the markup names (article or navigation, say) need no statistics; the others go by
 the importance that their host's tree gives them, or the tree of all hosts where the
-host shows too few pages. Low branches are removed from each page and the rest is read
-as blocks.
+host shows too few pages. Branches of nothing but noise and low nodes are removed from
+each page and the rest is read as blocks. Statistics decide on paths, never on single
+texts, so a passage that many pages quote stays where other text of its path differs.
 """
 
 from __future__ import annotations
@@ -268,9 +269,9 @@ def style_facts(pages: DataFrame) -> DataFrame:
 def style_tree(facts: DataFrame, min_pages: int = MIN_PAGES, damping: float = DAMPING) -> DataFrame:
     """``host, path, importance`` of the element nodes, host ``*`` being the tree of all hosts.
 
-    Importance is the entropy of the texts at the node over the log of their number (1 if it
-    never repeats, 0 if it is always the same); a node without text of its own has that of its
-    layouts, damped. Nodes that fewer than ``min_pages`` pages show are left out.
+    Importance mixes two entropies, each over the log of its number of pages (1 if nothing ever
+    repeats, 0 if it is always the same): that of the texts at the node (weight ``damping``) and
+    that of its layouts. Nodes that fewer than ``min_pages`` pages show are left out.
     """
     trees = facts.unionAll(facts.withColumn("host", F.lit("*")))
     value = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("value"))
@@ -285,7 +286,7 @@ def style_tree(facts: DataFrame, min_pages: int = MIN_PAGES, damping: float = DA
     nodes = sums.groupBy("host", "path").agg(
         of("content", entropy).alias("content"), of("layout", entropy).alias("layout"), of("layout", F.col("m")).alias("m")
     )
-    own = F.coalesce("content", (1 - damping) * F.col("layout"))
+    own = damping * F.coalesce("content", F.lit(0.0)) + (1 - damping) * F.col("layout")
     return nodes.filter(F.col("m") >= min_pages).select("host", "path", own.alias("importance"))
 
 
@@ -293,7 +294,7 @@ def low_branches(facts: DataFrame, tree: DataFrame, threshold: float = THRESHOLD
     """``host, page_hash, low``: the paths of each page that its host's tree, or else the tree of all hosts, finds low."""
     own = tree.filter("host <> '*'").withColumnRenamed("importance", "own")
     every = tree.filter("host = '*'").select("path", F.col("importance").alias("every"))
-    judged = facts.select("host", "page_hash", "path").distinct()
+    judged = facts.filter("content <> 0").select("host", "page_hash", "path").distinct()  # without text there is nothing to drop
     judged = judged.join(broadcast_if_small(own), ["host", "path"], "left").join(broadcast_if_small(every), "path", "left")
     return judged.filter(F.coalesce("own", "every", F.lit(1.0)) < threshold).groupBy("host", "page_hash").agg(F.collect_set("path").alias("low"))
 
