@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,6 +119,7 @@ def write_shards(
     permute = Feistel(max(n, 1), key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
         for b in batches:
             at_of, pieces, numbers = [], [], []
             for part, inside_part, ids in zip(*(b.column(i).to_pylist() for i in range(3))):
@@ -129,16 +131,26 @@ def write_shards(
                     at_of.append(2 * inside)
                     pieces.append(ids[2 * i : 2 * (i + take)])
                     i += take
-            slot_of = permute.slot(numbers) if numbers else np.empty(0, np.int64)
+            slot = permute.slot(numbers) if numbers else np.empty(0, np.int64)
+            byte = slot % per_shard * stride + np.array(at_of, dtype=np.int64)
+            shard = slot // per_shard
+            order = np.argsort(shard, kind="stable")
+            bounds = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+            rows = []
+            for i, j in zip(bounds[:-1], bounds[1:]):  # a batch's pieces of one shard travel as one squeezed row
+                mine = order[i:j]
+                found = [pieces[k] for k in mine]
+                head = np.column_stack([byte[mine], [len(x) for x in found]]).astype("<i8")
+                rows.append((int(shard[mine[0]]), len(mine), squeeze.compress(head.tobytes() + b"".join(found))))
+            cols = list(zip(*rows)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slot_of // per_shard), pa.array(slot_of % per_shard * stride + np.array(at_of, dtype=np.int64)),
-                 pa.array(pieces, pa.binary())],
-                names=["shard", "byte", "ids"],
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], names=["shard", "n", "pieces"]
             )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
+        expand = zstandard.ZstdDecompressor()
         shard, buffer, done = None, None, []
 
         def close() -> None:
@@ -148,14 +160,18 @@ def write_shards(
             done.append((shard, f"{folder}/{name}", len(buffer) // stride, len(buffer)))
 
         for b in batches:
-            for s, byte, ids in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for s, n_pieces, data in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if s != shard:
                     if shard is not None:
                         close()
                     shard = s
                     held = min(per_shard, n - s * per_shard)
                     buffer = bytearray(np.full(held * length, eos, dtype="<u2").tobytes())
-                buffer[byte : byte + len(ids)] = ids
+                data = expand.decompress(data)
+                at = 16 * n_pieces
+                for byte, size in np.frombuffer(data, dtype="<i8", count=2 * n_pieces).reshape(-1, 2).tolist():
+                    buffer[byte : byte + size] = data[at : at + size]
+                    at += size
         if shard is not None:
             close()
         cols = list(zip(*done)) if done else [[], [], [], []]
@@ -165,7 +181,7 @@ def write_shards(
         )
 
     shards = -(-n // per_shard)
-    pieces = rows.mapInArrow(cut, "shard long, byte long, ids binary")
+    pieces = rows.mapInArrow(cut, "shard long, n long, pieces binary")
     ranged = pieces.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard")
     return materialise(ranged.mapInArrow(write, MANIFEST), "shard-manifest")
 
