@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from trellis.llm.common import materialise, slices, texts_of
 
-WINDOW, DECAY, NORM_CAP = 6, 0.75, 12
+WINDOW, DECAY = 6, 0.75
 MAX_PER_LABEL = 4000  # documents of each label that training looks at, chosen by id hash
 MAX_SPANS = 300_000  # distinct clean spans that reach the driver
 WITNESSES = 6  # candidate spans per toxic document
@@ -68,16 +68,28 @@ def subsequences(spans: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, flo
 
 
 def norms(spans: list[str]) -> np.ndarray:
-    """Length norm: root of the self kernel of a span with as many different characters (``NORM_CAP`` at most)."""
-    table = np.zeros(NORM_CAP + 3)
-    for n in range(NORM_CAP + 3):
-        table[n] = sum((j - 1) * DECAY ** (2 * (j + 1)) * max(0, n - j) for j in range(2, WINDOW))
-    table = np.sqrt(np.maximum(table, DECAY**3))
-    return table[np.minimum([len(s) + 2 for s in spans], NORM_CAP + 2)]
+    """Root of the self kernel of every span (equal triples add up before they are squared)."""
+    out = np.empty(len(spans))
+    step = DECAY ** np.arange(8)
+    for i in range(0, len(spans), 20_000):
+        part = spans[i : i + 20_000]
+        # span, hash of the triple and its stretch in one sortable number
+        keys = [np.empty(0, np.uint64)]
+        for who, code, weight in subsequences(part):
+            stretch = np.uint64(round(np.log(weight) / np.log(DECAY)))
+            with np.errstate(over="ignore"):
+                mixed = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(23)
+            keys.append(who.astype(np.uint64) << np.uint64(44) | mixed << np.uint64(3) | stretch)
+        key = np.sort(np.concatenate(keys))
+        heads = np.flatnonzero(np.diff(key >> np.uint64(3), prepend=np.uint64(2**61)))
+        sums = np.add.reduceat(step[(key & np.uint64(7)).astype(np.int64)], heads) if len(key) else np.empty(0)
+        total = np.bincount((key[heads] >> np.uint64(44)).astype(np.int64), weights=sums**2, minlength=len(part))
+        out[i : i + len(part)] = np.sqrt(np.maximum(total, DECAY**12))
+    return out
 
 
 def kernel(spans: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel of every span with every landmark, length-normed (float32)."""
+    """Kernel of every span with every landmark, normed to 1 for equal spans (float32)."""
     who, code, weight = (np.concatenate(x) for x in zip(*((w, c, np.full(len(c), v)) for w, c, v in subsequences(landmarks))))
     keys, at = np.unique(code, return_inverse=True)
     table = np.zeros((len(keys), len(landmarks)), np.float32)
@@ -145,20 +157,28 @@ def scorer(model: Model):
     return score
 
 
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 40) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss by Newton steps; y is +1/-1, cost per row."""
+def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Linear machine with squared hinge loss by Newton steps with step halving; y is +1/-1, cost per row."""
     n, d = x.shape
     x1 = np.column_stack([x, np.ones(n)]).astype(np.float64)
     ridge = np.eye(d + 1)
     ridge[d, d] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        return w @ ridge @ w + cost @ np.maximum(0, 1 - y * (x1 @ w)) ** 2
+
     w = np.zeros(d + 1)
+    now = loss(w)
     for _ in range(steps):
         active = y * (x1 @ w) < 1
         a, c = x1[active], cost[active]
-        new = np.linalg.solve(ridge + (a * c[:, None]).T @ a, (a * c[:, None]).T @ y[active])
-        if np.allclose(new, w, atol=1e-7):
+        way = np.linalg.solve(ridge + (a * c[:, None]).T @ a, (a * c[:, None]).T @ y[active]) - w
+        size = 1.0
+        while size > 1e-4 and (new := loss(w + size * way)) > now:
+            size /= 2
+        if size <= 1e-4 or now - new < 1e-9 * now:
             break
-        w = new
+        w, now = w + size * way, new
     return w[:d], float(w[d])
 
 
@@ -216,7 +236,7 @@ def fit_spans(bags: list[list[tuple[str, float]]], clean: dict[str, int], rounds
         marks += [s for s in _pick_landmarks(hard, LANDMARKS // 4) if s not in set(marks)]
         kmm = kernel(marks, marks).astype(np.float64)
         value, vector = np.linalg.eigh((kmm + kmm.T) / 2)
-        good = value > 1e-4 * value.max()
+        good = value > 1e-3
         whiten = vector[:, good] / np.sqrt(value[good])
         masked = {d: count[s] ** 0.5 / 8 for s in positives[:LANDMARKS] if count[s] > 1 for d in disguises(s) if d not in clean and d not in count}
         rows = positives + list(masked) + negatives
