@@ -30,7 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that pass the base rules and the decision list learned from the labels of these documents."""
     labels = _labels(spark, sf_dir).select("doc_id", "quality")
     labelled = docs.select("doc_id", "text").join(labels, "doc_id")
-    return quality.quality_filter(docs, quality.learn(quality.text_stats(labelled).drop("text")))
+    stats = materialise(quality.text_stats(labelled).drop("text"), "labelled-counts")
+    return quality.quality_filter(docs, quality.learn(stats))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

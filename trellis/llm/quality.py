@@ -11,6 +11,7 @@ out for pruning. The result is an ordered list that reads as a Spark ``CASE``.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -22,17 +23,17 @@ from trellis.llm.common import WORD, let, materialise, text_or_empty
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-# statistic -> SQL over the counts; every one is 0 for an empty text
+# statistic -> (count, count that it is divided by, if any; 1 at least)
 RATIOS = {
-    "words": "n_words",
-    "word_length": "word_chars / greatest(n_words, 1)",
-    "symbols_per_word": "n_symbols / greatest(n_words, 1)",
-    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
-    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
-    "upper_share": "n_upper / greatest(word_chars, 1)",
-    "digit_share": "n_digits / greatest(word_chars, 1)",
-    "mark_share": "n_marks / greatest(word_chars, 1)",
-    "distinct_share": "n_distinct_words / greatest(n_words, 1)",
+    "words": ("n_words", None),
+    "word_length": ("word_chars", "n_words"),
+    "symbols_per_word": ("n_symbols", "n_words"),
+    "dup_line_share": ("n_dup_lines", "n_lines"),
+    "repeat_share": ("n_repeat_words", "n_words"),
+    "upper_share": ("n_upper", "word_chars"),
+    "digit_share": ("n_digits", "word_chars"),
+    "mark_share": ("n_marks", "word_chars"),
+    "distinct_share": ("n_distinct_words", "n_words"),
 }
 
 
@@ -75,30 +76,38 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(long & F.when(long, hashed(words)).otherwise(F.lit(False)), exact(words)).otherwise(F.lit(0).cast("long"))
 
 
-def text_stats(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``df`` with the counts of every whole text (null text: none), all long, named ``prefix`` + name."""
-    text, words = "__q_text", "__q_words"
-    count = lambda pattern: F.regexp_count(F.col(text), F.lit(pattern)).cast("long")
-    with_words = df.withColumn(text, text_or_empty(text_col)).withColumn(words, F.regexp_extract_all(F.col(text), F.lit(WORD), 0))
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(WORD))
-    w = F.col(words)
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), 0)
+
+
+def _stats(text: Column, words: Column) -> dict[str, Column]:
+    """Counts of a text (not null) and its words, all long."""
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    lines = F.split(text, "\n", -1)
     stats = {
-        "n_words": F.size(w).cast("long"),
-        "word_chars": F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
+        "n_words": F.size(words),
+        "word_chars": F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + F.length(x)),
         "n_symbols": count(SYMBOLS),
-        "n_lines": F.size(F.split(F.col(text), "\n", -1)).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeat_words(w),
+        "n_lines": F.size(lines),
+        "n_dup_lines": let(F.filter(lines, lambda x: x.rlike(WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        "n_repeat_words": repeat_words(words),
         "n_upper": count(r"\p{Lu}"),
         "n_digits": count(r"\p{Nd}"),
         "n_marks": count(r"[!?;:]"),
-        "n_distinct_words": F.size(F.array_distinct(w)).cast("long"),
+        "n_distinct_words": F.size(F.array_distinct(words)),
     }
-    return with_words.withColumns({prefix + k: v for k, v in stats.items()}).drop(text, words)
+    return {k: v.cast("long") for k, v in stats.items()}
+
+
+def text_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with the counts of every whole text (null text: none) as further columns."""
+    text, words = "__q_text", "__q_words"
+    with_words = df.withColumn(text, text_or_empty(text_col)).withColumn(words, _words(F.col(text)))
+    return with_words.withColumns(_stats(F.col(text), F.col(words))).drop(text, words)
 
 
-def base_failed(prefix: str = "") -> Column:
-    n, r = F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words")
+def base_failed(of: Callable[[str], Column] = F.col) -> Column:
+    n, r = of("n_words"), of("n_repeat_words")
     return (n < 20) | (100 * r > 30 * n)
 
 
@@ -108,8 +117,12 @@ class Literal:
     above: bool  # value > threshold, else value <= threshold
     threshold: float
 
-    def sql(self, prefix: str = "") -> str:
-        return f"({_ratio(self.stat, prefix)}) {'>' if self.above else '<='} {self.threshold!r}D"
+    def holds(self, of: Callable[[str], Column] = F.col) -> Column:
+        value = ratio(self.stat, of)
+        return value > self.threshold if self.above else value <= self.threshold
+
+    def __str__(self) -> str:
+        return f"{self.stat} {'>' if self.above else '<='} {self.threshold:.6g}"
 
 
 @dataclass
@@ -118,19 +131,21 @@ class DecisionList:
 
     rules: list[list[Literal]] = field(default_factory=list)
 
-    def verdict(self, prefix: str = "") -> Column:
-        return F.expr(self.sql(prefix))
-
-    def sql(self, prefix: str = "") -> str:
-        if not self.rules:
-            return "true"
-        return "CASE " + " ".join(f"WHEN {' AND '.join(x.sql(prefix) for x in r)} THEN false" for r in self.rules) + " ELSE true END"
+    def verdict(self, of: Callable[[str], Column] = F.col) -> Column:
+        """One conditional expression over the counts that ``of`` names."""
+        out = None
+        for rule in self.rules:
+            met = reduce(lambda a, x: a & x.holds(of), rule, F.lit(True))
+            out = F.when(met, F.lit(False)) if out is None else out.when(met, F.lit(False))
+        return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
+    def __str__(self) -> str:
+        return "\n".join(f"reject if {' and '.join(map(str, r))}" for r in self.rules) + "\nkeep"
 
-def _ratio(stat: str, prefix: str = "") -> str:
-    import re
 
-    return re.sub(r"\b(n_\w+|word_chars)\b", lambda m: f"`{prefix}{m[1]}`", RATIOS[stat])
+def ratio(stat: str, of: Callable[[str], Column] = F.col) -> Column:
+    top, bottom = RATIOS[stat]
+    return of(top).cast("double") if bottom is None else of(top) / F.greatest(of(bottom), F.lit(1))
 
 
 def learn(
@@ -152,7 +167,7 @@ def learn(
     names = list(RATIOS)
     rows = stats.filter(F.col(label).isNotNull()).select(
         (F.col(label) == 0).alias("bad"), (F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(3)) == 0).alias("prune"),
-        *[F.expr(_ratio(n)).cast("double").alias(n) for n in names],
+        *[ratio(n).alias(n) for n in names],
     )
     rows = materialise(rows, "labelled-stats")
     points = [i / bins for i in range(1, bins)]
@@ -230,6 +245,12 @@ def _best_literal(rows: DataFrame, names: list[str], cuts: dict) -> tuple[tuple[
 
 
 def quality_filter(df: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` that pass the base rules and the list; same columns."""
-    p = "__q_"
-    return text_stats(df, text_col, p).filter(~base_failed(p) & rules.verdict(p)).select(*[F.col(f"`{c}`") for c in df.columns])
+    """Rows of ``df`` that pass the base rules and the list; same columns.
+
+    The whole test is one expression whose parts (text, words, counts) are bound once: as
+    columns of their own they would be put into the filter again at each place that names them.
+    """
+    passes = let(text_or_empty(text_col), lambda t: let(_words(t), lambda w: let(
+        F.struct(*[v.alias(k) for k, v in _stats(t, w).items()]),
+        lambda s: ~base_failed(lambda name: s[name]) & rules.verdict(lambda name: s[name]))))
+    return df.filter(passes)
