@@ -47,7 +47,8 @@ def test_string_kernel_is_the_sum_over_gapped_triples():
                     out[k] = out.get(k, 0) + toxicity.DECAY ** (c - a + 1)
         return out
 
-    words, marks = ["idiot", "i.d.i.o.t", "aaa", "x", "longerwords"], ["idiot", "words"]
+    words, marks = ["idiot", "i.d.i.o.t", "aaaaaa", "x", "longerwordswords"], ["idiot", "words"]
+    assert all(abs(toxicity.norms([w])[0] - sum(v * v for v in features(w).values()) ** 0.5) < 1e-9 for w in words)
     got = toxicity.kernel(words, marks)
     for i, w in enumerate(words):
         for j, m in enumerate(marks):
