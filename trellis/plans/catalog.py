@@ -248,7 +248,7 @@ def landed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.plans import raw, raw_fixtures
     frames, _status = raw.unified(raw_fixtures.landed(spark, sf_dir))
     b = B.build_graph(spark, {label: scalars(df) for label, df in frames.items()}, fixtures.term_frame(spark, sf_dir))
-    res = search.search_build(b, fixtures.searches_frame(spark, sf_dir))
+    res = search.search_build(b, fixtures.place_searches_frame(spark, sf_dir))
     return res.select(*[c for c in search.RESULT_COLUMNS if c != "totalScore"], _round("totalScore"))
 
 
@@ -392,7 +392,9 @@ def oracle_sql() -> dict:
             f"SELECT DISTINCT {O.q(V.NS + 'cust_row_')} || CAST(c_custkey AS VARCHAR) AS s, {O.q(V.TITLE)} AS p, "
             "c_name AS o, 'literal' AS o_kind, NULL::VARCHAR AS o_lang FROM customer"),
         "raw_unified": O.RAW_UNIFIED_SQL,
-        "landed_search": O.with_ctes(G.replace(f"ent AS ({O.ENTITIES_SQL})", f"ent AS ({O.RAW_UNIFIED_SQL})"), I, S, body=(
+        "landed_search": O.with_ctes(G.replace(f"ent AS ({O.ENTITIES_SQL})", f"ent AS MATERIALIZED ({O.RAW_UNIFIED_SQL})")
+                                    .replace(f"kg AS ({O.KNOWLEDGE_SQL})", f"kg AS MATERIALIZED ({O.KNOWLEDGE_SQL})"), I,
+                                   S.replace(O.BENCHMARK_SEARCHES, ""), body=(
             "SELECT query_id, link, title, content, email, creationTime, lastUpdateTime, types, ancestorTitles, "
             "ancestorLinks, round(totalScore, 6) AS totalScore FROM results")),
         "ontology_fixpoint": O.ONTOLOGY_FIXPOINT_SQL,

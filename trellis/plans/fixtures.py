@@ -132,10 +132,14 @@ def searches_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole text) and one per nation (nation and region name)."""
     b = load(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), "text")
-    n = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
+    return b.unionByName(place_searches_frame(spark, sf_dir))
+
+
+def place_searches_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search per nation: nation and region name."""
+    return load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("query_id"),
         F.concat_ws(" ", "n_name", "r_name").alias("text"))
-    return b.unionByName(n)
 
 
 def clause_searches_frame(spark: SparkSession, sf_dir: str) -> DataFrame:

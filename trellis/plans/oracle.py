@@ -184,11 +184,12 @@ def ancestors(part: str) -> str:
     return f"coalesce(array_to_string(list_transform({pairs}, lambda x: x.{part}), {q(V.ANCESTOR_SEPARATOR)}), '')"
 
 
+BENCHMARK_SEARCHES = f"""    SELECT 'b' || {_s('item_id')} AS query_id, text FROM benchmark
+    UNION ALL
+"""
 SEARCH_CTES = f"""
 searches AS (
-    SELECT 'b' || {_s('item_id')} AS query_id, text FROM benchmark
-    UNION ALL
-    SELECT 'n' || {_s('n_nationkey')}, n_name || ' ' || r_name FROM nation JOIN region ON n_regionkey = r_regionkey),
+{BENCHMARK_SEARCHES}    SELECT 'n' || {_s('n_nationkey')} AS query_id, n_name || ' ' || r_name AS text FROM nation JOIN region ON n_regionkey = r_regionkey),
 qterms AS (SELECT query_id, term, count(*) AS qtf
            FROM (SELECT query_id, unnest({tokens('text')}) AS term FROM searches) GROUP BY ALL),
 matched AS (
