@@ -33,7 +33,7 @@ from trellis.llm.common import slices, texts_of
 
 BLANK = "▁"
 SHIFT = 2.7
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 3 << 19
 NOISE = 37.0  # no Gumbel variable made from ``uniform`` exceeds its mean by so much
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -68,13 +68,15 @@ class Pieces:
             self.weight[i] = -alpha * np.log(r + SHIFT) - np.log(total)
             by_length.setdefault(len(piece), []).append((piece, i))
         self.byte_weight = -alpha * np.log(n + SHIFT) - np.log(total)
-        # length -> (sorted hashes, ids, characters, which upper hash bits occur)
+        # length -> (sorted hashes, ids, characters, which upper hash bits occur); and those of all beginnings of pieces
         self.tables = {}
+        self.prefixes = {k: np.zeros(1 << 20, bool) for k in range(1, max(by_length) + 1)}
         for size, found in by_length.items():
             codes = np.array([[ord(c) for c in p] for p, _ in found], dtype=np.uint64)
             h = np.zeros(len(found), np.uint64)
             for k in range(size):
                 h = self.roll(h, codes[:, k])
+                self.prefixes[k + 1][self.slot(h)] = True
             order = np.argsort(h)
             seen = np.zeros(1 << 20, bool)
             seen[self.slot(h)] = True
@@ -103,10 +105,13 @@ class Pieces:
             if not len(at):
                 return
             h = self.roll(h, codes[at + size - 1])
+            slot = self.slot(h)
+            more = self.prefixes[size][slot]  # only what some piece begins with can grow into one
+            at, h, slot = at[more], h[more], slot[more]
             if size not in self.tables:
                 continue
             hashes, ids, chars, seen = self.tables[size]
-            maybe = np.flatnonzero(seen[self.slot(h)])
+            maybe = np.flatnonzero(seen[slot])
             k = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
             same = hashes[k] == h[maybe]
             maybe, k = at[maybe[same]], k[same]

@@ -24,7 +24,7 @@ from trellis.llm.common import materialise
 from trellis.llm.tokens import encoded
 
 SEQUENCE = 1024
-ROW_TOKENS = 8192  # a document's ids travel in rows of at most so many
+ROW_TOKENS = 1024  # a document's ids travel in rows of at most so many
 DIMS, BITS = 3, 16
 SEED = 0x9E3779B97F4A7C15
 
