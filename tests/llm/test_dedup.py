@@ -123,6 +123,48 @@ def test_links_of_planted_fingerprints(spark, hot):
     assert [root.get(int(v), int(v)) for v in values] == want
 
 
+def distance(a, b):
+    return bin((int(a) ^ int(b)) & (2**64 - 1)).count("1")
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT, 2])
+def test_links_of_pairs_that_differ_in_the_sign_bit(spark, hot):
+    """Pairs that differ in bit 63 and up to three more bits link; complements, all ones apart, do not."""
+    rng = random.Random(63)
+    values = []
+    for others in range(4):
+        for _ in range(20):
+            x = rng.getrandbits(64)
+            values += [x, x ^ 1 << 63 ^ sum(1 << b for b in rng.sample(range(63), others))]
+    for _ in range(20):  # the reverse: 62 of 64 bits differ
+        x = rng.getrandbits(64)
+        values += [x, x ^ (2**64 - 1) ^ 3]
+    for _ in range(3):  # chains that drift away from their start
+        x = rng.getrandbits(64)
+        for _ in range(25):
+            values.append(x)
+            for b in [63, *rng.sample(range(63), rng.choice([1, 3, 4]))]:
+                x ^= 1 << b
+    values += [1 << 63 ^ 1, 0, 1]
+    values = np.array(values, dtype=np.uint64).view(np.int64).tolist()
+    frame = spark.createDataFrame([(v,) for v in values], "fp long")
+    edges = simhash.links(simhash.split_hot(simhash.replicate(frame), hot))
+    assert all(distance(r.src, r.dst) <= 4 for r in edges.collect())
+    label = {v: v for v in values}
+    while (new := {v: min(label[u] for u in values if distance(u, v) <= 4) for v in values}) != label:
+        label = new
+    root = {r.node: r.root for r in components.connected_components(edges).collect()}
+    assert {v: root.get(v, v) for v in values} == label
+
+
+def test_forests_count_bits_of_unsigned_values():
+    far = np.array([0, -1, 1 << 40, -1 ^ 5], dtype=np.int64)  # two pairs of links, apart by 64 bits
+    src, dst = simhash.forest(far, 4)
+    assert {tuple(sorted(p)) for p in zip(src.tolist(), dst.tolist())} == {(0, 1 << 40), (-6, -1)}
+    near = np.array([0, -(2**63) + 1], dtype=np.int64)
+    assert [len(s) for s, _ in simhash._forests(np.zeros(2, np.int64), near, 4)] == [1]
+
+
 def test_near_duplicates_defined_cases(docs):
     base = " ".join(f"word{i % 97}x{i % 31}" for i in range(400))
     rows = [(5, base), (3, base + " extra"), (9, base.upper()), (7, None), (8, ""), (8, ""), (20, "totally other text here now"), (None, base), (30, LONG)]

@@ -127,7 +127,7 @@ def replicate(prints: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS)
 
 def forest(members: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning forest of the links among ``members``: breadth first, each member compared to those not yet reached."""
-    left, src, dst = members, [], []
+    left, src, dst = members.view(np.uint64), [], []  # bitwise_count of a signed integer counts its absolute value
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
@@ -137,8 +137,8 @@ def forest(members: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
                 hit = left[near]
                 left = left[~near]
                 queue.extend(hit)
-                src.append(np.full(len(hit), x))
-                dst.append(hit)
+                src.append(np.full(len(hit), x).view(np.int64))
+                dst.append(hit.view(np.int64))
     none = np.empty(0, np.int64)
     return (np.concatenate(src), np.concatenate(dst)) if src else (none, none)
 
@@ -149,7 +149,8 @@ def _forests(group: np.ndarray, fp: np.ndarray, max_bits: int) -> Iterator[tuple
     sizes = np.diff(np.concatenate((starts, [len(group)])))
     size_of = np.repeat(sizes, sizes)
     few = (size_of > 1) & (size_of <= 32)
-    g, f, linked = group[few], fp[few], []
+    bits = fp.view(np.uint64)
+    g, f, linked = group[few], bits[few], []
     for off in range(1, 32):
         if len(g) <= off:
             break
@@ -158,10 +159,10 @@ def _forests(group: np.ndarray, fp: np.ndarray, max_bits: int) -> Iterator[tuple
     for a, n in zip(starts.tolist(), sizes.tolist()):
         if n <= 32 and group[a] not in linked:
             continue
-        f = fp[a : a + n]
+        f = bits[a : a + n]
         if 32 < n <= 1024 and np.count_nonzero(np.bitwise_count(f[:, None] ^ f[None, :]) <= max_bits) == n:
             continue
-        yield forest(f, max_bits)
+        yield forest(fp[a : a + n], max_bits)
 
 
 def links(placed: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
