@@ -205,6 +205,31 @@ def test_statistics_remove_unnamed_boilerplate(spark):
     assert got == want
 
 
+def main_texts(spark, rows):
+    return {r.page_id: r.text for r in sitetree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+WRAPPERS = ["div class='layout-with-sidebar'", "div class='page no-sidebar'", "div class='has-banner'", "div class='elementor-widget'",
+            "div class='content-ad-free'", "div id='search-results'", "div class='widget'", "div class='search'", "form"]
+
+
+def test_wrappers_that_sound_like_noise(spark):
+    """A wrapper of the whole page keeps its article, on few pages and on many."""
+    rows = [(100 * k + i, f"http://{k}.example/{i}", f"<body><{w}><div class='ad'>buy</div><article><p>story {k} {i}</p><section class='related-work'>cites {i}</section>"
+             f"<p class='notice-of-award'>prize {i}</p></article></{w.split()[0]}>") for k, w in enumerate(WRAPPERS) for i in range(12 if k % 2 else 2)]
+    assert main_texts(spark, rows) == {n: f"story {n // 100} {n % 100}\n\ncites {n % 100}\n\nprize {n % 100}" for n, _, _ in rows}
+
+
+def test_suspect_branches_ask_the_style_tree(spark):
+    """Without a content element: a suspect branch stays where its text differs from page to page, and goes where it repeats
+    or where too few pages show it."""
+    many = [(i, "http://many.example/", f"<body><form><div class='widget'><p>story {i}</p></div><div class='promo'>buy</div></form>") for i in range(20)]
+    inside = [(100 + i, "http://inside.example/", f"<article><p>a {i}</p><p class='notice'>n {i}</p><div class='share'><p>tell friends</p></div></article>") for i in range(20)]
+    few = [(200, "http://few.example/", "<div class=x><p>text</p></div><div class='cookie y'>accept</div>")]
+    want = {i: f"story {i}" for i in range(20)} | {100 + i: f"a {i}\n\nn {i}" for i in range(20)} | {200: "text"}
+    assert main_texts(spark, many + inside + few) == want
+
+
 def test_page_defined_cases(spark):
     deep = "<div>" * 10000 + "x" + "</div>" * 10000
     rows = [(1, None, None), (2, "", ""), (3, "no url", "just text &amp; more"), (4, "http://a/", deep), (5, "http://a/", "<article>" + "<p>é z" * 20000),

@@ -10,6 +10,8 @@ the importance that their host's tree gives them, or the tree of all hosts where
 host shows too few pages. Branches of nothing but noise and low nodes are removed from
 each page and the rest is read as blocks. Statistics decide on paths, never on single
 texts, so a passage that many pages quote stays where other text of its path differs.
+A class name that sounds like noise, or a form, is a suspicion only: such a branch goes if
+it holds no content element and the tree finds it low or has too few pages to tell.
 """
 
 from __future__ import annotations
@@ -39,8 +41,8 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTENT_TAGS = frozenset("article main".split())
-NOISE_TAGS = frozenset("nav aside footer form button dialog menu head".split()) | RAW
-# Words of class, id and role names that say what a branch is for.
+NOISE_TAGS = frozenset("nav aside footer button dialog menu head".split()) | RAW
+# Class, id and role names (whole ones) that make a branch suspect.
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay "
@@ -57,17 +59,22 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S
 )
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
     """An element with its children; texts are children of type str."""
 
-    __slots__ = ("tag", "names", "children")
+    __slots__ = ("tag", "names", "children", "holds")
 
     def __init__(self, tag: str, names: str = ""):
-        self.tag, self.names, self.children = tag, names, []
+        self.tag, self.names, self.children, self.holds = tag, names, [], False  # holds: a content element inside
+
+    @property
+    def suspect(self) -> bool:
+        if self.holds or self.tag in ("html", "body"):
+            return False
+        return self.tag == "form" or bool(self.names) and not NOISE_WORDS.isdisjoint(self.names.split())
 
     @property
     def style(self) -> str:
@@ -134,6 +141,11 @@ def parse(page: str) -> Node:
             names = " ".join(sorted({w for v in found.values() for w in v.lower().split()}))
         node = Node(tag, names)
         open_.nodes[-1].children.append(node)
+        if tag in CONTENT_TAGS:
+            for around in reversed(open_.nodes):
+                if around.holds:
+                    break
+                around.holds = True
         if tag in VOID or m[3].endswith("/"):
             continue
         if tag in RAW:
@@ -150,8 +162,6 @@ def purpose(node: Node, inside_content: bool) -> int:
         return 1
     if node.tag in NOISE_TAGS or node.tag == "header" and not inside_content:
         return -1
-    if node.names and not NOISE_WORDS.isdisjoint(_WORDS.findall(node.names)) and node.tag not in ("html", "body"):
-        return -1
     return 0
 
 
@@ -160,28 +170,29 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def walk(root: Node, paths: bool = True) -> Iterator[tuple[int, Node, int, bool]]:
-    """(path, node, purpose, inside content) of the elements from the top, parents first, none below noise.
+def walk(root: Node, paths: bool = True) -> Iterator[tuple[int, Node, int, bool, bool]]:
+    """(path, node, purpose, inside content, in a suspect branch) of the elements from the top, parents first, none below noise.
     A path is the hash of the parent's path and the node's style (0 throughout without ``paths``)."""
-    todo = [(0, root, 0, False)]
+    todo = [(0, root, 0, False, False)]
     while todo:
-        path, node, named, inside = todo.pop()
-        yield path, node, named, inside
+        path, node, named, inside, suspect = todo.pop()
+        yield path, node, named, inside, suspect
         if named < 0:
             continue
         inside = inside or named > 0
         for child in reversed(node.children):
             if isinstance(child, Node):
-                todo.append((_hash(f"{path}/{child.style}") if paths else 0, child, purpose(child, inside), inside))
+                what = purpose(child, inside)
+                todo.append((_hash(f"{path}/{child.style}") if paths else 0, child, what, inside, suspect or what == 0 and child.suspect))
 
 
-def branch_facts(root: Node) -> set[tuple[int, int, int]]:
-    """(path, layout, content) of the nodes that statistics decide on: those the markup leaves open, inside a named
-    content element only if they bear a name. Hashes of the sequence of child elements (repeats once) and of the
+def branch_facts(root: Node) -> set[tuple[int, int, int, bool]]:
+    """(path, layout, content, suspect) of the nodes that statistics decide on: those the markup leaves open, inside a
+    named content element only if they bear a name or are in a suspect branch. Hashes of the sequence of child elements (repeats once) and of the
     node's own text (0: none)."""
     facts = set()
-    for path, node, named, inside in walk(root):
-        if named or inside and not node.names:
+    for path, node, named, inside, suspect in walk(root):
+        if named or inside and not node.names and not suspect:
             continue
         styles, texts = [], []
         for c in node.children:
@@ -193,7 +204,7 @@ def branch_facts(root: Node) -> set[tuple[int, int, int]]:
             else:
                 texts.append(c.strip())
         text = "\n".join(filter(None, texts))
-        facts.add((path, _hash(">".join(styles)), _hash(text) if text else 0))
+        facts.add((path, _hash(">".join(styles)), _hash(text) if text else 0, suspect))
     return facts
 
 
@@ -201,10 +212,10 @@ def text_blocks(root: Node, low: frozenset | set = frozenset()) -> list[str]:
     """Texts of the page's blocks in order. Noise goes; what lies outside goes if the page names a content element;
     a branch goes if all that statistics decide in it is ``low`` and none of it is named content."""
     nodes = list(walk(root, bool(low)))
-    only_named = any(named > 0 for _, _, named, _ in nodes)
+    only_named = any(named > 0 for _, _, named, _, _ in nodes)
     kept: set[int] = set()  # ids of nodes whose branch stays
-    for path, node, named, inside in reversed(nodes):
-        decided = path in low and (not inside or bool(node.names))
+    for path, node, named, inside, suspect in reversed(nodes):
+        decided = path in low and (not inside or bool(node.names) or suspect)
         if named > 0 or named == 0 and (not decided or any(id(c) in kept for c in node.children if isinstance(c, Node))):
             if named > 0 or inside or not only_named or any(id(c) in kept for c in node.children):
                 kept.add(id(node))
@@ -248,21 +259,21 @@ def host_of(url: Column) -> Column:
 
 
 def style_facts(pages: DataFrame) -> DataFrame:
-    """``host, page_hash, path, layout, content`` of ``pages`` (host, page_hash, html); identical pages of a host once."""
+    """``host, page_hash, path, layout, content, suspect`` of ``pages`` (host, page_hash, html); identical pages of a host once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "html", 4 << 20):
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for host, h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b, "html")):
                 for row in branch_facts(parse(page)):
                     for col, v in zip(out, (host, h, *row)):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:])],
-                names=["host", "page_hash", "path", "layout", "content"],
+                [pa.array(out[0], pa.string()), *(pa.array(x, pa.int64()) for x in out[1:5]), pa.array(out[5], pa.bool_())],
+                names=["host", "page_hash", "path", "layout", "content", "suspect"],
             )
 
-    schema = "host string, page_hash long, path long, layout long, content long"
+    schema = "host string, page_hash long, path long, layout long, content long, suspect boolean"
     return pages.select("host", "page_hash", "html").mapInArrow(run, schema).distinct()
 
 
@@ -291,12 +302,14 @@ def style_tree(facts: DataFrame, min_pages: int = MIN_PAGES, damping: float = DA
 
 
 def low_branches(facts: DataFrame, tree: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``host, page_hash, low``: the paths of each page that its host's tree, or else the tree of all hosts, finds low."""
+    """``host, page_hash, low``: the paths of each page that its host's tree, or else the tree of all hosts, finds low.
+    Where neither has enough pages to tell, suspect branches are low and others not."""
     own = tree.filter("host <> '*'").withColumnRenamed("importance", "own")
     every = tree.filter("host = '*'").select("path", F.col("importance").alias("every"))
-    judged = facts.filter("content <> 0").select("host", "page_hash", "path").distinct()  # without text there is nothing to drop
+    judged = facts.filter("content <> 0").groupBy("host", "page_hash", "path").agg(F.bool_and("suspect").alias("suspect"))  # without text there is nothing to drop
     judged = judged.join(broadcast_if_small(own), ["host", "path"], "left").join(broadcast_if_small(every), "path", "left")
-    return judged.filter(F.coalesce("own", "every", F.lit(1.0)) < threshold).groupBy("host", "page_hash").agg(F.collect_set("path").alias("low"))
+    unknown = F.when(F.col("suspect"), 0.0).otherwise(1.0)
+    return judged.filter(F.coalesce(F.col("own"), F.col("every"), unknown) < threshold).groupBy("host", "page_hash").agg(F.collect_set("path").alias("low"))
 
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, threshold: float = THRESHOLD) -> DataFrame:
