@@ -39,6 +39,45 @@ def test_ids_of_documents(reference, spark, sf):
     assert all(np.frombuffer(tokens.encoder(BPE)(t), dtype="<u2").tolist() == reference(t) for t in texts)
 
 
+MARK = "<|endoftext|>"
+MARKED = [MARK, f"a {MARK} x", f"{MARK}{MARK}", f" {MARK} \n {MARK}  b ", f"it's{MARK}'s", f"<|{MARK}|> <|endoftext|", f"A{MARK.upper()}"]
+
+
+@pytest.fixture(scope="module")
+def default_reference():
+    t = Tokenizer.from_file(BPE)  # as it comes: added tokens in a text are their ids
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.just(MARK), st.sampled_from(HARD[:13]), st.text(max_size=12)), max_size=6))
+def test_added_tokens_are_their_ids(default_reference, parts):
+    encode = tokens.encoder(BPE, added_tokens=True)
+    for text in ["".join(parts), *MARKED]:
+        assert np.frombuffer(encode(text), dtype="<u2").tolist() == default_reference(text)
+
+
+def test_queries_take_added_tokens(spark, docs, default_reference, tmp_path):
+    import corpus_pipeline
+    from trellis.llm import queries
+
+    rows = list(enumerate([*MARKED, *HARD, MARK * 3000]))
+    df = docs(rows)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    ids = {i: np.array(default_reference(t) + [0], dtype="<u4") for i, t in rows}
+    for p in queries.op3_hilbert_packing(spark, str(tmp_path)).collect():
+        assert p.doc_tokens == len(ids[p.doc_id])
+        assert p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes())
+    check_pieces(corpus_pipeline.packing_stage(spark, df, "").collect(), rows, default_reference, packing.SEQUENCE)
+    total = sum(len(default_reference(t)) + 1 for _, t in rows)
+    got = queries.op8_feistel_shards(spark, str(tmp_path)).collect()
+    assert len(got) == -(-total // training_order.LENGTH)  # spelled marks would take seven times the sequences
+    stream = training_order.round_trip(df, BPE, "k", added_tokens=True).collect()
+    marks = sum(default_reference(t).count(50256) + 1 for _, t in rows)
+    found = sum(int((np.frombuffer(bytes(r.ids), dtype="<u2") == 50256).sum()) for r in stream)
+    assert found == marks + -total % training_order.LENGTH  # the last sequence is filled up
+
+
 ROWS = [(i, t) for i, t in enumerate(HARD)] + [(100, None), (3, HARD[3]), (None, "no id"), (101, "long text of words. " * 4000)]
 
 

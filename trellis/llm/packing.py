@@ -81,14 +81,14 @@ def hilbert(coords: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def tokenized(df: DataFrame, path: str, id_col: str, text_col: str, eos: int) -> DataFrame:
+def tokenized(df: DataFrame, path: str, id_col: str, text_col: str, eos: int, added_tokens: bool = False) -> DataFrame:
     """``doc_id, start, doc_tokens, ids, key``: the ids of each document (unsigned 16-bit little-endian, end mark
     included) in rows of at most ``ROW_TOKENS``, with the Hilbert key of the whole document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = directions(1 << 16)
         end = np.array([eos], dtype="<u2").tobytes()
-        for b, ids in encoded(batches, path):
+        for b, ids in encoded(batches, path, added_tokens=added_tokens):
             where = points([np.frombuffer(x, dtype="<u2") for x in ids], table)
             key = hilbert((where * (1 << BITS)).astype(np.int64))
             rows = [
@@ -132,10 +132,11 @@ def powers(n: int) -> list[int]:
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
 
-def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE, eos: int = 0) -> DataFrame:
+def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEQUENCE, eos: int = 0,
+         added_tokens: bool = False) -> DataFrame:
     """Pieces of sequences, one row each: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``.
 
-    ``path``: a ``tokenizers`` file. Each document's ids are followed by ``eos``; each id is
+    ``path``: a ``tokenizers`` file; with ``added_tokens`` its added tokens in a text stand for their ids. Each document's ids are followed by ``eos``; each id is
     in exactly one piece; a sequence is gapless from offset 0 and holds ``size`` ids or a
     power of two. ``ids`` are unsigned 16-bit, little-endian.
 
@@ -143,7 +144,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     ids stay null; ties on the curve are ordered by id and ids; an empty table gives no
     rows; other columns are ignored. A very long document travels in many rows.
     """
-    docs = materialise(tokenized(df, path, id_col, text_col, eos), "token-ids")
+    docs = materialise(tokenized(df, path, id_col, text_col, eos, added_tokens), "token-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seqs = _Sequences(TaskContext.get().partitionId() << 40, size)

@@ -36,7 +36,7 @@ def op2_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return packing.id_digests(packing.pack(docs, _tokenizer("byte_bpe_50k.json")))
+    return packing.id_digests(packing.pack(docs, _tokenizer("byte_bpe_50k.json"), added_tokens=True))
 
 
 def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op7_quality_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return training_order.sequence_digests(training_order.round_trip(docs, _tokenizer("byte_bpe_50k.json"), "epoch-0"))
+    return training_order.sequence_digests(training_order.round_trip(docs, _tokenizer("byte_bpe_50k.json"), "epoch-0", added_tokens=True))
 
 
 def op9_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ units (a run with the blank before it, or white space), each distinct unit is en
 once per worker, and the ids of a text are the joined ids of its units. Units are kept
 in a bounded table that is emptied when full. The vocabulary is read from the
 ``tokenizers`` JSON file; units are encoded from its ranks (in this kind of file a
-merge's rank is the order of its id), which the tests hold against ``tokenizers``.
+merge's rank is the order of its id), which the tests hold against ``tokenizers``. With
+``added_tokens`` a text is first cut at the file's added tokens, which stand for their ids
+(the default of ``tokenizers``); without, they are spelled (``encode_special_tokens``).
 """
 
 from __future__ import annotations
@@ -56,7 +58,10 @@ class _Units(dict):
         special = {t["content"] for t in spec["added_tokens"]}
         byte = _byte_characters()
         ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        if max(ranks.values()) >= 1 << 16:
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError("added tokens that take blanks along or stand alone")
+        self.added = {t["content"]: _packed([t["id"]]) for t in spec["added_tokens"] if t["id"] < 1 << 16}
+        if max(ranks.values()) >= 1 << 16 or len(self.added) < len(spec["added_tokens"]):
             raise ValueError("ids do not fit 16 bits")
         bpe = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.encode, self.encode_piece = bpe.encode_ordinary, bpe._encode_single_piece
@@ -78,20 +83,30 @@ def _units(path: str) -> _Units:
     return _Units(path)
 
 
-def encoder(path: str):
+def encoder(path: str, added_tokens: bool = False):
     """text -> bytes of its ids (unsigned 16 bit, little-endian)."""
     units = _units(path)
 
-    def encode(text: str) -> bytes:
+    def spelled(text: str) -> bytes:
         if len(units) > UNITS:
             units.clear()
         return b"".join(map(units.__getitem__, _UNIT.findall(text)))
 
+    if not added_tokens or not units.added:
+        return spelled
+    added = units.added
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> bytes:
+        if not any(t in text for t in added):
+            return spelled(text)
+        return b"".join(added[part] if i % 2 else spelled(part) for i, part in enumerate(cut.split(text)))
+
     return encode
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, name: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def encoded(batches: Iterator[pa.RecordBatch], path: str, name: str = "text", added_tokens: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Batches with the id bytes of each of their texts (null: none)."""
-    encode = encoder(path)
+    encode = encoder(path, added_tokens)
     for b in slices(batches, name):
         yield b, [encode(t) for t in texts_of(b, name)]

@@ -70,13 +70,13 @@ class Feistel:
         return self._walk(slot, True)
 
 
-def token_rows(df: DataFrame, path: str, text_col: str, eos: int) -> DataFrame:
+def token_rows(df: DataFrame, path: str, text_col: str, eos: int, added_tokens: bool = False) -> DataFrame:
     """``part, inside, ids``: the tokens of each row with the end mark, the partition it was read in, and the tokens
     before it there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, part, inside = np.array([eos], dtype="<u2").tobytes(), TaskContext.get().partitionId(), 0
-        for b, ids in encoded(batches, path):
+        for b, ids in encoded(batches, path, added_tokens=added_tokens):
             n = np.array([len(x) // 2 + 1 for x in ids], dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(n), part, np.int32)), pa.array(inside + np.cumsum(n) - n), pa.array([x + end for x in ids], pa.binary())],
@@ -101,18 +101,19 @@ MANIFEST = "shard long, file string, sequences long, bytes long"
 
 def write_shards(
     df: DataFrame, path: str, folder: str, key: str, text_col: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD,
-    eos: int = 50256,
+    eos: int = 50256, added_tokens: bool = False,
 ) -> DataFrame:
     """Write the shards of ``df`` below ``folder``; returns the manifest ``shard, file, sequences, bytes``.
 
-    ``path``: a ``tokenizers`` file with ids under 65,536. The last sequence is filled up
+    ``path``: a ``tokenizers`` file with ids under 65,536; with ``added_tokens`` its added
+    tokens in a text stand for their ids (``eos`` too, which then also counts as an end mark). The last sequence is filled up
     with ``eos``. Only files in the manifest count: names hold the task attempt, so a
     repeated task leaves no half shard. The order of documents in the stream is that of the
     token table, which is written once; the permutation makes the sequences' order random.
     Null text is an empty text (its end mark alone); repeated rows are written each; an
     empty table gives an empty manifest; other columns, ids too, are ignored.
     """
-    rows = materialise(token_rows(df, path, text_col, eos), "token-rows")
+    rows = materialise(token_rows(df, path, text_col, eos, added_tokens), "token-rows")
     before, total = stream_starts(rows)
     n = -(-total // length)
     stride = 2 * length
