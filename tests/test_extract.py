@@ -43,3 +43,15 @@ def test_html_page_text_against_serial_brute_force(spark, sf):
         snip = None if text is None else (text if len(text) < 300 else text[:300] + "...")
         want[int(pid)] = (None if text is None else len(text), snip)
     assert got == want
+
+
+def test_result_numbers_keep_null_and_equal_rows(spark):
+    """Every row gets one number: nulls in the query or order column and equal rows too."""
+    rows = [("q", 2, "a"), ("q", 2, "a"), ("q", 2, "b"), ("q", None, "n"), ("q", 1, "c"), (None, 7, "x"), (None, None, "y"), (None, 7, "x")]
+    out = extract.number_results(spark.createDataFrame(rows, "q string, k int, content string"), "q", ["k"])
+    assert out.columns == ["q", "k", "content", "result_no"]
+    got = out.collect()
+    assert sorted(map(str, ((r.q, r.k, r.content) for r in got))) == sorted(map(str, rows))
+    for q in ("q", None):
+        mine = sorted((r.result_no, -1 if r.k is None else r.k) for r in got if r.q == q)
+        assert [n for n, _ in mine] == list(range(1, len(mine) + 1)) and [k for _, k in mine] == sorted(k for _, k in mine)

@@ -107,21 +107,24 @@ def table_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def number_results(df: DataFrame, query_col: str, order_cols: list[str]) -> DataFrame:
-    """EXT5: results numbered 1..n per query over an explicit order that tells rows apart.
+    """EXT5: results numbered 1..n per query over an explicit order; nulls come first, equal rows follow in any order.
 
-    The keys alone are range partitioned and numbered inside their partition; the counts of
-    the partitions before it (one row per query and partition) are added, and the other
-    columns are joined back, so no task sorts a whole result set."""
+    The rows are written once with an id of their own. The keys and ids are range partitioned and
+    numbered inside their partition; the counts of the partitions before it (one row per query and
+    partition) are added, and the other columns are joined back by id, so no task sorts a whole
+    result set."""
     keys = [query_col, *order_cols]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(df.select(*keys).repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()))
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    ranged = cut_lineage(rows.select(*keys, "_row").repartitionByRange(n, *keys, "_row").withColumn("_part", F.spark_partition_id()))
     before = F.sum("_n").over(Window.partitionBy(query_col).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = (ranged.groupBy(query_col, "_part").agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n"))
-    inside = F.row_number().over(Window.partitionBy(query_col, "_part").orderBy(*order_cols))
-    numbered = ranged.withColumn("_inside", inside).join(broadcast_if_small(offsets), [query_col, "_part"])
-    numbered = numbered.select(*keys, (F.col("_before") + F.col("_inside")).alias("result_no"))
-    return df.join(numbered, keys)
+               .select(F.col(query_col).alias("_query"), F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before")))
+    inside = F.row_number().over(Window.partitionBy(query_col, "_part").orderBy(*order_cols, "_row"))
+    same = F.col(query_col).eqNullSafe(F.col("_query")) & (F.col("_part") == F.col("_of"))
+    numbered = ranged.withColumn("_inside", inside).join(broadcast_if_small(offsets), same)
+    numbered = numbered.select("_row", (F.col("_before") + F.col("_inside")).alias("result_no"))
+    return rows.join(numbered, "_row").select(*keys, *[c for c in df.columns if c not in keys], "result_no")
 
 
 def bindings_map(df: DataFrame, cols: list[str]) -> DataFrame:
