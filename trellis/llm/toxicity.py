@@ -7,8 +7,8 @@ spans sums, over all subsequences of three characters that fit a window of ``WIN
 the product of their gap-weighted counts (``DECAY`` to the power of the stretch they
 cover): inserted or dropped characters lengthen the stretch and cost a factor, no more.
 
-Training rows are labelled *sentences*, taken as bags of spans: every span of a clean
-document's sentence is negative; a toxic document is positive through its witness, the
+Training rows are single spans, so an insult made of ordinary words is neither learned
+nor found: every span of a clean document is negative; a toxic document is positive through its witness, the
 span that its label and the machine trained so far support most. Nyström maps a span to
 its kernel with the landmarks (whitened), the machine is linear there, and both fold
 into one weight per subsequence, which is all that scoring needs.
