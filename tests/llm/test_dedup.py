@@ -91,6 +91,7 @@ def test_linked_pairs_share_an_anchor(blocks, max_bits):
 
 
 def brute_components(fps, ids, bits):
+    fps = fps.view(np.uint64)  # bits of signed integers are those of their absolute values
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= bits
     label = np.array(ids)
     while True:
