@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import chat, exact_dedup, lattice, packing, quality, simhash, sitetree, toxicity, training_order, warc
+from trellis.llm import bins, chat, cover_tree, exact_dedup, lattice, middle, packing, quality, simhash, sitetree, toxicity, training_order, warc
 from trellis.llm.common import materialise
 from trellis.session import ship_package
 
@@ -75,10 +75,25 @@ def op10_warc_split_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.payload_digests(warc.round_trip(_table(spark, sf_dir, "pages")))
 
 
+def op11_middle_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.digests(middle.transform(middle.store(_table(spark, sf_dir, "documents"))))
+    return made.select(F.expr("try_cast(key AS long)").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = bins.assign(_table(spark, sf_dir, "documents"), shards=8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_cover_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return cover_tree.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_gumbel_topk_segmentations, op2_chat_prefix_targets, op3_hilbert_packing, op4_site_style_tree, op5_string_kernel_toxicity, op6_simhash_anchor_cover, op7_quality_decision_list,
-        op8_feistel_shards, op9_chunk_recipes, op10_warc_split_reader,
+        op8_feistel_shards, op9_chunk_recipes, op10_warc_split_reader, op11_middle_frames, op12_best_fit_shards, op13_cover_tree_negatives,
     )}
 
 
@@ -114,6 +129,25 @@ SELECT page_id, octet_length(encode(h)) AS payload_bytes,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM p JOIN f USING (h) JOIN b USING (h)
+""",
+    "op11_middle_frames": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, text, u, len(u) AS n, list_transform(range(4), lambda i: CAST('0x' || substr(x, CAST(8 * i + 1 AS BIGINT), 8) AS BIGINT)) AS h FROM t),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+""",
+    "op13_cover_tree_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = e.label AS same, e.vec_id, CAST(list_dot_product(a.v, e.v) AS BIGINT) AS score FROM e AS a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) QUALIFY rank <= 3
 """,
 }
 
