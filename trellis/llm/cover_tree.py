@@ -33,7 +33,7 @@ CELLS = 256
 #: Rows of a block: the square root of all rows times 16, within these limits.
 BLOCK_ROWS = (4096, 65536)
 #: A node with so many candidates or fewer is a leaf; a node has so many children at most.
-LEAF = 512
+LEAF = 256
 FANOUT = 32
 #: Queries that travel in a row; rows of queries that meet one copy of a tree (more queries: more copies); tasks of a search at most.
 PACK = 256
@@ -72,7 +72,9 @@ class Tree:
         self.centre, self.first, self.last, self.radius, self.child, self.child_end = (np.array(x) for x in zip(*nodes))
         self.centres = self.points[self.centre]
         self.lengths = np.sqrt((self.centres.astype(np.float64) ** 2).sum(1))
-        self.points, self.labels, self.ids = self.points[order], labels[order], [ids[i] for i in order]
+        self.label_names, codes = np.unique(labels, return_inverse=True)
+        self.label_names = self.label_names.tolist()
+        self.points, self.labels, self.ids = self.points[order], codes[order], [ids[i] for i in order]
 
     @staticmethod
     def _far(lifted: np.ndarray, centre: int, held=slice(None)) -> np.ndarray:
@@ -93,70 +95,63 @@ class Tree:
             mine = owner == i
             yield c, held[mine], float(near[mine].max())
 
-    def _bounds(self, q: np.ndarray, length: float, nodes: slice) -> tuple[np.ndarray, np.ndarray]:
-        """Least and largest inner product that the nodes' candidates can have with ``q``."""
-        middle = (self.centres[nodes] @ q).astype(np.float64)
-        reach = length * (self.radius[nodes] + SLACK * (self.lengths[nodes] + self.radius[nodes])) + SLACK
-        return middle - reach, middle + reach
-
-    def search(self, q: list[int], k: int, usable, windows: list[tuple[int, int] | None]) -> list[list[tuple[int, int]]]:
-        """For each window (lowest and highest score, or none) the first ``k`` (score, id) among the candidates whose labels are
-        ``usable(labels)``: higher scores first, then smaller ids."""
-        q = np.array(q, dtype=self.points.dtype)
-        length = float(np.sqrt((q.astype(np.float64) ** 2).sum()))
-        known: dict[int, tuple] = {}
-
-        def bounds(lo: int, hi: int):
-            if (lo, hi) not in known:
-                known[lo, hi] = tuple(x.tolist() for x in self._bounds(q, length, slice(lo, hi)))
-            return known[lo, hi]
-
-        def scores(node: int):
-            if node not in known:
-                lo, hi = self.first[node], self.last[node]
-                mine = np.flatnonzero(usable(self.labels[lo:hi]))
-                known[node] = mine + lo, (self.points[lo:hi][mine] @ q).astype(np.int64)
-            return known[node]
-
-        out = []
-        for window in windows:
-            lowest, highest = window if window is not None else (-math.inf, math.inf)
-            if lowest > highest:
-                out.append([])
+    def search(self, queries: np.ndarray, labels: list, same_label: bool, asked: np.ndarray, lowest: np.ndarray, highest: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """For each search the first ``k`` (score, id) with a score from ``lowest`` to ``highest``, higher scores first, then smaller ids.
+
+        Search i asks for query ``asked[i]``, among the candidates of its label or of the others. The searches go down together: the
+        node with the best bound of any comes first, with those searches that its bounds admit; what a leaf holds
+        is scored exactly for all of them at once."""
+        kind = self.points.dtype
+        none = -np.inf if kind == np.float64 else np.iinfo(np.int64).min
+        queries = queries.astype(kind)
+        lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
+        code = {x: i for i, x in enumerate(self.label_names)}
+        wanted = np.array([code.get(x, -1) for x in labels])
+        top = np.full((len(asked), k), none, dtype=kind)  # best scores so far
+        least = lowest.astype(kind)  # what a candidate must reach
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        heap: list[tuple[float, int, np.ndarray, np.ndarray]] = []
+
+        def push(lo: int, hi: int, searches: np.ndarray) -> None:
+            of, where = np.unique(asked[searches], return_inverse=True)
+            middle = (self.centres[lo:hi] @ queries[of].T).astype(np.float64)
+            reach = (self.radius[lo:hi] + SLACK * (self.lengths[lo:hi] + self.radius[lo:hi]))[:, None] * lengths[of] + SLACK
+            most = (middle + reach)[:, where]
+            fits = ((middle - reach)[:, where] <= highest[searches]) & (most >= least[searches])
+            for node in np.flatnonzero(fits.any(1)).tolist():
+                mine = fits[node]
+                heapq.heappush(heap, (-float(most[node][mine].max()), lo + node, searches[mine], most[node][mine]))
+
+        push(0, 1, np.flatnonzero(lowest <= highest))
+        while heap:
+            _, node, searches, most = heapq.heappop(heap)
+            searches = searches[most >= least[searches]]
+            if not len(searches):
                 continue
-            found: list[tuple[int, int]] = []  # (score, -id), the worst on top
-
-            def push(lo: int, hi: int, heap: list) -> None:
-                for node, least, most in zip(range(lo, hi), *bounds(lo, hi)):
-                    if least <= highest and most >= lowest and (len(found) < k or most >= found[0][0]):
-                        heapq.heappush(heap, (-most, node))
-
-            heap: list[tuple[float, int]] = []
-            push(0, 1, heap)
-            while heap:
-                most, node = heapq.heappop(heap)
-                if len(found) == k and -most < found[0][0]:
-                    break
-                if self.child[node]:
-                    push(int(self.child[node]), int(self.child_end[node]), heap)
-                    continue
-                places, exact = scores(node)
-                least = max(lowest, found[0][0]) if len(found) == k else lowest
-                fits = np.flatnonzero((exact >= least) & (exact <= highest))
-                if len(fits) > k:  # of those inside, the k best scores and all equal to the last of them
-                    kth = np.partition(exact[fits], len(fits) - k)[len(fits) - k]
-                    fits = fits[exact[fits] >= kth]
-                for i in fits.tolist():
-                    for vec_id in self.ids[places[i]][:k]:
-                        item = (int(exact[i]), -vec_id)
-                        if len(found) < k:
-                            heapq.heappush(found, item)
-                        elif item > found[0]:
-                            heapq.heapreplace(found, item)
-                        else:
-                            break  # ids rise
-            out.append([(s, -i) for s, i in sorted(found, reverse=True)])
-        return out
+            if self.child[node]:
+                push(int(self.child[node]), int(self.child_end[node]), searches)
+                continue
+            lo, hi = self.first[node], self.last[node]
+            of, where = np.unique(asked[searches], return_inverse=True)
+            exact = queries[of] @ self.points[lo:hi].T
+            exact[(self.labels[lo:hi] == wanted[of][:, None]) != same_label] = none
+            exact = exact[where]
+            exact[(exact > highest[searches][:, None]) | (exact < least[searches][:, None])] = none
+            best = np.concatenate([top[searches], exact], axis=1)
+            top[searches] = best = np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k :]
+            least[searches] = np.maximum(least[searches], best[:, 0])
+            row, place = np.nonzero((exact >= least[searches][:, None]) & (exact > none))
+            found.append((searches[row], exact[row, place].astype(np.int64), place + lo))
+        out: list[list[tuple[int, int]]] = [[] for _ in asked]
+        if found:
+            who, score, place = (np.concatenate(x) for x in zip(*found))
+            for i, s, at in zip(*(x[score >= least[who]].tolist() for x in (who, score, place))):
+                out[i] += [(-s, vec_id) for vec_id in self.ids[at][:k]]
+        return [[(-s, i) for s, i in sorted(items)[:k]] for items in out]
+
+
+#: Bounds of a search without a window.
+NO_WINDOW = (-(1 << 62), 1 << 62)
 
 
 def window_of(score: int, low: int, high: int) -> tuple[int, int]:
@@ -305,12 +300,11 @@ class Index:
                     if kind == 0:
                         tree = pickle.loads(data.as_py())
                         continue
-                    out = []
-                    for qid, label, q, marks in pickle.loads(data.as_py()):
-                        usable = (lambda x: x == label) if same_label else (lambda x: x != label)  # noqa: B023
-                        windows = [None] if marks is None else [window_of(m, low, high) for m in marks]
-                        for m, found in zip([None] if marks is None else marks, tree.search(q, k, usable, windows)):
-                            out += [(qid, m, s, j) for s, j in found]
+                    qids, labels, vectors, marks = zip(*pickle.loads(data.as_py()))
+                    asks = [(i, m) for i, of in enumerate(marks) for m in (of if of is not None else [None])]
+                    windows = np.array([NO_WINDOW if m is None else window_of(m, low, high) for _, m in asks], dtype=np.int64)
+                    found = tree.search(np.array(vectors, dtype=np.int64), labels, same_label, np.array([i for i, _ in asks]), windows[:, 0], windows[:, 1], k)
+                    out = [(qids[i], m, s, j) for (i, m), items in zip(asks, found) for s, j in items]
                     cols = list(zip(*out)) or [[], [], [], []]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["qid", "mark", "score", "vec_id"]
