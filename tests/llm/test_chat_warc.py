@@ -8,6 +8,7 @@ import io
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from trellis.llm import chat, warc
 from trellis.llm.common import scratch_path
@@ -77,6 +78,16 @@ def test_least_bytes_and_empty(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_a_task_for_each_byte_range(spark):
+    df = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}" * 50) for i in range(60)], "page_id long, url string, html string")
+    files = warc.write_archives(warc.mark_revisits(df), scratch_path(spark, "t"))
+    ranges = sum(-(-f.bytes // 300) for f in files.collect())
+    read = warc.read_archives(files, 300)
+    assert ranges > 20 and read.rdd.getNumPartitions() == ranges and read.count() == 60
+    whole = warc.read_archives(files, 1 << 20)
+    assert whole.select(F.spark_partition_id()).distinct().count() == files.filter("records > 0").count()
+
+
 def test_archives_roll_and_are_plain_gzip(spark):
     df = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}" * 50) for i in range(40)], "page_id long, url string, html string")
     files = warc.write_archives(warc.mark_revisits(df).coalesce(1), scratch_path(spark, "t"), archive_bytes=2000).collect()

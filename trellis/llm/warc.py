@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import materialise, scratch_path, slices
+from trellis.llm.common import materialise, numbered, scratch_path, slices
 
 # Fixed values of the format.
 MAGIC = b"\x1f\x8b\x08"
@@ -31,6 +31,8 @@ ID_PREFIX = "urn:x-page:"
 ARCHIVE_BYTES = 256 << 20
 SPLIT_BYTES = 32 << 20
 READ_BYTES = 256 << 10
+#: Tasks that read at most; with more byte ranges a task has several.
+MOST_TASKS = 100_000
 
 RECORD = "file string, offset long, record_type string, record_id string, target_uri string, refers_to string, " \
     "payload_digest string, payload_bytes long, payload binary"
@@ -71,6 +73,8 @@ def write_archives(pages: DataFrame, folder: str, level: int = 3, archive_bytes:
     ``pages``: page_id, url, html, record_type, refers_to. Each partition writes its own
     archives, starting a new one after ``archive_bytes``. Names hold the task attempt, and
     only files that the manifest lists count, so a repeated or lost task leaves no half archive.
+    Null html is an empty payload, a null url or id an empty field; repeated rows give a record each; an
+    empty table gives an empty manifest; other columns are ignored.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +220,10 @@ def read_archives(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
     ranges = files.filter("bytes > 0").select(
         "file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, step)).alias("start")
     ).withColumn("end", F.least(F.col("start") + step, "bytes"))
-    return ranges.repartition("file", "start").mapInArrow(read, RECORD)
+    n = files.agg(F.coalesce(F.sum(F.ceil(F.col("bytes") / step)), F.lit(0))).first()[0]
+    tasks = max(1, min(int(n), MOST_TASKS))
+    dealt = numbered(ranges, "file", "start", label="byte-ranges").repartitionById(tasks, F.pmod("rank", F.lit(tasks)).cast("int"))  # a range a task
+    return dealt.drop("rank").mapInArrow(read, RECORD)
 
 
 def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
