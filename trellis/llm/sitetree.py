@@ -11,7 +11,10 @@ host shows too few pages. Branches of nothing but noise and low nodes are remove
 each page and the rest is read as blocks. Statistics decide on paths, never on single
 texts, so a passage that many pages quote stays where other text of its path differs.
 A class name that sounds like noise, or a form, is a suspicion only: such a branch goes if
-it holds no content element and the tree finds it low or has too few pages to tell.
+it holds no content element and the tree finds it low or has too few pages to tell. Names of
+reader comments, adverts, sharing, cookie and subscription boxes are more than that, as
+such texts differ from page to page: their branches go unless they wrap the page, that is
+hold its only content element or half of its text.
 """
 
 from __future__ import annotations
@@ -49,6 +52,15 @@ NOISE_WORDS = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended widget comment comments respond reply "
     "replies disqus pagination pager skip toolbar search form contentinfo complementary".split()
 )
+# Names of reader comments, adverts and boxes, alone or as the first part of a name with one of the second parts.
+FOREIGN_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored comment comments reply replies respond disqus share sharing "
+    "social cookie cookies consent gdpr newsletter subscribe subscription".split()
+)
+FOREIGN_PARTS = frozenset(
+    "area author banner bar block body box buttons container content form item label links list meta modal panel popup section slot text "
+    "thread unit widget wrap wrapper".split()
+)
 # elements that a start tag closes, and the elements it does not look beyond
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -65,14 +77,16 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element with its children; texts are children of type str."""
 
-    __slots__ = ("tag", "names", "children", "holds")
+    __slots__ = ("tag", "names", "children", "holds", "foreign", "wraps")
 
     def __init__(self, tag: str, names: str = ""):
-        self.tag, self.names, self.children, self.holds = tag, names, [], False  # holds: a content element inside
+        self.tag, self.names, self.children = tag, names, []
+        # a content element inside; a branch of comments, adverts or the like; named so, but three quarters of the page's text
+        self.holds, self.foreign, self.wraps = False, False, False
 
     @property
     def suspect(self) -> bool:
-        if self.holds or self.tag in ("html", "body"):
+        if self.holds or self.wraps or self.tag in ("html", "body"):
             return False
         return self.tag == "form" or bool(self.names) and not NOISE_WORDS.isdisjoint(self.names.split())
 
@@ -81,6 +95,40 @@ class Node:
         return f"{self.tag}.{self.names}" if self.names else self.tag
 
 
+def sounds_foreign(names: str) -> bool:
+    """Do the names say comments, adverts or the like."""
+    for name in names.split():
+        first, *rest = re.split("[-_]+", name)
+        if first in FOREIGN_WORDS and FOREIGN_PARTS.issuperset(rest):
+            return True
+    return False
+
+
+def mark_foreign(root: Node) -> None:
+    """Mark the branches that are named comments, adverts or the like and do not wrap the page: one that holds all its content
+    elements, or half or more of the text that remains, is looked into instead, and is no longer suspect with three quarters."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(c for c in reversed(node.children) if isinstance(c, Node) and c.tag not in NOISE_TAGS)
+    size, content = {}, {}  # characters of text and content elements of a branch
+    for node in reversed(order):
+        inside = [c for c in node.children if isinstance(c, Node) and id(c) in size]
+        size[id(node)] = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(size[id(c)] for c in inside)
+        content[id(node)] = (node.tag in CONTENT_TAGS and not sounds_foreign(node.names)) + sum(content[id(c)] for c in inside)
+    left, elements, todo = size[id(root)], content[id(root)], [root]
+    while todo:
+        node = todo.pop()
+        mine, held = size[id(node)], content[id(node)]
+        if node.tag != "body" and node is not root and sounds_foreign(node.names) and mine < left - mine and (not held or held < elements):
+            node.foreign = True
+            left, elements = left - mine, elements - held
+            continue
+        node.wraps = sounds_foreign(node.names) and mine >= 3 * (left - mine)
+        todo.extend(c for c in reversed(node.children) if isinstance(c, Node) and id(c) in size)
+
+
 class _Open:
     """Open elements, with how many there are of each tag."""
 
@@ -110,7 +158,7 @@ def parse(page: str) -> Node:
     """Tree of a page. Tolerates unclosed and stray tags; the content of scripts, styles and the like is left out."""
     root = Node("html")
     open_ = _Open(root)
-    at, n = 0, len(page)
+    at, n, foreign = 0, len(page), False
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -141,7 +189,9 @@ def parse(page: str) -> Node:
             names = " ".join(sorted({w for v in found.values() for w in v.lower().split()}))
         node = Node(tag, names)
         open_.nodes[-1].children.append(node)
-        if tag in CONTENT_TAGS:
+        strange = bool(names) and sounds_foreign(names)
+        foreign = foreign or strange
+        if tag in CONTENT_TAGS and not strange:
             for around in reversed(open_.nodes):
                 if around.holds:
                     break
@@ -153,11 +203,15 @@ def parse(page: str) -> Node:
             at = end.end() if end else n
             continue
         open_.push(node)
+    if foreign:
+        mark_foreign(root)
     return root
 
 
 def purpose(node: Node, inside_content: bool) -> int:
     """1 if the markup names the node content, -1 if noise, 0 if it says nothing."""
+    if node.foreign:
+        return -1
     if node.tag in CONTENT_TAGS and not inside_content:
         return 1
     if node.tag in NOISE_TAGS or node.tag == "header" and not inside_content:
