@@ -1,7 +1,7 @@
 """Training-order materialisation: fixed-stride binary shards in a keyed random order.
 
-All tokens form one stream (the documents as the token table holds them, an end mark
-after each) that is cut into sequences of ``length`` ids. A keyed Feistel permutation with cycle-walking sends the
+All tokens form one stream (the documents by id, an end mark after each) that is cut into
+sequences of ``length`` ids. A keyed Feistel permutation with cycle-walking sends the
 number of a sequence to its global slot, so the order is random, needs no sort key, and
 both directions can be computed anywhere. Shard s holds slots [s * per_shard,
 (s + 1) * per_shard); slot k lies at byte (k mod per_shard) * stride of its shard, so a
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ from trellis.llm.tokens import encoded
 LENGTH = 1024
 PER_SHARD = 4096
 ROUNDS = 6
+#: Tasks of a shuffle at most; with more shards a task has several.
+MOST_TASKS = 100_000
 
 
 class Feistel:
@@ -70,37 +73,84 @@ class Feistel:
         return self._walk(slot, True)
 
 
-def token_rows(df: DataFrame, path: str, text_col: str, eos: int, added_tokens: bool = False) -> DataFrame:
-    """``part, inside, ids``: the tokens of each row with the end mark, the partition it was read in, and the tokens
-    before it there."""
+ROWS = "part int, at long, id string, n long, digest long, ids binary"
+
+
+def token_rows(df: DataFrame, path: str, text_col: str, id_col: str, eos: int, added_tokens: bool = False) -> DataFrame:
+    """``part, at, id, n, digest, ids``: the tokens of each row with the end mark, their number and digest, and the place of the row: the
+    partition it was read in, and the rows before it there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end, part, inside = np.array([eos], dtype="<u2").tobytes(), TaskContext.get().partitionId(), 0
+        end, part, at = np.array([eos], dtype="<u2").tobytes(), TaskContext.get().partitionId(), 0
         for b, ids in encoded(batches, path, added_tokens=added_tokens):
-            n = np.array([len(x) // 2 + 1 for x in ids], dtype=np.int64)
+            ids = [x + end for x in ids]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), pa.array(inside + np.cumsum(n) - n), pa.array([x + end for x in ids], pa.binary())],
-                names=["part", "inside", "ids"],
+                [pa.array(np.full(len(ids), part, np.int32)), pa.array(at + np.arange(len(ids))), b.column(1), pa.array([len(x) // 2 for x in ids], pa.int64()),
+                 pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                names=["part", "at", "id", "n", "digest", "ids"],
             )
-            inside += int(n.sum())
+            at += len(ids)
+
+    return df.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id")).mapInArrow(run, ROWS)
 
-    return df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "part int, inside long, ids binary")
 
+def stream_starts(rows: DataFrame, folder: str) -> int:
+    """Write where each row of ``rows`` begins in the stream, one file of whole numbers for each ``part`` of ``rows``; returns the tokens of all.
+
+    The stream's order is that of ids (whole numbers first, by value; of equal ones by their tokens), whatever the partitions.
+    Ranges of ids are summed in their tasks, and each range's sums go on from those of the ranges before it: one number a range
+    reaches the driver.
+    """
 
-def stream_starts(rows: DataFrame) -> tuple[dict[int, int], int]:
-    """Tokens before each partition of ``rows`` in the stream (one number per partition), and the total."""
-    ends = rows.groupBy("part").agg(F.max(F.col("inside") + F.octet_length("ids") / 2).cast("long").alias("n")).collect()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            ends = total + np.cumsum(b.column(2).to_numpy())
+            starts = np.concatenate(([total], ends[:-1])) if len(ends) else ends
+            total = int(ends[-1]) if len(ends) else total
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.full(len(ends), place, np.int32)), pa.array(starts), pa.array(ends)],
+                                             names=["part", "at", "place", "start", "upto"])
+
+    order = [F.expr("try_cast(id AS long)").isNull().alias("a"), F.expr("try_cast(id AS long)").alias("b"), "id", "digest"]
+    keyed = rows.select("part", "at", "n", *order).repartitionByRange("a", "b", "id", "digest").sortWithinPartitions("a", "b", "id", "digest")
+    sums = materialise(keyed.select("part", "at", "n").mapInArrow(add, "part int, at long, place int, start long, upto long"), "stream-sums")
     before, total = {}, 0
-    for r in sorted(ends, key=lambda r: r["part"]):
-        before[r["part"]], total = total, total + r["n"]
-    return before, total
+    for r in sorted(sums.groupBy("place").agg(F.max("upto").alias("n")).collect(), key=lambda r: r["place"]):
+        before[r["place"]], total = total, total + r["n"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        held, parts = None, []
+
+        def close() -> None:
+            with fs.open_output_stream(f"{root}/{held}", compression=None) as out:  # a repeated task writes the same again
+                out.write(np.concatenate(parts).astype("<i8").tobytes())
+
+        for b in batches:
+            part, place = b.column(0).to_numpy(), b.column(1).to_numpy()
+            starts = b.column(2).to_numpy() + np.array([before[p] for p in place.tolist()], dtype=np.int64)
+            bounds = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+            for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                if part[i] != held:
+                    if parts:
+                        close()
+                    held, parts = int(part[i]), []
+                parts.append(starts[i:j])
+        if parts:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32())], names=["done"])
+
+    back = sums.select("part", "place", "start", "at").repartition("part").sortWithinPartitions("part", "at")
+    back.select("part", "place", "start").mapInArrow(write, "done int").count()
+    return total
 
 
 MANIFEST = "shard long, file string, sequences long, bytes long"
 
 
 def write_shards(
-    df: DataFrame, path: str, folder: str, key: str, text_col: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD,
+    df: DataFrame, path: str, folder: str, key: str, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH, per_shard: int = PER_SHARD,
     eos: int = 50256, added_tokens: bool = False,
 ) -> DataFrame:
     """Write the shards of ``df`` below ``folder``; returns the manifest ``shard, file, sequences, bytes``.
@@ -108,23 +158,30 @@ def write_shards(
     ``path``: a ``tokenizers`` file with ids under 65,536; with ``added_tokens`` its added
     tokens in a text stand for their ids (``eos`` too, which then also counts as an end mark). The last sequence is filled up
     with ``eos``. Only files in the manifest count: names hold the task attempt, so a
-    repeated task leaves no half shard. The order of documents in the stream is that of the
-    token table, which is written once; the permutation makes the sequences' order random.
-    Null text is an empty text (its end mark alone); repeated rows are written each; an
-    empty table gives an empty manifest; other columns, ids too, are ignored.
+    repeated task leaves no half shard. The order of documents in the stream is that of
+    their ids, so the shards depend on the rows and the key alone, not on files or partitions;
+    the permutation makes the sequences' order random. Null text is an empty text (its end
+    mark alone); null ids come last, equal ones by their tokens; repeated rows are written each;
+    an empty table gives an empty manifest; other columns are ignored.
     """
-    rows = materialise(token_rows(df, path, text_col, eos, added_tokens), "token-rows")
-    before, total = stream_starts(rows)
+    rows = materialise(token_rows(df, path, text_col, id_col, eos, added_tokens), "token-rows")
+    starts_folder = scratch_path(df.sparkSession, "stream-starts")
+    total = stream_starts(rows, starts_folder)
     n = -(-total // length)
     stride = 2 * length
     permute = Feistel(max(n, 1), key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
+        fs, root = pafs.FileSystem.from_uri(starts_folder)
+        held, starts = None, None
         for b in batches:
             at_of, pieces, numbers = [], [], []
-            for part, inside_part, ids in zip(*(b.column(i).to_pylist() for i in range(3))):
-                i, size, at = 0, len(ids) // 2, before[part] + inside_part
+            for part, row, ids in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if part != held:  # a task reads few parts, each in a row
+                    with fs.open_input_file(f"{root}/{part}") as f:
+                        held, starts = part, np.frombuffer(f.read(), dtype="<i8").tolist()
+                i, size, at = 0, len(ids) // 2, starts[row]
                 while i < size:
                     number, inside = divmod(at + i, length)
                     take = min(size - i, length - inside)
@@ -181,9 +238,10 @@ def write_shards(
             names=["shard", "file", "sequences", "bytes"],
         )
 
-    shards = -(-n // per_shard)
-    pieces = rows.mapInArrow(cut, "shard long, n long, pieces binary")
-    ranged = pieces.repartitionByRange(max(1, shards), "shard").sortWithinPartitions("shard")
+    shards = max(1, -(-n // per_shard))
+    tasks = min(shards, MOST_TASKS)
+    pieces = rows.select("part", "at", "ids").mapInArrow(cut, "shard long, n long, pieces binary")
+    ranged = pieces.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int")).sortWithinPartitions("shard")
     return materialise(ranged.mapInArrow(write, MANIFEST), "shard-manifest")
 
 
@@ -212,11 +270,13 @@ def read_sequences(manifest: DataFrame, key: str, length: int = LENGTH, per_shar
                         )
 
     needed = manifest.filter(F.col("shard") * per_shard + F.col("sequences") > from_slot)
-    return needed.repartition("shard").mapInArrow(run, "slot long, number long, shard long, byte long, ids binary")
+    first, tasks = from_slot // per_shard, max(1, min(-(-total // per_shard) - from_slot // per_shard, MOST_TASKS))
+    dealt = needed.repartitionById(tasks, F.pmod(F.col("shard") - first, F.lit(tasks)).cast("int"))  # a shard a task
+    return dealt.mapInArrow(run, "slot long, number long, shard long, byte long, ids binary")
 
 
 def sequence_digests(sequences: DataFrame) -> DataFrame:
-    """Sequences with ``n_docs`` (end marks) and ``ids_crc32`` instead of their ids."""
+    """Sequences with ``n_tokens`` and ``ids_crc32`` instead of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
