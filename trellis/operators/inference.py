@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from trellis import vocab as V
 from trellis.operators.closure import transitive_closure
+from trellis.operators.hierarchy import Hierarchy, both_ways
 from trellis.session import broadcast_if_small, cut_lineage
 
 
@@ -33,10 +34,18 @@ def ontology_triples(frames: dict[str, DataFrame]) -> DataFrame:
     return edges.unionByName(labels)
 
 
-def class_closure(class_edges: DataFrame) -> DataFrame:
-    """INF1: (sub, sup) reflexive-transitive over the class hierarchy."""
-    clo = transitive_closure(class_edges, "sub", "sup").select(F.col("desc").alias("sub"), F.col("anc").alias("sup"))
-    return clo.distinct()
+def class_hierarchy(class_edges: DataFrame, axioms: DataFrame | None = None) -> Hierarchy:
+    """INF1 + INF4: subclass edges and the ``equivalentClass`` axioms as one hierarchy."""
+    edges = class_edges.select("sub", "sup")
+    if axioms is not None:
+        edges = edges.unionByName(both_ways(axioms.where(F.col("kind") == "equivalentClass"), "p", "arg"))
+    return Hierarchy(edges)
+
+
+def class_closure(class_edges: DataFrame, axioms: DataFrame | None = None) -> DataFrame:
+    """INF1: (sub, sup), transitive over the class hierarchy, equivalent classes (of ``axioms``) included; classes of
+    a circle are also above themselves."""
+    return class_hierarchy(class_edges, axioms).pairs()
 
 
 def infer_types(types: DataFrame, class_clo: DataFrame) -> DataFrame:
@@ -100,17 +109,91 @@ def property_axioms(triples: DataFrame, axioms: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def infer_fixpoint(triples: DataFrame, axioms: DataFrame) -> DataFrame:
-    """INF3 + INF4 until neither adds a triple. Rules only add triples over the nodes and
-    properties there are, so the rounds end; each is written to the checkpoint folder."""
-    cur = cut_lineage(triples.select("s", "p", "o", "o_kind", "o_lang").distinct())
-    n = cur.count()
+def property_lifts(axioms: DataFrame) -> DataFrame:
+    """``p, q, flip, literal``: every property q that a triple of p also holds under, with subject and object exchanged or
+    not; those of literal objects, which cannot be subjects, are listed apart.
+
+    Sub-, equivalent, inverse and symmetric properties are edges between properties read forwards ("+") and
+    backwards ("-"), for literals as they are ("="); the closure of that graph (ontology-sized) holds every chain of
+    such axioms, so one join lifts a triple through all of them."""
+    turned = F.create_map(*[F.lit(x) for x in ("+", "-", "-", "+")])
+    ax = axioms.select("p", "kind", "arg", F.explode(F.array(*map(F.lit, "+-="))).alias("g"))
+    edge = lambda df, a, g, b, h: df.select(F.concat(g, F.col(a)).alias("sub"), F.concat(h, F.col(b)).alias("sup"))
+    of = lambda *kinds: ax.where(F.col("kind").isin(*kinds))
+    g, back = F.col("g"), turned[F.col("g")]
+    edges = (edge(of("subPropertyOf", "equivalentProperty"), "p", g, "arg", g).unionByName(edge(of("equivalentProperty"), "arg", g, "p", g))
+             .unionByName(edge(of("inverseOf"), "p", g, "arg", back)).unionByName(edge(of("inverseOf"), "arg", g, "p", back))
+             .unionByName(edge(of("symmetric"), "p", g, "p", back)))
+    pairs = Hierarchy(edges).pairs().where((F.substring("sub", 1, 1) != "-") & (F.col("sub") != F.col("sup")))
+    name = lambda col: F.substring(F.col(col), F.lit(2), F.length(col))
+    first = lambda col, c: F.substring(col, 1, 1) == c
+    return pairs.select(name("sub").alias("p"), name("sup").alias("q"), first("sup", "-").alias("flip"), first("sub", "=").alias("literal"))
+
+
+TRIPLE = ("s", "p", "o", "o_kind", "o_lang")
+
+
+def infer_fixpoint(triples: DataFrame, axioms: DataFrame, class_edges: DataFrame | None = None, rounds: list | None = None) -> DataFrame:
+    """INF1-INF4 until nothing is added: sub-, equivalent, inverse, symmetric and transitive properties, domains, ranges,
+    subclasses and equivalent classes. Returns the input triples plus inferred ones, a set.
+
+    Semi-naive: a round joins only the triples that the last one added with the axiom tables (whose closures are
+    taken once, before) and, under transitive properties, with the edges there are. What it makes is compared with
+    the store and written to the checkpoint folder. ``rounds``, if given, gets (triples joined, triples made, triples
+    new) of each. Rules only add triples over the nodes and properties there are, so the rounds end."""
+    lifts = broadcast_if_small(cut_lineage(property_lifts(axioms)))
+    edges = class_edges if class_edges is not None else axioms.select(F.col("p").alias("sub"), F.col("arg").alias("sup")).where(F.lit(False))
+    supers = broadcast_if_small(cut_lineage(class_hierarchy(edges, axioms).supers()).withColumnRenamed("sub", "o"))
+    of = lambda kind: axioms.where(F.col("kind") == kind)
+    ends = of("domain").select("p", F.col("arg").alias("cls"), F.lit(False).alias("at_object")).unionByName(
+        of("range").select("p", F.col("arg").alias("cls"), F.lit(True).alias("at_object")))
+    ends = broadcast_if_small(cut_lineage(ends.distinct()))
+    transitive = cut_lineage(of("transitive").select("p").distinct())
+    chains = not transitive.isEmpty()
+    transitive = broadcast_if_small(transitive)
+    iri = F.col("o_kind") == "iri"
+    no_lang = F.lit(None).cast("string").alias("o_lang")
+
+    def derived(new: DataFrame) -> DataFrame:
+        """What the axioms make of triples: lifted ones, types of their ends, classes above. One pass, no shuffle."""
+        up = new.join(lifts, "p").where(F.col("literal") != iri)
+        up = up.select(F.when(F.col("flip"), F.col("o")).otherwise(F.col("s")).alias("s"), F.col("q").alias("p"),
+                       F.when(F.col("flip"), F.col("s")).otherwise(F.col("o")).alias("o"), "o_kind", F.when(~F.col("flip"), F.col("o_lang")).alias("o_lang"))
+        every = new.unionByName(up)
+        typed = every.join(ends, "p").where(~F.col("at_object") | iri).select(
+            F.when(F.col("at_object"), F.col("o")).otherwise(F.col("s")).alias("s"), F.lit(V.RDF_TYPE).alias("p"), F.col("cls").alias("o"),
+            F.lit("iri").alias("o_kind"), no_lang)
+        types = every.unionByName(typed).where(F.col("p") == V.RDF_TYPE)
+        above = types.join(supers, "o").select("s", "p", F.explode("sups").alias("o"), "o_kind", "o_lang")
+        return up.unionByName(typed).unionByName(above)
+
+    def longer(new: DataFrame, store: DataFrame) -> DataFrame:
+        """Chains of two edges of a transitive property with a new edge among them."""
+        old = store.where(iri).join(transitive, "p").select("p", "s", "o")
+        new = new.where(iri).join(transitive, "p").select("p", "s", "o")
+        ahead = new.select("p", "s", F.col("o").alias("m")).join(old.select("p", F.col("s").alias("m"), "o"), ["p", "m"])
+        behind = old.select("p", "s", F.col("o").alias("m")).join(new.select("p", F.col("s").alias("m"), "o"), ["p", "m"])
+        return ahead.unionByName(behind).select("s", "p", "o", F.lit("iri").alias("o_kind"), no_lang)
+
+    new = cut_lineage(triples.select(*TRIPLE).distinct())
+    store = new
     while True:
-        cur = cut_lineage(property_axioms(cut_lineage(rdfs_rules(cur, axioms)), axioms))
-        m = cur.count()
-        if m == n:
-            return cur
-        n = m
+        made = derived(new)
+        if chains:
+            made = made.unionByName(longer(new, store))
+        made = made.distinct()
+        known = store.select(*[F.col(c).alias(f"_{c}") for c in TRIPLE])
+        same = (F.col("s") == F.col("_s")) & (F.col("p") == F.col("_p")) & (F.col("o") == F.col("_o")) & (F.col("o_kind") == F.col("_o_kind")) & \
+            F.col("o_lang").eqNullSafe(F.col("_o_lang"))
+        if rounds is not None:
+            made = cut_lineage(made)
+            rounds.append((new.count(), made.count()))
+        fresh = cut_lineage(made.join(known, same, "left_anti"))
+        if rounds is not None:
+            rounds[-1] += (fresh.count(),)
+        if fresh.isEmpty():
+            return store
+        store, new = store.unionByName(fresh), fresh
 
 
 def expand_references(references: DataFrame, types: DataFrame, class_clo: DataFrame) -> DataFrame:

@@ -132,11 +132,11 @@ def build_graph(spark: SparkSession, entities: dict[str, DataFrame], terms: Data
     g = graph.store_union(store)
     rdfs_can_add, owl_can_add = _axioms_can_add(onto["prop_axioms"])
     if rdfs_can_add or owl_can_add:
-        # INF3 + INF4 only for ontologies whose rules can add triples (the built-in one has datatype ranges alone)
-        g = inference.infer_fixpoint(g, onto["prop_axioms"])
+        # INF1-INF4 only for ontologies whose rules can add triples (the built-in one has datatype ranges alone)
+        g = inference.infer_fixpoint(g, onto["prop_axioms"], onto["class_edges"])
     closure = transitive_closure(ancestor_edges(g))
     direct = g.where(F.col("p") == V.RDF_TYPE).select("s", F.col("o").alias("cls"))
-    class_clo = inference.class_closure(onto["class_edges"])
+    class_clo = cut_lineage(inference.class_closure(onto["class_edges"], onto["prop_axioms"]))
     types = cut_lineage(inference.infer_types(direct, class_clo))
     contents = cut_lineage(content_dictionary(g))
     entities = cut_lineage(entity_view(g, closure, types, contents))
