@@ -29,7 +29,8 @@ class EntityRules:
     label: str
     cls: str
     subject: str
-    objects: tuple  # of (predicate IRI, kind, field)
+    objects: tuple  # of (predicate IRI, kind, field), kind "iri" also (predicate IRI, kind, field, prefix of the template)
+    prefix: str = ""  # of the subject template
 
 
 # ---- fixed values: the seven entity rule sets --------------------------------------------
@@ -118,16 +119,21 @@ def _as_array(df: DataFrame, field: str) -> Column:
     return F.when(col.isNull(), F.array().cast("array<string>")).otherwise(F.array(col.cast("string")))
 
 
-def _subject(df: DataFrame, field: str) -> Column:
+def _template(col: Column, prefix: str, ns: str) -> Column:
+    """IRI of a value after a prefix; none for an empty value."""
+    return iri_template(F.concat(F.lit(prefix), F.when(col != "", col)) if prefix else col, ns)
+
+
+def _subject(df: DataFrame, field: str, prefix: str, ns: str) -> Column:
     dtype = df.schema[field].dataType
     col = F.col(field)
     if isinstance(dtype, T.ArrayType):
         col = F.try_element_at(col, F.lit(1))
-    return iri_template(col.cast("string"))
+    return _template(col.cast("string"), prefix, ns)
 
 
-def _iri_fn(pred: str, ns: str):
-    return lambda x: _struct(pred, iri_template(x, ns), "iri")
+def _iri_fn(pred: str, prefix: str, ns: str):
+    return lambda x: _struct(pred, _template(x, prefix, ns), "iri")
 
 
 def _literal_fn(pred: str):
@@ -140,7 +146,8 @@ def map_to_triples(df: DataFrame, rules: EntityRules, ns: str = V.NS) -> DataFra
     per element. Duplicates are removed once, when graphs are assembled (set semantics)."""
     scalars = [_struct(V.RDF_TYPE, F.lit(ns + rules.cls), "iri")]
     arrays = []
-    for pred, kind, field in rules.objects:
+    for pred, kind, field, *prefix in rules.objects:
+        prefix = prefix[0] if prefix else ""
         if kind == "constant_iri":
             scalars.append(_struct(pred, F.lit(field), "iri"))
             continue
@@ -151,15 +158,15 @@ def map_to_triples(df: DataFrame, rules: EntityRules, ns: str = V.NS) -> DataFra
         is_array = isinstance(df.schema[field].dataType, T.ArrayType)
         if is_array:
             values = _as_array(df, field)
-            arrays.append(F.transform(values, _iri_fn(pred, ns) if kind == "iri" else _literal_fn(pred)))
+            arrays.append(F.transform(values, _iri_fn(pred, prefix, ns) if kind == "iri" else _literal_fn(pred)))
         else:
             col = F.col(field).cast("string")
-            scalars.append(_struct(pred, iri_template(col, ns) if kind == "iri" else col, kind))
+            scalars.append(_struct(pred, _template(col, prefix, ns) if kind == "iri" else col, kind))
     triples = F.array(*scalars)
     if arrays:
         triples = F.concat(triples, *arrays)
     return (
-        df.select(_subject(df, rules.subject).alias("s"), triples.alias("_t"))
+        df.select(_subject(df, rules.subject, rules.prefix, ns).alias("s"), triples.alias("_t"))
         .where(F.col("s").isNotNull())
         .select("s", F.inline("_t"))
         .where(F.col("o").isNotNull())
@@ -193,3 +200,19 @@ def map_table_rows(rows: DataFrame, subject_header: str, title_header: str, pref
             .select("s", F.lit(V.TITLE).alias("p"), "o", F.lit("literal").alias("o_kind"),
                     F.lit(None).cast("string").alias("o_lang"))
             .distinct())
+
+
+def map_rows(rows: DataFrame, rules: list[EntityRules], ns: str = V.NS) -> DataFrame:
+    """MAP9 with whole rule sets: extracted table rows (``row`` = MAP<header, value>) to content-graph triples, a set.
+
+    Fields are headers. A row without a rule's subject gives that rule nothing; a header that a table lacks, or an
+    empty cell, gives no triple."""
+    out = None
+    for rule in rules:
+        headers = dict.fromkeys([rule.subject, *(o[2] for o in rule.objects if o[1] != "constant_iri")])
+        cells = rows.select(*[F.when(F.col("row")[h] != "", F.col("row")[h]).alias(h) for h in headers])
+        t = map_to_triples(cells, rule, ns)
+        out = t if out is None else out.unionByName(t)
+    if out is None:
+        raise ValueError("no rules for table rows")
+    return out.distinct()

@@ -1,7 +1,7 @@
 """Presenting search results as columns (PRS1-PRS8).
 
 Everything but the two HTML passes (block snippet, plain text) is a built-in
-expression; the HTML passes run once per result row in Arrow-batched tasks.
+expression; the HTML passes run once per distinct text of the results in Arrow-batched tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trellis import vocab as V
 from trellis.functions.text import collapse_ws
 from trellis.operators.extract import html_text_and_blocks
+from trellis.session import broadcast_if_small, cut_lineage
 
 
 def snippet(col: Column, chars: int = V.SNIPPET_CHARS) -> Column:
@@ -54,24 +55,29 @@ def date_line(created: Column, updated: Column) -> Column:
 def present(results: DataFrame, snippet_chars: int = V.SNIPPET_CHARS, blocks: int = V.SNIPPET_BLOCKS,
             untitled: str = V.UNTITLED_POST) -> DataFrame:
     """Adds display columns to search results (keeps every input column)."""
-    src = source_system(F.col("types"))
-    df = results.withColumn("source", src).withColumn("_html", F.coalesce("content", F.lit("")))
-    # only texts with a tag or a possible character reference go through the parser (one parse per result)
-    markup = F.col("_html").rlike("<|&[#A-Za-z]")
-    parsed = html_text_and_blocks(df.where(markup), "_html", "_plain", "_blocks")
-    plain = df.where(~markup).withColumn("_plain", collapse_ws(F.col("_html"))).withColumn("_blocks", F.array().cast("array<string>"))
-    df = parsed.unionByName(plain)
+    df = results.withColumn("source", source_system(F.col("types")))
+    # many results share a text: each text with a tag or a possible character reference is parsed once, known by its digest, and
+    # only the snippets that come of it meet the results
+    markup = F.coalesce(F.col("content").rlike("<|&[#A-Za-z]"), F.lit(False))
+    df = df.withColumn("_digest", F.when(markup, F.sha2(F.col("content").cast("binary"), 256)))
+    texts = df.where(markup).groupBy("_digest").agg(F.first("content").alias("_html"))
+    parsed = html_text_and_blocks(texts, "_html", "_plain", "_blocks")
     block_snip = F.array_join(F.slice(F.col("_blocks"), 1, blocks), V.BLOCK_SEPARATOR)
-    raw = F.when(F.col("source") == "Confluence", block_snip).otherwise(F.col("_plain"))
+    parsed = parsed.select("_digest", snippet(block_snip, snippet_chars).alias("_by_block"), snippet(F.col("_plain"), snippet_chars).alias("_whole"))
+    parsed = broadcast_if_small(cut_lineage(parsed))
+    df = df.join(parsed, "_digest", "left")
+    whole = F.when(markup, F.col("_whole")).otherwise(snippet(collapse_ws(F.coalesce("content", F.lit(""))), snippet_chars))
+    by_block = F.when(markup, F.col("_by_block")).otherwise(F.lit("") if snippet_chars > 0 else snippet(F.lit(""), snippet_chars))
+    shown = F.when(F.col("source") == "Confluence", by_block).otherwise(whole)
     crumbs = breadcrumb(F.col("ancestorTitles"), F.col("ancestorLinks"))
     return (
         df.withColumn("displayTitle", display_title(F.col("title"), F.col("types"), untitled))
-        .withColumn("snippet", snippet(raw, snippet_chars))
+        .withColumn("snippet", shown)
         .withColumn("created", long_date(F.col("creationTime")))
         .withColumn("updated", long_date(F.col("lastUpdateTime")))
         .withColumn("dateLine", date_line(F.col("creationTime"), F.col("lastUpdateTime")))
         .withColumn("breadcrumb", crumbs)
         .withColumn("breadcrumbText", F.array_join(F.transform(crumbs, lambda x: x["title"]), V.BREADCRUMB_SEPARATOR))
         .withColumn("breadcrumbLinks", F.array_join(F.transform(crumbs, lambda x: x["link"]), V.BREADCRUMB_SEPARATOR))
-        .drop("_html", "_blocks", "_plain")
+        .drop("_digest", "_by_block", "_whole")
     )

@@ -56,8 +56,8 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clause_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRH1-SRH3: BM25 matches under must / must-not / prefix / phrase clauses."""
-    idx = B.build_cached(spark, sf_dir).index
+    """SRH1-SRH3: BM25 matches under must / must-not / prefix / phrase clauses, over title, label and whole content."""
+    idx = B.full_index(spark, sf_dir)
     m = search.text_match(idx, fixtures.clause_searches_frame(spark, sf_dir))
     ent = idx.entries.select("entry_id", "s", F.md5(F.col("value").cast("binary")).alias("value_md5"))
     return m.join(ent, ["entry_id", "s"]).select("query_id", "s", "field", "value_md5", _round("score"))
@@ -113,24 +113,35 @@ def entity_star(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(F.transform(F.array_sort("ancestors"), lambda x: x["title"]), V.ANCESTOR_SEPARATOR).alias("ancestorTitles"))
 
 
-def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem -> orders -> customer -> nation -> region, depth = shortest path."""
+def _place_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem -> orders -> customer -> nation -> region as (child, parent)."""
     L = fixtures.load(spark, sf_dir, "lineitem")
     Ord = fixtures.load(spark, sf_dir, "orders")
     C = fixtures.load(spark, sf_dir, "customer")
     N = fixtures.load(spark, sf_dir, "nation")
     k = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    edges = (
+    return (
         L.select(F.concat(F.lit("line_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("child"),
                  k("order_", "l_orderkey").alias("parent"))
         .unionByName(Ord.select(k("order_", "o_orderkey").alias("child"), k("customer_", "o_custkey").alias("parent")))
         .unionByName(C.select(k("customer_", "c_custkey").alias("child"), k("nation_", "c_nationkey").alias("parent")))
         .unionByName(N.select(k("nation_", "n_nationkey").alias("child"), k("region_", "n_regionkey").alias("parent")))
     )
-    clo = transitive_closure(edges)
+
+
+def ancestor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem -> orders -> customer -> nation -> region, depth = shortest path."""
+    clo = transitive_closure(_place_edges(spark, sf_dir))
     return clo.select("desc", "anc", F.col("depth").cast("bigint").alias("depth"))
 
 
+def tour_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF7 by interval labels: root, depth and number of descendants of every node of the same forest."""
+    from trellis.operators.intervals import descendant_counts, forest_labels
+    labels = cut_lineage(forest_labels(_place_edges(spark, sf_dir)))
+    return labels.join(descendant_counts(labels), "node").select("node", "root", F.col("depth").cast("bigint").alias("depth"), F.col("n").alias("n_descendants"))
+
+
 def _direct_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type triples alone: the rule sets without their other predicates."""
     rules = {label: replace(r, objects=()) for label, r in mapping.ENTITY_RULES.items()}
@@ -248,7 +259,7 @@ def landed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trellis.plans import raw, raw_fixtures
     frames, _status = raw.unified(raw_fixtures.landed(spark, sf_dir))
     b = B.build_graph(spark, {label: scalars(df) for label, df in frames.items()}, fixtures.term_frame(spark, sf_dir))
-    res = search.search_build(b, fixtures.place_searches_frame(spark, sf_dir))
+    res = search.search_build(b, fixtures.searches_frame(spark, sf_dir))
     return res.select(*[c for c in search.RESULT_COLUMNS if c != "totalScore"], _round("totalScore"))
 
 
@@ -312,6 +323,7 @@ def queries() -> dict:
         "graph_sizes": graph_sizes,
         "entity_star": entity_star,
         "ancestor_closure": ancestor_closure,
+        "tour_labels": tour_labels,
         "inferred_types": inferred_types,
         "mention_links": mention_links,
         "term_stats": term_stats,
@@ -336,6 +348,14 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     G, I, S = O.GRAPH_CTES, O.INDEX_CTES, O.SEARCH_CTES
     line_key = "'line_' || CAST(l_orderkey AS VARCHAR) || '_' || CAST(l_linenumber AS VARCHAR)"
+    place_closure = (
+            "WITH RECURSIVE edges AS ("
+            f" SELECT {line_key} AS child, 'order_' || CAST(l_orderkey AS VARCHAR) AS parent FROM lineitem"
+            " UNION ALL SELECT 'order_' || CAST(o_orderkey AS VARCHAR), 'customer_' || CAST(o_custkey AS VARCHAR) FROM orders"
+            " UNION ALL SELECT 'customer_' || CAST(c_custkey AS VARCHAR), 'nation_' || CAST(c_nationkey AS VARCHAR) FROM customer"
+            " UNION ALL SELECT 'nation_' || CAST(n_nationkey AS VARCHAR), 'region_' || CAST(n_regionkey AS VARCHAR) FROM nation),"
+            " clo AS (SELECT child AS \"desc\", parent AS anc, 1 AS depth FROM edges"
+            " UNION SELECT c.\"desc\", e.parent, c.depth + 1 FROM clo c JOIN edges e ON c.anc = e.child)")
     return {
         "graph_search": O.with_ctes(G, I, S, body=(
             "SELECT query_id, link, title, content, email, creationTime, lastUpdateTime, types, ancestorTitles, "
@@ -366,15 +386,12 @@ def oracle_sql() -> dict:
             f"{O.ancestors('t')} AS ancestorTitles "
             "FROM props p JOIN type_names tn ON tn.s = p.s LEFT JOIN anc_pairs ap ON ap.s = p.s "
             "GROUP BY p.s, p.link, p.title, p.content, p.email, p.creationTime, p.lastUpdateTime")),
-        "ancestor_closure": (
-            "WITH RECURSIVE edges AS ("
-            f" SELECT {line_key} AS child, 'order_' || CAST(l_orderkey AS VARCHAR) AS parent FROM lineitem"
-            " UNION ALL SELECT 'order_' || CAST(o_orderkey AS VARCHAR), 'customer_' || CAST(o_custkey AS VARCHAR) FROM orders"
-            " UNION ALL SELECT 'customer_' || CAST(c_custkey AS VARCHAR), 'nation_' || CAST(c_nationkey AS VARCHAR) FROM customer"
-            " UNION ALL SELECT 'nation_' || CAST(n_nationkey AS VARCHAR), 'region_' || CAST(n_regionkey AS VARCHAR) FROM nation),"
-            " clo AS (SELECT child AS \"desc\", parent AS anc, 1 AS depth FROM edges"
-            " UNION SELECT c.\"desc\", e.parent, c.depth + 1 FROM clo c JOIN edges e ON c.anc = e.child)"
-            " SELECT \"desc\", anc, CAST(min(depth) AS BIGINT) AS depth FROM clo GROUP BY \"desc\", anc"),
+        "ancestor_closure": place_closure + " SELECT \"desc\", anc, CAST(min(depth) AS BIGINT) AS depth FROM clo GROUP BY \"desc\", anc",
+        "tour_labels": place_closure + (
+            ", nodes AS (SELECT child AS node FROM edges UNION SELECT parent FROM edges)"
+            " SELECT node, coalesce(u.root, node) AS root, coalesce(u.depth, 0) AS depth, coalesce(d.n, 0) AS n_descendants FROM nodes"
+            " LEFT JOIN (SELECT \"desc\", arg_max(anc, depth) AS root, CAST(max(depth) AS BIGINT) AS depth FROM clo GROUP BY \"desc\") u ON u.\"desc\" = node"
+            " LEFT JOIN (SELECT anc, count(*) AS n FROM clo GROUP BY anc) d ON d.anc = node"),
         "inferred_types": O.INFERRED_TYPES_SQL,
         "ontology_types": O.INFERRED_TYPES_SQL,  # same inference, ontology read from its file
         "mention_links": O.with_ctes(
@@ -386,15 +403,14 @@ def oracle_sql() -> dict:
             "(SELECT field, term, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY field, term) c USING (field, term)")),
         "index_stats": O.with_ctes(G, O.FULL_INDEX_CTES, body="SELECT field, n_docs, round(avg_dl, 6) AS avg_dl FROM stats"),
         "search_present": O.with_ctes(G, I, S, body=O.PRESENT_BODY),
-        "clause_search": O.with_ctes(G, I, O.CLAUSE_CTES, body=(
+        "clause_search": O.with_ctes(G, O.FULL_INDEX_CTES, O.CLAUSE_CTES, body=(
             "SELECT query_id, s, field, md5(value) AS value_md5, round(score, 6) AS score FROM clause_matched")),
         "content_terms": (
             f"SELECT DISTINCT {O.q(V.NS + 'cust_row_')} || CAST(c_custkey AS VARCHAR) AS s, {O.q(V.TITLE)} AS p, "
             "c_name AS o, 'literal' AS o_kind, NULL::VARCHAR AS o_lang FROM customer"),
         "raw_unified": O.RAW_UNIFIED_SQL,
         "landed_search": O.with_ctes(G.replace(f"ent AS ({O.ENTITIES_SQL})", f"ent AS MATERIALIZED ({O.RAW_UNIFIED_SQL})")
-                                    .replace(f"kg AS ({O.KNOWLEDGE_SQL})", f"kg AS MATERIALIZED ({O.KNOWLEDGE_SQL})"), I,
-                                   S.replace(O.BENCHMARK_SEARCHES, ""), body=(
+                                    .replace(f"kg AS ({O.KNOWLEDGE_SQL})", f"kg AS MATERIALIZED ({O.KNOWLEDGE_SQL})"), I, S, body=(
             "SELECT query_id, link, title, content, email, creationTime, lastUpdateTime, types, ancestorTitles, "
             "ancestorLinks, round(totalScore, 6) AS totalScore FROM results")),
         "ontology_fixpoint": O.ONTOLOGY_FIXPOINT_SQL,

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis import vocab as V
-from trellis.operators import extract, graph, index, inference, mapping
+from trellis.functions.text import iso_utc
+from trellis.operators import enrich, extract, graph, index, inference, mapping
 from trellis.operators.normalize import clean_items
+from trellis.operators.unify import detect_paths, unify, unify_all
 from trellis.plans import build as B
 from trellis.plans import fixtures
 from trellis.plans import oracle as O
@@ -85,6 +87,103 @@ def reference_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inference.expand_references(refs, types, inference.class_closure(edges))
 
 
+def class_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INF1, INF2, INF4: customers and suppliers typed by nation, nations in regions that include each other in a circle, every
+    nation's class equivalent to one of another name, a range whose class has an equivalent."""
+    C, S, N, R, Ord = (fixtures.load(spark, sf_dir, t) for t in ("customer", "supplier", "nation", "region", "orders"))
+    n_regions = R.count()
+    iri = lambda df, s, p, o: df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"),
+                                        F.lit(None).cast("string").alias("o_lang"))
+    t = (iri(C, _key("customer_", "c_custkey"), V.RDF_TYPE, _key("nation_", "c_nationkey"))
+         .unionByName(iri(C, _key("customer_", "c_custkey"), V.RDF_TYPE, F.col("c_mktsegment")))
+         .unionByName(iri(S.join(N, F.col("s_nationkey") == F.col("n_nationkey")), _key("supplier_", "s_suppkey"), V.RDF_TYPE, F.col("n_name")))
+         .unionByName(iri(Ord, _key("order_", "o_orderkey"), "placedBy", _key("customer_", "o_custkey"))))
+    edges = (N.select(_key("nation_", "n_nationkey").alias("sub"), _key("region_", "n_regionkey").alias("sup"))
+             .unionByName(R.select(_key("region_", "r_regionkey").alias("sub"), F.concat(F.lit("region_"), ((F.col("r_regionkey") + 1) % n_regions).cast("string")).alias("sup"))))
+    axioms = (N.select(_key("nation_", "n_nationkey").alias("p"), F.lit("equivalentClass").alias("kind"), F.col("n_name").alias("arg"))
+              .unionByName(spark.createDataFrame([("placedBy", "range", "Client"), ("Party", "equivalentClass", "Client")], "p string, kind string, arg string")))
+    out = inference.infer_fixpoint(t, axioms, edges)
+    return out.where(F.col("p") == V.RDF_TYPE).select("s", F.col("o").alias("cls"))
+
+
+XSD = "http://www.w3.org/2001/XMLSchema#"
+
+
+def typed_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC5: literals with datatypes, languages and escapes written as N-Triples and read back."""
+    path = _exchange_dir(spark, "typed")
+    o, d = fixtures.load(spark, sf_dir, "orders"), fixtures.load(spark, sf_dir, "documents")
+    t = lambda df, s, p, x, lang, dtype: df.select(s.alias("s"), F.lit(V.NS + p).alias("p"), x.cast("string").alias("o"), F.lit("literal").alias("o_kind"),
+                                                   lang.cast("string").alias("o_lang"), dtype.cast("string").alias("o_dtype"))
+    none, order = F.lit(None), _key(V.NS + "o", "o_orderkey")
+    out = (t(o, order, "price", F.col("o_totalprice").cast("decimal(18,2)"), none, F.lit(XSD + "decimal"))
+           .unionByName(t(o, order, "date", iso_utc(F.col("o_orderdate")), none, F.lit(XSD + "dateTime")))
+           .unionByName(t(o, order, "status", F.col("o_orderstatus"), none, none))
+           .unionByName(t(d, _key(V.NS + "d", "doc_id"), "text", F.col("text"), F.col("lang"), none)))
+    sinks.write_ntriples(out, path)
+    back = triples.read_ntriples(spark, path)
+    return back.select("s", "p", F.md5(F.col("o").cast("binary")).alias("o_md5"), "o_lang", "o_dtype")
+
+
+def table_row_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MAP9: two user rule sets over the rows of extracted tables: customers with a type, a title, a link to their nation's
+    node and a constant; segments as nodes of their own."""
+    pages = fixtures.entity_frames(spark, sf_dir)["pages"].where(F.col("content").isNotNull())
+    rows = extract.table_rows(extract.html_tables(pages, "content", ["_id"]), ["_id"])
+    rules = [mapping.EntityRules("customers", "Client", "custkey", (
+                 (V.TITLE, "literal", "name"), (V.NS + "inNation", "iri", "nation", "nation_"), (V.NS + "status", "constant_iri", V.NS + "active"),
+                 (V.EMAIL, "literal", "email")), prefix="client "),
+             mapping.EntityRules("segments", "Segment", "segment", ((V.TITLE, "literal", "segment"),), prefix="segment_")]
+    return mapping.map_rows(rows, rules).select("s", "p", "o", "o_kind")
+
+
+def several_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UNI4: a field of several paths: the first value, then later arrays and objects; a later plain value is dropped."""
+    o = fixtures.load(spark, sf_dir, "orders")
+    text = F.to_json(F.struct(F.struct(F.col("o_orderkey").alias("key")).alias("a"), F.array("o_orderstatus", "o_orderpriority").alias("list"),
+                              F.col("o_orderstatus").alias("plain"), F.when(F.col("o_custkey") % 2 == 0, F.struct(F.col("o_custkey").alias("c"))).alias("object")))
+    docs = o.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.try_parse_json(text).alias("doc"))
+    rules = {"v": ["a.key", "list", "plain", "object", "nowhere"]}
+    paths = detect_paths(docs, rules, sample="all")
+    return unify(docs, rules, paths, keep=["o_orderkey"]).select("o_orderkey", F.array_join("v", "|").alias("v"))
+
+
+def unify_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UNI6: which collections could be unified, and how many documents each holds; empty ones are not."""
+    from trellis.plans import raw, raw_fixtures
+    frames = raw.normalized(raw_fixtures.landed(spark, sf_dir))
+    frames["drafts"] = frames["posts"].where(F.lit(False))
+    out, status = unify_all(frames, order_by=raw.ORDER, keep=["label"])
+    counts = None
+    for label, df in out.items():
+        n = df.select(F.lit(label).alias("label"))
+        counts = n if counts is None else counts.unionByName(n)
+    counts = counts.groupBy("label").agg(F.count("*").alias("n"))
+    return spark.createDataFrame(status, "label string, unified boolean").join(counts, "label", "left")
+
+
+def partial_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MAP8: labels without a frame are skipped, the others mapped."""
+    frames = fixtures.entity_frames(spark, sf_dir)
+    return mapping.map_entities({k: frames[k] for k in ("users", "comments")}).distinct().groupBy("p", "o_kind").agg(F.count("*").alias("n"))
+
+
+def mention_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ENR6: linking the documents to benchmark texts, to no terms, and no artifacts to any."""
+    d = fixtures.load(spark, sf_dir, "documents").select(_key("d", "doc_id").alias("artifact"), "text")
+    terms = fixtures.load(spark, sf_dir, "benchmark").select(_key("b", "item_id").alias("term"), F.col("text").alias("title"))
+    links = enrich.link_mentions(d, terms).agg(F.lit("links").alias("case"), F.count("*").alias("n"))
+    title = fixtures.term_triples(terms.select(F.col("term").alias("s"), "title"))
+    failed = []
+    for case, run in (("no terms", lambda: enrich.link_mentions(d, terms.where(F.lit(False)))),
+                      ("no artifacts", lambda: enrich.artifacts_from_graph(title.where(F.lit(False))))):
+        try:
+            run()
+        except ValueError:
+            failed.append((case, 0))
+    return links.unionByName(spark.createDataFrame(failed, "case string, n long"))
+
+
 def language_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IDX4: index entries keep the language of their literal."""
     d = fixtures.load(spark, sf_dir, "documents")
@@ -111,7 +210,8 @@ def extraction_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (incomplete_chains, array_triples, graph_patterns, stored_graphs, snapshot_files,
-                                    reference_expansion, language_index, extraction_file)}
+                                    reference_expansion, class_axioms, language_index, extraction_file, typed_literals, table_row_rules,
+                                    several_paths, unify_status, partial_mapping, mention_guards)}
 
 
 def oracle_sql() -> dict:
@@ -140,6 +240,39 @@ def oracle_sql() -> dict:
             "SELECT DISTINCT 'o' || o_orderkey AS s, 'c' || o_custkey AS o FROM orders UNION ALL "
             "SELECT 'o' || o_orderkey, c FROM orders, (SELECT unnest(['Customer', 'Client', 'Agent']) AS c) "
             "WHERE o_custkey IN (SELECT c_custkey FROM customer)"),
+        "class_axioms": (
+            "WITH RECURSIVE edges AS (SELECT 'nation_' || n_nationkey AS sub, 'region_' || n_regionkey AS sup FROM nation "
+            "UNION ALL SELECT 'region_' || r_regionkey, 'region_' || ((r_regionkey + 1) % (SELECT count(*) FROM region)) FROM region "
+            "UNION ALL SELECT 'nation_' || n_nationkey, n_name FROM nation UNION ALL SELECT n_name, 'nation_' || n_nationkey FROM nation "
+            "UNION ALL SELECT 'Party', 'Client' UNION ALL SELECT 'Client', 'Party'), "
+            "clo AS (SELECT sub, sup FROM edges UNION SELECT c.sub, e.sup FROM clo c JOIN edges e ON c.sup = e.sub), "
+            "types AS (SELECT 'customer_' || c_custkey AS s, 'nation_' || c_nationkey AS cls FROM customer "
+            "UNION ALL SELECT 'customer_' || c_custkey, c_mktsegment FROM customer "
+            "UNION ALL SELECT 'supplier_' || s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey "
+            "UNION ALL SELECT 'customer_' || o_custkey, 'Client' FROM orders) "
+            "SELECT s, cls FROM types UNION SELECT s, sup FROM types JOIN clo ON cls = sub"),
+        "typed_literals": (
+            f"SELECT {q(V.NS + 'o')} || o_orderkey AS s, {q(V.NS)} || p AS p, md5(o) AS o_md5, NULL::VARCHAR AS o_lang, d AS o_dtype FROM ("
+            f"SELECT o_orderkey, 'price' AS p, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS o, {q(XSD + 'decimal')} AS d FROM orders "
+            f"UNION ALL SELECT o_orderkey, 'date', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ'), {q(XSD + 'dateTime')} FROM orders "
+            "UNION ALL SELECT o_orderkey, 'status', o_orderstatus, NULL FROM orders) UNION ALL "
+            f"SELECT {q(V.NS + 'd')} || doc_id, {q(V.NS + 'text')}, md5(text), lang, NULL FROM documents"),
+        "table_row_rules": (
+            f"SELECT {q(V.NS + 'client%20')} || c_custkey AS s, p, o, k AS o_kind FROM (SELECT c_custkey, unnest(["
+            f"{{'p': {q(V.RDF_TYPE)}, 'o': {q(V.NS + 'Client')}, 'k': 'iri'}}, {{'p': {q(V.TITLE)}, 'o': c_name, 'k': 'literal'}}, "
+            f"{{'p': {q(V.NS + 'inNation')}, 'o': {q(V.NS + 'nation_')} || c_nationkey, 'k': 'iri'}}, "
+            f"{{'p': {q(V.NS + 'status')}, 'o': {q(V.NS + 'active')}, 'k': 'iri'}}], recursive := true) FROM customer) "
+            f"UNION ALL SELECT DISTINCT {q(V.NS + 'segment_')} || c_mktsegment, {q(V.RDF_TYPE)}, {q(V.NS + 'Segment')}, 'iri' FROM customer "
+            f"UNION ALL SELECT DISTINCT {q(V.NS + 'segment_')} || c_mktsegment, {q(V.TITLE)}, c_mktsegment, 'literal' FROM customer"),
+        "several_paths": (
+            "SELECT o_orderkey, o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority || "
+            "CASE WHEN o_custkey % 2 = 0 THEN '|{\"c\":' || o_custkey || '}' ELSE '' END AS v FROM orders"),
+        "unify_status": (f"SELECT label, n > 0 AS unified, nullif(n, 0) AS n FROM ({O.SNAPSHOT_COUNTS_SQL} UNION ALL SELECT 'drafts', 0)"),
+        "partial_mapping": O.with_ctes(f"ent AS (SELECT * FROM ({O.ENTITIES_SQL}) WHERE label IN ('users', 'comments'))", f"kg AS ({O.KNOWLEDGE_SQL})", body=(
+            "SELECT p, o_kind, count(*) AS n FROM kg GROUP BY p, o_kind")),
+        "mention_guards": (
+            "SELECT 'links' AS \"case\", count(*) AS n FROM (SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))) "
+            "UNION ALL SELECT unnest(['no terms', 'no artifacts']), 0"),
         "language_index": "SELECT DISTINCT 'd' || doc_id AS s, 'label' AS field, md5(text) AS value_md5, lang FROM documents",
         "extraction_file": (
             "SELECT 'pages' AS query, row_number() OVER (ORDER BY 'customer_' || c_custkey) AS result_no, 'customer_' || c_custkey AS s, "

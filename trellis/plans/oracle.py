@@ -272,7 +272,7 @@ RAW_UNIFIED_SQL = " UNION ALL ".join([
          link=f"{q(WIKI + '/comments/o')} || CAST(o_orderkey AS VARCHAR)", content="'<p>' || o_orderpriority || '</p>'",
          author="c_name", creationTime="strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')",
          ancestor="'c' || CAST(o_custkey AS VARCHAR)",
-         src="orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"),
+         src="orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 11 <> 0"),
     _row("users", name="s_name", email="lower(replace(s_name, '#', '.')) || '@example.org'",
          link=f"{q(WIKI + '/~s')} || CAST(s_suppkey AS VARCHAR)", src="supplier WHERE s_acctbal >= 0"),
     _row("teams", _id="'t' || CAST(r_regionkey AS VARCHAR)", name="r_name", content="'Team ' || r_name",
@@ -291,7 +291,7 @@ RAW_UNIFIED_SQL = " UNION ALL ".join([
 SNAPSHOT_COUNTS_SQL = """
 SELECT 'spaces' AS label, count(*) AS n FROM nation
 UNION ALL SELECT 'pages', count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey
-UNION ALL SELECT 'comments', count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT 'comments', count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 11 <> 0
 UNION ALL SELECT 'users', count(*) FROM supplier WHERE s_acctbal >= 0
 UNION ALL SELECT 'teams', count(*) FROM region
 UNION ALL SELECT 'channels', count(*) FROM nation JOIN region ON n_regionkey = r_regionkey

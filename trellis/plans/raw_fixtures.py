@@ -67,7 +67,8 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("c"), _s("c_custkey")).alias("id"), F.lit("page").alias("type"), F.col("c_name").alias("title"),
         F.array(F.struct(F.concat(F.lit("home"), _s("c_nationkey")).alias("id"))).alias("ancestors"),
         F.struct(F.struct(F.concat(F.lit("<p>"), F.col("c_mktsegment"), F.lit("</p>")).alias("value")).alias("view")).alias("body"),
-        F.when(F.col("_n").isNotNull(), F.struct(F.struct(F.col("_n").alias("size")).alias("comment"))).alias("children"),
+        # some pages say that they have no comments though comments are listed under them
+        F.when(F.col("_n").isNotNull(), F.struct(F.struct(F.when(F.col("c_custkey") % 11 == 0, 0).otherwise(F.col("_n")).alias("size")).alias("comment"))).alias("children"),
         F.struct(F.struct(F.col("c_name").alias("displayName")).alias("createdBy")).alias("history"),
         F.struct(F.concat(F.lit("/pages/c"), _s("c_custkey")).alias("webui")).alias("_links"),
     )).alias("_j"))

@@ -33,7 +33,7 @@ def replace_graph(spark: SparkSession, path: str, triples: DataFrame, g: str) ->
     write first (an empty input leaves the stored graph as it was)."""
     if triples.isEmpty():
         raise ValueError(f"nothing to import into graph {g!r}")
-    q = triples.select(F.lit(g).alias("g"), "s", "p", "o", "o_kind", "o_lang")
+    q = triples.select(F.lit(g).alias("g"), "s", "p", "o", "o_kind", "o_lang", *[c for c in ("o_dtype",) if c in triples.columns])
     _dynamic(q.write).partitionBy("g").parquet(path)
 
 
@@ -74,10 +74,12 @@ def _nt_escape(c):
 
 
 def write_ntriples(triples: DataFrame, path: str) -> None:
-    """Triples as N-Triples lines (the mapper's file output, read back by SRC5)."""
+    """Triples as N-Triples lines (the mapper's file output, read back by SRC5), literals with their language or else their
+    datatype (``o_dtype``, where there is such a column)."""
+    typed = F.concat(F.lit("^^<"), F.col("o_dtype"), F.lit(">")) if "o_dtype" in triples.columns else F.lit(None).cast("string")
     obj = F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), F.col("o"), F.lit(">"))).otherwise(
         F.concat(F.lit('"'), _nt_escape(F.col("o")), F.lit('"'),
-                 F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), F.col("o_lang"))).otherwise(F.lit(""))))
+                 F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), F.col("o_lang"))).otherwise(F.coalesce(typed, F.lit("")))))
     line = F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), obj, F.lit(" ."))
     triples.select(line.alias("value")).write.mode("overwrite").text(path)
 

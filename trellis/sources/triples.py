@@ -51,26 +51,29 @@ def _unescape(c):
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """One triple per line, a comment may follow; comment lines and blank lines are skipped, any
-    other line fails the read; typed literals keep the lexical form."""
+    """``s, p, o, o_kind, o_lang, o_dtype``: one triple per line, a comment may follow; comment lines and blank lines
+    are skipped, any other line fails the read. Typed literals keep the lexical form and the IRI of their datatype.
+
+    A line is matched once: the groups come out between line feeds, which no line holds."""
     lines = spark.read.text(path).where(~F.col("value").rlike(_NO_TRIPLE))
-    bad = F.raise_error(F.concat(F.lit("not a triple: "), F.substring("value", 1, 200)))
-    lines = lines.where(F.when(F.col("value").rlike(_LINE), F.lit(True)).otherwise(bad.cast("boolean")))
-    g = lambda i: F.regexp_extract("value", _LINE, i)
-    nz = lambda c: F.when(c == "", F.lit(None).cast("string")).otherwise(c)
-    iri_o = F.concat(nz(g(4)), F.lit(""))
+    parts = F.split(F.regexp_replace("value", _LINE, "$1\n$2\n$3\n$4\n$5\n$6\n$7\n$8"), "\n")
+    bad = F.raise_error(F.concat(F.lit("not a triple: "), F.substring("value", 1, 200))).cast("array<string>")
+    lines = lines.withColumn("x", parts).select(F.when(F.size("x") == 8, F.col("x")).otherwise(bad).alias("x"))
+    g = lambda i: F.get("x", F.lit(i - 1))
+    nz = lambda i: F.when(g(i) != "", g(i))
+    plain = F.when(F.contains(g(6), F.lit("\\")), _unescape(g(6))).otherwise(g(6))
     return lines.select(
-        F.coalesce(nz(g(1)), nz(g(2))).alias("s"),
+        F.coalesce(nz(1), nz(2)).alias("s"),
         g(3).alias("p"),
-        F.coalesce(iri_o, nz(g(5)), _unescape(g(6))).alias("o"),
-        F.when(nz(g(4)).isNotNull() | nz(g(5)).isNotNull(), F.lit("iri")).otherwise(F.lit("literal")).alias("o_kind"),
-        nz(g(7)).alias("o_lang"),
-        nz(g(8)).alias("o_dtype"),
-    ).drop("o_dtype")
+        F.coalesce(nz(4), nz(5), plain).alias("o"),
+        F.when(nz(4).isNotNull() | nz(5).isNotNull(), F.lit("iri")).otherwise(F.lit("literal")).alias("o_kind"),
+        nz(7).alias("o_lang"),
+        nz(8).alias("o_dtype"),
+    )
 
 
 def load_triples(spark: SparkSession, path: str, graph: str | None = None, fmt: str = "parquet") -> DataFrame:
-    """All triples under ``path`` as one graph (column ``g`` when a name is given)."""
+    """All triples under ``path`` as one graph (column ``g`` when a name is given), with ``o_dtype`` where the files hold it."""
     df = spark.read.parquet(path) if fmt == "parquet" else read_ntriples(spark, path)
-    df = df.select("s", "p", "o", "o_kind", "o_lang")
+    df = df.select("s", "p", "o", "o_kind", "o_lang", *[c for c in ("o_dtype",) if c in df.columns])
     return df.withColumn("g", F.lit(graph)) if graph else df
