@@ -48,9 +48,9 @@ def test_mention_strategies_agree_on_documents(spark, sf):
     terms = fixtures.load(spark, sf, "benchmark").select(
         F.col("item_id").cast("string").alias("term"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("title"))
     results = {}
-    for strategy in ("broadcast", "blocking"):
+    for strategy in ("broadcast", "blocking", "signatures"):
         results[strategy] = {(r["artifact"], r["term"]) for r in enrich.link_mentions(docs, terms, strategy).collect()}
-    assert results["broadcast"] == results["blocking"]
+    assert results["broadcast"] == results["blocking"] == results["signatures"]
     assert len(results["broadcast"]) > 0
 
 

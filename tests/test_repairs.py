@@ -16,7 +16,7 @@ def test_links_survive_every_window_border(spark, monkeypatch):
     monkeypatch.setattr(enrich, "CHUNK_CHARS", 8)
     arts = spark.createDataFrame([(f"a{i}", "x" * i + "İİ" + "y" * 9) for i in range(14)], "artifact string, text string")
     terms = spark.createDataFrame([("t", "İİ"), ("u", "İ")], "term string, title string")
-    for strategy in ("broadcast", "blocking"):
+    for strategy in ("broadcast", "blocking", "signatures"):
         got = {(r.artifact, r.term) for r in enrich.link_mentions(arts, terms, strategy).collect()}
         assert got == {(f"a{i}", t) for i in range(14) for t in "tu"}, strategy
 
@@ -24,7 +24,7 @@ def test_links_survive_every_window_border(spark, monkeypatch):
 def test_many_empty_titles_link_everything_in_both_strategies(spark):
     arts = spark.createDataFrame([("a", "one"), ("b", "")], "artifact string, text string")
     terms = spark.range(20000).select(F.col("id").cast("string").alias("term"), F.lit("").alias("title"))
-    for strategy in ("broadcast", "blocking"):
+    for strategy in ("broadcast", "blocking", "signatures"):
         assert enrich.link_mentions(arts, terms, strategy).count() == 40000
 
 
