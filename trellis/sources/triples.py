@@ -57,7 +57,7 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     A line is matched once: the groups come out between line feeds, which no line holds."""
     lines = spark.read.text(path).where(~F.col("value").rlike(_NO_TRIPLE))
     parts = F.split(F.regexp_replace("value", _LINE, "$1\n$2\n$3\n$4\n$5\n$6\n$7\n$8"), "\n")
-    bad = F.raise_error(F.concat(F.lit("not a triple: "), F.substring("value", 1, 200))).cast("array<string>")
+    bad = F.raise_error(F.concat(F.lit("not a triple: "), F.substring(F.get("x", F.lit(0)), 1, 200))).cast("array<string>")
     # a generator's input is taken once, whatever columns are read later
     lines = lines.select(F.explode(F.array(parts)).alias("x")).select(F.explode(F.array(F.when(F.size("x") == 8, F.col("x")).otherwise(bad))).alias("x"))
     g = lambda i: F.get("x", F.lit(i - 1))
