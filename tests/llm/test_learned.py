@@ -1,6 +1,8 @@
 """Learned stages: toxicity, quality rules, site style trees, the pipeline."""
 
+import collections
 import html as entities
+import math
 import random
 import re
 import zlib
@@ -12,6 +14,43 @@ from trellis.llm import quality, sitetree, toxicity
 
 # -- toxicity
 
+
+def phrases(n, seed=3):
+    """Toxic texts hold ordinary words next to each other, clean ones the same words apart."""
+    rng, docs, labels = random.Random(seed), [], []
+    insults = [["drop", "dead"], ["piece", "dirt"], ["eat", "my", "shorts"]]
+    for i in range(n):
+        words = [rng.choice(CLEAN) + rng.choice(["", "s", "ly", "ing"]) for _ in range(rng.randrange(20, 60))]
+        phrase, toxic = rng.choice(insults), i % 3 == 0
+        at = rng.randrange(1, len(words) - 12)
+        if toxic:
+            words[at:at] = phrase
+        else:
+            for k, w in enumerate(phrase):
+                words.insert(at + 4 * k, w)
+        docs.append((i, " ".join(words).capitalize() + "."))
+        labels.append((i, 1, int(toxic)))
+    return docs, labels
+
+
+def test_insults_of_ordinary_words(spark):
+    rows, labels = phrases(1200)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learned = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {"drop", "dead", "piece", "dirt"} <= set(learned.window_words)
+    toxic = {i: t for i, _, t in labels}
+    got = [(toxic[r.doc_id], r.predicted) for r in toxicity.score(df, learned).filter("held_out").collect()]
+    caught = [p for t, p in got if t]
+    clean = [p for t, p in got if not t]
+    assert len(caught) > 60 and sum(caught) >= 0.97 * len(caught) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_windows_of_words():
+    assert toxicity.windows_of("Drop dead, now! Or\nnot") == {"drop dead", "drop dead now", "dead now"}
+    assert toxicity.windows_of("a b c d", {"a", "c"}.__contains__) == {"a b c"}
+    assert toxicity.windows_of("") == toxicity.windows_of("... !") == set()
+
+
 INSULTS = ["blockhead", "nitwit", "dunderpate", "scallywag"]
 CLEAN = ["river", "mountain", "garden", "window", "letter", "summer", "bridge", "yellow", "kitchen", "market", "paper", "village", "winter", "orange", "station"]
 
@@ -252,6 +291,74 @@ def test_text_equals_tag_stripping(spark, sf):
         assert r.text == "\n\n".join(filter(None, parts))
 
 
+def test_comments_and_adverts_go_though_their_texts_differ(spark):
+    """Comments and adverts differ from page to page like content, but their names tell; a wrapper of that name stays."""
+    rows, want = [], {}
+    for i in range(40):
+        own = f"<h1>Title {i}</h1><p>story {i} {'long enough ' * 8}</p><p>end {i}</p>"
+        inner = f"<div class='{'ad' if i % 4 < 2 else 'ad-slot'}'>offer {i * 7919 % 97}</div>"
+        comments = f"<div class='comments'><div class='comment'><p>reader {i} says {random.Random(i).random()}</p></div></div>"
+        strange = f"<article class='comment'><p>another view {i}</p></article><div class='cookie-banner'>we use {i} cookies</div>"
+        body = f"<article>{own}{inner}</article>" if i % 2 else f"<div class='x'>{own}{inner}</div>"
+        rows.append((i, f"http://{'ab'[i < 20]}.example/{i}", f"<body>{body}{comments}{strange if i % 3 == 0 else ''}</body>"))
+        want[i] = f"Title {i}\n\nstory {i} {('long enough ' * 8).strip()}\n\nend {i}"
+    rows.append((100, "http://w.example/", "<body class='comments'><div class='comments share'><p>all of the page</p></div><div class='ad'>x</div>"))
+    rows.append((101, "http://w.example/", "<div class='social'><main><p>short</p></main></div><p>a longer text outside of it</p>"))
+    rows.append((102, "http://w.example/", "<div class='comments'><article><p>of one reader</p></article></div><article><p>the page's own article text</p></article>"))
+    assert main_texts(spark, rows) == want | {100: "all of the page", 101: "short", 102: "the page's own article text"}
+
+
+def serial_importance(pages):
+    """Importance of every element that statistics decide on, by plain recursion over the pages of a host."""
+    seen = {}
+    for page in pages:
+        def go(node, path, inside, suspect, page=page):
+            for c in node.children:
+                if not isinstance(c, sitetree.Node):
+                    continue
+                what = sitetree.purpose(c, inside)
+                there, doubt = f"{path}/{c.style}", suspect or what == 0 and c.suspect
+                if what == 0 and (not inside or c.names or doubt):
+                    texts = [x.strip() for x in c.children if isinstance(x, str)]
+                    texts = []
+                    styles = []
+                    for x in c.children:
+                        if isinstance(x, str):
+                            texts.append(x.strip())
+                        else:
+                            styles += [x.style] if styles[-1:] != [x.style] else []
+                            texts += [y.strip() for y in x.children if isinstance(y, str)] if x.tag in sitetree.PROSE and not x.names else []
+                    seen.setdefault(there, set()).add((page, tuple(styles), "\n".join(filter(None, texts)), doubt))
+                if what >= 0:
+                    go(c, there, inside or what > 0, doubt)
+        go(sitetree.parse(page), "", False, False)
+
+    def entropy(values):
+        n = len(values)
+        return 1.0 if n <= 1 else -sum(c / n * math.log2(c / n) for c in collections.Counter(values).values()) / math.log2(n)
+
+    out = {}
+    for path, found in seen.items():
+        if len(found) >= sitetree.MIN_PAGES:
+            texts = [t for _, _, t, _ in found if t]
+            out[path] = sitetree.DAMPING * (entropy(texts) if texts else 0.0) + (1 - sitetree.DAMPING) * entropy([s for _, s, _, _ in found])
+    return out
+
+
+def test_importance_equals_a_serial_style_tree(spark):
+    rng = random.Random(8)
+    pages = []
+    for i in range(60):
+        menu = "<div class=top><span>home</span><b>news</b></div>" if i % 5 else "<div class=top><i>home</i></div>"
+        items = "".join(f"<div class=item><p>{rng.choice('abcdefgh')}</p>{'<ul><li>x</ul>' if rng.random() < 0.5 else ''}</div>" for _ in range(rng.randrange(4)))
+        pages.append(f"<body>{menu}<div class=text>story {i}<p>same everywhere</p></div>{items}<section><div class=foot>{i % 3}</div></section>")
+    df = spark.createDataFrame([("h", i, p) for i, p in enumerate(pages)], "host string, page_hash long, html string")
+    tree = sitetree.style_tree(sitetree.style_facts(df)).filter("host = 'h'").collect()
+    got = sorted(round(r.importance, 9) for r in tree if r.path)
+    want = sorted(round(x, 9) for x in serial_importance(pages).values())
+    assert len(want) >= 7 and got == want
+
+
 # -- pipeline
 
 

@@ -1,17 +1,20 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a linear support vector machine.
 
 Spans are the words of a text (lower case, marks at the edges removed), words with inner
-marks also without them, and runs of single characters read as one word, so spelled-out
-insults count. The kernel of two
+marks also without them, runs of single characters read as one word, so spelled-out
+insults count, and windows of two or three words of a sentence, blanks included, so insults made
+of ordinary words count. The kernel of two
 spans sums, over all subsequences of three characters that fit a window of ``WINDOW``,
 the product of their gap-weighted counts (``DECAY`` to the power of the stretch they
 cover): inserted or dropped characters lengthen the stretch and cost a factor, no more.
 
-Training rows are single spans, so an insult made of ordinary words is neither learned
-nor found: every span of a clean document is negative; a toxic document is positive through its witness, the
-span that its label and the machine trained so far support most. Nyström maps a span to
+Training rows are the spans of labelled texts' sentences: every span of a clean document is
+negative; a toxic document is positive through its witness, the
+span that its label and the machine trained so far support most. A window is a witness only where the label
+supports it more than each of its words. Nyström maps a span to
 its kernel with the landmarks (whitened), the machine is linear there, and both fold
-into one weight per subsequence, which is all that scoring needs.
+into one weight per subsequence, which is all that scoring needs. Of a text's windows those are
+scored whose first and last word resemble words of the witnesses; the text scores as its best span.
 """
 
 from __future__ import annotations
@@ -29,7 +32,13 @@ from trellis.llm.common import materialise, slices, texts_of
 
 WINDOW, DECAY = 6, 0.75
 MAX_PER_LABEL = 4000  # documents of each label that training looks at, chosen by id hash
-MAX_SPANS = 300_000  # distinct clean spans that reach the driver
+MAX_SPANS = 300_000  # distinct clean words that reach the driver: half the most frequent, half by hash
+MAX_WINDOWS = 2_000  # windows of words that may be witnesses: those the labels support most
+MAX_CLEAN_WINDOWS = 60_000  # clean windows with a word of those, the most frequent
+WINDOW_DOCS = 3  # toxic documents that hold such a window at least
+RESEMBLES = 0.6  # kernel with a witness's word from which a word of a window counts as that word
+# clean spans in the machine's first round: the most frequent, and others evenly by frequency; those added a round: the worst
+FREQUENT, SPREAD, HARD = 2_000, 4_000, 1_500
 WITNESSES = 6  # candidate spans per toxic document
 LANDMARKS = 160
 COST, CLEAN_COST = 10_000.0, 40_000.0  # total weight of toxic and of clean spans in the machine's loss
@@ -53,6 +62,25 @@ def spans_of(text: str) -> set[str]:
     return out
 
 
+def _bare(word: str) -> str:
+    """A word as windows hold it, without marks."""
+    return word if word.isalnum() else _NON_WORD.sub("", word)
+
+
+def windows_of(text: str, wanted=None) -> set[str]:
+    """Windows of two and three words of the text's sentences; with ``wanted`` those whose first and last word it accepts."""
+    out = set()
+    for sentence in _SENTENCE.split(text.lower()):
+        words = [w for w in map(_bare, sentence.split()) if w]
+        ends = range(len(words)) if wanted is None else [i for i, w in enumerate(words) if wanted(w)]
+        held = set(ends)
+        for i in ends:
+            for j in (i + 1, i + 2):
+                if j in held:
+                    out.add(" ".join(words[i : j + 1]))
+    return out
+
+
 def subsequences(spans: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """(span index, code, weight) of the gapped triples of all spans, one pattern of gaps at a time.
     Spans carry a mark before and behind, so their edges count as characters."""
@@ -111,6 +139,7 @@ class Model:
     keys: np.ndarray
     weights: np.ndarray
     bias: float
+    window_words: tuple[str, ...] = ()  # words of the witnesses that are windows
     slope: float = 1.0
     shift: float = 0.0
 
@@ -136,22 +165,39 @@ class Model:
             total /= norms(spans)
         return total + self.bias
 
-    def probability(self, margin):
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -35, 35)))
+
+def _resembling(words: list[str], marks: tuple[str, ...]) -> set[str]:
+    """Words whose kernel with one of ``marks`` is ``RESEMBLES`` or more."""
+    found: set[str] = set()
+    for i in range(0, len(words), 5_000):
+        part = words[i : i + 5_000]
+        found.update(part[j] for j in np.flatnonzero(kernel(part, list(marks)).max(axis=1) >= RESEMBLES))
+    return found
 
 
 def scorer(model: Model):
     """texts -> margins, with the margins of spans kept between calls (a bounded table)."""
     known: dict[str, float] = {}
+    like: set[str] = set()  # of the known words those that resemble a witness's
+
+    def learn(new: list[str]) -> None:
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            known.update(zip(part, model.margins(part).tolist()))
 
     def score(texts: list[str]) -> np.ndarray:
         if len(known) > CACHE:
             known.clear()
+            like.clear()
         bags = [spans_of(t) for t in texts]
         new = list(set().union(*bags) - known.keys()) if bags else []
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
-            known.update(zip(part, model.margins(part).tolist()))
+        learn(new)
+        if model.window_words:
+            like.update(_resembling([w for w in new if w.isalnum()], model.window_words))
+            for bag, text in zip(bags, texts):
+                if not like.isdisjoint(bag):
+                    bag |= windows_of(text, like.__contains__)
+            learn(list(set().union(*bags) - known.keys()) if bags else [])
         return np.array([max(map(known.__getitem__, bag), default=NO_SPAN) for bag in bags])
 
     return score
@@ -205,7 +251,7 @@ def _pick_landmarks(ranked: list[str], most: int) -> list[str]:
 def disguises(span: str) -> list[str]:
     """Spellings that a reader still takes for the span: marks between all characters, one inserted
     mark or doubled character in the middle, one character masked."""
-    if len(span) < 4:
+    if len(span) < 4 or " " in span:
         return []
     m = len(span) // 2
     return [".".join(span), span[:m] + "-" + span[m:], span[:m] + span[m - 1] + span[m:], span[:m] + "*" + span[m + 1 :]]
@@ -219,7 +265,7 @@ def fit_spans(bags: list[list[tuple[str, float]]], clean: dict[str, int], rounds
     disguises (lightly weighted) and clean spans, and adds the clean spans it got most wrong.
     """
     clean_spans = sorted(clean, key=lambda s: (-clean[s], s))
-    negatives = clean_spans[:2000] + clean_spans[2000 :: max(1, len(clean_spans) // 4000)]
+    negatives = clean_spans[:FREQUENT] + clean_spans[FREQUENT :: max(1, len(clean_spans) // SPREAD)]
     flat = sorted({s for b in bags for s, _ in b})
     margin_of: dict[str, float] = {}
     model = None
@@ -250,7 +296,8 @@ def fit_spans(bags: list[list[tuple[str, float]]], clean: dict[str, int], rounds
         model = _fold(marks, whiten @ v, bias)
         margin = model.margins(clean_spans)
         margin_of = dict(zip(clean_spans, margin)) | dict(zip(flat, model.margins(flat)))
-        negatives = list(dict.fromkeys(negatives + [clean_spans[i] for i in np.argsort(-margin)[:1500]]))
+        negatives = list(dict.fromkeys(negatives + [clean_spans[i] for i in np.argsort(-margin)[:HARD]]))
+    model.window_words = tuple(sorted({w for s in positives if " " in s for w in (s.split()[0], s.split()[-1])}))
     return model
 
 
@@ -280,8 +327,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Model from the labelled rows that are not held out; None without rows of both labels.
 
     Bound: at most ``max_per_label`` documents of each label, those of the smallest id hash,
-    each distinct text once; to the driver come ``WITNESSES`` spans of each toxic one and
-    ``MAX_SPANS`` clean spans. A document with several label rows counts as toxic if one says so.
+    each distinct text once; to the driver come ``WITNESSES`` spans of each toxic one,
+    ``MAX_SPANS`` clean words and ``MAX_CLEAN_WINDOWS`` clean windows. A document with several label rows counts as toxic if one says so.
     """
     spark = df.sparkSession
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("toxic"))
@@ -301,31 +348,60 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     sample = materialise(sample.select("doc_id", "toxic", "text"), "train-texts")
 
+    n_docs = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    odds = F.log((F.col("n1") + 0.5) / (n_docs[1] + 1)) - F.log((F.col("n0") + 0.5) / (n_docs[0] + 1))
+    evidence = (F.greatest(odds, F.lit(0.0)) * F.sqrt("n1")).alias("evidence")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 2 << 20):
+            count: dict[tuple[str, int], int] = {}
+            for toxic, text in zip(b.column(0).to_pylist(), texts_of(b, "text")):
+                for s in windows_of(text):
+                    count[s, toxic] = count.get((s, toxic), 0) + 1
+            spans, toxic = zip(*count) if count else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(spans, pa.string()), pa.array(toxic, pa.int32()), pa.array(count.values(), pa.int64())], names=["span", "toxic", "n"])
+
+    pairs = sample.select(F.col("toxic").cast("int"), "text").mapInArrow(windows, "span string, toxic int, n long")
+    of = lambda t: F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0))
+    pairs = materialise(pairs.groupBy("span").agg(of(1).alias("n1"), of(0).alias("n0")), "window-counts").withColumn("evidence", evidence)
+    best = pairs.filter((F.col("n1") >= WINDOW_DOCS) & (F.col("evidence") > 0)).orderBy(F.col("evidence").desc(), "span").limit(MAX_WINDOWS)
+    chosen = {r["span"] for r in best.select("span").collect()}
+    first_last = {w for s in chosen for w in (s.split()[0], s.split()[-1])}
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
             out = [[], [], []]
             for doc, toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b, "text")):
-                for s in set().union(*map(spans_of, _SENTENCE.split(text))):
+                spans = set().union(*map(spans_of, _SENTENCE.split(text)))
+                if toxic:
+                    spans |= windows_of(text, first_last.__contains__) & chosen
+                for s in spans:
                     out[0].append(doc)
                     out[1].append(toxic)
                     out[2].append(s)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["doc_id", "toxic", "span"])
 
     spans = materialise(sample.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int"), "text").mapInArrow(cut, "doc_id long, toxic int, span string"), "train-spans")
-    n_docs = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    odds = F.log((F.col("n1") + 0.5) / (n_docs[1] + 1)) - F.log((F.col("n0") + 0.5) / (n_docs[0] + 1))
-    counts = spans.groupBy("span").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
-    counts = materialise(counts.withColumn("evidence", F.greatest(odds, F.lit(0.0)) * F.sqrt("n1")), "span-counts")
-    best = Window.partitionBy("doc_id").orderBy(F.col("evidence").desc(), "span")
+    counts = spans.filter("span not like '% %'").groupBy("span").agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
+    counts = materialise(counts.withColumn("evidence", evidence).unionByName(best.select("span", "n1", "n0", "evidence")), "span-counts")
+    order = Window.partitionBy("doc_id").orderBy(F.col("evidence").desc(), "span")
     top = (
         spans.filter("toxic = 1").join(counts.filter("n1 > 0"), "span").select("doc_id", "span", "evidence")
-        .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= WITNESSES)
+        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= WITNESSES)
         .groupBy("doc_id").agg(F.collect_list(F.struct("span", "evidence")).alias("spans"))
     )
-    bags = [[(s["span"], s["evidence"]) for s in r["spans"]] for r in top.orderBy("doc_id").collect()]
+    bags = [{s["span"]: s["evidence"] for s in r["spans"]} for r in top.orderBy("doc_id").collect()]
+    # a window that owes its evidence to one of its words says nothing of its own
+    bags = [[(s, e) for s, e in b.items() if " " not in s or e > max((b.get(w, 0.0) for w in s.split()))] for b in bags]
     most = max((e for b in bags for _, e in b), default=1.0) or 1.0
-    bags = [[(s, e / most) for s, e in b] for b in bags]
-    known = counts.filter("n0 > 0").orderBy(F.col("n0").desc(), F.xxhash64("span")).limit(MAX_SPANS).select("span", "n0").toArrow()
+    bags = [[(s, e / most) for s, e in b] for b in bags if b]
+    words = counts.filter("n0 > 0 and span not like '% %'").select("span", "n0", F.xxhash64("span").alias("h"))
+    known = words.orderBy(F.col("n0").desc(), "h").limit(MAX_SPANS // 2).unionAll(words.orderBy("h").limit(MAX_SPANS // 2))
+    near = F.split("span", " ")
+    marks = F.broadcast(spark.createDataFrame([(w,) for w in sorted(first_last)], "w string"))  # at most 2 * MAX_WINDOWS
+    beside = pairs.filter("n0 > 0").select("span", "n0", F.explode(F.array_distinct(near)).alias("w")).join(marks, "w", "left_semi").select("span", "n0").distinct()
+    beside = beside.orderBy(F.col("n0").desc(), F.xxhash64("span")).limit(MAX_CLEAN_WINDOWS)
+    known = known.select("span", "n0").unionAll(beside).toArrow()
     clean = dict(zip(known.column(0).to_pylist(), known.column(1).to_pylist()))
     if not bags or not clean:
         return None
@@ -338,7 +414,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def margins(df: DataFrame, model: Model, text_col: str = "text", out: str = "margin") -> DataFrame:
     """``df`` with the margin of every whole text as column ``out``."""
-    state = (model.keys, model.weights, model.bias)
+    state = (model.keys, model.weights, model.bias, model.window_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(Model(*state))
