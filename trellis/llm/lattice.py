@@ -10,7 +10,7 @@ best region draws its best segmentation from the top down and splits what remain
 each edge on the way, the segmentations that agree up to it and leave it there are a
 region, whose largest value is drawn given that it stays below the popped one.
 
-No piece crosses from one word into the next (a word starts at the blank before it), so
+No piece crosses from one word into the next (a word starts at the blank before it; marks that end it are one of their own), so
 the lattice is the chain of the lattices of its words; these are built once per distinct
 word of a batch, and all texts of a batch take their steps together in numpy.
 
@@ -23,8 +23,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +34,14 @@ from pyspark.sql import functions as F
 from trellis.llm.common import slices, texts_of
 
 BLANK = "▁"
+_LITERAL = "\udc81"  # the same character standing in a text: no text holds a lone surrogate, and no piece holds this one
 SHIFT = 2.7
 SLICE_BYTES = 3 << 19
 NOISE = 37.0  # no Gumbel variable made from ``uniform`` exceeds its mean by so much
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ʯ", ".,;:!?"
+# the same with the marks at a word's end apart, where no piece holds a letter and a mark after it
+_WORD_MARKS = re.compile(f"{BLANK}*[{_LETTER}]+(?={BLANK}|[{_MARK}]*(?:{BLANK}|$))|[{_MARK}]+(?={BLANK}|$)|{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
 _BASE = np.uint64(0x100000001B3)
@@ -61,6 +67,8 @@ class Pieces:
             if BLANK in piece.lstrip(BLANK):
                 raise ValueError(f"piece {piece!r} spans words")
             rows.append((piece, i, min(-sp.get_score(i), float(n))))
+        crossing = re.compile(f"[{_LETTER}][{_MARK}]")
+        self.split = (_WORD if any(crossing.search(p) for p, _, _ in rows) else _WORD_MARKS).findall
         total = sum((r + SHIFT) ** -alpha for _, _, r in rows)
         self.weight = np.zeros(n)
         by_length: dict[int, list[tuple[str, int]]] = {}
@@ -68,7 +76,12 @@ class Pieces:
             self.weight[i] = -alpha * np.log(r + SHIFT) - np.log(total)
             by_length.setdefault(len(piece), []).append((piece, i))
         self.byte_weight = -alpha * np.log(n + SHIFT) - np.log(total)
-        # length -> (sorted hashes, ids, characters, which upper hash bits occur); and those of all beginnings of pieces
+        self.bytes_of = [b""] * n  # what an id stands for in a text
+        for piece, i, _ in rows:
+            self.bytes_of[i] = piece.replace(BLANK, " ").encode()
+        for byte, i in self.byte_ids.items():
+            self.bytes_of[i] = bytes([byte])
+        # length -> (sorted hashes, ids, characters, places by upper hash bits); and the bits of all beginnings of pieces
         self.tables = {}
         self.prefixes = {k: np.zeros(1 << 20, bool) for k in range(1, max(by_length) + 1)}
         for size, found in by_length.items():
@@ -78,9 +91,12 @@ class Pieces:
                 h = self.roll(h, codes[:, k])
                 self.prefixes[k + 1][self.slot(h)] = True
             order = np.argsort(h)
-            seen = np.zeros(1 << 20, bool)
-            seen[self.slot(h)] = True
-            self.tables[size] = (h[order], np.array([i for _, i in found])[order], codes[order], seen)
+            h = h[order]
+            place = np.full(1 << 20, -1, np.int32)  # by upper hash bits: the place among the sorted hashes, -2 where several share them
+            slots, count = np.unique(self.slot(h), return_counts=True)
+            place[self.slot(h)] = np.arange(len(h))
+            place[slots[count > 1]] = -2
+            self.tables[size] = (h, np.array([i for _, i in found])[order], codes[order], place)
         self.longest = max(self.tables)
 
     @staticmethod
@@ -110,9 +126,12 @@ class Pieces:
             at, h, slot = at[more], h[more], slot[more]
             if size not in self.tables:
                 continue
-            hashes, ids, chars, seen = self.tables[size]
-            maybe = np.flatnonzero(seen[slot])
-            k = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
+            hashes, ids, chars, place = self.tables[size]
+            k = place[slot]
+            maybe = np.flatnonzero(k != -1)
+            k = k[maybe]
+            shared = np.flatnonzero(k == -2)
+            k[shared] = np.minimum(np.searchsorted(hashes, h[maybe[shared]]), len(hashes) - 1)
             same = hashes[k] == h[maybe]
             maybe, k = at[maybe[same]], k[same]
             exact = (codes[maybe[:, None] + np.arange(size)] == chars[k]).all(axis=1)
@@ -127,8 +146,7 @@ def pieces(path: str, alpha: float) -> Pieces:
 class Lattices:
     """Lattices of distinct words in flat arrays: nodes are positions, edges are sorted by their start node.
 
-    ``cum`` holds for each edge its start node's number plus the running probability there,
-    so one binary search picks an edge.
+    ``cum`` holds for each edge the running probability at its start node.
     """
 
     def __init__(self, words: list[str], model: Pieces):
@@ -140,31 +158,37 @@ class Lattices:
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         left = np.repeat(lengths, lengths) - _runs(lengths)
         node_of = (np.arange(len(codes)) + np.repeat(np.arange(len(words)), lengths)).astype(np.int32)
-        start, end, value = [], [], []
+        found = list(model.matches(codes, left))  # by length, positions rise
         lone = np.ones(len(codes), bool)  # characters that are no piece
-        for at, size, ids in model.matches(codes, left):
-            start.append(node_of[at])
-            end.append(node_of[at] + size)
-            value.append(ids.astype(np.int32))
+        for at, size, _ in found:
             if size == 1:
                 lone[at] = False
         lone = np.flatnonzero(lone)
-        self.spelled = [[model.byte_ids[b] for b in chr(c).encode("utf-8", "surrogatepass")] for c in codes[lone].tolist()]
-        start.append(node_of[lone])
-        end.append(node_of[lone] + 1)
-        value.append(-1 - np.arange(len(lone), dtype=np.int32))
-        start, end, value = map(np.concatenate, (start, end, value))
-        order = np.argsort(start, kind="stable")
-        self.start, self.end, self.value = start[order], end[order], value[order]
+        self.spelled = [[model.byte_ids[b] for b in chr(c).replace(_LITERAL, BLANK).encode("utf-8", "surrogatepass")] for c in codes[lone].tolist()]
+        found.append((lone, 1, -1 - np.arange(len(lone))))
+        # a node has one edge of each length at most, so edges go straight to their places: shorter ones first, a lone character last
+        self.head = np.zeros(nodes + 1, np.int64)
+        for at, _, _ in found:
+            self.head[node_of[at] + 1] += 1
+        self.head = np.cumsum(self.head)
+        free = self.head[:-1].copy()
+        edges = int(self.head[-1])
+        self.start = np.repeat(np.arange(nodes, dtype=np.int32), np.diff(self.head))
+        self.end, self.value = np.empty(edges, np.int32), np.empty(edges, np.int32)
+        for at, size, ids in found:
+            node = node_of[at]
+            place = free[node]
+            free[node] += 1
+            self.end[place], self.value[place] = node + size, ids
         bytes_of = np.array([len(x) for x in self.spelled], dtype=np.int64)
         weight = np.where(self.value >= 0, model.weight[np.maximum(self.value, 0)], 0.0)
         if len(bytes_of):
             weight = np.where(self.value < 0, bytes_of[np.maximum(-1 - self.value, 0)] * model.byte_weight, weight)
         # backward sums, one distance from the word's end at a time (all words at once)
-        where = np.flatnonzero(self.last)
-        distance = where[np.searchsorted(where, self.start)] - self.start
+        over = np.repeat((self.first + lengths).astype(np.int32), lengths + 1)  # the end node of each node's word
+        distance = over[self.start] - self.start
         back = np.zeros(nodes)
-        by_distance = np.argsort(distance, kind="stable")
+        by_distance = np.argsort(distance.astype(np.uint16) if len(distance) and distance.max() < 1 << 16 else distance, kind="stable")
         bounds = np.flatnonzero(np.diff(distance[by_distance], prepend=-1))
         for a, b in zip(bounds, [*bounds[1:], len(by_distance)]):
             e = by_distance[a:b]
@@ -176,11 +200,17 @@ class Lattices:
         heads = np.flatnonzero(np.diff(self.start, prepend=-1))
         tails = np.append(heads[1:], len(self.start)) - 1
         before = np.repeat(running[heads] - self.p[heads], np.diff(np.append(heads, len(self.start))))
-        self.cum = self.start + np.minimum(running - before, 1.0)
-        self.cum[tails] = self.start[tails] + 1.0
-        self.head = np.zeros(nodes + 1, np.int64)
-        np.add.at(self.head, self.start + 1, 1)
-        self.head = np.cumsum(self.head)
+        self.cum = np.minimum(running - before, 1.0)
+        self.cum[tails] = 1.0
+
+    def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge of each node where the running probability passes ``u`` (under 1); nodes have few."""
+        e = self.head[node]
+        on = np.flatnonzero(u >= self.cum[e])
+        while len(on):
+            e[on] += 1
+            on = on[u[on] >= self.cum[e[on]]]
+        return e
 
 
 def uniform(seed: np.ndarray, stream: int, counter: np.ndarray) -> np.ndarray:
@@ -202,9 +232,8 @@ def _runs(lengths: np.ndarray) -> np.ndarray:
 class _Paths:
     """Edges of one sample of every text, joined: edges, the word of each, and the texts' bounds."""
 
-    def __init__(self, edges: np.ndarray, word: np.ndarray, doc: np.ndarray, n_docs: int):
-        self.edges, self.word = edges, word
-        self.bounds = np.searchsorted(doc, np.arange(n_docs + 1))
+    def __init__(self, edges: np.ndarray, word: np.ndarray, bounds: np.ndarray):
+        self.edges, self.word, self.bounds = edges, word, bounds
 
 
 def _descend(lat: Lattices, node: np.ndarray, word: np.ndarray, seed: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +244,7 @@ def _descend(lat: Lattices, node: np.ndarray, word: np.ndarray, seed: np.ndarray
     edges, owner, depth, step = [], [], [], 0
     while len(alive):
         u = uniform(seed[alive], stream, (word[alive] << 20) + step)
-        e = np.searchsorted(lat.cum, at + np.minimum(u, 1 - 1e-9), side="right")
+        e = lat.pick(at, u)
         edges.append(e)
         owner.append(alive)
         depth.append(np.full(len(alive), step))
@@ -236,10 +265,10 @@ def top_k(texts: list[str], keys: list[int], model: Pieces, k: int, seed: int =
     """Per rank: (texts that have it, lists of ids as offsets and values, log probability, perturbed value); then the
     thresholds, the largest perturbed value of each text that was not drawn (-inf: nothing is left)."""
     n = len(texts)
-    split = [_WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-    index: dict[str, int] = {}
-    flat = np.array([index.setdefault(w, len(index)) for ws in split for w in ws], dtype=np.int64)
-    lat = Lattices(list(index), model) if index else None
+    split = [model.split(BLANK + t.replace(BLANK, _LITERAL).replace(" ", BLANK)) if t else [] for t in texts]
+    flat, index = pd.factorize(np.array(list(chain.from_iterable(split)), dtype=object))
+    flat = flat.astype(np.int64)
+    lat = Lattices(index.tolist(), model) if len(index) else None
     count = np.array([len(ws) for ws in split], dtype=np.int64)
     doc_of_word = np.repeat(np.arange(n), count)
     word_no = _runs(count)  # number of the word in its text
@@ -258,37 +287,47 @@ def top_k(texts: list[str], keys: list[int], model: Pieces, k: int, seed: int =
             value, from_step = top.copy(), np.zeros(n, np.int64)
             prefix_p, left_out = np.zeros(n), [()] * n
             edges, who = _descend(lat, starts, word_no, row_seed[doc_of_word], 100) if lat else (flat, flat)
-            paths = _Paths(edges, who, doc_of_word[who] if lat else flat, n)
+            paths = _Paths(edges, who, np.searchsorted(doc_of_word[who] if lat else flat, np.arange(n + 1)))
         else:
             live = np.array([d for d in range(n) if regions[d]], dtype=np.int64)
             value, from_step, prefix_p, left_out = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n), [()] * n
-            pre_edges, pre_word, node, word, picked = [], [], [], [], {}
+            if not len(live):
+                break
+            u = uniform(row_seed, 200 + rank, np.zeros(n, np.int64)).tolist()
+            leaves = []  # sample left, its edges before, the edge taken, the word there
             for d in live.tolist():
                 best = max(range(len(regions[d])), key=lambda i: regions[d][i][0])
                 value[d], s, t, prefix_p[d], left_out[d] = regions[d].pop(best)
                 from_step[d] = t
-                old, a = drawn[s], drawn[s].bounds[d]
-                v = lat.start[old.edges[a + t]]
-                options = np.arange(lat.head[v], lat.head[v + 1])
-                p = lat.p[options].copy()
-                p[np.isin(options, left_out[d])] = 0
-                u = uniform(row_seed[d : d + 1], 200 + rank, np.zeros(1, np.int64))[0]
-                e = options[min(np.searchsorted(np.cumsum(p), u * p.sum(), side="right"), len(p) - 1)]
-                w = old.word[a + t]
-                picked[d] = e
-                pre_edges.append(np.append(old.edges[a : a + t], e))
-                pre_word.append(np.append(old.word[a : a + t], w))
-                node.append(np.append(lat.end[e], starts[w + 1 : first_word[d] + count[d]]))
-                word.append(np.arange(w, first_word[d] + count[d]))
-            if not len(live):
-                break
-            words = np.concatenate(word)
-            more, who = _descend(lat, np.concatenate(node), word_no[words] + (1 << 20), row_seed[doc_of_word[words]], 100 + rank)
-            parts = np.concatenate([np.concatenate(pre_edges), more])
-            of_word = np.concatenate([np.concatenate(pre_word), words[who]])
-            of_doc = doc_of_word[of_word]
-            order = np.argsort(of_doc, kind="stable")
-            paths = _Paths(parts[order], of_word[order], of_doc[order], n)
+                at = drawn[s].bounds[d] + t
+                v = lat.start[drawn[s].edges[at]]
+                first = int(lat.head[v])
+                p = lat.p[first : lat.head[v + 1]].copy()
+                p[[x - first for x in left_out[d]]] = 0
+                sums = np.cumsum(p)
+                leaves.append((s, first + min(int(np.searchsorted(sums, u[d] * sums[-1], side="right")), len(p) - 1), drawn[s].word[at]))
+            s, e, w = (np.array(x, dtype=np.int64) for x in zip(*leaves))
+            t = from_step[live]
+            rest = first_word[live] + count[live] - w  # the word of the edge and all after it are walked anew
+            words = np.repeat(w, rest) + _runs(rest)
+            node = starts[words]
+            node[np.cumsum(rest) - rest] = lat.end[e]
+            more, who = _descend(lat, node, word_no[words] + (1 << 20), row_seed[doc_of_word[words]], 100 + rank)
+            of_word = words[who]
+            added = np.bincount(doc_of_word[of_word], minlength=n)
+            size = np.zeros(n, np.int64)
+            size[live] = t + 1
+            bounds = np.concatenate(([0], np.cumsum(size + added)))
+            edges, word = np.empty(bounds[-1], np.int64), np.empty(bounds[-1], np.int64)
+            for k_old in range(rank):  # the edges before, from the sample that each text leaves
+                mine = s == k_old
+                here = np.repeat(bounds[live[mine]], t[mine]) + _runs(t[mine])
+                there = np.repeat(drawn[k_old].bounds[live[mine]], t[mine]) + _runs(t[mine])
+                edges[here], word[here] = drawn[k_old].edges[there], drawn[k_old].word[there]
+            edges[bounds[live] + t], word[bounds[live] + t] = e, w
+            here = np.repeat(bounds[:-1] + size, added) + _runs(added)
+            edges[here], word[here] = more, of_word
+            paths = _Paths(edges, word, bounds)
         drawn.append(paths)
         size = np.diff(paths.bounds)
         logp = lat.logp[paths.edges] if lat else np.empty(0)
@@ -299,10 +338,6 @@ def top_k(texts: list[str], keys: list[int], model: Pieces, k: int, seed: int =
         whole[size > 0] = running[paths.bounds[1:][size > 0] - 1]
         yield live, paths, size, whole, value, lat
         # regions beside the new sample, from the step where it left the old one
-        doc = np.repeat(np.arange(n), size)
-        step = _runs(size)
-        before = np.concatenate(([0.0], running[:-1])) if len(running) else running
-        before[step == 0] = 0.0
         # a Gumbel variable made from ``uniform`` stays within [-3.6, NOISE] of its location, so a region that lies
         # further behind k + 1 regions of the first steps can't come out on top: leaving it out changes nothing
         reach = np.full(n, -np.inf)
@@ -310,11 +345,18 @@ def top_k(texts: list[str], keys: list[int], model: Pieces, k: int, seed: int =
             a = paths.bounds[d] + from_step[d]
             b = min(a + 64, paths.bounds[d + 1])
             with np.errstate(divide="ignore"):
-                first = before[a:b] + np.log1p(-np.minimum(lat.p[paths.edges[a:b]], 1.0))
-            first = np.sort(first[1:])[-(k + 1)]
+                first = running[a : b - 1] + np.log1p(-np.minimum(lat.p[paths.edges[a + 1 : b]], 1.0))
+            first = np.sort(first)[-(k + 1)]
             reach[d] = first - np.logaddexp(first - value[d], 3.7) - NOISE if first > -np.inf else -np.inf
-        kept = np.flatnonzero((step >= from_step[doc]) & (before >= reach[doc]))
-        doc, step, edge = doc[kept], step[kept], paths.edges[kept]
+        near = np.empty(len(running), bool)  # steps before which the sample's probability is not under that
+        near[1:] = (running >= np.repeat(reach, size))[:-1]
+        near[paths.bounds[:-1][size > 0]] = True
+        for d in np.flatnonzero(from_step).tolist():
+            near[paths.bounds[d] : paths.bounds[d] + from_step[d]] = False
+        kept = np.flatnonzero(near)
+        doc = np.searchsorted(paths.bounds, kept, side="right") - 1
+        step, edge = kept - paths.bounds[doc], paths.edges[kept]
+        before = np.where(step > 0, running[kept - 1], 0.0)
         heads = np.searchsorted(doc, np.arange(n + 1))
         with np.errstate(divide="ignore"):
             rest = np.log1p(-np.minimum(lat.p[edge], 1.0)) if lat else np.empty(0)
@@ -323,7 +365,7 @@ def top_k(texts: list[str], keys: list[int], model: Pieces, k: int, seed: int =
             out = lat.p[list(left_out[d])].sum() + lat.p[edge[a]]
             v = lat.start[edge[a]]
             rest[a] = np.log(1 - out) if out < 1 and len(left_out[d]) + 1 < lat.head[v + 1] - lat.head[v] else -np.inf
-        mass = before[kept] + rest
+        mass = before + rest
         u = uniform(row_seed[doc], 300 + rank, step)
         with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
             # the maximum of the region's Gumbel variables, given that it stays below the value just drawn
@@ -348,8 +390,7 @@ def top_k(texts: list[str], keys: list[int], model: Pieces, k: int, seed: int =
 
 def _id_lists(paths: _Paths, lat: Lattices | None, live: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and values of the texts' id lists."""
-    rows = np.repeat(paths.bounds[:-1][live], size[live]) + _runs(size[live])
-    value = lat.value[paths.edges[rows]] if lat else np.empty(0, np.int64)
+    value = lat.value[paths.edges] if lat else np.empty(0, np.int64)  # only these texts have edges
     width = np.ones(len(value), np.int64)
     spelled = np.flatnonzero(value < 0)
     for i in spelled.tolist():
@@ -362,6 +403,30 @@ def _id_lists(paths: _Paths, lat: Lattices | None, live: np.ndarray, size: np.nd
     return total[np.concatenate(([0], np.cumsum(size[live])))], out
 
 
+def decoded(ids: list[int], model: Pieces) -> bytes:
+    """The text of an id list in UTF-8: its pieces in a row, bytes as they are, without the blank that stands before every text."""
+    return b"".join(map(model.bytes_of.__getitem__, ids))[1:]
+
+
+def decode(samples: DataFrame, path: str) -> DataFrame:
+    """``samples`` (with ``ids``) with the ``text`` that each id list spells, exactly, leading blanks too.
+
+    Null ids give a null text; ids that are control or unknown pieces stand for nothing; a column ``text`` is replaced."""
+    kept = [c for c in samples.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(path, 1.0)
+        for whole in batches:
+            for at in range(0, len(whole), 512):
+                b = whole.slice(at, 512)
+                texts = [None if x is None else decoded(x, model).decode() for x in b.column(b.schema.get_field_index("ids")).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
+
+    from pyspark.sql.types import StringType, StructType
+
+    return samples.mapInArrow(run, StructType([f for f in samples.schema if f.name != "text"]).add("text", StringType()))
+
+
 SAMPLES = "doc_id long, rank int, ids array<int>, n_ids int, log_prob double, perturbed double, inclusion double"
 
 
