@@ -100,7 +100,11 @@ def _stats(text: Column, words: Column) -> dict[str, Column]:
 
 
 def text_stats(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the counts of every whole text (null text: none) as further columns."""
+    """``df`` with the counts of every whole text as further columns.
+
+    Null text has no words; repeated rows get equal counts; an empty table gives no rows; columns named like a count are
+    replaced, and ``__q_text`` and ``__q_words`` are names of this function's own, which do not come out.
+    """
     text, words = "__q_text", "__q_words"
     with_words = df.withColumn(text, text_or_empty(text_col)).withColumn(words, _words(F.col(text)))
     return with_words.withColumns(_stats(F.col(text), F.col(words))).drop(text, words)
@@ -247,7 +251,8 @@ def _best_literal(rows: DataFrame, names: list[str], cuts: dict) -> tuple[tuple[
 def quality_filter(df: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
     """Rows of ``df`` that pass the base rules and the list; same columns.
 
-    The whole test is one expression whose parts (text, words, counts) are bound once: as
+    Null and empty texts fail the base rules; repeated rows stay or go together; an empty table gives no rows; other
+    columns, whatever their names, are kept as they are. The whole test is one expression whose parts (text, words, counts) are bound once: as
     columns of their own they would be put into the filter again at each place that names them.
     """
     passes = let(text_or_empty(text_col), lambda t: let(_words(t), lambda w: let(
