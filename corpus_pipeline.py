@@ -3,6 +3,12 @@
 Each stage is written as Parquet below the shared checkpoint folder and read again, so a
 lost executor or a failed stage never repeats the stages before it. Every stage but the
 last returns the columns of its input.
+
+Every stage reads ``doc_id`` and ``text`` and hands the other columns on, whatever their names.
+Null texts count as empty ones: they are not toxic, but fail the base rules of the quality stage.
+Rows that share a doc_id stay or go together in the two dedup stages; repeated rows are rows of
+their own in the others. A null doc_id is never preferred to another. An empty table goes through
+all stages. Columns that start with two underscores are the operators' own.
 """
 
 from __future__ import annotations
