@@ -9,6 +9,7 @@ searches read tables instead of recomputing them.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -204,17 +205,41 @@ def persist_build(b: KnowledgeBuild, path: str) -> KnowledgeBuild:
                           r.parquet(f"{path}/graph") if b.graph is not None else None)
 
 
+def _stamp_file(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/inputs.json")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _stored_stamp(spark: SparkSession, path: str) -> str | None:
+    """What the store at ``path`` was built from; None if there is none or its build did not end."""
+    fs, p = _stamp_file(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def open_store(spark: SparkSession, sf_dir: str, path: str, **build_args) -> KnowledgeBuild:
-    """IDX3 "built once, skipped if present": read the persisted store at ``path`` when
-    it is complete, else build from ``sf_dir`` and persist it there first."""
+    """IDX3 "built once, skipped if present": read the persisted store at ``path`` when it was built whole from the same
+    files (name, size, time of change) with the same arguments, else build from ``sf_dir`` and persist it there.
+
+    The note of the inputs goes before a build and comes after it, so neither a changed input nor a
+    broken build is answered from the old store."""
     from trellis.operators.index import read_index
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/graph/_SUCCESS")
-    if marker.getFileSystem(conf).exists(marker):
-        r = spark.read
-        return KnowledgeBuild(r.parquet(f"{path}/quads"), r.parquet(f"{path}/closure"), r.parquet(f"{path}/types"),
-                              r.parquet(f"{path}/entities"), r.parquet(f"{path}/references"),
-                              read_index(spark, f"{path}/index"), r.parquet(f"{path}/contents"),
-                              r.parquet(f"{path}/graph"))
-    return persist_build(build(spark, sf_dir, **build_args), path)
+    stamp = json.dumps([_input_stamp(spark, sf_dir), sorted((k, str(v)) for k, v in build_args.items())])
+    if _stored_stamp(spark, path) != stamp:
+        fs, p = _stamp_file(spark, path)
+        fs.delete(p, False)
+        persist_build(build(spark, sf_dir, **build_args), path)
+        out = fs.create(p, True)
+        out.write(bytearray(stamp.encode()))
+        out.close()
+    r = spark.read
+    return KnowledgeBuild(r.parquet(f"{path}/quads"), r.parquet(f"{path}/closure"), r.parquet(f"{path}/types"),
+                          r.parquet(f"{path}/entities"), r.parquet(f"{path}/references"),
+                          read_index(spark, f"{path}/index"), r.parquet(f"{path}/contents"),
+                          r.parquet(f"{path}/graph"))

@@ -403,8 +403,8 @@ def oracle_sql() -> dict:
             "(SELECT field, term, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY field, term) c USING (field, term)")),
         "index_stats": O.with_ctes(G, O.FULL_INDEX_CTES, body="SELECT field, n_docs, round(avg_dl, 6) AS avg_dl FROM stats"),
         "search_present": O.with_ctes(G, I, S, body=O.PRESENT_BODY),
-        "clause_search": O.with_ctes(G, O.FULL_INDEX_CTES, O.CLAUSE_CTES, body=(
-            "SELECT query_id, s, field, md5(value) AS value_md5, round(score, 6) AS score FROM clause_matched")),
+        "clause_search": O.with_ctes(G, O.DIGEST_INDEX_CTES, O.CLAUSE_CTES, body=(
+            "SELECT query_id, s, field, value AS value_md5, round(score, 6) AS score FROM clause_matched")),
         "content_terms": (
             f"SELECT DISTINCT {O.q(V.NS + 'cust_row_')} || CAST(c_custkey AS VARCHAR) AS s, {O.q(V.TITLE)} AS p, "
             "c_name AS o, 'literal' AS o_kind, NULL::VARCHAR AS o_lang FROM customer"),

@@ -184,6 +184,64 @@ def mention_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.unionByName(spark.createDataFrame(failed, "case string, n long"))
 
 
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IDX3, SRH3: phrases of three words from every benchmark text, as they stand and with up to two tokens between, over title, label and
+    whole content: matches by position, and their score."""
+    from trellis.functions.text import tokens
+    from trellis.operators import search
+    idx = B.full_index(spark, sf_dir)
+    words = F.slice(tokens(F.col("text")), 2, 3)
+    b = fixtures.load(spark, sf_dir, "benchmark").where(F.size(tokens(F.col("text"))) > 4)
+    exact = b.select(_key("e", "item_id").alias("query_id"), F.array_join(words, " ").alias("phrase"), F.lit(0).alias("slop"))
+    ends = F.array(F.get(tokens(F.col("text")), F.lit(1)), F.get(tokens(F.col("text")), F.lit(3)))
+    loose = b.select(_key("l", "item_id").alias("query_id"), F.array_join(ends, " ").alias("phrase"), F.lit(2).alias("slop"))
+    m = search.phrase_match(idx, exact.unionByName(loose))
+    ent = idx.entries.select("entry_id", "s", F.md5(F.col("value").cast("binary")).alias("value_md5"))
+    return m.join(ent, ["entry_id", "s"]).select("query_id", "s", "field", "value_md5", "n", F.round("score", 6).alias("score"))
+
+
+def bucket_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF9: changes between two written states of a store: some orders go, some change their status, others stay."""
+    o = fixtures.load(spark, sf_dir, "orders")
+    quad = lambda df, status: df.select(F.lit("orders").alias("g"), _key("o", "o_orderkey").alias("s"), F.lit(V.TITLE).alias("p"), status.alias("o"),
+                                        F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("o_lang"))
+    before, after = _exchange_dir(spark, "before"), _exchange_dir(spark, "after")
+    graph.write_buckets(quad(o, F.col("o_orderstatus")), before)
+    status = F.when(F.col("o_orderkey") % 509 == 0, F.lit("changed")).otherwise(F.col("o_orderstatus"))
+    graph.write_buckets(quad(o.where("o_orderkey % 1009 <> 0"), status), after)
+    return graph.bucket_delta(spark, before, after).select("change", "s", "o")
+
+
+def versioned_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK3: nations and regions as versions of a store: a reader of the second version keeps its rows while regions are replaced."""
+    from trellis.sources import versions
+    path = _exchange_dir(spark, "versions")
+    N, R = fixtures.load(spark, sf_dir, "nation"), fixtures.load(spark, sf_dir, "region")
+    title = lambda df, s, o: df.select(s.alias("s"), F.lit(V.TITLE).alias("p"), o.alias("o"), F.lit("literal").alias("o_kind"), F.lit("en").alias("o_lang"))
+    versions.replace_graph(spark, path, title(N, _key("n", "n_nationkey"), F.col("n_name")), "nations")
+    versions.replace_graph(spark, path, title(R, _key("old", "r_regionkey"), F.upper("r_name")), "regions")
+    before = versions.read(spark, path)
+    versions.replace_graph(spark, path, title(R, _key("r", "r_regionkey"), F.col("r_name")), "regions")
+    state = lambda df, name: df.select(F.lit(name).alias("state"), "g", "s", "o", "o_lang")
+    return state(before, "before").unionByName(state(versions.read(spark, path), "after"))
+
+
+def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IDX3: an index of document texts brought through three states by segments: all but every fifth text; all, where every
+    seventh has another language; all but every eleventh. Its terms, document and collection frequencies and summed weights."""
+    from trellis.operators import segments
+    path = _exchange_dir(spark, "segments")
+    d = fixtures.load(spark, sf_dir, "documents")
+    g = lambda df, lang: df.select(_key("d", "doc_id").alias("s"), F.lit(V.TITLE).alias("p"), F.col("text").alias("o"), F.lit("literal").alias("o_kind"), lang.alias("o_lang"))
+    other = F.when(F.col("doc_id") % 7 == 0, F.lit("xx")).otherwise(F.col("lang"))
+    segments.update(spark, path, g(d.where("doc_id % 5 <> 0"), F.col("lang")))
+    segments.update(spark, path, g(d, other))
+    segments.update(spark, path, g(d.where("doc_id % 11 <> 0"), other))
+    idx = segments.open_index(spark, path)
+    sums = idx.postings.groupBy("field", "term").agg(F.sum("tf").cast("long").alias("cf"), F.round(F.sum("w"), 6).alias("w"))
+    return idx.term_df.join(sums, ["field", "term"]).select("term", F.col("df").cast("long").alias("df"), "cf", "w")
+
+
 def language_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IDX4: index entries keep the language of their literal."""
     d = fixtures.load(spark, sf_dir, "documents")
@@ -211,7 +269,8 @@ def extraction_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (incomplete_chains, array_triples, graph_patterns, stored_graphs, snapshot_files,
                                     reference_expansion, class_axioms, language_index, extraction_file, typed_literals, table_row_rules,
-                                    several_paths, unify_status, partial_mapping, mention_guards)}
+                                    several_paths, unify_status, partial_mapping, mention_guards, phrase_search, bucket_changes,
+                                    versioned_graphs, incremental_index)}
 
 
 def oracle_sql() -> dict:
@@ -273,6 +332,34 @@ def oracle_sql() -> dict:
         "mention_guards": (
             "SELECT 'links' AS \"case\", count(*) AS n FROM (SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))) "
             "UNION ALL SELECT unnest(['no terms', 'no artifacts']), 0"),
+        "phrase_search": O.with_ctes(O.GRAPH_CTES, O.DIGEST_INDEX_CTES, f"""
+b AS (SELECT item_id, {O.tokens('text')} AS t FROM benchmark),
+ph AS (SELECT 'e' || item_id AS query_id, t[2:4] AS terms, 0 AS slop FROM b WHERE len(t) > 4 UNION ALL SELECT 'l' || item_id, [t[2], t[4]], 2 FROM b WHERE len(t) > 4),
+firsts AS (SELECT p.query_id, p.terms, p.slop, e.s, e.field, e.value, e.lang, e.toks, unnest(range(1, len(e.toks) + 1)) AS i1 FROM ph p
+  JOIN entry_toks e ON list_contains(e.toks, p.terms[1]) AND list_contains(e.toks, p.terms[2]) AND (len(p.terms) < 3 OR list_contains(e.toks, p.terms[3]))),
+seconds AS (SELECT *, i1 + list_position(toks[i1 + 1:], terms[2]) AS i2 FROM firsts WHERE toks[i1] = terms[1]),
+thirds AS (SELECT *, CASE WHEN len(terms) = 3 THEN i2 + list_position(toks[i2 + 1:], terms[3]) ELSE i2 END AS i3 FROM seconds WHERE i2 > i1),
+gaps AS (SELECT *, i3 - i1 - len(terms) + 1 AS gap FROM thirds WHERE len(terms) = 2 OR i3 > i2),
+freqs AS (SELECT query_id, s, field, value, lang, len(toks) AS dl, count(*) AS n, sum(1.0 / (1 + gap)) AS freq FROM gaps WHERE gap <= slop GROUP BY ALL),
+idfs AS (SELECT q.query_id, d.field, sum(ln(1 + (st.n_docs - d.df + 0.5) / (d.df + 0.5))) AS idf FROM (SELECT query_id, unnest(terms) AS term FROM ph) q
+  JOIN term_df d USING (term) JOIN stats st USING (field) GROUP BY ALL)
+""", body=f"SELECT f.query_id, f.s, f.field, f.value AS value_md5, f.n, "
+                                     f"round(idf * freq / (freq + {V.BM25_K1} * (1 - {V.BM25_B} + {V.BM25_B} * dl / avg_dl)), 6) AS score "
+                                     "FROM freqs f JOIN idfs USING (query_id, field) JOIN stats USING (field)"),
+        "bucket_changes": (
+            "SELECT 'removed' AS change, 'o' || o_orderkey AS s, o_orderstatus AS o FROM orders WHERE o_orderkey % 1009 = 0 OR o_orderkey % 509 = 0 UNION ALL "
+            "SELECT 'added', 'o' || o_orderkey, 'changed' FROM orders WHERE o_orderkey % 509 = 0 AND o_orderkey % 1009 <> 0"),
+        "versioned_graphs": (
+            "SELECT state, 'nations' AS g, 'n' || n_nationkey AS s, n_name AS o, 'en' AS o_lang FROM nation, (SELECT unnest(['before', 'after']) AS state) UNION ALL "
+            "SELECT 'before', 'regions', 'old' || r_regionkey, upper(r_name), 'en' FROM region UNION ALL "
+            "SELECT 'after', 'regions', 'r' || r_regionkey, r_name, 'en' FROM region"),
+        "incremental_index": (
+            f"WITH e AS (SELECT DISTINCT doc_id, text, {O.tokens('text')} AS toks FROM documents WHERE doc_id % 11 <> 0), "
+            "st AS (SELECT count(*) AS n, avg(len(toks)) AS avg_dl FROM e), "
+            "tf AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM e) GROUP BY doc_id, term), "
+            "df AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term) "
+            f"SELECT term, df, any_value(cf) AS cf, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + {V.BM25_K1} * (1 - {V.BM25_B} + {V.BM25_B} * dl / avg_dl))), 6) AS w "
+            "FROM tf JOIN df USING (term), st GROUP BY term, df"),
         "language_index": "SELECT DISTINCT 'd' || doc_id AS s, 'label' AS field, md5(text) AS value_md5, lang FROM documents",
         "extraction_file": (
             "SELECT 'pages' AS query, row_number() OVER (ORDER BY 'customer_' || c_custkey) AS result_no, 'customer_' || c_custkey AS s, "

@@ -178,6 +178,12 @@ FULL_INDEX_CTES = INDEX_CTES.replace(
 ).replace(f"p IN ({q(V.TITLE)}, {q(V.RDFS_LABEL)})", f"p IN ({q(V.TITLE)}, {q(V.RDFS_LABEL)}, {q(V.CONTENT)})")
 
 
+# The same with digests in place of whole values: clauses join postings to postings, and a value would ride with each of its terms.
+DIGEST_INDEX_CTES = FULL_INDEX_CTES.replace(
+    f"entry_toks AS (SELECT s, field, value, lang, {tokens('value')} AS toks FROM entries)",
+    f"entry_toks AS (SELECT s, field, md5(value) AS value, lang, {tokens('value')} AS toks FROM entries)")
+
+
 def ancestors(part: str) -> str:
     """Titles (t) or links (l) of a group's ancestors, nearest first."""
     pairs = "list_sort(list_distinct(list({'d': ap.depth, 't': ap.a_title, 'l': ap.a_link}) FILTER (ap.s IS NOT NULL)))"
@@ -366,8 +372,9 @@ clause_matched AS (
                 AND o.field = cm.field AND o.value = cm.value AND o.lang IS NOT DISTINCT FROM cm.lang))
       AND NOT EXISTS (SELECT 1 FROM banned b WHERE b.query_id = cm.query_id AND b.s = cm.s AND b.field = cm.field
                 AND b.value = cm.value AND b.lang IS NOT DISTINCT FROM cm.lang)
-      AND (c.phrase IS NULL OR contains(' ' || array_to_string({tokens('cm.value')}, ' ') || ' ',
-                                        ' ' || array_to_string({tokens('c.phrase')}, ' ') || ' ')))
+      AND (c.phrase IS NULL OR EXISTS (SELECT 1 FROM entry_toks t WHERE t.s = cm.s AND t.field = cm.field AND t.value = cm.value
+                AND t.lang IS NOT DISTINCT FROM cm.lang AND contains(' ' || array_to_string(t.toks, ' ') || ' ',
+                                        ' ' || array_to_string({tokens('c.phrase')}, ' ') || ' '))))
 """
 
 
