@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -17,6 +18,7 @@ from trellis.llm.common import scratch_path
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BLANK = lattice.BLANK
 HARD = ["", " ", "a ", "  a  b \n\n c\t d it's I'll 've.", "<|endoftext|> x", "\x1c c\x1d\x85 d\xa0e", "é ²½ 123abc  ", "\r\n\r\n x", "'s 's",
         "漢字 かな　x", "x, y.z a'. 'll. ?? e.", "ab's, don't.", "🙂🙂 ​z", "w" * 5000, "tab\tlist, of: things; no! yes?"]
 
@@ -34,6 +36,19 @@ def test_ids_equal_the_tokenizer(reference, text):
     assert np.frombuffer(tokens.encoder(BPE)(text), dtype="<u2").tolist() == reference(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["word", "d", "'t", "'", " ", "  ", "\n", ".", ",", "!?", "é", "ʯ", "漢", "ª", "²", "7", "_", "(", "İ", "\xa0", ":;"]), max_size=14).map("".join))
+def test_ids_of_words_and_marks(reference, text):
+    assert np.frombuffer(tokens.encoder(BPE)(text), dtype="<u2").tolist() == reference(text)
+
+
+def test_ids_while_units_grow_old(reference, monkeypatch):
+    monkeypatch.setattr(tokens, "UNITS", 5)
+    encode = tokens.encoder(BPE)
+    texts = [" ".join(f"word{i * j % 7}, and {i}." for j in range(6)) for i in range(40)]
+    assert all(np.frombuffer(encode(t), dtype="<u2").tolist() == reference(t) for t in texts * 2)
+
+
 def test_ids_of_documents(reference, spark, sf):
     texts = HARD + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     assert all(np.frombuffer(tokens.encoder(BPE)(t), dtype="<u2").tolist() == reference(t) for t in texts)
@@ -167,6 +182,21 @@ def test_shards_round_trip_and_resume(spark, docs, reference):
     assert empty.count() == 0 and training_order.read_sequences(empty, "key").count() == 0
 
 
+def test_shards_depend_on_rows_and_key_alone(spark, docs):
+    """The same shards from other partitions of the rows, and a task for each shard that is read."""
+    how = {"length": 8, "per_shard": 16}
+    found = []
+    for n in (1, 4, 7):
+        manifest = training_order.write_shards(docs(ROWS).repartition(n), BPE, scratch_path(spark, "t"), "key", **how)
+        read = training_order.read_sequences(manifest, "key", **how)
+        found.append({r.slot: (r.number, bytes(r.ids)) for r in read.collect()})
+        shards = manifest.count()
+        assert shards > 20 and read.rdd.getNumPartitions() == read.select(F.spark_partition_id()).distinct().count() == shards
+    assert found[0] == found[1] == found[2]
+    late = training_order.read_sequences(manifest, "key", **how, from_slot=shards * 16 - 40)
+    assert late.rdd.getNumPartitions() == late.select(F.spark_partition_id()).distinct().count() == 3
+
+
 # -- sampled segmentations
 
 
@@ -234,8 +264,9 @@ def test_all_segmentations_come_out_once():
 def test_samples_of_rows(spark, docs, sf):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
-    rows = ROWS + [(1000 + i, t) for i, t in enumerate(texts)]
+    rows = ROWS + [(1000 + i, t) for i, t in enumerate(texts)] + [(2000, "  two blanks"), (2001, f"a{BLANK}b {BLANK}"), (2002, BLANK), (2003, " "), (2004, "\x00 🙂\n")]
     df = docs(rows, "ids", "rank")
+    model = lattice.pieces(PIECES, 1.0)
     got = lattice.sample_segmentations(df, PIECES).collect()
     by = collections.defaultdict(dict)
     for r in got:
@@ -246,9 +277,12 @@ def test_samples_of_rows(spark, docs, sf):
         if not t:
             assert ranks == {1: {((), 0.0, next(iter(ranks[1]))[2], 1.0)}}
             continue
-        assert all(sp.decode(list(ids)) in (t, t[1:] if t[:1] == " " else t) for s in ranks.values() for ids, *_ in s)
+        assert all(lattice.decoded(ids, model).decode() == t for s in ranks.values() for ids, *_ in s)
+        assert BLANK in t or all(sp.decode(list(ids)) == t.removeprefix(" ") for s in ranks.values() for ids, *_ in s if t[:1] != " ")
         assert all(0 <= q <= 1 and lp <= 1e-9 for s in ranks.values() for _, lp, _, q in s)
         assert len({ids for s in ranks.values() for ids, *_ in s}) == sum(map(len, ranks.values()))
+    text = {r.doc_id: r.text for r in lattice.decode(lattice.sample_segmentations(docs(rows[-9:]), PIECES), PIECES).collect()}
+    assert text == {i: t or "" for i, t in rows[-9:]}
     again = lattice.sample_segmentations(df.repartition(3), PIECES).collect()  # other partitions and batches, same draws
     assert sorted((str(r.doc_id), r["rank"], r.ids) for r in again) == sorted((str(r.doc_id), r["rank"], r.ids) for r in got)
     assert lattice.sample_segmentations(docs([]), PIECES).count() == 0

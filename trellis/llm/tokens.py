@@ -1,10 +1,11 @@
 """Token ids of whole texts by a public byte-level BPE file, as unsigned 16-bit arrays.
 
 The pre-tokenizer splits at white space first and inside a run of other characters by
-character class; no token crosses from one run into the next. So a text is cut into
-units (a run with the blank before it, or white space), each distinct unit is encoded
+character class; no token crosses from one run into the next, nor from letters into marks that end a run. So a text is cut into
+units (a run with the blank before it, its last marks apart, or white space), each distinct unit is encoded
 once per worker, and the ids of a text are the joined ids of its units. Units are kept
-in a bounded table that is emptied when full. The vocabulary is read from the
+in a bounded table; when it is full it becomes the old one, from which units come back as they are met, and the old one before it goes, so
+frequent units stay. The vocabulary is read from the
 ``tokenizers`` JSON file; units are encoded from its ranks (in this kind of file a
 merge's rank is the order of its id), which the tests hold against ``tokenizers``. With
 ``added_tokens`` a text is first cut at the file's added tokens, which stand for their ids
@@ -25,7 +26,9 @@ import pyarrow as pa
 from trellis.llm.common import slices, texts_of
 
 _SPACE = "\t-\r\x85 \xa0  -     　"  # fixed: Unicode White_Space
-_UNIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ʯ"  # some of the letters, in ranges without anything else
+# a word before white space or before marks that end the run, those marks, any other run, white space
+_UNIT = re.compile(f" ?[{_LETTER}]+(?=[{_SPACE}]|[.,;:!?]*(?![^{_SPACE}]))|[.,;:!?]+(?![^{_SPACE}])| ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 UNITS = 150_000
 
 
@@ -64,11 +67,20 @@ class _Units(dict):
         if max(ranks.values()) >= 1 << 16 or len(self.added) < len(spec["added_tokens"]):
             raise ValueError("ids do not fit 16 bits")
         bpe = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.encode, self.encode_piece = bpe.encode_ordinary, bpe._encode_single_piece
+        self.encode, self.encode_piece = bpe.encode_ordinary, bpe._core_bpe.encode_single_piece
+        self.old: dict[str, bytes] = {}
+
+    def grow_old(self) -> None:
+        if len(self) > UNITS:
+            self.old = dict(self)
+            self.clear()
 
     def __missing__(self, unit: str) -> bytes:
-        if unit.removeprefix(" ").isalpha():  # letters are one piece to the pre-tokenizer
-            ids = _packed(self.encode_piece(unit))
+        ids = self.old.get(unit)
+        if ids is not None:
+            pass
+        elif unit.removeprefix(" ").isalpha():  # letters are one piece to the pre-tokenizer
+            ids = _packed(self.encode_piece(unit.encode()))
         elif len(unit) > 2 and unit[-1] in ".,!?;:" and unit[1:-1].isalpha():
             ids = self[unit[:-1]] + self[unit[-1]]  # letters and the mark are different classes
         else:
@@ -88,8 +100,7 @@ def encoder(path: str, added_tokens: bool = False):
     units = _units(path)
 
     def spelled(text: str) -> bytes:
-        if len(units) > UNITS:
-            units.clear()
+        units.grow_old()
         return b"".join(map(units.__getitem__, _UNIT.findall(text)))
 
     if not added_tokens or not units.added:
