@@ -242,6 +242,15 @@ def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idx.term_df.join(sums, ["field", "term"]).select("term", F.col("df").cast("long").alias("df"), "cf", "w")
 
 
+def star_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GRF2, GRF4, GRF6 over a store laid out by graph and predicate: nodes with a link, a title and a time, and the time optional."""
+    from trellis.operators import layout
+    store = layout.write_store(graph.as_quads(B.knowledge_triples(spark, sf_dir), V.GRAPH_KNOWLEDGE), _exchange_dir(spark, "layout"))
+    out = store.star({"link": V.LINK, "title": V.TITLE, "creationTime": V.CREATION_TIME}, required=("link", "title"))
+    n = store.star_count([V.LINK, V.TITLE])
+    return out.select("s", "link", "title", "creationTime", F.lit(n).cast("long").alias("n_subjects"))
+
+
 def language_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IDX4: index entries keep the language of their literal."""
     d = fixtures.load(spark, sf_dir, "documents")
@@ -270,7 +279,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (incomplete_chains, array_triples, graph_patterns, stored_graphs, snapshot_files,
                                     reference_expansion, class_axioms, language_index, extraction_file, typed_literals, table_row_rules,
                                     several_paths, unify_status, partial_mapping, mention_guards, phrase_search, bucket_changes,
-                                    versioned_graphs, incremental_index)}
+                                    versioned_graphs, incremental_index, star_patterns)}
 
 
 def oracle_sql() -> dict:
@@ -360,6 +369,10 @@ idfs AS (SELECT q.query_id, d.field, sum(ln(1 + (st.n_docs - d.df + 0.5) / (d.df
             "df AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term) "
             f"SELECT term, df, any_value(cf) AS cf, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + {V.BM25_K1} * (1 - {V.BM25_B} + {V.BM25_B} * dl / avg_dl))), 6) AS w "
             "FROM tf JOIN df USING (term), st GROUP BY term, df"),
+        "star_patterns": O.with_ctes(*kg, body=(
+            f"SELECT l.s, l.o AS link, t.o AS title, c.o AS creationTime, (SELECT count(DISTINCT a.s) FROM kg a JOIN kg b ON a.s = b.s "
+            f"WHERE a.p = {q(V.LINK)} AND b.p = {q(V.TITLE)}) AS n_subjects FROM (SELECT s, o FROM kg WHERE p = {q(V.LINK)}) l "
+            f"JOIN (SELECT s, o FROM kg WHERE p = {q(V.TITLE)}) t ON t.s = l.s LEFT JOIN (SELECT s, o FROM kg WHERE p = {q(V.CREATION_TIME)}) c ON c.s = l.s")),
         "language_index": "SELECT DISTINCT 'd' || doc_id AS s, 'label' AS field, md5(text) AS value_md5, lang FROM documents",
         "extraction_file": (
             "SELECT 'pages' AS query, row_number() OVER (ORDER BY 'customer_' || c_custkey) AS result_no, 'customer_' || c_custkey AS s, "
