@@ -294,7 +294,7 @@ def fit_spans(bags: list[list[tuple[str, float]]], clean: dict[str, int], rounds
         x = np.vstack([kernel(rows, marks) @ whiten, np.zeros((1, whiten.shape[1]))])
         v, bias = svm(x, np.append(y, -1.0), np.append(weight, CLEAN_COST / 4))
         model = _fold(marks, whiten @ v, bias)
-        margin = model.margins(clean_spans)
+        margin = np.concatenate([model.margins(clean_spans[i : i + 20_000]) for i in range(0, len(clean_spans), 20_000)])  # a bounded part at a time
         margin_of = dict(zip(clean_spans, margin)) | dict(zip(flat, model.margins(flat)))
         negatives = list(dict.fromkeys(negatives + [clean_spans[i] for i in np.argsort(-margin)[:HARD]]))
     model.window_words = tuple(sorted({w for s in positives if " " in s for w in (s.split()[0], s.split()[-1])}))
