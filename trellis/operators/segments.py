@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from trellis import vocab as V
 from trellis.functions.text import tokens
-from trellis.operators.index import TextIndex, bm25_weight, index_entries
-from trellis.session import cut_lineage
+from trellis.operators.index import TextIndex, entry_parts, index_entries, term_counts, weigh
+from trellis.session import stored
 from trellis.sources import versions
 
 def _folders(spark: SparkSession, path: str) -> tuple[int, list[str]]:
@@ -29,13 +29,6 @@ def _union(spark: SparkSession, folders: list[str], part: str) -> DataFrame:
     return spark.read.parquet(*[f"{f}/{part}" for f in folders])
 
 
-def _counted(entries: DataFrame) -> DataFrame:
-    """Postings without weights."""
-    toks = entries.select("entry_id", "s", "field", tokens(F.col("value")).alias("toks"))
-    return (toks.select("entry_id", "s", "field", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-            .groupBy("entry_id", "s", "field", "dl", "term").agg(F.count("*").alias("tf")))
-
-
 def _live(spark: SparkSession, folders: list[str], part: str) -> DataFrame:
     """Rows of a part whose entries no later segment marks as gone. A segment's number rides with its rows: an entry that went
     and came back lives in the later segment."""
@@ -54,7 +47,7 @@ def _write(spark: SparkSession, path: str, base: int, added: DataFrame, gone: Da
     at = f"{path}/data/{folder}"
     added.write.parquet(f"{at}/entries")
     added = spark.read.parquet(f"{at}/entries")
-    _counted(added).write.parquet(f"{at}/postings")
+    term_counts(added, entry_parts(added)).write.parquet(f"{at}/postings")
     gone.select("entry_id", "s").write.parquet(f"{at}/gone")
     postings = spark.read.parquet(f"{at}/postings")
     sign = lambda df, n: df.select("field", "term", F.lit(n).cast("long").alias("n"))
@@ -80,8 +73,8 @@ def update(spark: SparkSession, path: str, graph: DataFrame, fields: dict[str, s
         none = entries.where(F.lit(False))
         return _write(spark, path, 0, entries, none, none.select("field", F.col("value").alias("term")), none)
     live = _live(spark, folders, "entries")
-    added = cut_lineage(entries.join(live.select("entry_id", "s"), ["entry_id", "s"], "left_anti"))
-    gone = cut_lineage(live.join(entries.select("entry_id", "s"), ["entry_id", "s"], "left_anti"))
+    added = stored(entries.join(live.select("entry_id", "s"), ["entry_id", "s"], "left_anti"))
+    gone = stored(live.join(entries.select("entry_id", "s"), ["entry_id", "s"], "left_anti"))
     if added.isEmpty() and gone.isEmpty():
         return base
     gone_postings = _live(spark, folders, "postings").join(gone.select("entry_id", "s"), ["entry_id", "s"], "left_semi")
@@ -91,7 +84,7 @@ def update(spark: SparkSession, path: str, graph: DataFrame, fields: dict[str, s
 def merge(spark: SparkSession, path: str) -> int:
     """One segment of all live entries instead of many."""
     base, folders = _folders(spark, path)
-    live = cut_lineage(_live(spark, folders, "entries"))
+    live = stored(_live(spark, folders, "entries"))
     none = live.where(F.lit(False))
     return _write(spark, path, base, live, none, none.select("field", F.col("value").alias("term")), none, replace=True)
 
@@ -105,7 +98,4 @@ def open_index(spark: SparkSession, path: str, k1: float = V.BM25_K1, b: float =
     term_df = _union(spark, folders, "df").groupBy("field", "term").agg(F.sum("df").alias("df")).where("df > 0")
     stats = _union(spark, folders, "stats").groupBy("field").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs > 0")
     stats = stats.select("field", "n_docs", (F.col("n_tokens") / F.col("n_docs")).alias("avg_dl"))
-    weighed = postings.join(term_df, ["field", "term"]).join(F.broadcast(stats), "field").select(  # a row a field
-        "entry_id", "s", "field", "term", "tf", "dl",
-        bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avg_dl"), k1, b).alias("w"))
-    return TextIndex(entries, weighed, term_df, stats, k1, b)
+    return TextIndex(entries, weigh(postings, term_df, stats, k1, b), term_df, stats, k1, b)
