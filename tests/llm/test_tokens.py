@@ -261,6 +261,12 @@ def test_all_segmentations_come_out_once():
     assert values == sorted(values, reverse=True)
 
 
+def test_words_that_differ_after_a_nul_have_lattices_of_their_own():
+    texts = ["x\x00y", "x\x00z", "x\x00", "x"]
+    out, _ = draw(texts, range(4), 2)
+    assert all(lattice.decoded(ids, lattice.pieces(PIECES, 1.0)).decode() == t for t, o in zip(texts, out) for ids, _, _ in o)
+
+
 def test_samples_of_rows(spark, docs, sf):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]

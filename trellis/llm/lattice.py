@@ -26,7 +26,6 @@ from functools import cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -266,9 +265,9 @@ def top_k(texts: list[str], keys: list[int], model: Pieces, k: int, seed: int =
     thresholds, the largest perturbed value of each text that was not drawn (-inf: nothing is left)."""
     n = len(texts)
     split = [model.split(BLANK + t.replace(BLANK, _LITERAL).replace(" ", BLANK)) if t else [] for t in texts]
-    flat, index = pd.factorize(np.array(list(chain.from_iterable(split)), dtype=object))
-    flat = flat.astype(np.int64)
-    lat = Lattices(index.tolist(), model) if len(index) else None
+    place: dict[str, int] = {}  # not pandas.factorize: it takes strings for equal that agree up to a NUL
+    flat = np.array([place.setdefault(w, len(place)) for w in chain.from_iterable(split)], dtype=np.int64)
+    lat = Lattices(list(place), model) if place else None
     count = np.array([len(ws) for ws in split], dtype=np.int64)
     doc_of_word = np.repeat(np.arange(n), count)
     word_no = _runs(count)  # number of the word in its text
