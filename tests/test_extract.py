@@ -55,3 +55,33 @@ def test_result_numbers_keep_null_and_equal_rows(spark):
     for q in ("q", None):
         mine = sorted((r.result_no, -1 if r.k is None else r.k) for r in got if r.q == q)
         assert [n for n, _ in mine] == list(range(1, len(mine) + 1)) and [k for _, k in mine] == sorted(k for _, k in mine)
+
+
+def test_parsing_is_dealt_over_tasks_and_trees_are_freed_at_once(spark):
+    """A small file with many rows is one read task, but many parse tasks; a parsed page leaves no circles for the collector."""
+    import gc
+
+    from trellis.functions import html as H
+
+    page = "<h1>T</h1><table><tr><th>A</th></tr><tr><td>1</td></tr></table>"
+    df = spark.range(400).selectExpr("id", f"'{page}' AS h").coalesce(1)
+    tasks = lambda out: out.selectExpr("spark_partition_id() AS p").distinct().count()
+    assert tasks(extract.html_tables(df, "h", ["id"])) == tasks(extract.html_text(df, "h")) == 4
+    assert extract.html_tables(df, "h", ["id"]).distinct().count() == 400
+    gc.collect()
+    gc.disable()
+    try:
+        for _ in range(50):
+            assert H.visible_text(page) == "T A 1"
+        assert gc.collect() < 50
+    finally:
+        gc.enable()
+
+
+def test_pages_are_parsed_in_parts_of_bounded_size():
+    import pyarrow as pa
+
+    whole = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([None, *["x" * (1 << 20)] * 39])], names=["k", "h"])
+    parts = list(extract._slices(iter([whole]), "h"))
+    assert max(b.column(1).nbytes for b, _ in parts) <= 2 * extract.TOGETHER
+    assert [v for _, texts in parts for v in texts] == whole.column(1).to_pylist()
