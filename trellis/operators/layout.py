@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.operators import graph
-from trellis.session import broadcast_if_small, cut_lineage
+from trellis.session import broadcast_if_small, cut_lineage, stored
 
 #: Predicates with folders of their own, the most frequent; folders that all others share.
 OWN_FOLDERS, SHARED_FOLDERS = 200, 56
@@ -41,10 +41,14 @@ class Store:
         """GRF2: one graph, by a partition filter."""
         return self.quads.where(F.col("g") == g).select(*_TRIPLE)
 
+    def _rows(self, predicates: list[str]) -> DataFrame:
+        """Quads with these predicates, from their folders alone."""
+        folders = sorted(set(self.folders(predicates).values()))
+        return self.quads.where(F.col("folder").isin(folders) & F.col("p").isin(predicates))
+
     def with_predicates(self, predicates: list[str]) -> DataFrame:
         """Triples of the union graph with these predicates, from their folders alone."""
-        folders = sorted(set(self.folders(predicates).values()))
-        return self.quads.where(F.col("folder").isin(folders) & F.col("p").isin(predicates)).select(*_TRIPLE).distinct()
+        return self._rows(predicates).select(*_TRIPLE).distinct()
 
     def values_of(self, predicate: str, name: str = "o") -> DataFrame:
         """GRF8."""
@@ -89,9 +93,9 @@ class Store:
         needed = sorted({predicates[n] for n in required})
         fits = F.size(F.array_intersect("predicates", F.array(*map(F.lit, needed)))) == len(needed)
         subjects = self.members.join(broadcast_if_small(self.sets.where(fits).select("set_id")), "set_id", "left_semi").select("s")
-        rows = self.with_predicates(list(predicates.values())).select("s", "p", "o").distinct()
-        rows = rows.join(subjects, "s", "left_semi")
-        out = rows.groupBy("s").agg(*[F.collect_list(F.when(F.col("p") == p, F.col("o"))).alias(n) for n, p in predicates.items()])
+        rows = self._rows(list(predicates.values())).select("s", "p", "o").join(subjects, "s", "left_semi")
+        # sets: a triple in several graphs, or with several languages, is one value
+        out = rows.groupBy("s").agg(*[F.collect_set(F.when(F.col("p") == p, F.col("o"))).alias(n) for n, p in predicates.items()])
         for n in predicates:  # a subject's values of one predicate at a time
             out = out.withColumn(n, F.explode_outer(n))
         return out.select("s", *predicates)
@@ -100,20 +104,24 @@ class Store:
 def write_store(quads: DataFrame, path: str, own: int = OWN_FOLDERS, shared: int = SHARED_FOLDERS) -> Store:
     """Write quads (g, s, p, o, o_kind, o_lang; a set) below ``path``, a new folder, and open the store."""
     spark = quads.sparkSession
-    quads = cut_lineage(quads.select("g", *_TRIPLE).distinct())
-    union = quads.select(*_TRIPLE).distinct()
-    counts = union.groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("n_subjects"), F.count_distinct("o").alias("n_objects"))
+    # one shuffle of the texts gives each triple once with its graphs; all later steps read what it wrote. It is by predicate and a
+    # salt of the subject: a hot predicate's rows are dealt over many tasks, and a task's rows go to few folders
+    salt = F.pmod(F.xxhash64("s"), F.lit(8 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))).alias("salt")
+    dealt = quads.select("g", *_TRIPLE, salt).repartition("p", "salt")
+    triples = stored(dealt.groupBy(*_TRIPLE, "salt").agg(F.collect_set(F.struct("g")).alias("graphs")).drop("salt"))
+    # texts are counted by their digests
+    text = F.when(F.length("o") > 64, F.sha2("o", 256)).otherwise(F.col("o"))
+    keys = triples.select("s", "p", text.alias("o"))
+    counts = keys.groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("n_subjects"), F.count_distinct("o").alias("n_objects"))
     counts = cut_lineage(counts)
     frequent = counts.orderBy(F.desc("n"), "p").limit(own).select("p").collect()  # at most ``own`` names
     number = spark.createDataFrame([(r["p"], i) for i, r in enumerate(frequent)], "p string, own int")
     folder = F.coalesce("own", F.pmod(F.xxhash64("p"), F.lit(shared)).cast("int") + own).alias("folder")
     counts.join(F.broadcast(number), "p", "left").select("p", folder, "n", "n_subjects", "n_objects").write.parquet(f"{path}/predicates")
-    laid = quads.join(F.broadcast(number), "p", "left").select("g", folder, *_TRIPLE)
-    # a hot predicate's rows are dealt over as many tasks as the session has shuffle partitions
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    laid.repartition("g", "folder", F.pmod(F.xxhash64("s"), F.lit(salts))).sortWithinPartitions("g", "folder", "p", "s").write.partitionBy("g", "folder").parquet(f"{path}/quads")
-    own_sets = union.select("s", "p").distinct().groupBy("s").agg(F.array_sort(F.collect_list("p")).alias("predicates"))  # a subject's predicates, not its triples
-    own_sets = cut_lineage(own_sets.withColumn("set_id", F.xxhash64("predicates")))
+    laid = triples.join(F.broadcast(number), "p", "left").select(F.inline("graphs"), folder, *_TRIPLE)
+    laid.sortWithinPartitions("g", "folder", "p", "s").write.partitionBy("g", "folder").option("compression", "zstd").parquet(f"{path}/quads")
+    own_sets = triples.select("s", "p").groupBy("s").agg(F.array_sort(F.collect_set("p")).alias("predicates"))  # a subject's predicates, not its triples
+    own_sets = stored(own_sets.withColumn("set_id", F.xxhash64("predicates")))
     own_sets.select("s", "set_id").write.parquet(f"{path}/members")
     own_sets.groupBy("set_id", "predicates").agg(F.count("*").alias("n_subjects")).write.parquet(f"{path}/sets")
     return open_store(spark, path)
