@@ -138,3 +138,12 @@ def test_triples_ontology_and_sinks(spark):
     sinks.write_extraction(cells, os.path.join(d, "ext"))
     got = spark.read.json(os.path.join(d, "ext")).first()
     assert got["query"] == "q" and "Result_1" in got.asDict()
+
+
+def test_items_are_parsed_once(spark):
+    from trellis.session import with_once
+    df = spark.createDataFrame([('{"id":1,"x":{"id":"a"}}',), ("[1]",), ('"{"',), ('{"id":1,"_id":2}',), ('{"@odata.k":"@odata.v"}',)], "j string")
+    clean = N.clean_items(with_once(df, "item", F.parse_json("j")).select("item"))
+    assert sorted(r["_json"] for r in clean.collect()) == ['{"_id":1,"x":{"_id":"a"}}', '{"odatak":"odatav"}']
+    plan = clean.select("doc")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") + plan.count("parse_json") == 2, plan  # the test's own, and one more

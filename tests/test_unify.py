@@ -91,3 +91,13 @@ def test_uni6_fails_only_when_all_fail(spark):
         unify_all({"posts": empty}, RULES)
     with pytest.raises(RuntimeError):
         unify_all({}, RULES)
+
+
+def test_only_paths_found_are_read_of_all_rows(spark):
+    """The first document's paths are found on it alone, and other rules' paths are not evaluated for the rest."""
+    df = spark.createDataFrame([(1, '{"a":{"b":"x"}}'), (2, '{"a":[{"b":"y"},{"c":1}]}'), (3, '{"a":"z"}'), (4, '{"zz":{"b":"w"}}')], "i int, j string")
+    df = df.select("i", F.parse_json("j").alias("doc"), F.create_map().cast("map<string,string>").alias("ext"))
+    frames, _ = unify_all({"one": df}, {"p": ["a.b"], "q": ["zz.b"]}, order_by=["i"], keep=["i"])
+    assert {r.i: (r.p, r.q) for r in frames["one"].collect()} == {1: (["x"], []), 2: (["y"], []), 3: (["z"], []), 4: ([], [])}
+    plan = frames["one"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "zz" not in plan and "_u1_0" not in plan

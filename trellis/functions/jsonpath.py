@@ -9,9 +9,6 @@
   is not an object, leaves the value unchanged (C4, C5);
 * a plain step on an object takes the member (missing -> NULL);
 * a plain step on a primitive or JSON null leaves it unchanged (C1).
-
-Each step is one projection over the previous step's column, so expressions never
-nest the whole path.
 """
 
 from __future__ import annotations
@@ -54,27 +51,35 @@ def step(v: Column, key: str) -> Column:
     return F.when(v.isNull(), F.lit(None).cast("variant")).when(arr.isNotNull(), over_array).otherwise(other)
 
 
+def _step_once(v: Column, key: str) -> Column:
+    """``step`` with ``v`` computed once, and outside generated code: what is seldom read would swell it."""
+    return F.element_at(F.transform(F.array(v), lambda x: step(x, key)), 1)
+
+
+def path_value(v: Column, path: str) -> Column:
+    """The value at a dotted path. A member of objects within objects, the common case, is taken in one go; whatever is not
+    found so (or has a ``[*]``) goes step by step."""
+    keys = path.split(".")
+    slow = v
+    for key in keys:
+        slow = _step_once(slow, key)
+    if any("[*]" in k for k in keys):
+        return slow
+    return F.coalesce(F.try_variant_get(v, "$" + "".join(_member_path(k)[1:] for k in keys), "variant"), slow)
+
+
 def with_paths(df: DataFrame, doc: str, paths: dict[str, str], overrides: str | None = None) -> DataFrame:
-    """Adds one VARIANT column per ``{out_name: path}``. Steps advance in lock-step
-    projections. ``overrides`` (MAP<STRING,STRING>) holds top-level string keys added
-    by normalisation; a path whose first key is there reads it from the map."""
-    steps = {name: path.split(".") for name, path in paths.items()}
-    depth = max((len(s) for s in steps.values()), default=0)
-    cur = df
-    for name, keys in steps.items():
-        first = keys[0]
-        base = step(F.col(doc), first)
+    """Adds one VARIANT column per ``{out_name: path}``. ``overrides`` (MAP<STRING,STRING>) holds top-level string keys
+    added by normalisation; a path whose first key is there reads it from the map (further steps leave a string as it is)."""
+    out = []
+    for name, path in paths.items():
+        value = path_value(F.col(doc), path)
+        first = path.split(".")[0]
         if overrides is not None and "[*]" not in first:
             o = F.try_element_at(F.col(overrides), F.lit(first))
-            base = F.when(o.isNotNull(), o.cast("variant")).otherwise(base)
-        cur = cur.withColumn(name, base)
-    for i in range(1, depth):
-        cols = []
-        for name, keys in steps.items():
-            cols.append(step(F.col(name), keys[i]).alias(name) if i < len(keys) else F.col(name))
-        others = [c for c in cur.columns if c not in steps]
-        cur = cur.select(*others, *cols)
-    return cur
+            value = F.when(o.isNotNull(), o.cast("variant")).otherwise(value)
+        out.append(value.alias(name))
+    return df.select(*[c for c in df.columns if c not in paths], *out)
 
 
 def variant_strings(v: Column) -> Column:
@@ -86,5 +91,6 @@ def variant_strings(v: Column) -> Column:
 
     arr = F.try_variant_get(v, "$", "array<variant>")
     as_list = F.filter(F.transform(arr, one), lambda x: x.isNotNull())
-    single = F.when(v.isNull() | F.is_variant_null(v), F.array().cast("array<string>")).otherwise(F.array(one(v)))
-    return F.when(arr.isNotNull(), as_list).otherwise(single)
+    text = F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v))
+    return (F.when(v.isNull() | F.is_variant_null(v), F.array().cast("array<string>"))
+            .when(arr.isNotNull(), as_list).otherwise(F.array(text)))

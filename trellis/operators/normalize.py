@@ -14,6 +14,9 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.functions.jsonpath import is_object
+from trellis.session import with_once
+
 log = logging.getLogger(__name__)
 
 _EMPTY_EXT = "map<string,string>"
@@ -26,15 +29,19 @@ def _get(col: str, path: str, t: str = "string"):
 def clean_items(items: DataFrame) -> DataFrame:
     """NRM2 then NRM1: keep JSON objects only; rename the key ``id`` to ``_id`` at every
     depth and ``@odata.x`` to ``odatax``, on canonical JSON text (no blanks around
-    ``:``), so the same text patterns as the source system apply; re-parse."""
-    text = F.to_json(F.col("item"))
-    renamed = F.regexp_replace(F.regexp_replace(text, '"id":', '"_id":'), "@odata.", "odata")
+    ``:``), so the same text patterns as the source system apply; re-parse.
+
+    Every item is written as text and parsed once."""
     keep = [c for c in items.columns if c != "item"]
-    return (items.where(F.startswith(text, F.lit("{")))
-            .select(*keep, F.try_parse_json(renamed).alias("doc"))
-            .where(F.col("doc").isNotNull())
-            .withColumn("_json", F.to_json("doc"))
-            .withColumn("ext", F.create_map().cast(_EMPTY_EXT)))
+    objects = with_once(items.where(is_object(F.col("item"))), "_text", F.replace(F.to_json("item"), F.lit('"id":'), F.lit('"_id":'))).drop("item")
+    renamed = F.when(F.contains("_text", F.lit("@odata")), F.regexp_replace("_text", "@odata.", "odata")).otherwise(F.col("_text"))
+    return (with_once(objects, "doc", F.try_parse_json(renamed)).select(*keep, "doc")
+            .where(F.col("doc").isNotNull()).transform(with_derived))
+
+
+def with_derived(items: DataFrame) -> DataFrame:
+    """``_json`` and the empty ``ext`` of cleaned items."""
+    return items.withColumn("_json", F.to_json("doc")).withColumn("ext", F.create_map().cast(_EMPTY_EXT))
 
 
 def _with_ext(df: DataFrame, **kv) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from trellis import vocab as V
 from trellis.functions.jsonpath import is_array, is_object, variant_strings, with_paths
-from trellis.session import cut_lineage
+from trellis.session import cut_lineage, stored
 
 LINK_MARK = "_links.webui"
 
@@ -99,39 +99,14 @@ def scalars(df: DataFrame, names=V.UNIFIED_FIELDS) -> DataFrame:
     return df.select(*[F.try_element_at(F.col(c), F.lit(1)).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
-def _unify_from_probe(probe: DataFrame, rules: dict[str, list[str]], present: dict[str, list[str]],
-                      keep: list[str], base_url: str) -> DataFrame:
-    """UNI3-UNI5 on already extracted path columns ``_u{i}_{j}`` (rule order)."""
-    out = [F.col(k) for k in keep]
-    for i, (name, paths) in enumerate(rules.items()):
-        plist = present.get(name)
-        if not plist:
-            out.append(F.array().cast("array<string>").alias(name))
-            continue
-        vals = []
-        for path in plist:
-            v = F.col(f"_u{i}_{paths.index(path)}")
-            if LINK_MARK in path and base_url:
-                s = F.try_variant_get(v, "$", "string")
-                prim = v.isNotNull() & ~F.is_variant_null(v) & ~is_object(v) & ~is_array(v)
-                v = F.when(prim, F.concat(F.lit(base_url), s).cast("variant")).otherwise(v)
-            vals.append(v)
-        parts = [variant_strings(vals[0])]
-        for v in vals[1:]:
-            parts.append(F.when(is_object(v) | is_array(v), variant_strings(v)).otherwise(F.array().cast("array<string>")))
-        out.append((parts[0] if len(parts) == 1 else F.concat(*parts)).alias(name))
-    return probe.select(*out)
-
-
 def unify_all(frames: dict[str, DataFrame], rules: dict[str, list[str]] = None, doc: str = "doc",
               overrides: str | None = "ext", order_by: list[str] | None = None, sample: str = "first",
               base_url: str = "", keep: list[str] = ()) -> tuple[dict[str, DataFrame], list[tuple[str, bool]]]:
     """UNI6: every collection; the step fails only when every collection fails (an
     empty collection fails; no collection at all fails).
 
-    All rule paths are evaluated once over the union of the collections and only the
-    extracted values are materialised (documents are not copied); path detection
-    (one job) and unification both read them."""
+    The documents of all collections are written once. Detection reads them (one job: with ``sample="first"`` it evaluates
+    the rule paths of one document a collection), then each collection is unified by the paths found alone."""
     rules = rules or V.FIELD_RULES
     if not frames:
         raise RuntimeError("unification failed for every collection")
@@ -142,18 +117,20 @@ def unify_all(frames: dict[str, DataFrame], rules: dict[str, list[str]] = None,
     for label, df in frames.items():
         d = df.select(F.lit(label).alias("_label"), doc, *([overrides] if overrides else []), *carry)
         union = d if union is None else union.unionByName(d)
-    probe = with_paths(union, doc, cols, overrides).drop(doc, *([overrides] if overrides else []))
-    probe = cut_lineage(probe)
-    flags = F.struct(*[F.col(c).isNotNull().alias(c) for c in cols])
+    union = stored(union, "_label")
+    of_label = {label: union.where(F.col("_label") == label) for label in frames}
     if sample == "all":
-        agg = probe.groupBy("_label").agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in cols])
-        rows = {r["_label"]: r for r in agg.collect()}
+        seen = with_paths(union, doc, cols, overrides).groupBy("_label").agg(*[F.max(F.col(c).isNotNull()).alias(c) for c in cols])
     else:
-        order = F.struct(*[F.col(c) for c in order_by]) if order_by else F.lit(0)
-        agg = probe.groupBy("_label").agg(F.min_by(flags, order).alias("f"))
-        rows = {r["_label"]: r["f"] for r in agg.collect()}
+        first = None
+        for df in of_label.values():
+            d = (df.orderBy(*order_by) if order_by else df).limit(1).select("_label", doc, *([overrides] if overrides else []))
+            first = d if first is None else first.unionByName(d)
+        # one row a collection, written: else the paths would be evaluated below the limits, for all rows
+        seen = with_paths(cut_lineage(first), doc, cols, overrides).select("_label", *[F.col(c).isNotNull().alias(c) for c in cols])
+    rows = {r["_label"]: r for r in seen.collect()}
     out, status = {}, []
-    for label in frames:
+    for label, df in of_label.items():
         row = rows.get(label)
         if row is None:
             status.append((label, False))
@@ -163,7 +140,7 @@ def unify_all(frames: dict[str, DataFrame], rules: dict[str, list[str]] = None,
             kept = [p for j, p in enumerate(paths) if row[f"_u{i}_{j}"]]
             if kept:
                 present[name] = kept
-        out[label] = _unify_from_probe(probe.where(F.col("_label") == label), rules, present, list(keep), base_url)
+        out[label] = unify(df, rules, present, list(keep), doc, overrides, base_url)
         status.append((label, True))
     if not any(ok for _, ok in status):
         raise RuntimeError("unification failed for every collection")

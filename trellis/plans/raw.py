@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trellis import vocab as V
 from trellis.operators import normalize as N
 from trellis.operators import unify as U
-from trellis.session import cut_lineage
+from trellis.session import stored
 from trellis.sources.landed import drop_incomplete_chains, flatten_responses
 
 ORDER = ["request_id", "page_no", "item_no"]
@@ -17,8 +17,9 @@ ENDPOINT = "https://wiki.example.org:8443/some/path"
 
 
 def items_by_label(landed: DataFrame) -> dict[str, DataFrame]:
-    # one reliable write of the cleaned items; each label and each path probe reads it
-    items = cut_lineage(N.clean_items(flatten_responses(drop_incomplete_chains(landed))))
+    # one write of the cleaned items in folders by label, so who reads a label reads no other; what follows from ``doc`` alone is left out
+    cleaned = N.clean_items(flatten_responses(drop_incomplete_chains(landed)))
+    items = N.with_derived(stored(cleaned.drop("_json", "ext"), "label"))
     labels = ("users", "spaces", "pages", "comments", "teams", "channels", "posts")
     return {lb: items.where(F.col("label") == lb) for lb in labels}
 

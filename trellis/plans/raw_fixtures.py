@@ -46,6 +46,11 @@ def _pages(items: DataFrame, label: str, request: F.Column, parent: F.Column, se
 
 
 def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_bodies(responses(spark, sf_dir))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed responses, bodies not parsed."""
     nation = load(spark, sf_dir, "nation")
     region = load(spark, sf_dir, "region")
     customer = load(spark, sf_dir, "customer")
@@ -135,4 +140,4 @@ def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )).alias("_j"))
     out = out.unionByName(_pages(posts, "posts", F.concat(F.lit("posts:conv"), _s("conv_id")),
                                  F.concat(F.lit("conv"), _s("conv_id")), F.col("_k"), "value"))
-    return parse_bodies(out)
+    return out

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trellis.session import with_once
+
 LANDED_SCHEMA = T.StructType([
     T.StructField("snapshot_date", T.DateType()),
     T.StructField("label", T.StringType()),
@@ -31,7 +33,7 @@ def read_raw(spark: SparkSession, path: str, label: str | None = None, fmt: str
 
 
 def parse_bodies(df: DataFrame) -> DataFrame:
-    return df.withColumn("doc", F.try_parse_json("body"))
+    return with_once(df, "doc", F.try_parse_json("body"))
 
 
 def flatten_responses(df: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def flatten_responses(df: DataFrame) -> DataFrame:
     """
     results = F.try_variant_get("doc", "$.results", "array<variant>")
     value = F.try_variant_get("doc", "$.value", "array<variant>")
-    items = F.when(results.isNotNull(), results).when(value.isNotNull(), value).otherwise(F.array(F.col("doc")))
+    items = F.coalesce(results, value, F.array(F.col("doc")))
     keep = [c for c in ("snapshot_date", "label", "request_id", "parent_key", "page_no") if c in df.columns]
     return (df.where(F.col("doc").isNotNull())
             .select(*keep, F.posexplode(items).alias("item_no", "item")))
