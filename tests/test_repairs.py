@@ -95,3 +95,33 @@ def test_equivalences_are_read_from_files(spark, tmp_path):
                  '<rdf:type rdf:resource="http://www.w3.org/2002/07/owl#FunctionalProperty"/></owl:ObjectProperty></rdf:RDF>')
     got = {tuple(r) for r in ontology.read_ontology(spark, f"file:{f}")["prop_axioms"].collect()}
     assert got == {("A", "equivalentClass", "B"), ("P", "equivalentProperty", "Q"), ("P", "functional", None)}
+
+
+def test_triples_of_repeated_subjects_are_a_set(spark):
+    """Rows of a subject lie together once, by one shuffle of rows; duplicates within and between them go."""
+    from trellis.operators import mapping
+    users = spark.createDataFrame([("a", "x@e", "l1"), ("a", "x@e", "l1"), ("a", None, "l2"), ("b", "y@e", None), (None, "z@e", "l"), ("c", "", "l1")],
+                                  "name string, email string, link string")
+    teams = spark.createDataFrame([("a", ["n", "n", "m"]), ("t", ["n", "n"])], "_id string, name array<string>")
+    frames = {"users": users, "teams": teams}
+    rules = {k: mapping.ENTITY_RULES[k] for k in frames}
+    whole, got = mapping.map_entities(frames, rules), mapping.map_entities_set(frames, rules)
+    assert got.columns == whole.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.distinct().collect()))
+    assert whole.count() > got.count()
+
+
+def test_usual_ntriples_lines_read_as_by_the_pattern(spark, tmp_path):
+    from trellis.sources import triples
+    f = tmp_path / "usual.nt"
+    f.write_text('<s> <p> <o> .\n<s> <p> "a > b <c> ." .\n<s> <p> "" .\n<s> <p> <> .\n<s> <p> "q\\"uote" .\n<s> <p> "x" . # "y" .\n'
+                 '<s>  <p> "two blanks" .\n<s> <p> "t"^^<d> .\n<s> <p> "l"@en .\n<s> <p> _:b .\n_:a <p> <o> . # c> .\n# <c> <c> <c> .\n\n<s x> <p> " " .\n')
+    got = sorted((r.s, r.o, r.o_kind, r.o_lang or "", r.o_dtype or "") for r in triples.read_ntriples(spark, f"file:{f}").collect())
+    assert got == sorted([("s", "o", "iri", "", ""), ("s", "a > b <c> .", "literal", "", ""), ("s", "", "literal", "", ""), ("s", "", "literal", "", ""),
+                          ("s", 'q"uote', "literal", "", ""), ("s", "x", "literal", "", ""), ("s", "two blanks", "literal", "", ""),
+                          ("s", "t", "literal", "", "d"), ("s", "l", "literal", "en", ""), ("s", "_:b", "iri", "", ""), ("_:a", "o", "iri", "", ""),
+                          ("s x", " ", "literal", "", "")])
+    for bad in ('<s> <p> " .', '<s> <p> "a"b" .', "<s> <p> <a>b> ."):
+        f.write_text(bad + "\n")
+        with pytest.raises(Exception, match="not a triple"):
+            triples.read_ntriples(spark, f"file:{f}").collect()

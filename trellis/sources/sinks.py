@@ -68,8 +68,8 @@ def write_extraction(cells: DataFrame, path: str, bindings: DataFrame | None = N
 
 
 def _nt_escape(c):
-    for pat, rep in ((r"\\", r"\\\\"), (r'"', r'\\"'), (r"\n", r"\\n"), (r"\r", r"\\r")):
-        c = F.regexp_replace(c, pat, rep)
+    for ch, rep in (("\\", r"\\"), ('"', r'\"'), ("\n", r"\n"), ("\r", r"\r")):
+        c = F.replace(c, F.lit(ch), F.lit(rep))
     return c
 
 

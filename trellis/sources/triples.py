@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trellis.session import with_once
+
 _TERM = r'(?:<([^>]*)>|(_:[^\s]+))'
 # possessive runs: recursion depth follows escape sequences, not characters (long texts)
 _OBJ = r'(?:<([^>]*)>|(_:[^\s]+)|"((?:[^"\\]++|\\.)*+)"(?:@([A-Za-z0-9\-]+)|\^\^<([^>]*)>)?)'
@@ -54,12 +56,23 @@ def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     """``s, p, o, o_kind, o_lang, o_dtype``: one triple per line, a comment may follow; comment lines and blank lines
     are skipped, any other line fails the read. Typed literals keep the lexical form and the IRI of their datatype.
 
-    A line is matched once: the groups come out between line feeds, which no line holds."""
-    lines = spark.read.text(path).where(~F.col("value").rlike(_NO_TRIPLE))
+    A line is matched once: the groups come out between line feeds, which no line holds. Lines in the usual form (terms
+    with one blank between, a literal without quotes or escapes inside) are cut at their brackets instead."""
+    lines = spark.read.text(path).where(F.startswith("value", F.lit("<")) | ~F.col("value").rlike(_NO_TRIPLE))
     parts = F.split(F.regexp_replace("value", _LINE, "$1\n$2\n$3\n$4\n$5\n$6\n$7\n$8"), "\n")
     bad = F.raise_error(F.concat(F.lit("not a triple: "), F.substring(F.get("x", F.lit(0)), 1, 200))).cast("array<string>")
     # a generator's input is taken once, whatever columns are read later
-    lines = lines.select(F.explode(F.array(parts)).alias("x")).select(F.explode(F.array(F.when(F.size("x") == 8, F.col("x")).otherwise(bad))).alias("x"))
+    lines = with_once(lines, "h", F.split("value", ">", 3))
+    s, p, rest = (F.get("h", F.lit(i)) for i in range(3))
+    usual = F.startswith("value", F.lit("<")) & F.startswith(p, F.lit(" <")) & F.startswith(rest, F.lit(' "')) & F.endswith(rest, F.lit('" .')) & (F.length(rest) >= 5)
+    iri = F.startswith("value", F.lit("<")) & F.startswith(p, F.lit(" <")) & F.startswith(rest, F.lit(" <")) & F.endswith(rest, F.lit("> ."))
+    inner = lambda n: F.substring(rest, F.lit(3), F.length(rest) - n)
+    lines = with_once(lines, "o", F.when(usual | iri, inner(5))).select("value", "h", "o")
+    none = F.lit("")
+    cut = lambda *o: F.array(F.substring(s, 2, 1 << 30), none, F.substring(p, 3, 1 << 30), *o)
+    lines = with_once(lines, "x", F.when(usual & ~F.contains("o", F.lit('"')) & ~F.contains("o", F.lit("\\")), cut(none, none, F.col("o"), none, none))
+                      .when(iri & ~F.contains("o", F.lit(">")), cut(F.col("o"), none, none, none, none)).otherwise(parts))
+    lines = lines.select(F.explode(F.array(F.when(F.size("x") == 8, F.col("x")).otherwise(bad))).alias("x"))
     g = lambda i: F.get("x", F.lit(i - 1))
     nz = lambda i: F.when(g(i) != "", g(i))
     plain = F.when(F.contains(g(6), F.lit("\\")), _unescape(g(6))).otherwise(g(6))
