@@ -5,10 +5,14 @@ import html as entities
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trellis.llm import quality, sitetree, toxicity
 
@@ -386,3 +390,52 @@ def test_pipeline_equals_its_operators(spark, sf):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def peak_mb(work):
+    """MB that ``work`` holds at most beside what was there."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_long_spans_and_many_marks_are_scored_in_bounded_parts():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abcdefgh", k=1500)) for _ in range(600)]  # texts without blanks are spans of their own
+    marks = sorted({"".join(rnd.choices("abcdefgh", k=6)) for _ in range(700)})
+    model = toxicity._fold(marks[:50], np.linspace(-1, 1, 50), 0.5)
+    got = []
+    assert peak_mb(lambda: got.extend(model.margins(words))) < 40
+    assert peak_mb(lambda: toxicity.norms(words)) < 40
+    assert got[7::100] == [model.margins([w])[0] for w in words[7::100]]
+    short = [w[:9] for w in words]
+    assert peak_mb(lambda: got.append(toxicity.kernel(short, marks))) < 60
+    assert np.array_equal(got[-1][:, 500:600], toxicity.kernel(short, marks[500:600]))
+
+
+def test_a_batch_of_texts_is_scored_in_bounded_parts():
+    rnd = random.Random(4)
+    texts = [" ".join("".join(rnd.choices("abcdefghijklmnop", k=7)) for _ in range(500)) for _ in range(1500)]  # 6 MB, words hardly repeated
+    model = toxicity._fold(["insult", "moron"], np.array([1.0, 1.0]), -0.5)
+    held, taken = [], []
+
+    class Frame:
+        """Keeps the function that Spark would run on each task's batches."""
+
+        schema = StructType()
+
+        def mapInArrow(self, run, schema):
+            held.append(run)
+
+    toxicity.margins(Frame(), model)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+
+    def work():
+        for b in held[0](iter([batch])):
+            taken.extend(b.column(1).to_pylist())
+
+    assert (peak := peak_mb(work)) < 180, peak
+    assert len(taken) == len(texts) and taken[::500] == toxicity.scorer(model)(texts[::500]).tolist()

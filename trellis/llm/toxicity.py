@@ -43,7 +43,11 @@ WITNESSES = 6  # candidate spans per toxic document
 LANDMARKS = 160
 COST, CLEAN_COST = 10_000.0, 40_000.0  # total weight of toxic and of clean spans in the machine's loss
 NO_SPAN = -10.0  # margin of a text without spans
-CACHE = 400_000
+CACHE = 300_000
+# characters of spans and landmarks that one step of numpy takes; bytes of text whose spans, or windows, are held at once
+PART_CHARS, PART_MARKS = 1 << 16, 256
+SCORE_BYTES, CUT_BYTES = 1 << 19, 1 << 19
+CUT_TASKS = 24  # tasks that cut the training texts into windows, so that none counts many at once
 
 _EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¡¿«»„“”‘’…–—"
 _SPELLED = re.compile(r"(?<!\w)\w(?:[^\w\n]{1,3}\w(?!\w)){2,}")
@@ -81,6 +85,18 @@ def windows_of(text: str, wanted=None) -> set[str]:
     return out
 
 
+def parts(spans: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The spans in runs of about ``PART_CHARS`` characters (one span at least), each with the place of its first."""
+    start = chars = 0
+    for i, s in enumerate(spans):
+        chars += len(s) + 2
+        if chars > PART_CHARS and i > start:
+            yield start, spans[start:i]
+            start, chars = i, len(s) + 2
+    if start < len(spans):
+        yield start, spans[start:]
+
+
 def subsequences(spans: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """(span index, code, weight) of the gapped triples of all spans, one pattern of gaps at a time.
     Spans carry a mark before and behind, so their edges count as characters."""
@@ -99,8 +115,7 @@ def norms(spans: list[str]) -> np.ndarray:
     """Root of the self kernel of every span (equal triples add up before they are squared)."""
     out = np.empty(len(spans))
     step = DECAY ** np.arange(8)
-    for i in range(0, len(spans), 20_000):
-        part = spans[i : i + 20_000]
+    for i, part in parts(spans):
         # span, hash of the triple and its stretch in one sortable number
         keys = [np.empty(0, np.uint64)]
         for who, code, weight in subsequences(part):
@@ -118,18 +133,23 @@ def norms(spans: list[str]) -> np.ndarray:
 
 def kernel(spans: list[str], landmarks: list[str]) -> np.ndarray:
     """Kernel of every span with every landmark, normed to 1 for equal spans (float32)."""
-    who, code, weight = (np.concatenate(x) for x in zip(*((w, c, np.full(len(c), v)) for w, c, v in subsequences(landmarks))))
-    keys, at = np.unique(code, return_inverse=True)
-    table = np.zeros((len(keys), len(landmarks)), np.float32)
-    np.add.at(table, (at, who), weight / norms(landmarks)[who])
     out = np.zeros((len(spans), len(landmarks)), np.float32)
-    for i in range(0, len(spans), 20_000):
-        part = spans[i : i + 20_000]
-        for w, c, v in subsequences(part):
-            k = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
-            hit = keys[k] == c
-            np.add.at(out, i + w[hit], table[k[hit]] * np.float32(v))
-    return out / norms(spans)[:, None].astype(np.float32)
+    for first in range(0, len(landmarks), PART_MARKS):
+        marks = landmarks[first : first + PART_MARKS]
+        who, code, weight = (np.concatenate(x) for x in zip(*((w, c, np.full(len(c), v)) for w, c, v in subsequences(marks))))
+        keys, at = np.unique(code, return_inverse=True)
+        table = np.zeros((len(keys), len(marks)), np.float32)
+        np.add.at(table, (at, who), weight / norms(marks)[who])
+        columns = out[:, first : first + PART_MARKS]
+        for i, part in parts(spans):
+            for w, c, v in subsequences(part):
+                k = np.minimum(np.searchsorted(keys, c), len(keys) - 1)
+                hit = np.flatnonzero(keys[k] == c)
+                for j in range(0, len(hit), 1 << 14):
+                    some = hit[j : j + (1 << 14)]
+                    np.add.at(columns, i + w[some], table[k[some]] * np.float32(v))
+    out /= norms(spans)[:, None].astype(np.float32)
+    return out
 
 
 @dataclass
@@ -155,22 +175,23 @@ class Model:
 
     def margins(self, spans: list[str]) -> np.ndarray:
         total = np.zeros(len(spans))
-        if len(self.keys) and spans:
-            for w, c, v in subsequences(spans):
+        for i, part in parts(spans) if len(self.keys) else ():
+            of_part = total[i : i + len(part)]
+            for w, c, v in subsequences(part):
                 maybe = np.flatnonzero(self.seen[self._slot(c)])
                 c, w = c[maybe], w[maybe]
                 k = np.minimum(np.searchsorted(self.keys, c), len(self.keys) - 1)
                 hit = self.keys[k] == c
-                total += np.bincount(w[hit], weights=self.weights[k[hit]] * v, minlength=len(spans))
-            total /= norms(spans)
+                of_part += np.bincount(w[hit], weights=self.weights[k[hit]] * v, minlength=len(part))
+            of_part /= norms(part)
         return total + self.bias
 
 
 def _resembling(words: list[str], marks: tuple[str, ...]) -> set[str]:
     """Words whose kernel with one of ``marks`` is ``RESEMBLES`` or more."""
     found: set[str] = set()
-    for i in range(0, len(words), 5_000):
-        part = words[i : i + 5_000]
+    for i in range(0, len(words), 2_000):
+        part = words[i : i + 2_000]
         found.update(part[j] for j in np.flatnonzero(kernel(part, list(marks)).max(axis=1) >= RESEMBLES))
     return found
 
@@ -353,7 +374,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     evidence = (F.greatest(odds, F.lit(0.0)) * F.sqrt("n1")).alias("evidence")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", CUT_BYTES):
             count: dict[tuple[str, int], int] = {}
             for toxic, text in zip(b.column(0).to_pylist(), texts_of(b, "text")):
                 for s in windows_of(text):
@@ -361,7 +382,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             spans, toxic = zip(*count) if count else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(spans, pa.string()), pa.array(toxic, pa.int32()), pa.array(count.values(), pa.int64())], names=["span", "toxic", "n"])
 
-    pairs = sample.select(F.col("toxic").cast("int"), "text").mapInArrow(windows, "span string, toxic int, n long")
+    pairs = sample.select(F.col("toxic").cast("int"), "text").repartition(CUT_TASKS).mapInArrow(windows, "span string, toxic int, n long")
     of = lambda t: F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0))
     pairs = materialise(pairs.groupBy("span").agg(of(1).alias("n1"), of(0).alias("n0")), "window-counts").withColumn("evidence", evidence)
     best = pairs.filter((F.col("n1") >= WINDOW_DOCS) & (F.col("evidence") > 0)).orderBy(F.col("evidence").desc(), "span").limit(MAX_WINDOWS)
@@ -369,7 +390,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     first_last = {w for s in chosen for w in (s.split()[0], s.split()[-1])}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 2 << 20):
+        for b in slices(batches, "text", CUT_BYTES):
             out = [[], [], []]
             for doc, toxic, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts_of(b, "text")):
                 spans = set().union(*map(spans_of, _SENTENCE.split(text)))
@@ -418,7 +439,7 @@ def margins(df: DataFrame, model: Model, text_col: str = "text", out: str = "mar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer(Model(*state))
-        for b in slices(batches, text_col, 8 << 20):
+        for b in slices(batches, text_col, SCORE_BYTES):
             texts = [t or "" for t in b.column(b.schema.get_field_index(text_col)).cast(pa.string()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score(texts), pa.float64())], names=[*b.schema.names, out])
 
