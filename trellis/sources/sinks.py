@@ -75,13 +75,13 @@ def _nt_escape(c):
 
 def write_ntriples(triples: DataFrame, path: str) -> None:
     """Triples as N-Triples lines (the mapper's file output, read back by SRC5), literals with their language or else their
-    datatype (``o_dtype``, where there is such a column)."""
+    datatype (``o_dtype``, where there is such a column). Lines repeat their IRIs, so files are compressed (``.gz``)."""
     typed = F.concat(F.lit("^^<"), F.col("o_dtype"), F.lit(">")) if "o_dtype" in triples.columns else F.lit(None).cast("string")
     obj = F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), F.col("o"), F.lit(">"))).otherwise(
         F.concat(F.lit('"'), _nt_escape(F.col("o")), F.lit('"'),
                  F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), F.col("o_lang"))).otherwise(F.coalesce(typed, F.lit("")))))
     line = F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), obj, F.lit(" ."))
-    triples.select(line.alias("value")).write.mode("overwrite").text(path)
+    triples.select(line.alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 _RDF_HEADER = ('<?xml version="1.0"?>\n<rdf:RDF xmlns:owl="http://www.w3.org/2002/07/owl#" '
